@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import binary_tokens, sharding, url_filter
 
 
 def queries() -> dict:
-    return {"op1_url_filter": url_filter.op1_url_filter}
+    return {
+        "op1_url_filter": url_filter.op1_url_filter,
+        "op6_histogram_sharding": sharding.op6_histogram_sharding,
+        "op7_binary_tokens": binary_tokens.op7_binary_tokens,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
