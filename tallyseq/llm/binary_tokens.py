@@ -87,7 +87,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
             nonlocal nulls
             for batch in batches:
                 texts = batch.column(1).to_pylist()
-                values = [b"".join(v) + end for v in known.of([chunks.cut(t) for t in texts])]
+                values = [v + end for v in known.of(texts)]
                 lengths.append(np.fromiter((len(v) // width for v in values), np.int64, len(values)))
                 nulls += batch.column(0).null_count
                 ids.append(batch.column(0).fill_null(0).to_numpy())

@@ -3,47 +3,72 @@
 The pre-tokenisation pattern lets a token start with one space but never run from a non-space into white space.
 A text may therefore be cut before every ASCII space whose left neighbour is not white space; the tokens of the
 pieces, one after another, are the tokens of the text. Where white space stands before a space the run stays
-in one piece.
+in one piece. A piece that is a Latin word, perhaps with a mark after it and another such word on a new line,
+is made of its parts' tokens by the same pattern.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 #: White space by any of the libraries' definitions.
-_SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0                　"
-_RUNS = tuple(c + " " for c in _SPACES)
+SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0                　"
+_RUNS = tuple(c + " " for c in SPACES)
+_LATIN = "[A-Za-zÀ-ÖØ-öø-ɏ]+"
+_WORDS = re.compile(rf"( ?{_LATIN})([.,;:!?]?)(?:(\n)({_LATIN})([.,;:!?]?))?")
 
 
-def cut(text: str) -> list[str]:
-    """The pieces; joined they are the text."""
+def cut(text: str) -> tuple[list[str], list[str]]:
+    """(pieces as they stand, further pieces without the one space before each)."""
     parts = text.split(" ")
-    if any(run in text for run in _RUNS) or not parts[0]:
-        out, current = [], parts[0]
-        for part in parts[1:]:
-            if current and not current[-1].isspace():
-                out.append(current)
-                current = " " + part
-            else:
-                current += " " + part
-        out.append(current)
-        return out if out != [""] else []
-    return [parts[0], *[" " + p for p in parts[1:]]]
+    if parts[0] and not any(run in text for run in _RUNS):
+        return parts[:1], parts[1:]
+    out, current = [], parts[0]
+    for part in parts[1:]:
+        if current and not current[-1].isspace():
+            out.append(current)
+            current = " " + part
+        else:
+            current += " " + part
+    return ([*out, current] if current else out), []
 
 
 class PieceCache:
-    """Piece -> encoded value, for one worker; cleared when it holds ``limit`` pieces, so its memory is bounded."""
+    """Piece -> its encoding (bytes), for one worker. Two generations of ``limit`` pieces bound its memory."""
+
+    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], limit: int = 350_000, longest: int = 48):
+        self.encode_all, self.limit, self.longest = encode_all, limit, longest
+        #: By the piece without the space before it.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def __init__(self, encode_all, limit: int = 400_000, longest: int = 64):
-        self.encode_all, self.limit, self.longest, self.known = encode_all, limit, longest, {}
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        """Encodings of whole pieces; those made of words and marks by way of their parts."""
+        parts = [m.groups(default="") if (m := _WORDS.fullmatch(p)) and (m[2] or m[3]) else (p,) for p in pieces]
+        units = {u for p in parts for u in p if u}
+        held = {u: self.known[u[1:]] for u in units if u[0] == " " and u[1:] in self.known}
+        new = [u for u in units if u not in held]
+        held.update(zip(new, self.encode_all(new)))
+        self.known.update((u[1:], held[u]) for u in new if u[0] == " " and len(u) <= self.longest)
+        return [b"".join([held[u] for u in p if u]) if len(p) > 1 else held[p[0]] for p in parts]
 
-    def of(self, texts: list[list[str]]) -> list[list]:
-        """The values of each text's pieces."""
+    def of(self, texts: list[str]) -> list[bytes]:
+        """Each text's encoding."""
+        cuts = [cut(t) for t in texts]
+        first = list(set().union(*[c[0] for c in cuts]))
+        standing = dict(zip(first, self._encoded(first)))
         if len(self.known) > self.limit:
-            self.known.clear()
-        known = self.known
-        new = [p for p in set().union(*texts) if p not in known] if texts else []
-        known.update(zip(new, self.encode_all(new)))
-        out = [list(map(known.__getitem__, t)) for t in texts]
-        for p in new:  # long pieces are rarely met again
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = set().union(*[c[1] for c in cuts]).difference(known)
+        if older:
+            known.update([(p, older[p]) for p in new if p in older])
+            new = new.difference(known)
+        order = list(new)
+        known.update(zip(order, self._encoded([" " + p for p in order])))
+        out = [b"".join([*map(standing.__getitem__, a), *map(known.__getitem__, b)]) for a, b in cuts]
+        for p in order:  # long pieces are rarely met again
             if len(p) > self.longest:
                 del known[p]
         return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary_tokens, sharding, url_filter
+from . import binary_tokens, decontaminate, sharding, url_filter
 
 
 def queries() -> dict:
@@ -10,8 +10,9 @@ def queries() -> dict:
         "op1_url_filter": url_filter.op1_url_filter,
         "op6_histogram_sharding": sharding.op6_histogram_sharding,
         "op7_binary_tokens": binary_tokens.op7_binary_tokens,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.OP1_SQL}
+    return {"op1_url_filter": url_filter.OP1_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
