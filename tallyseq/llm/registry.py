@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import binary_tokens, decontaminate, sharding, url_filter
+from . import binary_tokens, bpe, decontaminate, media, sharding, simhash, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
+        "op2_simhash": simhash.op2_simhash,
+        "op3_byte_bpe": bpe.op3_byte_bpe,
+        "op4_media": media.op4_media,
         "op6_histogram_sharding": sharding.op6_histogram_sharding,
         "op7_binary_tokens": binary_tokens.op7_binary_tokens,
         "op10_decontaminate": decontaminate.op10_decontaminate,
