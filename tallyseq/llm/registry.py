@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary_tokens, bpe, decontaminate, media, sharding, simhash, url_filter
+from . import binary_tokens, bpe, decontaminate, media, sharding, simhash, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_media": media.op4_media,
         "op6_histogram_sharding": sharding.op6_histogram_sharding,
         "op7_binary_tokens": binary_tokens.op7_binary_tokens,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 

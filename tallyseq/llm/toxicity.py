@@ -3,9 +3,9 @@
 A word is the bag of its character n-grams (with word ends) and itself, hashed into buckets; its vector is the
 mean of theirs and a text's vector the mean of its words'. Embeddings and softmax are trained jointly, in numpy on
 the driver, with Adam over the whole sample, so a misspelling that was never seen lies near what it is spelt
-like. A long text is read in passages as well: the score is that of the text or of its most toxic passage, as
-few words in many thousands vanish in a mean. Training sees passages too: a toxic text counts by its most toxic
-ones. After training a bucket is one number (embedding times softmax difference), so scoring is a lookup a word.
+like. A text of several passages is read by passages as well, and its score is that of the whole or of its most
+toxic passage, as few words in many thousands vanish in a mean. After training a bucket is one number
+(embedding times softmax difference), so scoring is a lookup a word.
 
 The sample of labelled rows is bounded: ``per_class`` rows of each class of the training folds, those with the
 least hash of their id, of at most ``sample_bytes`` each. The classes' true frequencies, counted over all labelled
@@ -30,13 +30,17 @@ from pyspark.sql import functions as F
 
 from .runtime import buffers, doc_bucket, documents, small_batches, utf8
 
-BUCKETS = 1 << 17
+BUCKETS = 1 << 20
 GRAMS = (3, 4, 5)
 THRESHOLD = 0.3
 #: Words a passage has; passages overlap by half.
-PASSAGE = 64
-PER_CLASS = 1500
+PASSAGE = 400
+PER_CLASS = 1000
 SAMPLE_BYTES = 16_000
+#: Means of many words are small numbers; the softmax sees them enlarged.
+SCALE = 100.0
+#: Standard errors by which a bucket's frequencies must differ, and what is added to its counts.
+SURE, SMOOTH = 3.0, 5.0
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -86,70 +90,67 @@ class _Sums:
         return self._sum(grad[self.bg] * self.bw[:, None], self.bi, self.m)
 
 
-def train(texts: list[bytes], labels: list[int], prior: float, size: int = BUCKETS, width: int = 4, rounds: int = 60, rate: float = 0.1, seed: int = 7) -> Model:
-    """Fit on whole texts and their passages; ``prior`` is the toxic fraction to restore."""
+def train(texts: list[bytes], labels: list[int], prior: float, size: int = BUCKETS, width: int = 4, rounds: int = 40, rate: float = 0.02, seed: int = 7) -> Model:
+    """Fit on whole texts of both classes; ``prior`` is the toxic fraction to restore.
+
+    Buckets whose document frequencies do not differ between the classes by ``SURE`` standard errors keep weight
+    zero: they are noise that a small sample would be learnt by heart from. The others start at their log odds.
+    """
     y = np.array(labels, np.float32)
     vocabulary: dict[bytes, int] = {}
-    unit_of, word_of, share, owner, whole = [], [], [], [], []
-    units = 0
+    text_of, word_of, share = [], [], []
     for d, text in enumerate(texts):
         words = tokens(text)
-        spans = [words] if len(words) <= PASSAGE else [words, *[words[i : i + PASSAGE] for i in range(0, len(words) - PASSAGE // 2, PASSAGE // 2)]]
-        for k, span in enumerate(spans):
-            for w, n in Counter(span).items():
-                unit_of.append(units)
-                word_of.append(vocabulary.setdefault(w, len(vocabulary)))
-                share.append(n / len(span))
-            owner.append(d)
-            whole.append(k == 0)
-            units += 1
-    bags = [buckets(w, size) for w in vocabulary]
+        for w, n in Counter(words).items():
+            text_of.append(d)
+            word_of.append(vocabulary.setdefault(w, len(vocabulary)))
+            share.append(n / len(words))
+    bags = [np.array(buckets(w, size), np.int64) for w in vocabulary]
     lengths = np.array([len(b) for b in bags], np.int64)
-    used, item = np.unique(np.concatenate([np.array(b, np.int64) for b in bags]) if bags else np.zeros(0, np.int64), return_inverse=True)
-    subwords = _Sums(np.repeat(np.arange(len(bags)), lengths), item, np.repeat(1 / np.maximum(lengths, 1), lengths), len(bags), len(used))
-    mixes = _Sums(np.array(unit_of, np.int64), np.array(word_of, np.int64), np.array(share), units, len(bags))
-    owner, whole = np.array(owner), np.array(whole)
+    flat = np.concatenate(bags) if bags else np.zeros(0, np.int64)
+    text_of, word_of, share = np.array(text_of, np.int64), np.array(word_of, np.int64), np.array(share)
+    counts = np.array([(y == 0).sum(), (y == 1).sum()])
+    seen = np.zeros((2, size))
+    bounds = np.searchsorted(text_of, np.arange(len(texts) + 1))
+    for d in range(len(texts)):
+        own = word_of[bounds[d] : bounds[d + 1]]
+        if len(own):
+            seen[int(y[d]), np.unique(np.concatenate([bags[w] for w in own]))] += 1
+    rates = seen / np.maximum(counts, 1)[:, None]
+    pooled = seen.sum(0) / max(len(y), 1)
+    error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / counts).sum())
+    telling = np.abs(rates[1] - rates[0]) >= SURE * error
+    start = np.log(((seen[1] + SMOOTH) / (counts[1] + 2 * SMOOTH)) / ((seen[0] + SMOOTH) / (counts[0] + 2 * SMOOTH)))
+    keep = telling[flat] if len(flat) else np.zeros(0, bool)
+    used, item = np.unique(flat[keep], return_inverse=True)
+    owner = np.repeat(np.arange(len(bags)), lengths)
+    subwords = _Sums(owner[keep], item, (1 / np.maximum(lengths, 1))[owner[keep]], len(bags), len(used))
+    mixes = _Sums(text_of, word_of, share, len(texts), len(bags))
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.1, (len(used), width)).astype(np.float32)
-    soft = rng.normal(0, 0.5, (width, 2)).astype(np.float32)
+    table = rng.normal(0, 0.01, (len(used), width)).astype(np.float32)
+    table[:, 0] = start[used]
+    soft = rng.normal(0, 0.1, (width, 2)).astype(np.float32)
+    soft[0] = (-0.5, 0.5)
     bias = np.zeros(2, np.float32)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, soft, bias)]
-    # a passage of a clean text is clean; of a toxic text the whole and, by the model so far, its worst passage are toxic
+    weight = np.where(y == 1, 1 / counts[1], 1 / counts[0]).astype(np.float32)[:, None]
     for step in range(1, rounds + 1):
-        words_v = subwords.forward(table)
-        units_v = mixes.forward(words_v)
-        logits = units_v @ soft + bias
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
+        averages = mixes.forward(subwords.forward(table)) * SCALE
+        logits = averages @ soft + bias
+        p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        toxic = y[owner]
-        weight = np.where(whole | (toxic == 0), 1.0, 0.0).astype(np.float32)
-        order = np.lexsort((-p[:, 1], whole, owner))
-        worst = order[np.concatenate([[True], np.diff(owner[order]) != 0])]
-        weight[worst] = 1.0
-        for c in (0, 1):
-            total = weight[toxic == c].sum()
-            weight[toxic == c] /= max(total, 1)
-        grad = p.copy()
-        grad[:, 0] -= 1 - toxic
-        grad[:, 1] -= toxic
-        grad *= weight[:, None]
-        g_units = grad @ soft.T
-        g_soft, g_bias = units_v.T @ grad, grad.sum(0)
-        g_table = subwords.backward(mixes.backward(g_units))
-        for q, g, m in zip((table, soft, bias), (g_table, g_soft, g_bias), moments):
+        grad = (p - np.stack([1 - y, y], 1)) * weight
+        gradients = (subwords.backward(mixes.backward(grad @ soft.T)) * SCALE, averages.T @ grad, grad.sum(0))
+        for value, g, m in zip((table, soft, bias), gradients, moments):
             m[0] = 0.9 * m[0] + 0.1 * g
             m[1] = 0.99 * m[1] + 0.01 * g * g
-            q -= rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
+            value -= rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
     weights = np.zeros(size, np.float32)
-    weights[used] = table @ (soft[:, 1] - soft[:, 0])
+    weights[used] = SCALE * (table @ (soft[:, 1] - soft[:, 0]))
     odds = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     return Model(weights, float(bias[1] - bias[0] + odds))
 
 
-_WORDS: dict[int, dict[bytes, float]] = {}
-
-
 def scores(texts: list[bytes], model: Model, known: dict[bytes, float] | None = None) -> list[float]:
     """The probability of each text's being toxic."""
     known = {} if known is None else known
@@ -168,7 +169,7 @@ def scores(texts: list[bytes], model: Model, known: dict[bytes, float] | None =
             known.update(zip(new, (sums / np.diff(np.concatenate([[0], ends]))).tolist()))
         v = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
         best = float(v.mean()) if len(v) else 0.0
-        if len(v) > model.passage:
+        if len(v) >= 2 * model.passage:
             run = np.concatenate([[0.0], np.cumsum(v)])
             half = model.passage // 2
             at = np.arange(0, len(v) - half, half)
@@ -204,7 +205,7 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame
     """``keep`` and score."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # half a megabyte, whatever the data
+    shared = spark.sparkContext.broadcast(model)  # four megabytes, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, float] = {}
