@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary_tokens, bpe, decontaminate, media, sharding, simhash, toxicity, url_filter
+from . import binary_tokens, bpe, decontaminate, media, sharding, simhash, suffix_tree, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_simhash": simhash.op2_simhash,
         "op3_byte_bpe": bpe.op3_byte_bpe,
         "op4_media": media.op4_media,
+        "op5_suffix_tree": suffix_tree.op5_suffix_tree,
         "op6_histogram_sharding": sharding.op6_histogram_sharding,
         "op7_binary_tokens": binary_tokens.op7_binary_tokens,
         "op9_toxicity": toxicity.op9_toxicity,
