@@ -122,7 +122,7 @@ def map_file(uri: str, dtype: str) -> np.ndarray:
     fs, path = filesystem(uri)
     if fs.type_name == "local":
         return np.memmap(path, dtype, "r")
-    with fs.open_input_stream(path) as stream:
+    with fs.open_input_stream(path, compression=None) as stream:
         return np.frombuffer(stream.read(), dtype)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary_tokens, bpe, decontaminate, media, sharding, simhash, suffix_tree, toxicity, url_filter
+from . import binary_tokens, bpe, decontaminate, media, sharding, simhash, suffix_tree, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -14,10 +14,11 @@ def queries() -> dict:
         "op5_suffix_tree": suffix_tree.op5_suffix_tree,
         "op6_histogram_sharding": sharding.op6_histogram_sharding,
         "op7_binary_tokens": binary_tokens.op7_binary_tokens,
+        "op8_warc_fixity": warc.op8_warc_fixity,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.OP1_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
+    return {"op1_url_filter": url_filter.OP1_SQL, "op8_warc_fixity": warc.OP8_SQL, "op10_decontaminate": decontaminate.OP10_SQL}

@@ -58,7 +58,7 @@ def write_file(uri: str, chunks: Iterator[bytes]) -> int:
     fs, path = filesystem(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
     part, n = f"{path}.{uuid.uuid4().hex}.tmp", 0
-    with fs.open_output_stream(part) as out:
+    with fs.open_output_stream(part, compression=None) as out:
         for chunk in chunks:
             out.write(chunk)
             n += len(chunk)
