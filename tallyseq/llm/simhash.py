@@ -148,15 +148,16 @@ def joining_links(fps: np.ndarray, close) -> list[tuple[int, int]]:
     return links
 
 
-def _within(columns: list[np.ndarray], first: np.ndarray, second: np.ndarray, total: int | None) -> np.ndarray:
-    """Pairs with the key's fingerprint (column 0) within RADIUS, and all together within ``total``."""
-    near = np.bitwise_count(columns[0][first] ^ columns[0][second]) <= RADIUS
-    if total is not None:
-        near &= sum(np.bitwise_count(c[first] ^ c[second]).astype(np.int64) for c in columns[1:]) <= total
+def _within(columns: list[np.ndarray], first: np.ndarray, second: np.ndarray, both: int | None) -> np.ndarray:
+    """Pairs with the key's fingerprint (column 0) within RADIUS, and it and its companion together within ``both``."""
+    apart = np.bitwise_count(columns[0][first] ^ columns[0][second])
+    near = apart <= RADIUS
+    if both is not None:
+        near &= apart.astype(np.int64) + np.bitwise_count(columns[1][first] ^ columns[1][second]) <= both
     return near
 
 
-def _group_links(columns: list[np.ndarray], starts: np.ndarray, ends: np.ndarray, total: int | None) -> tuple[np.ndarray, np.ndarray]:
+def _group_links(columns: list[np.ndarray], starts: np.ndarray, ends: np.ndarray, both: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Links within each run [start, end) of rows that share a key."""
     a, b = [], []
     sizes = ends - starts
@@ -169,78 +170,81 @@ def _group_links(columns: list[np.ndarray], starts: np.ndarray, ends: np.ndarray
         if not len(s):
             break
         first = np.repeat(s - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-        near = _within(columns, first, first + lag, total)
+        near = _within(columns, first, first + lag, both)
         a.append(first[near])
         b.append(first[near] + lag)
         lag += 1
     for low, high in zip(starts[sizes > SMALL], ends[sizes > SMALL]):
         own = [c[low:high] for c in columns]
-        found = np.array(joining_links(own[0], lambda x, rest: _within(own, np.full(len(rest), x), rest, total)), np.int64).reshape(-1, 2)
+        found = np.array(joining_links(own[0], lambda x, rest: _within(own, np.full(len(rest), x), rest, both)), np.int64).reshape(-1, 2)
         a.append(found[:, 0] + low)
         b.append(found[:, 1] + low)
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def golay_links(nodes: DataFrame, columns: list[str], total: int | None = None) -> DataFrame:
+def golay_links(nodes: DataFrame, columns: list[str], both: int | None = None) -> DataFrame:
     """(a, b): links between nodes (node: long, and one or more fingerprint columns) that share a key and lie close.
 
-    Close is within RADIUS in the fingerprint of the key and, if ``total`` is given, within it in all together.
+    Close is within RADIUS in the fingerprint of the key and, if ``both`` is given, within it together with the next.
     """
-    spark = nodes.sparkSession
     width = len(columns)
+    held = ["f"] if both is None else ["f", "g"]
 
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, fps = batch.column(0).to_numpy(), [batch.column(1 + i).to_numpy() for i in range(width)]
-            for low in range(0, len(node), 8192):
-                part = slice(low, low + 8192)
+            for low in range(0, len(node), 4096):
+                part = slice(low, low + 4096)
                 for c in range(width):
                     keys, at = keys_of(fps[c][part].view(np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys | c << 44), pa.array(node[part][at]), *[pa.array(f[part][at]) for f in fps]], ["key", "node", *columns])
+                    carried = [fps[(c + i) % width][part][at] for i in range(len(held))]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys | c << 44), pa.array(node[part][at]), *map(pa.array, carried)], ["key", "node", *held])
 
-    fields = ", ".join(f"{c} long" for c in columns)
+    fields = ", ".join(f"{c} long" for c in held)
     keyed = nodes.select("node", *columns).mapInArrow(key_rows, f"key long, node long, {fields}").withColumn("part", F.lit(0))
-    crowded = [r.key for r in keyed.groupBy("key").count().where(F.col("count") > BLOCK).collect()] if nodes.count() > BLOCK else []
-    if crowded:  # few by their size: the list is as long as the rows divided by BLOCK at most
-        listed = F.broadcast(keyed.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / (BLOCK // 2)).alias("blocks")))
+    crowd = keyed.groupBy("key").count().where(F.col("count") > BLOCK)
+    if nodes.count() > BLOCK and crowd.limit(1).count():
+        # crowded keys are few by their size: at most the rows divided by BLOCK
+        listed = F.broadcast(cut(crowd.select("key", F.ceil(F.col("count") / (BLOCK // 2)).alias("blocks"))))
         own = F.pmod(F.xxhash64("node"), F.col("blocks"))
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
         dealt = keyed.join(listed, "key").withColumn("own", own).withColumn("other", other)
         dealt = dealt.withColumn("part", (1 + F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).cast("int"))
-        keyed = keyed.join(listed, "key", "left_anti").unionByName(dealt.select("key", "node", *columns, "part"))
+        keyed = keyed.join(listed, "key", "left_anti").unionByName(dealt.select("key", "node", *held, "part"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in _and_end(batches):
-            if batch is not None:
-                got = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
-                held = got if held is None else [np.concatenate(x) for x in zip(held, got)]
-                if len(held[0]) < 200_000:
-                    continue
-            if held is None or not len(held[0]):
-                continue
-            change = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])) + 1
-            starts = np.concatenate([[0], change])
-            ends = np.concatenate([change, [len(held[0])]])
-            if batch is not None:  # the last run may go on
-                starts, ends, rest = starts[:-1], ends[:-1], starts[-1]
-            else:
-                rest = len(held[0])
-            fps = [c.view(np.uint64) for c in held[3:]]
-            kind = held[0] >> 44
-            for c in range(width):
-                mine = kind[starts] == c if len(starts) else np.zeros(0, bool)
-                a, b = _group_links([fps[c], *fps], starts[mine], ends[mine], total)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(held[2][a]), pa.array(held[2][b])], ["a", "b"])
-            held = [c[rest:] for c in held]
-
-    met = keyed.select("key", "part", "node", *columns).repartition("key", "part").sortWithinPartitions("key", "part")
-    del spark
+        for group in in_runs(batches, 2, 200_000):
+            change = np.flatnonzero((group[0][1:] != group[0][:-1]) | (group[1][1:] != group[1][:-1])) + 1
+            starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(group[0])]])
+            a, b = _group_links([c.view(np.uint64) for c in group[3:]], starts, ends, both)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(group[2][a]), pa.array(group[2][b])], ["a", "b"])
+
+    met = keyed.select("key", "part", "node", *held).repartition("key", "part").sortWithinPartitions("key", "part")
     return met.mapInArrow(meet, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b")
 
 
+def in_runs(batches: Iterator[pa.RecordBatch], keys: int, rows: int) -> Iterator[list[np.ndarray]]:
+    """Column arrays of some ``rows`` rows at a time, cut only where one of the first ``keys`` columns changes."""
+    held: list[np.ndarray] | None = None
+    for batch in _and_end(batches):
+        if batch is not None:
+            got = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = got if held is None else [np.concatenate(x) for x in zip(held, got)]
+            if len(held[0]) < rows:
+                continue
+        if held is None or not len(held[0]):
+            continue
+        rest = len(held[0])
+        if batch is not None:  # the last run may go on
+            same = np.logical_and.reduce([c == c[-1] for c in held[:keys]])
+            rest = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+        if rest:
+            yield [c[:rest] for c in held]
+        held = [c[rest:] for c in held]
+
+
 def _and_end(batches):
     yield from batches
     yield None
