@@ -59,10 +59,9 @@ def zscore(c: Column, keys: list[str], population: bool = True, otherwise: float
 
 def grid(df: DataFrame, dims: dict[str, list], zeros: list[str]) -> DataFrame:
     """Every combination of the dimensions' values, given as lists; missing measures are 0 (PRJ-18)."""
-    spark, out = df.sparkSession, None
+    out = df.sparkSession.range(1).drop("id")
     for name, values in dims.items():
-        dim = spark.createDataFrame([(v,) for v in values], [name])
-        out = dim if out is None else out.crossJoin(dim)
+        out = out.withColumn(name, F.explode(F.array(*map(F.lit, values))))
     return out.join(df, list(dims), "left").na.fill(0, zeros)
 
 

@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    pass
+    from . import cells, counts, reads, screens  # noqa: F401  each registers its queries
 
 
 def queries() -> dict:
