@@ -75,10 +75,10 @@ def merged_intervals(df: DataFrame, keys: list[str], start: str = "start", end:
 
 
 def block_positions(df: DataFrame, group: str, order: Column, gap: float) -> DataFrame:
-    """Start, end and centre of each group's block of ``n`` places on an axis, with gaps (WIN-06)."""
+    """Each group's block of ``n`` places on an axis, half a place of margin on either side, and a gap to the next (WIN-06)."""
     w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.col("n") + gap).over(w), F.lit(0.0))
-    return df.withColumn("start", start).withColumn("end", start + F.col("n") - 1).withColumn("center", (F.col("start") + F.col("end")) / 2)
+    first = F.coalesce(F.sum(F.col("n") + gap).over(w), F.lit(0.0))
+    return df.withColumn("_f", first).withColumns({"start": F.col("_f") - 0.5, "end": F.col("_f") + F.col("n") - 0.5, "center": F.col("_f") + (F.col("n") - 1) / 2}).drop("_f")
 
 
 def mad_sigma(df: DataFrame, value: str, keys: list[str]) -> DataFrame:

@@ -340,7 +340,7 @@ def adaptive_top_links(spark, d):
     return links.crossJoin(floor).where("q >= c").orderBy(F.col("q").desc(), "cust", "supp").limit(2500).drop("c")
 
 
-@query("axis_positions", """WITH b AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), s AS (SELECT *, coalesce(sum(n + 25) OVER (ORDER BY p_brand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM b) SELECT p_brand, n, CAST(start AS DOUBLE) AS start, CAST(start + n - 1 AS DOUBLE) AS "end", start + (n - 1) / 2.0 AS center FROM s""")
+@query("axis_positions", """WITH b AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), s AS (SELECT *, coalesce(sum(n + 25) OVER (ORDER BY p_brand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM b) SELECT p_brand, n, CAST(start - 0.5 AS DOUBLE) AS start, CAST(start + n - 0.5 AS DOUBLE) AS "end", start + (n - 1) / 2.0 AS center FROM s""")
 def axis_positions(spark, d):
     out = agg.block_positions(table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n")), "p_brand", F.col("p_brand"), 25)
     return out.select("p_brand", "n", *[F.col(c).cast("double").alias(c) for c in ("start", "end", "center")])
