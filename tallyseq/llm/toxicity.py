@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .runtime import buffers, doc_bucket, documents, small_batches, utf8
@@ -194,15 +194,16 @@ def fit(docs: DataFrame, labels: DataFrame, trains, per_class: int = PER_CLASS,
         cut = min(1.0, 3.0 * per_class / n)
         part = marks.where((F.col("toxic") == label) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(cut * (1 << 20))))
         chosen = part if chosen is None else chosen.unionByName(part)
-    joined = docs.select("doc_id", "text").where(F.octet_length("text") <= sample_bytes).join(chosen, "doc_id").withColumn("order", F.xxhash64("doc_id"))
-    rows = []
-    for label in sorted(found):
-        rows += joined.where(F.col("toxic") == label).orderBy("order", "doc_id", F.xxhash64("text")).limit(per_class).select(utf8(F.col("text")).alias("text"), "toxic").collect()
+    # broadcast: the hash leaves some three times ``per_class`` ids of each class, however many there are
+    joined = docs.select("doc_id", "text").where(F.octet_length("text") <= sample_bytes).join(F.broadcast(chosen), "doc_id")
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    rows = joined.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_class).select(utf8(F.col("text")).alias("text"), "toxic", "place").collect()
+    rows.sort(key=lambda r: (r.toxic, r.place))
     return train([bytes(r.text) for r in rows], [r.toxic for r in rows], prior)
 
 
-def score_documents(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` and score."""
+def score_documents(docs: DataFrame, model: Model, keep: list[str], out: str = "score") -> DataFrame:
+    """``keep`` and the score, under the name ``out``."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # four megabytes, whatever the data
@@ -211,11 +212,11 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame
         known: dict[bytes, float] = {}
         for batch in batches:
             got = scores(buffers(batch.column(batch.num_columns - 1)), shared.value, known)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.float64())], [*keep, out])
 
     chosen = docs.select(*keep, utf8(F.col("text")).alias("_bytes"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:-1])
-    return chosen.mapInArrow(run, f"{schema}, score double")
+    return chosen.mapInArrow(run, f"{schema}, `{out}` double")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
