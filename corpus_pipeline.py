@@ -15,8 +15,8 @@ BROADCAST_KEYS = 1_000_000
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. It is fitted on the labelled documents outside fold 2 of 4."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), doc_bucket(F.col("doc_id"), 4) != 2)
-    scored = toxicity.score_documents(docs, model, docs.columns)
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(docs.columns)
+    scored = toxicity.score_documents(docs, model, docs.columns, "_toxicity")
+    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
