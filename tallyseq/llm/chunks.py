@@ -3,8 +3,7 @@
 The pre-tokenisation pattern lets a token start with one space but never run from a non-space into white space.
 A text may therefore be cut before every ASCII space whose left neighbour is not white space; the tokens of the
 pieces, one after another, are the tokens of the text. Where white space stands before a space the run stays
-in one piece. The pattern also cuts between a letter and a mark, and around a single line end between two
-non-spaces; pieces not met before are put together from known ones there.
+in one piece.
 """
 
 from __future__ import annotations
@@ -14,9 +13,6 @@ from collections.abc import Callable
 #: White space by any of the libraries' definitions.
 SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUNS = tuple(c + " " for c in SPACES)
-_MARKS = frozenset(".,;:!?")
-#: Letters up to here are letters by every Unicode version.
-_LATIN_END = "\u024f"
 
 
 def cut(text: str) -> tuple[list[str], list[str]]:
@@ -43,7 +39,6 @@ class PieceCache:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.standing: dict[str, bytes] = {}
-        self.marks = dict(zip(sorted(_MARKS | {"\n"}), encode_all(sorted(_MARKS | {"\n"}))))
 
     def _stand(self, pieces: set[str]) -> None:
         """Learn pieces that have no space before them."""
@@ -52,36 +47,6 @@ class PieceCache:
         new = [p for p in pieces if p not in self.standing]
         self.standing.update(zip(new, self.encode_all(new)))
 
-    def _learn(self, new: set[str]) -> None:
-        """Learn pieces that have one."""
-        known, marks = self.known, self.marks
-        lines, plain, marked = [], set(), []
-        for p in new:
-            left, end, right = p.partition("\n")
-            if end and left and right and not left[-1].isspace() and not right[0].isspace():
-                lines.append((p, left, right))
-                if left not in known:
-                    plain.add(left)
-            else:
-                plain.add(p)
-        self._stand({x[2] for x in lines})
-        whole = []
-        for p in plain:
-            if p and p[-1] in _MARKS and p[-2:-1].isalpha() and p[-2] <= _LATIN_END and (stem := p[:-1]) not in known:
-                marked.append(p)
-                if stem not in plain:
-                    whole.append(stem)
-            elif p and p[-1] in _MARKS and p[-2:-1].isalpha() and p[-2] <= _LATIN_END:
-                known[p] = known[p[:-1]] + marks[p[-1]]
-            else:
-                whole.append(p)
-        whole = list(dict.fromkeys(whole))
-        known.update(zip(whole, self.encode_all([" " + p for p in whole])))
-        for p in sorted(marked, key=len):
-            known[p] = known[p[:-1]] + marks[p[-1]]
-        for p, left, right in lines:
-            known[p] = known[left] + marks["\n"] + self.standing[right]
-
     def of(self, texts: list[str]) -> list[bytes]:
         """Each text's encoding."""
         cuts = [cut(t) for t in texts]
@@ -93,9 +58,10 @@ class PieceCache:
         if older:
             known.update([(p, older[p]) for p in new if p in older])
             new = new.difference(known)
-        first = dict(zip(map(id, cuts), [list(map(self.standing.__getitem__, a)) for a, _ in cuts]))
-        self._learn(new)
-        out = [b"".join([*first[id(c)], *map(known.__getitem__, c[1])]) for c in cuts]
+        order = list(new)
+        known.update(zip(order, self.encode_all([" " + p for p in order])))
+        standing = self.standing
+        out = [b"".join([*map(standing.__getitem__, a), *map(known.__getitem__, b)]) for a, b in cuts]
         for p in new:  # long pieces are rarely met again
             if len(p) > self.longest:
                 del known[p]
