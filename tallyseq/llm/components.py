@@ -1,4 +1,4 @@
-"""Connected components of a link table, by least labels and pointer jumping on reliable checkpoints."""
+"""Connected components of a link table, by contraction on reliable checkpoints."""
 
 from __future__ import annotations
 
@@ -11,21 +11,31 @@ from .runtime import cut
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b: long): root is the least node reachable.
 
-    Each round takes the least label among the neighbours (aggregated before it is shuffled, so a node with very many
-    links costs a row a partition) and then jumps to the label's own label; rounds are logarithmic in the length
-    of chains. Only a count of changed labels reaches the driver. No links give no rows.
+    Each round every node points to its least neighbour (found by an aggregate, so a node with very many links costs a
+    row a partition), pointers are followed to their ends by jumping, and the links are drawn between the ends
+    alone. What is left of them shrinks by half at least, and dense groups vanish in the first round. Only whether
+    anything is left reaches the driver. No links give no rows.
     """
-    both = cut(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        hooked = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("least"))
-        # the old root learns the new one too, so whole trees are hooked at once
-        told = hooked.where("least < root").groupBy(F.col("root").alias("node")).agg(F.min("least").alias("told"))
-        joined = hooked.join(told, "node", "left").select("node", F.col("root").alias("was"), F.least("least", F.coalesce("told", "least")).alias("root"))
-        jump = joined.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = cut(joined.join(jump, "root", "left").select("node", "was", F.least(F.col("root"), F.coalesce("next", F.col("root"))).alias("root")))
-        changed = new.where("was != root").limit(1).count()
-        labels = new.select("node", "root")
-        if not changed:
-            return labels
+    a, b = F.least("a", "b"), F.greatest("a", "b")
+    edges = cut(links.where("a != b").select(a.alias("a"), b.alias("b")).distinct())
+    labels = None
+    while edges.limit(1).count():
+        ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
+        roots = cut(ends.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")))
+        while True:
+            up = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            roots = cut(roots.join(up, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+            if not roots.where("moved").limit(1).count():
+                break
+            roots = roots.select("node", "root")
+        roots = roots.select("node", "root")
+        if labels is None:
+            labels = roots
+        else:
+            above = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            labels = cut(labels.join(above, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+        low = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        high = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        left = edges.join(low, "a").join(high, "b").where("ra != rb")
+        edges = cut(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if labels is None else labels

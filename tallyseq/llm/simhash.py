@@ -36,7 +36,8 @@ SEED = 42
 RADIUS = 3
 #: A group of a key above this size is compared in pairs of blocks.
 BLOCK = 8192
-SMALL = 48
+#: Groups up to this size compare all their pairs at once.
+SMALL = 8
 #: Generator polynomial of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY = 0b101011100011
 
