@@ -1,10 +1,11 @@
 """Removing near-duplicates: one document of each group of texts alike stays.
 
-Two texts are alike if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. SimHash over
-whole shingles would put such pairs some ten bits apart, beyond any exact search, so candidates are found by
-fingerprints of the texts' words, each weighted by the root of its count: three of 64 bits, searched by the
-Golay-code operator within its radius of three bits. On the synthetic documents that finds about 98.6 % of
-the pairs at 0.8 or more. Groups of candidates are then compared by their shingle sets, exactly.
+Two texts are alike if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates are
+found by MinHash of the same shingles, so that only the similarity counts and not where or how a text was edited:
+``BANDS`` bands of ``ROWS`` values each are keys, and two texts that share one are linked if ``MATCHES`` of
+the four-bit ends of ``SKETCH`` values agree. A pair at 0.8 shares no band with probability 8e-11 and fails the
+second test with less than 1e-10 (Chernoff), a closer pair more rarely. Groups of candidates are then compared by
+their shingle sets, exactly.
 
 Equal texts (by their words) are one node from the start. A group's sets are read together; from a group of m
 fewer than m links are kept, found by searching from each text among those not reached. Groups above ``GROUP``
@@ -16,8 +17,8 @@ a null id sorts first; of repeated rows one stays; an empty table stays empty; a
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,30 +26,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import buffers, cut, small_batches, utf8
-from .simhash import golay_links, in_runs, joining_links
+from .runtime import cut, small_batches, utf8
+from .simhash import in_runs, joining_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
-FINGERPRINTS = ["f0", "f1", "f2"]
-#: Bits that two of a pair's fingerprints may differ in together.
-BOTH = 16
+BANDS, ROWS = 44, 4
+#: Of so many MinHash values four bits each are kept; candidates agree in MATCHES of them or more.
+SKETCH, MATCHES = 128, 70
+#: A band's key that more texts share is dealt in pairs of blocks.
+BLOCK = 8192
 GROUP = 2000
 #: Up to this many keys (some 16 bytes each) are broadcast; beyond it joins are shuffled.
 BROADCAST_KEYS = 1_000_000
 
 
-def word_fingerprints(words: list[bytes]) -> list[int]:
-    """Three signed 64-bit fingerprints of a text's words."""
-    import xxhash
+@cache
+def draws() -> list[np.ndarray]:
+    """What the hash functions (x ^ a) * b and the bands' keys are made of: fixed random 64-bit numbers, factors odd."""
+    rng = np.random.default_rng(5)
+    a, b, c, e = (rng.integers(0, 1 << 64, n, np.uint64) for n in (BANDS * ROWS, BANDS * ROWS, ROWS, BANDS))
+    return [a, b | np.uint64(1), c | np.uint64(1), e]
 
-    if not words:
-        return [0, 0, 0]
-    counts = Counter(words)
-    digests = b"".join([xxhash.xxh3_128_digest(w, 1) + xxhash.xxh64_digest(w, 2) for w in counts])
-    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 24), axis=1)
-    weights = np.sqrt(np.fromiter(counts.values(), np.float64, len(counts)))
-    return np.packbits(2 * (weights @ bits) > weights.sum()).view(">i8").tolist()
+
+def min_hashes(shingles: np.ndarray) -> np.ndarray:
+    """The least value of each hash function over a set of shingles."""
+    a, b, *_ = draws()
+    out = np.full(len(a), np.iinfo(np.uint64).max)
+    for low in range(0, len(shingles), 64):
+        part = shingles[low : low + 64].view(np.uint64)[:, None] ^ a
+        part *= b
+        np.minimum(out, part.min(axis=0), out=out)
+    return out
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """The keys of all bands, then the four-bit ends; nothing for a text without words."""
+    if not len(shingles):
+        return b""
+    *_, c, e = draws()
+    least = min_hashes(shingles)
+    keys = (least.reshape(BANDS, ROWS) * c).sum(axis=1, dtype=np.uint64) + e
+    ends = (least[:SKETCH] >> np.uint64(24) & np.uint64(15)).reshape(-1, 16) << np.arange(0, 64, 4, dtype=np.uint64)
+    return np.concatenate([keys, ends.sum(axis=1, dtype=np.uint64)]).astype("<u8").tobytes()
+
+
+def matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many of the four-bit ends the rows of two arrays agree."""
+    apart = a ^ b
+    apart |= apart >> np.uint64(2)
+    apart |= apart >> np.uint64(1)
+    return SKETCH - np.bitwise_count(apart & np.uint64(0x1111111111111111)).sum(axis=-1, dtype=np.int64)
 
 
 def words_hash(words: list[bytes]) -> int:
@@ -68,18 +96,64 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, node, f0, f1, f2) of every document; th is the text's own hash."""
+    """(doc_id, th, node, sketch) of every document; th is the text's own hash."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [t.lower().split() for t in buffers(batch.column(2))]
-            fps = np.array([word_fingerprints(w) for w in words], np.int64).reshape(-1, 3)
-            nodes = pa.array([words_hash(w) for w in words], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, *[pa.array(fps[:, i].copy()) for i in range(3)]], ["doc_id", "th", "node", *FINGERPRINTS])
+            nodes, made = [], []
+            for text in batch.column(2):  # one at a time: a batch's words take many times its bytes
+                words = (text.as_py() or b"").lower().split()
+                nodes.append(words_hash(words))
+                made.append(sketch(shingle_set(words)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(made, pa.binary())], ["doc_id", "th", "node", "sketch"])
 
     chosen = docs.select(F.col("doc_id").cast("long"), text_hash().alias("th"), utf8(F.col("text")).alias("_bytes"))
-    return chosen.mapInArrow(run, "doc_id long, th long, node long, f0 long, f1 long, f2 long")
+    return chosen.mapInArrow(run, "doc_id long, th long, node long, sketch binary")
+
+
+def band_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): links that join all nodes (node, sketch) that share a band's key and agree in MATCHES ends or more.
+
+    Only keys that two nodes or more share are met, and only then are the ends fetched.
+    """
+
+    def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, made = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            good = np.array([bool(x) for x in made], bool)
+            keys = np.frombuffer(b"".join(x[: 8 * BANDS] for x in made), "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(node[good], BANDS))], ["key", "node"])
+
+    keyed = nodes.select("node", "sketch").mapInArrow(key_rows, "key long, node long")
+    shared = cut(keyed.groupBy("key").count().where("count > 1"))
+    blocks = F.when(F.col("count") > BLOCK, F.ceil(F.col("count") / (BLOCK // 2))).otherwise(1)
+    dealt = _dealt(keyed.join(shared.select("key", blocks.alias("blocks")), "key")).select("key", "part", "node")
+    ends = nodes.select("node", F.substring("sketch", 8 * BANDS + 1, SKETCH // 2).alias("ends"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, parts, node, made in in_runs(batches, 2, 50_000):
+            ends = np.frombuffer(b"".join(made), "<u8").reshape(len(node), -1)
+            edge = np.flatnonzero((keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1])) + 1
+            low, high = np.concatenate([[0], edge]), np.concatenate([edge, [len(node)]])
+            two = low[high - low == 2]
+            two = two[matches(ends[two], ends[two + 1]) >= MATCHES]
+            links = [np.stack([two, two + 1], axis=1)]
+            for x, y in zip(low[high - low > 2], high[high - low > 2]):
+                own = ends[x:y]
+                links.append(x + np.array(joining_links(own, lambda i, rest: matches(own[i], own[rest]) >= MATCHES), np.int64).reshape(-1, 2))
+            at = np.concatenate(links)
+            yield pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(node[at[:, 1]])], ["a", "b"])
+
+    met = dealt.join(ends, "node").select("key", "part", "node", "ends").repartition("key", "part").sortWithinPartitions("key", "part")
+    return met.mapInArrow(meet, "a long, b long")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` (node, blocks) once for every pair of blocks that a row's own block is in, named by ``part``."""
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    return dealt.withColumn("part", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
 
 
 def text_hash() -> Column:
@@ -92,23 +166,24 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def alike(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): links that join all nodes whose texts are alike. nodes: node, doc_id, th (a row it stands for), f0 to f2."""
-    grouped = cut(components(golay_links(nodes, FINGERPRINTS, both=BOTH)))
+    """(a, b): links that join all nodes whose texts are alike. nodes: node, doc_id, th (a row it stands for), sketch."""
+    grouped = cut(components(band_links(nodes)))
     wanted = cut(nodes.join(grouped, "node").select("node", "root", "doc_id", "th"))
     sizes = wanted.groupBy("root").count()
     crowd = sizes.where(F.col("count") > GROUP).select("root", F.ceil(F.col("count") / (GROUP // 2)).alias("blocks"))
     # a root's members are dealt to every pair of its blocks
-    dealt = wanted.join(crowd, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("part", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
+    dealt = _dealt(wanted.join(crowd, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))))
     keys = _small(wanted.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
     texts = docs.select(F.col("doc_id").cast("long"), text_hash().alias("th"), "text").join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [t.lower().split() for t in buffers(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([words_hash(w) for w in words], pa.int64()), pa.array([shingle_set(w).astype("<i8").tobytes() for w in words], pa.binary())], ["node", "shingles"])
+            nodes, made = [], []
+            for text in batch.column(0):
+                words = (text.as_py() or b"").lower().split()
+                nodes.append(words_hash(words))
+                made.append(shingle_set(words).astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(made, pa.binary())], ["node", "shingles"])
 
     found = texts.select(utf8(F.col("text"))).mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles"))
 
@@ -156,7 +231,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class of texts alike."""
     sketched = cut(sketches(docs))
     first = F.min(F.struct("doc_id", "th"))
-    nodes = cut(sketched.groupBy("node").agg(first.alias("_m"), *[F.min(f).alias(f) for f in FINGERPRINTS]).select("node", "_m.doc_id", "_m.th", *FINGERPRINTS))
+    nodes = cut(sketched.groupBy("node").agg(first.alias("_m"), F.min("sketch").alias("sketch")).select("node", "_m.doc_id", "_m.th", "sketch"))
     linked = components(alike(docs, nodes))
     classed = nodes.select("node", "doc_id", "th").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stays = classed.groupBy("root").agg(first.alias("_m")).select("_m.doc_id", "_m.th")

@@ -122,6 +122,25 @@ def test_near_dedup_keeps_one_of_each_class(spark):
     assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 3, 5]
 
 
+def test_near_dedup_finds_block_edits(spark):
+    """Copies cut short, lengthened or with a passage replaced, all at 0.8 or more, against brute force."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(60):
+        n = int(rng.integers(200, 1000))
+        base = [f"v{x}" for x in rng.zipf(1.3, n) % 5000]
+        new = [f"n{x}" for x in rng.integers(0, 1 << 40, n)]
+        k, c, m = n * 19 // 100, n * 10 // 100, n // 3
+        texts += [base, base[: n - k], base + new[: n * 24 // 100], base[:m] + new[:c] + base[m + c :], base[k:]]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    links = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    label = _classes(len(sets), links)
+    want = sorted({min(i for i, x in enumerate(label) if x == k) for k in label})
+    assert len(links) > 200
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dedup.near_dedup(docs).collect()) == want
+
+
 def test_similar_sets_are_joined_exactly():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, 40)) for _ in range(40)]
