@@ -7,7 +7,8 @@ appears whole under its final name, so a task that is run again replaces it with
 each file in the whole sequence is the prefix sum over the files' token counts. Readers map the files into
 memory and touch only what they return.
 
-Defined results: a null text is empty and gives the end id alone; rows with a null doc_id come first; repeated
+Defined results: a null text is empty and gives the end id alone; strings of the vocabulary's added tokens get the ids
+that the library's own call gives them; rows with a null doc_id come first; repeated
 rows are kept, ordered by a hash of the text; an empty table gives no files and no rows; extra columns are not
 read. A doc_id that a third of all rows share is dealt over partitions by the hash.
 """
@@ -49,9 +50,11 @@ def encoder(vocabulary: str, dtype: str) -> chunks.PieceCache:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         tokenizer.no_truncation()
-
+        added = list(tokenizer.get_added_tokens_decoder().values())
+        if any(t.lstrip or t.rstrip or t.normalized or any(c.isspace() for c in t.content) for t in added):
+            raise ValueError("added tokens that take in white space: texts can't be cut at spaces")
+        special = [t.content for t in added]  # the library's call gives their strings in a text their own ids
         opens = np.zeros(tokenizer.get_vocab_size(), bool)  # tokens that start with the mapped space
         opens[[i for t, i in tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
         width = np.dtype(dtype).itemsize
@@ -69,7 +72,7 @@ def encoder(vocabulary: str, dtype: str) -> chunks.PieceCache:
             return [data[i:j] for i, j in zip(at, [*at[1:], len(data)])]
 
         def encode_all(pieces: list[str]) -> list[bytes]:
-            plain = [p for p in pieces if p[:1] == " " and p.count(" ") == 1 and not p[-1].isspace()]
+            plain = [p for p in pieces if p[:1] == " " and p.count(" ") == 1 and not p[-1].isspace() and not any(x in p for x in special)]
             out: dict[str, bytes] = {}
             for low in range(0, len(plain), 20_000):
                 part = plain[low : low + 20_000]

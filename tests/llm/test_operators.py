@@ -151,6 +151,9 @@ def test_similar_sets_are_joined_exactly():
 TEXTS = ["", " ", "a  b \n c", "it's we'll 'd  x", "\n\n a\n", " \x1c b", "a\x1c \x85 b　 c", "é. É\nb, 12 3.4\t x", "<|endoftext|> a", "a.\nb.", "漢字 ab́ c", "don't.\nWe're", " " * 50 + "x" + " " * 3, "ab" * 3000, "▁▁ ▁a<s>", LONG[:5000]]
 
 
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y  <|endoftext|>  z", " <|endoftext|>'s it's", "<|endoftext|><|endoftext|>\n <|endof text|>", "many words stand here <|endoftext|>, and <|endoftext|>. more"]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"])
 def test_bpe_equals_the_library_and_round_trips(name):
     import tiktoken
@@ -171,13 +174,14 @@ def test_pieces_join_to_the_text():
         assert "".join(first) + "".join(" " + x for x in rest) == t
 
 
-def test_token_files_equal_the_library(spark, sf):
+def test_token_files_equal_the_library(spark, sf, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(p.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    docs = sorted(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
-    got = {r.doc_id: r for r in binary_tokens.op7_binary_tokens(spark, sf).collect()}
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + TEXTS + SPECIAL
+    docs = list(enumerate(texts))
+    folder = save(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), tmp_path)
+    got = {r.doc_id: r for r in binary_tokens.op7_binary_tokens(spark, folder).collect()}
     start = 0
     for doc_id, text in docs:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
