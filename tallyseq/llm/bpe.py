@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chunks
-from .runtime import documents, small_batches
+from .runtime import documents, fresh, small_batches, tidy
 
 UNKNOWN, NORMAL = 2, 1
 BPE = 2
@@ -128,11 +128,11 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "t
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     types = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep] + [f"{n} {types[n]}" for n in made])
-    chosen = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    chosen = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(*fresh([*docs.columns, *made], "whole_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(vocabulary, pattern)
-        for batch in batches:
+        for batch in tidy(batches):
             rows = code.encode(batch.column(batch.num_columns - 1).to_pylist())
             names = code.names
             got = {

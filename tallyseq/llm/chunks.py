@@ -33,7 +33,7 @@ def cut(text: str) -> tuple[list[str], list[str]]:
 class PieceCache:
     """Piece -> its encoding (bytes), for one worker. Two generations of ``limit`` pieces bound its memory."""
 
-    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], limit: int = 300_000, longest: int = 48):
+    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], limit: int = 150_000, longest: int = 48):
         self.encode_all, self.limit, self.longest = encode_all, limit, longest
         #: By the piece without the space before it; pieces as they stand.
         self.known: dict[str, bytes] = {}

@@ -1,22 +1,28 @@
 """Removing near-duplicates: one document of each group of texts alike stays.
 
-Two texts are alike if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates are
-found by MinHash of the same shingles, so that only the similarity counts and not where or how a text was edited:
-``BANDS`` bands of ``ROWS`` values each are keys, and two texts that share one are linked if ``MATCHES`` of
-the four-bit ends of ``SKETCH`` values agree. A pair at 0.8 shares no band with probability 8e-11 and fails the
-second test with less than 1e-10 (Chernoff), a closer pair more rarely. Groups of candidates are then compared by
-their shingle sets, exactly.
-
-Equal texts (by their words) are one node from the start. A group's sets are read together; from a group of m
-fewer than m links are kept, found by searching from each text among those not reached. Groups above ``GROUP``
-are dealt in pairs of blocks. The document with the least id of each class stays.
+Two texts are alike if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates come
+from two sources. The SimHash of the shingle set is met by its Golay-code keys (``simhash.golay_links``): texts whose
+fingerprints differ in three bits or fewer. At 0.8 some ten of 64 bits differ, so those keys alone would lose
+most pairs near the bound; MinHash of the same shingles finds them, and as only the similarity counts there, it does
+not matter where or how a text was edited: ``BANDS`` bands of ``ROWS`` values each are keys, and two texts that share
+one are linked if ``MATCHES`` of the four-bit ends of ``SKETCH`` values agree. A pair at 0.8 shares no band with
+probability 8e-11 and fails the second test with less than 1e-10 (Chernoff), a closer pair more rarely. With
+``exact`` no pair is left to chance: texts alike share one of the first fifth of their shingles in order of the hash
+(prefix filter), and those are keys as well. Groups of candidates are then compared by their shingle sets, exactly.
+
+Equal texts (by 128 bits of their words' hash) are one node from the start. A group's sets are read together; from a
+group of m fewer than m links are kept, found by searching from each text among those not reached. Groups above
+``GROUP`` texts or ``GROUP_BYTES`` of sets are dealt in pairs of blocks. The document with the least id of each
+class stays.
 
 Defined results: null and empty texts have no words and are equal; a text of fewer than five words is one shingle;
-a null id sorts first; of repeated rows one stays; an empty table stays empty; all columns are kept.
+a null id sorts first; of repeated rows one stays; an empty table stays empty; all columns are kept, whatever they
+are called; ids may be of any type that can be compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -26,8 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import cut, small_batches, utf8
-from .simhash import in_runs, joining_links
+from .runtime import cut, fresh, small_batches, tidy, utf8
+from .simhash import golay_links, in_runs, joining_links, majority, of_counts
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -37,6 +43,7 @@ SKETCH, MATCHES = 128, 70
 #: A band's key that more texts share is dealt in pairs of blocks.
 BLOCK = 8192
 GROUP = 2000
+GROUP_BYTES = 16 << 20
 #: Up to this many keys (some 16 bytes each) are broadcast; beyond it joins are shuffled.
 BROADCAST_KEYS = 1_000_000
 
@@ -79,10 +86,11 @@ def matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return SKETCH - np.bitwise_count(apart & np.uint64(0x1111111111111111)).sum(axis=-1, dtype=np.int64)
 
 
-def words_hash(words: list[bytes]) -> int:
+def words_hash(words: list[bytes]) -> bytes:
+    """128 bits that stand for a text."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(b" ".join(words), 3) - (1 << 63)
+    return xxhash.xxh3_128_digest(b" ".join(words), 3)
 
 
 def shingle_set(words: list[bytes]) -> np.ndarray:
@@ -95,21 +103,45 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), np.uint64).view(np.int64))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, node, sketch) of every document; th is the text's own hash."""
+def prefix(shingles: np.ndarray) -> np.ndarray:
+    """Shingles of which texts alike share one: the first of each set in one order, some fifth of it."""
+    return shingles[: len(shingles) - math.ceil(SIMILARITY * len(shingles) - 1e-9) + 1]
+
+
+def sketches(docs: DataFrame, exact: bool = False) -> DataFrame:
+    """(doc_id, th, word_hash, sketch, n, f0, heads) of every document; th is the text's own hash, n counts shingles, f0 is their SimHash."""
     small_batches(docs.sparkSession)
+    names = ["doc_id", "th", "word_hash", "sketch", "n", "f0", "heads"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, made = [], []
+        for batch in tidy(batches):
+            rows = []
             for text in batch.column(2):  # one at a time: a batch's words take many times its bytes
                 words = (text.as_py() or b"").lower().split()
-                nodes.append(words_hash(words))
-                made.append(sketch(shingle_set(words)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(made, pa.binary())], ["doc_id", "th", "node", "sketch"])
+                own = shingle_set(words)
+                counts = sum((majority(own[i : i + 65536].view(np.uint64)) for i in range(0, len(own), 65536)), np.zeros(64, np.int64))
+                fp = int(np.array(of_counts(counts, len(own)), np.uint64).view(np.int64))
+                rows.append((words_hash(words), sketch(own), len(own), fp, prefix(own).astype("<i8").tobytes() if exact and len(own) else b""))
+            made = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names)
+
+    chosen = docs.select("doc_id", text_hash().alias("th"), utf8(F.col("text")).alias("whole_bytes"))
+    return chosen.mapInArrow(run, f"doc_id {chosen.schema[0].dataType.simpleString()}, th long, word_hash binary, sketch binary, n long, f0 long, heads binary")
+
+
+def prefix_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): links that join all nodes that share a prefix shingle."""
+
+    def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tidy(batches):
+            for node, heads in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keys = np.frombuffer(heads, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), node))], ["key", "node"])
 
-    chosen = docs.select(F.col("doc_id").cast("long"), text_hash().alias("th"), utf8(F.col("text")).alias("_bytes"))
-    return chosen.mapInArrow(run, "doc_id long, th long, node long, sketch binary")
+    keyed = nodes.select("node", "heads").mapInArrow(key_rows, "key long, node long")
+    # every node is linked to the least that shares its key: sums a key at a time, no list of a group
+    least = keyed.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
+    return keyed.join(least, "key").select(F.col("node").alias("a"), "b").where("a != b")
 
 
 def band_links(nodes: DataFrame) -> DataFrame:
@@ -119,7 +151,7 @@ def band_links(nodes: DataFrame) -> DataFrame:
     """
 
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             node, made = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             good = np.array([bool(x) for x in made], bool)
             keys = np.frombuffer(b"".join(x[: 8 * BANDS] for x in made), "<i8")
@@ -132,7 +164,7 @@ def band_links(nodes: DataFrame) -> DataFrame:
     ends = nodes.select("node", F.substring("sketch", 8 * BANDS + 1, SKETCH // 2).alias("ends"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, parts, node, made in in_runs(batches, 2, 50_000):
+        for keys, parts, node, made in in_runs(tidy(batches), 2, 50_000):
             ends = np.frombuffer(b"".join(made), "<u8").reshape(len(node), -1)
             edge = np.flatnonzero((keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1])) + 1
             low, high = np.concatenate([[0], edge]), np.concatenate([edge, [len(node)]])
@@ -165,30 +197,35 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
 
 
-def alike(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): links that join all nodes whose texts are alike. nodes: node, doc_id, th (a row it stands for), sketch."""
-    grouped = cut(components(band_links(nodes)))
-    wanted = cut(nodes.join(grouped, "node").select("node", "root", "doc_id", "th"))
-    sizes = wanted.groupBy("root").count()
-    crowd = sizes.where(F.col("count") > GROUP).select("root", F.ceil(F.col("count") / (GROUP // 2)).alias("blocks"))
+def alike(docs: DataFrame, nodes: DataFrame, exact: bool = False) -> DataFrame:
+    """(a, b): links that join all nodes whose texts are alike. nodes: node, word_hash, doc_id, th (a row it stands for), sketch, n, f0, heads."""
+    candidates = golay_links(nodes, ["f0"]).unionByName(band_links(nodes))
+    if exact:
+        candidates = candidates.unionByName(prefix_links(nodes))
+    grouped = cut(components(candidates))
+    wanted = cut(nodes.join(grouped, "node").select("node", "word_hash", "root", "doc_id", "th", "n"))
+    sizes = wanted.groupBy("root").agg(F.count("*").alias("rows"), (8 * F.sum("n")).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("rows") / (GROUP / 2), F.col("bytes") / (GROUP_BYTES / 2)))
+    crowd = sizes.where((F.col("rows") > GROUP) | ((F.col("bytes") > GROUP_BYTES) & (F.col("rows") > 2))).select("root", F.least(blocks, "rows").alias("blocks"))
     # a root's members are dealt to every pair of its blocks
     dealt = _dealt(wanted.join(crowd, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))))
-    keys = _small(wanted.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long"), text_hash().alias("th"), "text").join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left_semi")
+    id_, hash_ = fresh(docs.columns, "wanted_id", "wanted_hash")
+    keys = _small(wanted.select(F.col("doc_id").alias(id_), F.col("th").alias(hash_)).distinct())
+    texts = docs.select("doc_id", text_hash().alias("th"), "text").join(keys, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col("th") == F.col(hash_)), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, made = [], []
+        for batch in tidy(batches):
+            hashes, made = [], []
             for text in batch.column(0):
                 words = (text.as_py() or b"").lower().split()
-                nodes.append(words_hash(words))
+                hashes.append(words_hash(words))
                 made.append(shingle_set(words).astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(made, pa.binary())], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(made, pa.binary())], ["word_hash", "shingles"])
 
-    found = texts.select(utf8(F.col("text"))).mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles"))
+    found = texts.select(utf8(F.col("text"))).mapInArrow(sets, "word_hash binary, shingles binary").dropDuplicates(["word_hash"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in in_runs(batches, 2, 256):
+        for rows in in_runs(tidy(batches), 2, 1):
             edge = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
             links = []
             for low, high in zip([0, *edge], [*edge, len(rows[0])]):
@@ -198,7 +235,7 @@ def alike(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 at = np.array(links)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[2][at[:, 0]]), pa.array(rows[2][at[:, 1]])], ["a", "b"])
 
-    met = dealt.select("root", "part", "node").join(found, "node").select("root", "part", "node", "shingles").repartition("root", "part").sortWithinPartitions("root", "part", "node")
+    met = dealt.select("root", "part", "node", "word_hash").join(found, "word_hash").select("root", "part", "node", "shingles").repartition("root", "part").sortWithinPartitions("root", "part", "node")
     return met.mapInArrow(verify, "a long, b long")
 
 
@@ -217,34 +254,37 @@ def similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         marks[own] = True
         for k, y in enumerate(rest):
             small, large = sorted((sizes[x], sizes[y]))
-            if small < SIMILARITY * large:
+            if small + 1e-9 < SIMILARITY * large:
                 continue
             both = int(marks[flat[ends[y] - sizes[y] : ends[y]]].sum())
-            near[k] = both >= SIMILARITY * (sizes[x] + sizes[y] - both)
+            near[k] = both + 1e-9 >= SIMILARITY * (sizes[x] + sizes[y] - both)
         marks[own] = False
         return near
 
     return joining_links(np.zeros(len(sets)), close)
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class of texts alike."""
-    sketched = cut(sketches(docs))
+def near_dedup(docs: DataFrame, exact: bool = False) -> DataFrame:
+    """``docs`` with one row of each class of texts alike; with ``exact`` candidates are not left to any chance."""
+    sketched = cut(sketches(docs, exact))
     first = F.min(F.struct("doc_id", "th"))
-    nodes = cut(sketched.groupBy("node").agg(first.alias("_m"), F.min("sketch").alias("sketch")).select("node", "_m.doc_id", "_m.th", "sketch"))
-    linked = components(alike(docs, nodes))
+    # numbered once and kept, so that a node's number never changes
+    nodes = sketched.groupBy("word_hash").agg(first.alias("m"), *[F.min(c).alias(c) for c in ("sketch", "n", "f0", "heads")])
+    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "word_hash", "m.doc_id", "m.th", "sketch", "n", "f0", "heads"))
+    linked = components(alike(docs, nodes, exact))
     classed = nodes.select("node", "doc_id", "th").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    stays = classed.groupBy("root").agg(first.alias("_m")).select("_m.doc_id", "_m.th")
+    stays = classed.groupBy("root").agg(first.alias("m")).select(F.col("m.doc_id").alias("stay_id"), F.col("m.th").alias("stay_hash"))
     rows = sketched.groupBy("doc_id", "th").count()
-    same = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("th") == F.col("_th"))
-    marked = cut(rows.join(stays.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")), same, "left").select("doc_id", "th", "count", F.col("_th").isNotNull().alias("stay")))
-    named = [F.col("doc_id").alias("_id"), F.col("th").alias("_th")]
-    out = docs.withColumn("_h", text_hash())
-    here = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_h") == F.col("_th"))
+    same = F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("th") == F.col("stay_hash"))
+    marked = cut(rows.join(stays, same, "left").select("doc_id", "th", "count", F.col("stay_hash").isNotNull().alias("stay")))
+    own, id_, hash_ = fresh(docs.columns, "own_hash", "other_id", "other_hash")
+    named = [F.col("doc_id").alias(id_), F.col("th").alias(hash_)]
+    out = docs.withColumn(own, text_hash())
+    here = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(hash_))
     out = out.join(_small(marked.where("not stay").select(*named)), here, "left_anti")
     repeated = marked.where("stay and count > 1").select(*named)
     if repeated.limit(1).count():
         repeated = _small(repeated)
-        once = out.join(repeated, here, "left_semi").dropDuplicates(["doc_id", "_h"])
+        once = out.join(repeated, here, "left_semi").dropDuplicates(["doc_id", own])
         out = out.join(repeated, here, "left_anti").unionByName(once)
-    return out.drop("_h")
+    return out.drop(own)

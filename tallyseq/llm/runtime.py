@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -25,8 +26,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
+    if not where and current.isDefined():
+        where = current.get()
     if not where:
-        where = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="tallyseq-checkpoints-")
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="tallyseq-checkpoints-")
     if current.isEmpty():
         sc.setCheckpointDir(where)
     return where
@@ -66,6 +71,34 @@ def write_file(uri: str, chunks: Iterator[bytes]) -> int:
     return n
 
 
+def remove_folder(uri: str) -> None:
+    """Delete a folder of intermediate files that no result reads any more."""
+    fs, path = filesystem(uri)
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:
+        fs.delete_dir(path)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, with underscores before those that a table has already (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``; at their end the worker gives freed memory back, as it goes on to serve other stages."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

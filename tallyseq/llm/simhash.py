@@ -30,12 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import buffers, cut, documents, small_batches, utf8
+from .runtime import buffers, cut, documents, fresh, small_batches, tidy, utf8
 
 SEED = 42
 RADIUS = 3
 #: A group of a key above this size is compared in pairs of blocks.
 BLOCK = 8192
+NODES_A_TASK = 8192
 #: Groups up to this size compare all their pairs at once.
 SMALL = 8
 #: Generator polynomial of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -104,6 +105,16 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(places)
 
 
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """How many of the unsigned 64-bit hashes have each bit set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def of_counts(counts: np.ndarray, n: int) -> int:
+    """The fingerprint whose bits are set in over half of ``n`` hashes."""
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     """The unsigned 64-bit SimHash of a text's word shingles, repeats included; zero without words."""
     import xxhash
@@ -115,9 +126,8 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     for low in range(0, n, 1 << 16):
         part = words[low : low + (1 << 16) + shingle - 1]
         grams = map(b" ".join, zip(*[part[i:] for i in range(min(shingle, len(words)))]))
-        hashes = np.fromiter((digest(g, SEED) for g in grams), np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+        counts += majority(np.fromiter((digest(g, SEED) for g in grams), np.uint64))
+    return of_counts(counts, n)
 
 
 def fingerprints(docs: DataFrame, keep: list[str], shingle: int = 3) -> DataFrame:
@@ -125,11 +135,11 @@ def fingerprints(docs: DataFrame, keep: list[str], shingle: int = 3) -> DataFram
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             fps = np.array([fingerprint(t, shingle) for t in buffers(batch.column(batch.num_columns - 1))], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], [*keep, "fp"])
 
-    chosen = docs.select(*keep, utf8(F.col("text")).alias("_bytes"))
+    chosen = docs.select(*keep, utf8(F.col("text")).alias(*fresh(keep, "bytes")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:-1])
     return chosen.mapInArrow(run, f"{schema}, fp long")
 
@@ -193,7 +203,7 @@ def golay_links(nodes: DataFrame, columns: list[str], both: int | None = None) -
     held = ["f"] if both is None else ["f", "g"]
 
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             node, fps = batch.column(0).to_numpy(), [batch.column(1 + i).to_numpy() for i in range(width)]
             for low in range(0, len(node), 4096):
                 part = slice(low, low + 4096)
@@ -203,11 +213,14 @@ def golay_links(nodes: DataFrame, columns: list[str], both: int | None = None) -
                     yield pa.RecordBatch.from_arrays([pa.array(keys | c << 44), pa.array(node[part][at]), *map(pa.array, carried)], ["key", "node", *held])
 
     fields = ", ".join(f"{c} long" for c in held)
-    keyed = nodes.select("node", *columns).mapInArrow(key_rows, f"key long, node long, {fields}").withColumn("part", F.lit(0))
-    crowd = keyed.groupBy("key").count().where(F.col("count") > BLOCK)
-    if nodes.count() > BLOCK and crowd.limit(1).count():
+    n = nodes.count()
+    # a node gives some 40 rows a column: tasks are cut by what they make, not by what they read
+    tasks = max(1, -(-n * width // NODES_A_TASK))
+    keyed = nodes.select("node", *columns).repartition(tasks, "node").mapInArrow(key_rows, f"key long, node long, {fields}").withColumn("part", F.lit(0))
+    crowd = cut(keyed.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / (BLOCK // 2)).alias("blocks"))) if n > BLOCK else None
+    if crowd is not None and crowd.limit(1).count():
         # crowded keys are few by their size: at most the rows divided by BLOCK
-        listed = F.broadcast(cut(crowd.select("key", F.ceil(F.col("count") / (BLOCK // 2)).alias("blocks"))))
+        listed = F.broadcast(crowd)
         own = F.pmod(F.xxhash64("node"), F.col("blocks"))
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
         dealt = keyed.join(listed, "key").withColumn("own", own).withColumn("other", other)
@@ -215,7 +228,7 @@ def golay_links(nodes: DataFrame, columns: list[str], both: int | None = None) -
         keyed = keyed.join(listed, "key", "left_anti").unionByName(dealt.select("key", "node", *held, "part"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in in_runs(batches, 2, 200_000):
+        for group in in_runs(tidy(batches), 2, 200_000):
             change = np.flatnonzero((group[0][1:] != group[0][:-1]) | (group[1][1:] != group[1][:-1])) + 1
             starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(group[0])]])
             a, b = _group_links([c.view(np.uint64) for c in group[3:]], starts, ends, both)
@@ -253,7 +266,7 @@ def _and_end(batches):
 
 def classes(docs: DataFrame, fp: str = "fp") -> DataFrame:
     """(fp, component_id): for each distinct fingerprint the least doc_id reachable."""
-    groups = docs.groupBy(fp).agg(F.min("doc_id").alias("least"))
+    groups = cut(docs.groupBy(fp).agg(F.min("doc_id").alias("least")))
     linked = components(golay_links(groups.select(F.col(fp).alias("node"), F.col(fp).alias("f0")), ["f0"]))
     rooted = groups.join(linked, groups[fp] == linked["node"], "left").select(fp, "least", F.coalesce("root", fp).alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

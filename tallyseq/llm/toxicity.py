@@ -13,7 +13,7 @@ training rows, are put back into the bias. All documents are scored over their w
 
 Defined results: a null or empty text has the bias's score; rows without a label are scored too; several labels of
 one id count as their greatest; without labels of both classes in the training folds every score is the
-training rows' toxic fraction (0 without rows); repeated rows are kept; an empty table gives an empty result.
+training rows' toxic fraction (1e-6 without rows); repeated rows are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import buffers, doc_bucket, documents, small_batches, utf8
+from .runtime import buffers, doc_bucket, documents, fresh, small_batches, tidy, utf8
 
 BUCKETS = 1 << 20
 GRAMS = (3, 4, 5)
@@ -159,7 +159,7 @@ def scores(texts: list[bytes], model: Model, known: dict[bytes, float] | None =
     for text in texts:
         words = tokens(text)
         new = [w for w in set(words) if w not in known]
-        if len(known) > 400_000:
+        if len(known) > 200_000:
             known.clear()
             new = list(set(words))
         if new:
@@ -194,9 +194,10 @@ def fit(docs: DataFrame, labels: DataFrame, trains, per_class: int = PER_CLASS,
         cut = min(1.0, 3.0 * per_class / n)
         part = marks.where((F.col("toxic") == label) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(cut * (1 << 20))))
         chosen = part if chosen is None else chosen.unionByName(part)
-    # broadcast: the hash leaves some three times ``per_class`` ids of each class, however many there are
-    joined = docs.select("doc_id", "text").where(F.octet_length("text") <= sample_bytes).join(F.broadcast(chosen), "doc_id")
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    # broadcast: the hash leaves some three times ``per_class`` ids of each class, however many there are; ids meet as text, whatever their types
+    chosen = chosen.select(F.col("doc_id").cast("string").alias("id"), F.xxhash64("doc_id").alias("order"), "toxic")
+    joined = docs.select(F.col("doc_id").cast("string").alias("id"), "text").where(F.octet_length("text") <= sample_bytes).join(F.broadcast(chosen), "id")
+    order = Window.partitionBy("toxic").orderBy("order", "id", F.xxhash64("text"))
     rows = joined.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_class).select(utf8(F.col("text")).alias("text"), "toxic", "place").collect()
     rows.sort(key=lambda r: (r.toxic, r.place))
     return train([bytes(r.text) for r in rows], [r.toxic for r in rows], prior)
@@ -210,11 +211,11 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str], out: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, float] = {}
-        for batch in batches:
+        for batch in tidy(batches):
             got = scores(buffers(batch.column(batch.num_columns - 1)), shared.value, known)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.float64())], [*keep, out])
 
-    chosen = docs.select(*keep, utf8(F.col("text")).alias("_bytes"))
+    chosen = docs.select(*keep, utf8(F.col("text")).alias(*fresh(docs.columns, "bytes")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:-1])
     return chosen.mapInArrow(run, f"{schema}, `{out}` double")
 

@@ -1,5 +1,9 @@
 """Fixtures that every operator must handle: nulls, empty and long texts, repeats, clashing column names."""
 
+#: Names that operators use or used inside.
+CLASHING = """size node fp host kind n w score ids key part toxicity bytes own_hash bad_id bad_hash other_id other_hash wanted_id wanted_hash
+ stay stay_id stay_hash whole_text whole_bytes th word_hash sketch heads f0 root blocks count order place id toxic marks at gram items h shard slot
+ shingles n_words n_hit media tile dhash n_tokens held_out _id _th _h _bytes _toxicity _text _row _e _s _k1 _k2 _k3 _part _media""".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i % 997}" for i in range(30_000))
 
@@ -18,7 +22,7 @@ def documents(spark, extra: bool = False):
     ]
     df = spark.createDataFrame(rows, SCHEMA)
     if extra:
-        for name in ("size", "node", "fp", "host", "kind", "n", "w", "score", "ids", "key", "part"):
+        for name in CLASHING:
             df = df.withColumn(name, df.doc_id)
     return df
 
