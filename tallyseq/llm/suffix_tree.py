@@ -1,101 +1,95 @@
 """LM scoring by a probabilistic suffix tree over words.
 
 The symbols are words and one end a text. The root is the add-one distribution over all training tokens, with a
-share for what was never seen. A context (the last one to ``DEPTH`` words) is a candidate if it makes up
-``CONTEXT_SHARE`` of all tokens, and a next symbol has an entry in it if the two together make up ``ENTRY_SHARE``;
-so there are at most 1 / share of either at each depth, whatever the corpus. A candidate is kept if its next
-symbols diverge enough from those of the longest kept suffix of it: the gain in log likelihood must pay half the
-logarithm of the corpus for each entry. In a kept context an entry has its discounted relative frequency, and
-what is left is spread over all other symbols as the suffix has it. A text is scored by the longest kept suffix at
-each word.
-
-Counts are taken over all training texts: tasks count their own blocks first, then counts meet by key. Frequent
-words (``SYMBOL_SHARE``) and the tree travel to the tasks; the exact counts of all rarer words stay in a table that
-the texts' rare words join. Words are known by 64-bit hashes.
+share for what was never seen. The last one to ``DEPTH`` words are a candidate context wherever they occur ``LEAST``
+times or more in the training texts, and a symbol has an entry in a context with which it occurs as often; both
+are plain counts, so the tree grows with the corpus. A candidate is kept if its next symbols diverge enough from
+those of the longest kept suffix of it: the gain in log likelihood must pay half the logarithm of the corpus for each
+entry. In a kept context an entry has its discounted relative frequency, and what is left is spread over all other
+symbols as the suffix has it. A text is scored by the longest kept suffix at each word.
+
+The tree never is in one place. Texts are cut into words once and written as blocks of numbered words to the shared
+folder. For each length of context a block asks for what it does not know: it sends its distinct contexts and (context,
+symbol) pairs, with its own counts of them, to the task that holds their part of the tree, sorted, packed and
+compressed; the task adds the counts of all blocks, settles its contexts and answers each block, which so gets the
+tree's answers to its own questions and nothing else. A pair is asked for only if its suffix was counted ``LEAST``
+times, which loses none. A context with more than a task's share of all tokens is dealt over parts by its symbols, and only
+the sums of such contexts, a few a part, meet on the driver. The first round does the same for single words, whose
+exact counts give the base score.
 
 Defined results: a null or empty text is the end alone; a null id counts as empty text in the fold; repeated rows
 count each time; without training texts the base is uniform over nothing (each token has probability 1) and so is
-the score; an empty table gives an empty result; extra columns are not read.
+the score; an empty table gives an empty result; extra columns are not read. A text stays whole in one block.
+Words are known by 64-bit hashes, contexts by 64-bit hashes of their words' numbers.
 """
 
 from __future__ import annotations
 
+import math
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import buffers, cut, doc_bucket, documents, small_batches, utf8
+from .runtime import buffers, cut, doc_bucket, documents, filesystem, fresh, remove_folder, shared_folder, small_batches, tidy, utf8, write_file
 
 DEPTH = 3
-SYMBOL_SHARE = 2e-7
-CONTEXT_SHARE = 1e-5
-ENTRY_SHARE = 1e-6
+LEAST = 2
 DISCOUNT = 0.5
 #: The hash that stands for a text's end; a word with the same hash would be taken for it.
 END = np.uint64(0)
-BLOCK = 2_000_000
+#: Tokens a block has, and bytes of text that are cut into words at a time.
+BLOCK = 800_000
+BATCH = 4 << 20
+#: A context is dealt over parts if it occurs more often than this and than an even share of all tokens.
+SPLIT = 20_000
+#: Below so much of the suffix's probability outside the entries a context is not kept: what is left could not be spread.
+ROOM = 1e-6
+
+ANSWER = "level int, part int, block long, payload binary"
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes, each by byte planes and compressed."""
+    codec, out = pa.Codec("zstd", compression_level=1), []
+    for a in arrays:
+        planes = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes() if len(a) else b""
+        body = codec.compress(planes, asbytes=True) if planes else b""
+        out += [struct.pack("<3sqq", a.dtype.str.encode(), len(a), len(body)), body]
+    return b"".join(out)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    codec, out, at = pa.Codec("zstd"), [], 0
+    while at < len(data):
+        kind, n, size = struct.unpack_from("<3sqq", data, at)
+        at += struct.calcsize("<3sqq")
+        dtype = np.dtype(kind.decode())
+        if n:
+            planes = np.frombuffer(codec.decompress(data[at : at + size], n * dtype.itemsize, asbytes=True), np.uint8)
+            out.append(np.ascontiguousarray(planes.reshape(dtype.itemsize, n).T).view(dtype).ravel())
+        else:
+            out.append(np.zeros(0, dtype))
+        at += size
+    return out
 
 
-@dataclass
-class Tree:
-    """Frequent symbols (ascending hashes) with their counts, and each depth's contexts and entries by ascending key."""
+def steps(ascending: np.ndarray) -> np.ndarray:
+    """Differences of ascending unsigned numbers, which pack better; ``np.cumsum`` undoes it."""
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
 
-    symbols: np.ndarray
-    counts: np.ndarray
-    tokens: int
-    kinds: int
-    #: Depth 1: symbol -> context; from depth 2 on: keys of (context before, symbol).
-    context_keys: list[np.ndarray] = field(default_factory=list)
-    context_totals: list[np.ndarray] = field(default_factory=list)
-    entry_keys: list[np.ndarray] = field(default_factory=list)
-    entry_logs: list[np.ndarray] = field(default_factory=list)
-    left_logs: list[np.ndarray] = field(default_factory=list)
-    kept: list[np.ndarray] = field(default_factory=list)
 
-    @property
-    def log_all(self) -> float:
-        return float(np.log10(self.tokens + self.kinds + 1)) if self.tokens else 0.0
-
-    def codes(self, hashes: np.ndarray) -> np.ndarray:
-        """Each hash's symbol, or -1."""
-        return find(self.symbols, hashes)
-
-    def contexts(self, codes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """For each depth the context that ends at each token, or -1. ``first`` marks each text's first token."""
-        out = []
-        for depth, keys in enumerate(self.context_keys):
-            if depth == 0:
-                out.append(np.where(codes >= 0, keys[codes], -1) if len(keys) else np.full(len(codes), -1))
-                continue
-            before = previous(out[-1], first)
-            good = (before >= 0) & (codes >= 0)
-            at = np.full(len(codes), -1)
-            at[good] = find(keys, before[good] << 32 | codes[good])
-            out.append(at)
-        return out
-
-    def gains(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 of the tree's probability over the root's, for each token."""
-        out, open_ = np.zeros(len(codes)), np.ones(len(codes), bool)
-        ends = self.contexts(codes, first)[: len(self.kept)]
-        root = np.log10(self.counts + 1.0) - self.log_all
-        for depth in reversed(range(len(self.kept))):
-            at = previous(ends[depth], first)
-            i = np.flatnonzero(open_ & (at >= 0))
-            i = i[self.kept[depth][at[i]]]
-            entry = np.full(len(i), -1)
-            known = codes[i] >= 0
-            entry[known] = find(self.entry_keys[depth], at[i][known] << 32 | codes[i][known])
-            hit = entry >= 0
-            out[i[hit]] += self.entry_logs[depth][entry[hit]] - root[codes[i[hit]]]
-            open_[i[hit]] = False
-            out[i[~hit]] += self.left_logs[depth][at[i[~hit]]]
-        return out
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of two unsigned 64-bit arrays."""
+    x = (a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
 
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -106,12 +100,6 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def previous(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    out = np.concatenate([[-1], values[:-1]]) if len(values) else values
-    out[first] = -1
-    return out
-
-
 def tokenised(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words and ends, tokens a text)."""
     import xxhash
@@ -130,179 +118,326 @@ def firsts(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
 
-def _counted(docs: DataFrame, keys_of) -> DataFrame:
-    """(key, n): how often each of the keys of ``keys_of(texts) -> array`` occurs; counted in blocks before the exchange."""
+@dataclass(frozen=True)
+class Corpus:
+    """What every task knows: parts of the tree, tokens and distinct tokens of the training texts, and the split contexts' results by level."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def flush():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            for low in range(0, len(keys), 100_000):
-                part = slice(low, low + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(counts[part])], ["key", "n"])
-
-        for batch in batches:
-            held.append(keys_of(buffers(batch.column(0))))
-            n += len(held[-1])
-            if n >= BLOCK:
-                yield from flush()
-                held, n = [], 0
-        if n:
-            yield from flush()
-
-    return docs.select(utf8(F.col("text"))).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """A table of (key, n), whose size the caller has bounded, in order of the key."""
-    got = df.toArrow()
-    keys, n = (np.asarray(got.column(i).combine_chunks()) if got.num_rows else np.zeros(0, np.int64) for i in range(2))
-    order = np.argsort(keys)
-    return keys[order], n[order]
-
-
-def vocabulary(training: DataFrame) -> DataFrame:
-    """(key, n): the count of every token in the training texts."""
-    return cut(_counted(training, lambda texts: tokenised(texts)[0]))
-
-
-def grow(training: DataFrame, words: DataFrame, depth: int = DEPTH) -> Tree:
-    """The tree of the training texts, whose token counts are ``words``."""
-    spark = training.sparkSession
-    tokens, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # n >= share * tokens holds for at most 1 / share keys
-    least = {s: max(2.0, s * tokens) for s in (SYMBOL_SHARE, CONTEXT_SHARE, ENTRY_SHARE)}
-    signed, counts = _arrays(words.where(F.col("n") >= least[SYMBOL_SHARE]))
-    symbols = signed.view(np.uint64)
-    order = np.argsort(symbols)
-    tree = Tree(symbols[order], counts[order], tokens, kinds)
-    if not len(tree.symbols):
-        return tree
-    context = (tree.counts >= least[CONTEXT_SHARE]) & (tree.symbols != END)
-    tree.context_keys.append(np.where(context, np.cumsum(context) - 1, -1))
-    tree.context_totals.append(tree.counts[context])
-    entry = tree.counts >= least[ENTRY_SHARE]
-    for d in range(depth):
-        if not len(tree.context_totals[d]):
-            break
-        shared = spark.sparkContext.broadcast((tree, entry))
-
-        def pairs(texts: list[bytes], d: int = d, shared=shared) -> np.ndarray:
-            tree, entry = shared.value
-            hashes, sizes = tokenised(texts)
-            codes, first = tree.codes(hashes), firsts(sizes)
-            before = previous(tree.contexts(codes, first)[d], first)
-            good = (before >= 0) & (codes >= 0)
-            good[good] = entry[codes[good]]
-            return before[good] << 32 | codes[good]
-
-        keys, n = _arrays(_counted(training, pairs).where(F.col("n") >= least[ENTRY_SHARE]))
-        _settle(tree, d, keys, n)
-        deeper = (n >= least[CONTEXT_SHARE]) & (tree.symbols[keys & 0xFFFFFFFF] != END)
-        tree.context_keys.append(keys[deeper])
-        tree.context_totals.append(n[deeper])
-    return tree
-
-
-def _suffixes(tree: Tree, depth: int, at: np.ndarray) -> list[np.ndarray]:
-    """The contexts of depth ``depth - 1`` down to 0 that end like the contexts ``at``; -1 where there is none."""
-    spelt = []
-    for d in range(depth, 0, -1):
-        key = tree.context_keys[d][at]
-        spelt.append(key & 0xFFFFFFFF)
-        at = key >> 32
-    spelt.append(np.flatnonzero(tree.context_keys[0] >= 0)[at])
-    out = []
-    for length in range(depth, 0, -1):  # the last ``length`` symbols
-        part = spelt[:length][::-1]
-        found = tree.context_keys[0][part[0]]
-        for d in range(1, length):
-            good = found >= 0
-            nxt = np.full(len(found), -1)
-            nxt[good] = find(tree.context_keys[d], found[good] << 32 | part[d][good])
-            found = nxt
-        out.append(found)
-    return out
+    folder: str
+    labels: np.ndarray
+    tokens: int = 0
+    kinds: int = 0
+    hot: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
+    @property
+    def parts(self) -> int:
+        return len(self.labels)
+
+    @property
+    def log_all(self) -> float:
+        return math.log10(self.tokens + self.kinds + 1)
+
+    @property
+    def most(self) -> int:
+        """Occurrences up to which a context stays in one part."""
+        return max(SPLIT, self.tokens // self.parts)
+
+
+def block_bytes(rows: pa.Table, trains: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> bytes:
+    words, codes = np.unique(hashes, return_inverse=True)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    packed = pack(sizes, trains.astype(np.uint8), steps(words), codes.astype(np.uint32))
+    return struct.pack("<q", len(packed)) + packed + sink.getvalue().to_pybytes()
 
-def _settle(tree: Tree, depth: int, keys: np.ndarray, n: np.ndarray) -> None:
-    """Entries of the contexts of one depth, what they leave, and which contexts are kept."""
-    contexts = len(tree.context_totals[depth])
-    at, symbol = keys >> 32, keys & 0xFFFFFFFF
-    total = tree.context_totals[depth].astype(float)
-    own = (n - DISCOUNT) / total[at]
-    root = np.log10(tree.counts + 1.0) - tree.log_all
-    shorter = np.zeros(len(keys))
-    open_ = np.ones(len(keys), bool)
-    for d, suffix in zip(range(depth - 1, -1, -1), _suffixes(tree, depth, at)):
-        i = np.flatnonzero(open_ & (suffix >= 0))
-        i = i[tree.kept[d][suffix[i]]]
-        entry = find(tree.entry_keys[d], suffix[i] << 32 | symbol[i])
-        hit = entry >= 0
-        shorter[i[hit]] += tree.entry_logs[d][entry[hit]]
-        open_[i[hit]] = False
-        shorter[i[~hit]] += tree.left_logs[d][suffix[i[~hit]]]
-    shorter[open_] += root[symbol[open_]]
-    logs = np.log10(own)
-    left = 1 - np.bincount(at, own, contexts)
-    there = 1 - np.bincount(at, 10**shorter, contexts)
-    left_logs = np.log10(np.maximum(left, 1e-12)) - np.log10(np.maximum(there, 1e-12))
-    gain = np.bincount(at, n * (logs - shorter), contexts) + (total - np.bincount(at, n, contexts)) * left_logs
-    cost = 0.5 * np.log10(max(tree.tokens, 2)) * np.bincount(at, minlength=contexts)
-    tree.entry_keys.append(keys)
-    tree.entry_logs.append(logs)
-    tree.left_logs.append(left_logs)
-    tree.kept.append((gain > cost) & (there > 1e-9))
-
-
-def score(docs: DataFrame, words: DataFrame, tree: Tree, keep: list[str]) -> DataFrame:
-    """``keep`` with n_tokens, n_known, train_tokens, base_score and score."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(tree)
+
+def write_blocks(docs: DataFrame, keep: list[str], trains: str, folder: str) -> DataFrame:
+    """(block) of every block of the documents' words written to the folder, with ``keep`` and if the text trains."""
+    small_batches(docs.sparkSession, size=BATCH)
+    (text,) = fresh([*keep, trains], "bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
-        logs = np.log10(tree.counts + 1.0)
-        for batch in batches:
-            hashes, sizes = tokenised(buffers(batch.column(batch.num_columns - 1)))
-            codes, first = tree.codes(hashes), firsts(sizes)
-            known = codes >= 0
-            value = np.where(known, logs[codes] if len(logs) else 0.0, 0.0)
-            gain = tree.gains(codes, first)
-            rare, ends = hashes[~known].view(np.int64), np.cumsum(np.add.reduceat(~known, first, dtype=np.int64))
-            new = [
-                pa.array(sizes),
-                pa.array(np.add.reduceat(known, first, dtype=np.int64)),
-                pa.array(np.add.reduceat(value, first)),
-                pa.array(np.add.reduceat(gain, first)),
-                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(rare)),
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*keep, "n_tokens", "_known", "_value", "_gain", "_rare"])
-
-    chosen = docs.select(*keep, utf8(F.col("text")).alias("_bytes"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:-1])
-    read = chosen.mapInArrow(run, f"{schema}, n_tokens long, _known long, _value double, _gain double, _rare array<long>")
-    read = cut(read.withColumn("_row", F.monotonically_increasing_id()))
-    listed = words.where(F.col("n") < max(2.0, SYMBOL_SHARE * tree.tokens))
-    rare = read.select("_row", F.explode("_rare").alias("key")).join(listed, "key")
-    sums = rare.groupBy("_row").agg(F.sum(F.log10(F.col("n") + 1)).alias("_more"), F.count("*").alias("_also"))
-    base = F.col("_value") + F.coalesce("_more", F.lit(0.0)) - F.col("n_tokens") * F.lit(tree.log_all)
-    out = read.drop("_rare").join(sums, "_row", "left")
-    return out.select(
-        *keep,
-        "n_tokens",
-        (F.col("_known") + F.coalesce("_also", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(tree.tokens).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        (base + F.col("_gain")).alias("score"),
-    )
+        number, held, tokens = TaskContext.get().partitionId() << 24, [], 0
+
+        def flush() -> pa.RecordBatch:
+            rows = pa.Table.from_batches([h[0] for h in held])
+            write_file(f"{folder}/{number}.block", iter([block_bytes(rows, *[np.concatenate([h[i] for h in held]) for i in (1, 2, 3)])]))
+            return pa.RecordBatch.from_pydict({"block": [number]})
+
+        for batch in tidy(batches):
+            if not batch.num_rows:
+                continue
+            hashes, sizes = tokenised(buffers(batch.column(len(keep) + 1)))
+            flags = np.asarray(batch.column(len(keep)).to_numpy(zero_copy_only=False), bool)
+            held.append((batch.select(keep), flags, sizes, hashes))
+            tokens += len(hashes)
+            if tokens >= BLOCK:
+                yield flush()
+                number, held, tokens = number + 1, [], 0
+        if held:
+            yield flush()
+
+    return docs.select(*keep, trains, utf8(F.col("text")).alias(text)).mapInArrow(run, "block long")
+
+
+class Block:
+    """A block's tokens, and what has been answered so far: for each token the log probability by the longest kept context."""
+
+    def __init__(self, corpus: Corpus, number: int):
+        self.corpus = corpus
+        fs, path = filesystem(f"{corpus.folder}/{number}.block")
+        with fs.open_input_stream(path, compression=None) as stream:
+            data = stream.read()
+        (size,) = struct.unpack_from("<q", data)
+        self.sizes, trains, words, self.codes = unpack(data[8 : 8 + size])
+        self.rows = pa.ipc.open_stream(data[8 + size :]).read_all()
+        self.words = np.cumsum(words)
+        self.train = np.repeat(trains.astype(bool), self.sizes)
+        self.place = np.arange(len(self.codes)) - np.repeat(firsts(self.sizes), self.sizes)
+        self.codes = self.codes.astype(np.int64)
+
+    def ask_words(self) -> Iterator[tuple[int, bytes]]:
+        """(part, words and their training counts); remembers the order for the answer."""
+        part = (self.words % np.uint64(self.corpus.parts)).astype(np.int64)
+        self.order = np.argsort(part, kind="stable")
+        counts = np.bincount(self.codes[self.train], minlength=len(self.words))[self.order]
+        words, part = self.words[self.order], part[self.order]
+        for p, low, high in runs(part):
+            yield p, pack(steps(words[low:high]), counts[low:high])
+
+    def hear_words(self, answers: list[bytes]) -> None:
+        got = [unpack(a) for a in answers]
+        self.ids, self.counts = np.zeros(len(self.words), np.uint64), np.zeros(len(self.words), np.int64)
+        self.ids[self.order], self.counts[self.order] = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+        n = self.counts[self.codes]
+        self.known = n > 0
+        self.base = np.log10(n + 1.0) - self.corpus.log_all
+        self.value = self.base.copy()
+        # of the first length of context: the word before
+        self.suffix_count = n
+        self.context = np.where(self.place >= 1, np.concatenate([[-1], self.codes[:-1]]), -1)
+        self.keys, self.totals = mix(self.ids, np.ones_like(self.ids)), self.counts
+
+    def ask(self) -> Iterator[tuple[int, bytes]]:
+        """(part, contexts and pairs with their training counts and the suffix's log probability) of the current length."""
+        corpus = self.corpus
+        open_ = np.flatnonzero(self.context >= 0)
+        open_ = open_[self.totals[self.context[open_]] >= LEAST]
+        pairs, at, self.pair = np.unique(self.context[open_] << 32 | self.codes[open_], return_index=True, return_inverse=True)
+        self.open = open_
+        self.pair_context, self.pair_code = pairs >> 32, pairs & 0xFFFFFFFF
+        there = open_[at]
+        listed = np.flatnonzero(self.suffix_count[there] >= LEAST)
+        counts = np.bincount(self.pair[self.train[open_]], minlength=len(pairs))
+        symbol = self.ids[self.pair_code[listed]]
+        context = self.pair_context[listed]
+        subs = np.where(self.totals > corpus.most, 1 + self.totals // corpus.most, 1).astype(np.uint64)[context]
+        sub = mix(symbol, symbol) % subs
+        part = ((self.keys[context] + sub * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(corpus.parts)).astype(np.int64)
+        order = np.lexsort((symbol, self.keys[context], part))
+        self.listed, part, context, symbol = listed[order], part[order], context[order], symbol[order]
+        edge = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (context[1:] != context[:-1])])) if len(part) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(edge, len(part)))
+        # contexts none of whose pairs are asked for still need what they leave to others
+        alone = np.setdiff1d(self.pair_context[self.totals[self.pair_context] <= corpus.most], context)
+        c = np.concatenate([context[edge], alone])
+        c_part = np.concatenate([part[edge], (self.keys[alone] % np.uint64(corpus.parts)).astype(np.int64)])
+        c_size = np.concatenate([sizes, np.zeros(len(alone), np.int64)])
+        c_order = np.lexsort((self.keys[c], c_part))
+        self.listed_context, c_part, c_size = c[c_order], c_part[c_order], c_size[c_order]
+        n, short = counts[self.listed], self.value[there[self.listed]].astype(np.float32)
+        ends = np.cumsum(c_size)
+        keys, totals = self.keys[self.listed_context], self.totals[self.listed_context]
+        for p, low, high in runs(c_part):
+            own = slice(ends[low] - c_size[low], ends[high - 1])
+            yield p, pack(steps(keys[low:high]), totals[low:high], c_size[low:high], symbol[own], n[own], short[own])
+
+    def hear(self, level: int, answers: list[bytes]) -> None:
+        """Take in the answers to what was asked last, and go on to contexts one word longer."""
+        got = [unpack(a) for a in answers]
+        left = np.full(len(self.totals), np.nan)
+        count = np.zeros(len(self.pair_context), np.int64)
+        if got:
+            left[self.listed_context] = np.concatenate([g[0] for g in got])
+            count[self.listed] = np.concatenate([g[1] for g in got])
+        keys, values = self.corpus.hot[level]
+        hot = np.flatnonzero(self.totals > self.corpus.most)
+        at = find(keys, self.keys[hot])
+        left[hot] = np.where(at >= 0, values[at] if len(values) else np.nan, np.nan)
+        i = self.open
+        n, spread, total = count[self.pair], left[self.context[i]], self.totals[self.context[i]]
+        entry = np.log10(np.maximum(n, 1) - DISCOUNT) - np.log10(total)
+        self.value[i] = np.where(np.isnan(spread), self.value[i], np.where(n >= LEAST, entry, spread + self.value[i]))
+        self.suffix_count = np.zeros(len(self.codes), np.int64)
+        self.suffix_count[i] = n
+        ended = np.full(len(self.codes), -1)
+        ended[i] = self.pair
+        self.context = np.where(self.place > level, np.concatenate([[-1], ended[:-1]]), -1)
+        self.keys, self.totals = mix(self.keys[self.pair_context], self.ids[self.pair_code]), count
+
+    def scores(self) -> list[np.ndarray]:
+        """(tokens, known tokens, base score, score) of each text."""
+        first = firsts(self.sizes)
+        return [self.sizes, *[np.add.reduceat(x, first, dtype=t) for x, t in ((self.known, np.int64), (self.base, np.float64), (self.value, np.float64))]]
+
+
+def runs(ascending: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, start, end) of each run of equal values."""
+    if len(ascending):
+        edge = np.flatnonzero(np.diff(ascending)) + 1
+        for low, high in zip([0, *edge], [*edge, len(ascending)]):
+            yield int(ascending[low]), int(low), int(high)
+
+
+def settled(total: np.ndarray, own: np.ndarray, there: np.ndarray, gain: np.ndarray, seen: np.ndarray, entries: np.ndarray, tokens: int) -> np.ndarray:
+    """For each context the log of what it leaves to each other symbol over the suffix's, or NaN if it is not kept."""
+    room = 1 - there
+    left = np.log10(np.maximum(1 - own, 1e-12)) - np.log10(np.maximum(room, 1e-12))
+    paid = gain + (total - seen) * left > 0.5 * math.log10(max(tokens, 2)) * entries
+    return np.where(paid & (room > ROOM), left, np.nan)
+
+
+def answer_words(corpus: Corpus, part: int, asked: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    """(block, numbers and counts of its words), then (-1, distinct words and tokens of the part)."""
+    got = [unpack(a) for _, a in asked]
+    words, at = np.unique(np.concatenate([np.cumsum(g[0]) for g in got]), return_inverse=True)
+    n = np.bincount(at, np.concatenate([g[1] for g in got]), len(words)).astype(np.int64)
+    ids = np.empty(len(words), np.uint64)
+    ids[np.lexsort((words, -n))] = np.arange(len(words), dtype=np.uint64) * np.uint64(corpus.parts) + np.uint64(part)  # frequent words have small numbers
+    ends = np.cumsum([len(g[0]) for g in got])
+    for (block, _), high, g in zip(asked, ends, got):
+        own = at[high - len(g[0]) : high]
+        yield block, pack(ids[own], n[own])
+    yield -1, pack(np.array([(n > 0).sum(), n.sum()]))
+
+
+def answer(corpus: Corpus, part: int, asked: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    """(block, what its contexts leave and its pairs' counts), then (-1, sums of the part's share of split contexts)."""
+    got = [unpack(a) for _, a in asked]
+    keys, at = np.unique(np.concatenate([np.cumsum(g[0]) for g in got]), return_inverse=True)
+    total = np.zeros(len(keys), np.int64)
+    total[at] = np.concatenate([g[1] for g in got])
+    context = np.repeat(at, np.concatenate([g[2] for g in got]))
+    _, symbol = np.unique(np.concatenate([g[3] for g in got]), return_inverse=True)
+    pairs, first, pair = np.unique(context << 32 | symbol, return_index=True, return_inverse=True)
+    n = np.bincount(pair, np.concatenate([g[4] for g in got]), len(pairs)).astype(np.int64)
+    n[n < LEAST] = 0
+    short = np.concatenate([g[5] for g in got]).astype(float)[first]
+    entry = n > 0
+    where, short, m = (pairs >> 32)[entry], short[entry], n[entry]
+    share = (m - DISCOUNT) / total[where]
+    own, there, gain, seen, entries = (np.bincount(where, w, len(keys)) for w in (share, 10**short, m * (np.log10(share) - short), m, np.ones(len(m))))
+    hot = total > corpus.most
+    left = np.where(hot, np.nan, settled(total, own, there, gain, seen, entries, corpus.tokens)).astype(np.float32)
+    c = e = 0
+    for (block, _), g in zip(asked, got):
+        yield block, pack(left[at[c : c + len(g[0])]], n[pair[e : e + len(g[3])]])
+        c, e = c + len(g[0]), e + len(g[3])
+    if hot.any():
+        yield -1, pack(keys[hot], *[x[hot].astype(float) for x in (total, own, there, gain, seen, entries)])
+
+
+def combined(shares: list[bytes], tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, what they leave) of the split contexts, from their parts' sums: at most a few a part, as each holds a part's share of all tokens."""
+    if not shares:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    got = [unpack(s) for s in shares]
+    keys, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+    columns = [np.concatenate([g[i] for g in got]) for i in range(1, 7)]
+    total = np.zeros(len(keys))
+    total[at] = columns[0]
+    return keys, settled(total, *[np.bincount(at, c, len(keys)) for c in columns[1:]], tokens)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[int, list[tuple]]]:
+    """(value of the key column, its rows) of rows that come sorted by it."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if held and held[0][key] != row[key]:
+                yield held[0][key], held
+                held = []
+            held.append(row)
+    if held:
+        yield held[0][key], held
+
+
+def replayed(corpus: Corpus, number: int, rows: list[tuple], levels: int) -> Block:
+    """A block that has heard the answers of the first ``levels`` rounds. rows: level, part, block, payload in order."""
+    block = Block(corpus, number)
+    for level in range(levels):
+        for _ in block.ask_words() if level == 0 else block.ask():
+            pass
+        answers = [r[3] for r in rows if r[0] == level]
+        block.hear_words(answers) if level == 0 else block.hear(level, answers)
+    return block
+
+
+def part_labels(spark: SparkSession, parts: int) -> np.ndarray:
+    """Ascending numbers that Spark's hash partitioning deals to one partition each, all different."""
+    drawn = spark.range(int(parts * (math.log(parts + 1) + 12))).select(F.col("id").cast("int").alias("label"))
+    found = drawn.groupBy(F.pmod(F.hash("label"), F.lit(parts))).agg(F.min("label").alias("label")).collect()
+    return np.array(sorted(r.label for r in found))
+
+
+def scores(docs: DataFrame, keep: list[str], trains: str, depth: int = DEPTH) -> DataFrame:
+    """``keep`` with n_tokens, n_known, train_tokens, base_score and score; the rows for which the column ``trains`` holds are learnt from."""
+    spark = docs.sparkSession
+    folder = shared_folder(spark, "suffix-tree")
+    blocks = cut(write_blocks(docs, keep, trains, folder))
+    corpus = Corpus(folder, part_labels(spark, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts, answers = corpus.parts, None
+
+    def by_block(levels: int) -> DataFrame:
+        return answers.where(f"block >= 0 and level < {levels}").repartition(parts, "block").sortWithinPartitions("block", "level", "part")
+
+    def round_(level: int, corpus: Corpus) -> DataFrame:
+        def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = ((b, []) for batch in tidy(batches) for b in batch.column(0).to_pylist()) if level == 0 else grouped(tidy(batches), 2)
+            for number, rows in found:
+                block = replayed(corpus, number, rows, level)
+                asked = list(block.ask_words() if level == 0 else block.ask())
+                if asked:
+                    yield pa.RecordBatch.from_arrays([pa.array([int(corpus.labels[p]) for p, _ in asked], pa.int32()), pa.array([number] * len(asked)), pa.array([x for _, x in asked], pa.binary())], ["part", "block", "payload"])
+
+        def answering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for label, rows in grouped(tidy(batches), 0):
+                part = int(find(corpus.labels, np.array([label]))[0])
+                for block, payload in (answer_words if level == 0 else answer)(corpus, part, [r[1:] for r in rows]):
+                    yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([label], pa.int32()), pa.array([block]), pa.array([payload], pa.binary())], ["level", "part", "block", "payload"])
+
+        source = blocks if level == 0 else by_block(level)
+        asked = source.mapInArrow(asking, "part int, block long, payload binary").repartition(parts, "part").sortWithinPartitions("part", "block")
+        return cut(asked.mapInArrow(answering, ANSWER))
+
+    def sums(answered: DataFrame) -> list[bytes]:
+        return [bytes(r.payload) for r in answered.where("block < 0").select("payload").collect()]
+
+    answers = round_(0, corpus)
+    kinds, tokens = np.sum([unpack(s)[0] for s in sums(answers)] or [[0, 0]], axis=0).tolist()
+    corpus = Corpus(folder, corpus.labels, int(tokens), int(kinds))
+    for level in range(1, depth + 1):
+        answered = round_(level, corpus)
+        corpus = Corpus(folder, corpus.labels, corpus.tokens, corpus.kinds, corpus.hot | {level: combined(sums(answered), corpus.tokens)})
+        answers = answers.unionByName(answered)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in grouped(tidy(batches), 2):
+            block = replayed(corpus, number, rows, depth + 1)
+            table = block.rows.combine_chunks()
+            size, known, base, score = block.scores()
+            made = [pa.array(x) for x in (size, known, np.full(len(size), corpus.tokens), base, score)]
+            columns = [c.chunk(0) for c in table.columns]
+            yield pa.RecordBatch.from_arrays([*columns, *made], names)
+
+    names = [*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    out = cut(by_block(depth + 1).mapInArrow(finish, f"{kept}, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    remove_folder(folder)
+    return out
 
 
 def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log10 probability; learnt from the folds other than 2 of 7."""
-    small_batches(spark)
-    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", doc_bucket(F.col("doc_id"), 7) == 2)
-    training = docs.where("not held_out")
-    words = vocabulary(training)
-    return score(docs, words, grow(training, words), ["doc_id", "held_out"])
+    docs = documents(spark, sf_dir).select("doc_id", "text", (doc_bucket(F.col("doc_id"), 7) == 2).alias("held_out")).withColumn("trains", ~F.col("held_out"))
+    return scores(docs, ["doc_id", "held_out"], "trains")

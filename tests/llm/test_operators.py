@@ -275,24 +275,91 @@ def test_base_scores_are_exact_and_contexts_help(spark, sf):
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
 
-def test_tree_probabilities_sum_to_one(spark):
-    text = ("a b a b c a b a b d " * 40).strip()
-    docs = spark.createDataFrame([(i, text) for i in range(5)], "doc_id long, text string")
-    words = suffix_tree.vocabulary(docs)
-    tree = suffix_tree.grow(docs, words, 2)
-    assert any(k.any() for k in tree.kept)
-    import xxhash
-
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in (b"a", b"b", b"c", b"d")] + [0], np.uint64)
-    root = np.log10(tree.counts + 1.0) - tree.log_all
-    for context in ([b"a"], [b"b"], [b"a", b"b"]):
-        history = np.array([xxhash.xxh64_intdigest(w) for w in context], np.uint64)
-        total = 0.0
-        for h in hashes:
-            codes = tree.codes(np.append(history, h))
-            total += 10 ** (root[codes[-1]] + tree.gains(codes, np.array([0]))[-1])
-        total += 10 ** (-tree.log_all + tree.gains(np.append(tree.codes(history), -1), np.array([0]))[-1])  # what was never seen
-        assert total == pytest.approx(1, abs=1e-9)
+class _PlainTree:
+    """The tree of the module's description, by dictionaries."""
+
+    def __init__(self, texts, depth):
+        self.depth, self.grams, self.totals = depth, Counter(), Counter()
+        self.words = Counter(w for t in texts for w in t)
+        self.n = sum(self.words.values())
+        for t in texts:
+            for i in range(len(t)):
+                for k in range(1, min(i, depth) + 1):
+                    self.grams[t[i - k : i], t[i]] += 1
+                    self.totals[t[i - k : i]] += 1
+        self.entries = {}
+        for (c, x), n in self.grams.items():
+            if n >= 2:
+                self.entries.setdefault(c, {})[x] = n
+        self.left = {}
+        for c in sorted(self.entries, key=len):
+            short = {x: self.value(c[1:], x) for x in self.entries[c]}
+            own = {x: (n - 0.5) / self.totals[c] for x, n in self.entries[c].items()}
+            room = 1 - sum(10**v for v in short.values())
+            if room <= 1e-6:
+                continue
+            left = math.log10(1 - sum(own.values())) - math.log10(room)
+            gain = sum(n * (math.log10(own[x]) - short[x]) for x, n in self.entries[c].items()) + (self.totals[c] - sum(self.entries[c].values())) * left
+            if gain > 0.5 * math.log10(self.n) * len(own):
+                self.left[c] = left
+
+    def value(self, history, x):
+        out = math.log10((self.words[x] + 1) / (self.n + len(self.words) + 1))
+        for k in range(1, min(len(history), self.depth) + 1):
+            c = history[len(history) - k :]
+            if c in self.left:
+                n = self.entries[c].get(x)
+                out = math.log10((n - 0.5) / self.totals[c]) if n else self.left[c] + out
+        return out
+
+    def score(self, text):
+        return sum(self.value(text[max(0, i - self.depth) : i], text[i]) for i in range(len(text)))
+
+
+def _symbols(text):
+    return (*(text or "").encode().lower().split(), None)
+
+
+@pytest.mark.parametrize("split", [10, 20_000])
+def test_tree_scores_equal_plain_dictionaries(spark, sf, monkeypatch, split):
+    """Blocks of a few hundred tokens, contexts dealt over parts, whole texts of the test data and repeated ones."""
+    monkeypatch.setattr(suffix_tree, "BLOCK", 700)
+    monkeypatch.setattr(suffix_tree, "SPLIT", split)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    rng = random.Random(4)
+    rows += [(1000 + i, " ".join(rng.choice("abcde") for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(2000, None), (2001, "")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("trains", F.expr("crc32(cast(cast(doc_id as string) as binary)) % 7 <> 2"))
+    got = {r.doc_id: r for r in suffix_tree.scores(docs, ["doc_id"], "trains").collect()}
+    tree = _PlainTree([_symbols(t) for i, t in rows if not held(i)], suffix_tree.DEPTH)
+    assert {len(c) for c in tree.left} == {1, 2, 3}
+    for i, t in rows:
+        assert got[i].score == pytest.approx(tree.score(_symbols(t)), rel=1e-4, abs=1e-4), t
+    for c in random.Random(1).sample(sorted(tree.left, key=repr), 20):
+        unseen = tree.value(c, "never seen")
+        assert sum(10 ** tree.value(c, x) for x in tree.words) + 10**unseen == pytest.approx(1, abs=1e-6)
+
+
+def test_tree_learns_what_occurs_twice(spark):
+    """The model grows with the corpus: texts that stand in it twice are told apart, however few they are."""
+    rng = random.Random(9)
+    made = [" ".join(f"v{rng.randint(0, 300)}" for _ in range(80)) for _ in range(220)]
+    docs = spark.createDataFrame(list(enumerate(made + made[:20])), "doc_id long, text string").withColumn("trains", F.lit(True))
+    gain = {r.doc_id: (r.score - r.base_score) / r.n_tokens for r in suffix_tree.scores(docs, ["doc_id"], "trains").collect()}
+    assert min(gain[i] for i in range(20)) > max(gain[i] for i in range(20, 220)) + 0.5
+
+
+def test_no_training_texts_and_no_texts(spark):
+    docs = spark.createDataFrame([(1, "a b a b"), (2, None)], "doc_id long, text string")
+    got = suffix_tree.scores(docs.withColumn("trains", F.lit(False)), ["doc_id"], "trains").collect()
+    assert [(r.n_known, r.train_tokens, r.base_score, r.score) for r in got] == [(0, 0, 0.0, 0.0)] * 2
+
+
+def test_packed_arrays_come_back():
+    rng = np.random.default_rng(2)
+    arrays = [np.sort(rng.integers(0, 1 << 63, 1000).astype(np.uint64)), np.zeros(0, np.int64), rng.random(7).astype(np.float32), rng.integers(0, 9, 50)]
+    got = suffix_tree.unpack(suffix_tree.pack(suffix_tree.steps(arrays[0]), *arrays[1:]))
+    assert (np.cumsum(got[0]) == arrays[0]).all() and all((a == b).all() and a.dtype == b.dtype for a, b in zip(got[1:], arrays[1:]))
 
 
 def test_shards_are_even_and_slots_gapless(spark, sf):
