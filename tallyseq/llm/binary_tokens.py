@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chunks
-from .runtime import documents, filesystem, shared_folder, small_batches, write_file
+from .runtime import cut, documents, filesystem, remove_folder, shared_folder, small_batches, tidy, write_file
 
 END_ID = 0
 
@@ -122,7 +122,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
         first = next(batches, None)
         if first is None:
             return
-        batches = _again(first, batches)
+        batches = tidy(_again(first, batches))
         name = f"{folder}/part-{part:06d}"
         write_file(f"{name}.bin", encoded())
         sizes = np.concatenate(lengths)
@@ -185,4 +185,6 @@ def op7_binary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(ids: np.ndarray) -> tuple[int]:
         return (zlib.crc32(ids.astype("<u4").tobytes()),)
 
-    return read_token_files(spark, folder, files, id_type(vocabulary), digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = cut(read_token_files(spark, folder, files, id_type(vocabulary), digest, "doc_id long, start long, n_tokens long, ids_crc32 long"))
+    remove_folder(folder)  # the digests are kept; nothing reads the files any more
+    return found

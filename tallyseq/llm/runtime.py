@@ -58,17 +58,31 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+class WholeFile:
+    """A file that appears whole under its name or not at all: a retried or speculative task replaces it with the same bytes."""
+
+    def __init__(self, uri: str):
+        self.fs, self.path = filesystem(uri)
+        self.fs.create_dir(os.path.dirname(self.path), recursive=True)
+        self.part, self.size = f"{self.path}.{uuid.uuid4().hex}.tmp", 0
+        self.out = self.fs.open_output_stream(self.part, compression=None)
+
+    def write(self, chunk: bytes) -> None:
+        self.out.write(chunk)
+        self.size += len(chunk)
+
+    def done(self) -> int:
+        self.out.close()
+        self.fs.move(self.part, self.path)
+        return self.size
+
+
 def write_file(uri: str, chunks: Iterator[bytes]) -> int:
-    """Write a file whole or not at all: a retried or speculative task replaces it with the same bytes."""
-    fs, path = filesystem(uri)
-    fs.create_dir(os.path.dirname(path), recursive=True)
-    part, n = f"{path}.{uuid.uuid4().hex}.tmp", 0
-    with fs.open_output_stream(part, compression=None) as out:
-        for chunk in chunks:
-            out.write(chunk)
-            n += len(chunk)
-    fs.move(part, path)
-    return n
+    """Write a file whole; returns its size."""
+    out = WholeFile(uri)
+    for chunk in chunks:
+        out.write(chunk)
+    return out.done()
 
 
 def remove_folder(uri: str) -> None:
