@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import cut, documents, utf8
+from .runtime import cut, documents, tidy, utf8
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 Key = tuple[int, int, int]
 #: Keys proposed for each open boundary and round.
-PROBES = 16
+PROBES = 8
+#: And pairs of keys around the expected place, at the width shifted by so many bits.
+CLOSING = (6, 9, 12, 16)
 
 
 def counts_below(keyed: DataFrame, keys: list[Key]) -> list[tuple[int, int]]:
@@ -35,7 +37,7 @@ def counts_below(keyed: DataFrame, keys: list[Key]) -> list[tuple[int, int]]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, rows = np.zeros(len(a) + 1, np.int64), np.zeros(len(a) + 1, np.int64)
-        for batch in batches:
+        for batch in tidy(batches):
             x, y, z, n = (batch.column(i).to_numpy() for i in range(4))
             at = place(x, y, z, a, b, c)
             np.add.at(size, at, n)
@@ -51,27 +53,31 @@ def counts_below(keyed: DataFrame, keys: list[Key]) -> list[tuple[int, int]]:
 
 def place(x, y, z, a, b, c) -> np.ndarray:
     """How many of the ascending keys (a, b, c) are at or below each row's key (x, y, z)."""
-    at = np.searchsorted(a, x, "right")
-    first = np.searchsorted(a, x, "left")
-    for i in np.flatnonzero((at - first > 1) | ((at > first) & ((b[np.minimum(first, len(b) - 1)] > LOW) | (c[np.minimum(first, len(c) - 1)] > LOW)))):
-        lo, hi, own = first[i], at[i], (y[i], z[i])
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if (b[mid], c[mid]) <= own:
-                lo = mid + 1
-            else:
-                hi = mid
-        at[i] = lo
+    return _place((x, y, z), (a, b, c))
+
+
+def _place(own: tuple[np.ndarray, ...], keys: tuple[np.ndarray, ...]) -> np.ndarray:
+    """One component at a time: rows that equal keys in the first are placed among those keys by the next, all rows of a run of keys at once."""
+    at = np.searchsorted(keys[0], own[0], "right")
+    if len(keys) == 1 or not len(keys[0]):
+        return at
+    first = np.searchsorted(keys[0], own[0], "left")
+    tied = np.flatnonzero(at > first)
+    for low in np.unique(first[tied]):  # runs of equal keys, few as keys are
+        rows = tied[first[tied] == low]
+        high = at[rows[0]]
+        at[rows] = low + _place(tuple(o[rows] for o in own[1:]), tuple(k[low:high] for k in keys[1:]))
     return at
 
 
 class Boundary:
-    """The search for one key with ``goal`` bytes below it."""
+    """The search for one key with ``goal`` of ``total`` bytes below it."""
 
-    def __init__(self, goal: int, slack: int):
+    def __init__(self, goal: int, slack: int, total: int):
         self.goal, self.slack = goal, slack
         self.prefix: tuple[int, ...] = ()
         self.low, self.high = LOW, HIGH
+        self.low_size, self.high_size = 0, total
         self.best: tuple[int, Key, int, int] | None = None
 
     def key(self, v: int) -> Key:
@@ -81,30 +87,34 @@ class Boundary:
         return self.best is not None and (self.best[0] <= self.slack or (len(self.prefix) == 2 and self.high - self.low <= 1))
 
     def proposals(self) -> set[int]:
-        width = self.high - self.low
-        return {self.low + width * i // (PROBES + 1) for i in range(1, PROBES + 1)} | {self.low, self.high}
+        """The ends, points at even distances, and points closing in on where the goal lies if bytes are spread evenly, as hashes spread them."""
+        low, width, spread = self.low, self.high - self.low, max(1, self.high_size - self.low_size)
+        even = {low + width * i // (PROBES + 1) for i in range(1, PROBES + 1)}
+        middle = low + width * min(max(self.goal - self.low_size, 0), spread) // spread
+        near = {min(max(middle + sign * (width >> shift), low), self.high) for shift in CLOSING for sign in (-1, 1)}
+        return even | near | {low, self.high}
 
     def take(self, below: dict[Key, tuple[int, int]]) -> None:
-        low, high = self.low, self.high
+        low, high, low_size, high_size = self.low, self.high, self.low_size, self.high_size
         for v in sorted(self.proposals()):
             size, rows = below[self.key(v)]
             off = abs(size - self.goal)
             if self.best is None or off < self.best[0]:
                 self.best = (off, self.key(v), size, rows)
             if size <= self.goal:
-                low = v
+                low, low_size = v, size
             else:
-                high = v
+                high, high_size = v, size
                 break
-        self.low, self.high = low, high
+        self.low, self.high, self.low_size, self.high_size = low, high, low_size, high_size
         if not self.done() and high - low <= 1 and len(self.prefix) < 2:  # one value holds the goal: go on inside it
             self.prefix = (*self.prefix, low)
             self.low, self.high = LOW, HIGH
 
 
-def find_boundaries(keyed: DataFrame, goals: list[tuple[int, int]]) -> list[tuple[Key, int, int]]:
-    """(key, bytes below, rows below) for each (goal, slack)."""
-    open_ = [Boundary(*g) for g in goals]
+def find_boundaries(keyed: DataFrame, goals: list[tuple[int, int]], total: int) -> list[tuple[Key, int, int]]:
+    """(key, bytes below, rows below) for each (goal, slack) of ``total`` bytes."""
+    open_ = [Boundary(*g, total) for g in goals]
     while todo := [x for x in open_ if not x.done()]:
         keys = sorted({x.key(v) for x in todo for v in x.proposals()})
         below = dict(zip(keys, counts_below(keyed, keys)))
@@ -113,10 +123,11 @@ def find_boundaries(keyed: DataFrame, goals: list[tuple[int, int]]) -> list[tupl
     return [x.best[1:] for x in open_]
 
 
-def histogram_shards(rows: DataFrame, shards: int, tolerance: float = 0.001, part_bytes: int = 32 << 20, parts_most: int = 64) -> DataFrame:
+def histogram_shards(rows: DataFrame, shards: int, tolerance: float = 0.001, part_bytes: int = 32 << 20, parts_most: int = 1024) -> DataFrame:
     """``rows`` (with size, _k1 and _k2) with shard and slot; shards near equal in the sum of size.
 
-    Boundaries lie within ``tolerance`` of a shard's bytes, or a single row, of their goals.
+    Boundaries lie within ``tolerance`` of a shard's bytes, or a single row, of their goals. A shard is sorted by some
+    ``part_bytes`` a task, by ``parts_most`` tasks at most, as the driver searches for each task's boundary.
     """
     spark = rows.sparkSession
     keyed = cut(rows.withColumn("_k3", F.monotonically_increasing_id()))
@@ -128,7 +139,7 @@ def histogram_shards(rows: DataFrame, shards: int, tolerance: float = 0.001, par
     for i in range(1, shards * fine):
         share = total / shards / (1 if i % fine == 0 else fine)
         goals.append((total * i // (shards * fine), int(share * (tolerance if i % fine == 0 else 0.2))))
-    found = find_boundaries(keyed, goals)
+    found = find_boundaries(keyed, goals, total)
     keys = [f[0] for f in found]
     for i in range(1, len(keys)):  # two boundaries may have met in one row
         keys[i] = max(keys[i], keys[i - 1])
@@ -141,7 +152,7 @@ def histogram_shards(rows: DataFrame, shards: int, tolerance: float = 0.001, par
     names = keyed.columns
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             x, y, z = (batch.column(names.index(k)).to_numpy() for k in ("_k1", "_k2", "_k3"))
             part = place(x, y, z, a, b, c) if len(a) else np.zeros(len(x), np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], [*names, "_part"])
