@@ -5,6 +5,8 @@ offsets. A fixity tree has the SHA-256 of every record's stored bytes as leaves;
 children in order, each with the offset range it covers, up to a root a file and on up to one root of the archive.
 Replicas are compared from the root: only children of nodes that differ are looked at on the next level, so an
 archive with few damaged records reads few nodes, and the leaves that differ locate the damage by file and range.
+Levels are kept in order in files, and within files only those that hold a wrong node are read. Records are written
+as they are made; a task holds one record and the offsets.
 
 Files are read by the offsets of the index, in blocks, so a damaged record does not hide those after it. A
 record that is missing from a replica, or only in it, differs too.
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .binary_tokens import map_file
-from .runtime import cut, filesystem, shared_folder, small_batches, write_file
+from .runtime import WholeFile, cut, filesystem, remove_folder, shared_folder, small_batches, tidy, write_file
 
 FAN = 16
 #: Written into every record: an archive of the same pages has the same bytes.
@@ -76,19 +78,20 @@ def write_archive(pages: DataFrame, folders: list[str], damage: Callable[[int |
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        members = []
-        for batch in batches:
+        part, files, offsets = TaskContext.get().partitionId(), [], [0]
+        for batch in tidy(batches):
+            if not files:
+                files = [WholeFile(f"{folder}/part-{part:06d}.warc.gz") for folder in folders]
             for page_id, url, html in zip(*[c.to_pylist() for c in batch.columns]):
-                members.append((page_id, compress(record(page_id, url, html))))
-        if not members:
-            return
-        offsets = np.concatenate([[0], np.cumsum([len(m) for _, m in members])]).astype("<i8")
-        for k, folder in enumerate(folders):
-            hurt = damage if damage and k == len(folders) - 1 else None
-            write_file(f"{folder}/part-{part:06d}.warc.gz", (_flip(m) if hurt and hurt(p) else m for p, m in members))
-            write_file(f"{folder}/part-{part:06d}.idx", iter([offsets.tobytes()]))
-        yield pa.RecordBatch.from_pydict({"part": [part], "records": [len(members)]})
+                member = compress(record(page_id, url, html))
+                offsets.append(offsets[-1] + len(member))
+                for k, file in enumerate(files):
+                    file.write(_flip(member) if damage and k == len(files) - 1 and damage(page_id) else member)
+        for folder, file in zip(folders, files):
+            file.done()
+            write_file(f"{folder}/part-{part:06d}.idx", iter([np.array(offsets, "<i8").tobytes()]))
+        if files:
+            yield pa.RecordBatch.from_pydict({"part": [part], "records": [len(offsets) - 1]})
 
     chosen = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("html"))
     return sorted((r.part, r.records) for r in chosen.mapInArrow(run, "part long, records long").collect())
@@ -133,24 +136,49 @@ def read_records(spark: SparkSession, folder: str, files: list[tuple[int, int]],
 
 
 class FixityTree:
-    """The levels of one replica's tree: level 0 the records, the last the root of the archive."""
+    """The levels of one replica's tree: level 0 the records, the last the root of the archive.
+
+    Levels are Parquet files in the shared folder, each task's rows in order, so that the nodes of few files are read
+    without the rest.
+    """
 
     def __init__(self, leaves: DataFrame):
-        at = leaves.select("file", F.col("seq").alias("pos"), "offset", "size", "hash")
-        self.levels, self.parents = [cut(at)], []
-        while self.levels[-1].where("pos > 0").limit(1).count():
-            self._up(F.col("file"), F.floor(F.col("pos") / FAN).cast("long"), F.col("pos"))
-        while self.levels[-1].where("file >= 0").limit(1).count():
-            top = self.levels[-1].agg(F.max("file")).first()[0]
-            # files above files: their numbers are folded, and the one node left is numbered -1
-            self._up(F.lit(-1).cast("long") if top < FAN else F.floor(F.col("file") / FAN).cast("long"), F.lit(0).cast("long"), F.col("file"))
+        self.spark, self.folder = leaves.sparkSession, shared_folder(leaves.sparkSession, "fixity")
+        self.levels, self.parents, self.inner = [], [], 0
+        self._keep(leaves.select("file", F.col("seq").alias("pos"), "offset", "size", "hash"))
+
+    def _keep(self, nodes: DataFrame) -> None:
+        where = f"{self.folder}/level={len(self.levels)}"
+        nodes.select("file", "pos", "offset", "size", "hash").sortWithinPartitions("file", "pos").write.parquet(where)
+        self.levels.append(self.spark.read.schema("file long, pos long, offset long, size long, hash string").parquet(where))
+
+    def within_files(self) -> bool:
+        """If some file has more than one node yet."""
+        return bool(self.levels[-1].where("pos > 0").limit(1).count())
+
+    def files_most(self) -> int:
+        """The highest file number, -1 at the root."""
+        top = self.levels[-1].agg(F.max("file")).first()[0]
+        return -1 if top is None else top
+
+    def in_files(self, level: int) -> bool:
+        """If a level's nodes have the file number of their parents."""
+        return level < self.inner
+
+    def up_within(self) -> None:
+        self.inner += 1
+        self._up(F.col("file"), F.floor(F.col("pos") / FAN).cast("long"), F.col("pos"))
+
+    def up_files(self, last: bool) -> None:
+        """Files above files: their numbers are folded, and the one node left is numbered -1."""
+        self._up(F.lit(-1).cast("long") if last else F.floor(F.col("file") / FAN).cast("long"), F.lit(0).cast("long"), F.col("file"))
 
     def _up(self, file, pos, order) -> None:
         below = self.levels[-1].select(file.alias("file"), pos.alias("pos"), order.alias("n"), "offset", "size", "hash")
         text = F.transform(F.array_sort(F.collect_list(F.struct("n", "offset", "size", "hash"))), lambda x: F.concat_ws(":", x["offset"], x["size"], x["hash"]))
         nodes = below.groupBy("file", "pos").agg(F.sha2(F.array_join(text, "\n").cast("binary"), 256).alias("hash"), F.min("offset").alias("offset"), F.sum("size").alias("size"))
         self.parents.append((file, pos))
-        self.levels.append(cut(nodes.select("file", "pos", "offset", "size", "hash")))
+        self._keep(nodes)
 
     @property
     def root(self) -> str:
@@ -158,19 +186,36 @@ class FixityTree:
         return row["hash"] if row else hashlib.sha256(b"").hexdigest()
 
 
+def fixity_trees(*leaves: DataFrame) -> list[FixityTree]:
+    """A tree for each replica, all of one height: the lower ones get levels of single children."""
+    trees = [FixityTree(x) for x in leaves]
+    while any([t.within_files() for t in trees]):
+        for t in trees:
+            t.up_within()
+    while (most := max(t.files_most() for t in trees)) >= 0:
+        for t in trees:
+            t.up_files(most < FAN)
+    return trees
+
+
+#: Up to so many files with a wrong node are named in the scan's filter.
+FILES_NAMED = 1000
+
+
 def differing(a: FixityTree, b: FixityTree) -> DataFrame:
-    """(file, seq) of the records in which the replicas differ, found by descent from the roots."""
-    spark = a.levels[0].sparkSession
-    if len(a.levels) != len(b.levels):  # trees of different heights: compare the leaves
-        return _unequal(a.levels[0], b.levels[0]).select("file", F.col("pos").alias("seq"))
+    """(file, seq) of the records in which the replicas differ, found by descent from the roots of two trees of one height."""
     if a.root == b.root:
-        return spark.createDataFrame([], "file long, seq long")
+        return a.spark.createDataFrame([], "file long, seq long")
     wrong = _unequal(a.levels[-1], b.levels[-1])
     for level in range(len(a.levels) - 2, -1, -1):
         file, pos = a.parents[level]
-        suspects = []
+        suspects, named = [], None
+        if a.in_files(level):
+            found = [r.file for r in wrong.select("file").distinct().limit(FILES_NAMED + 1).collect()]
+            named = found if len(found) <= FILES_NAMED else None
         for tree in (a, b):
-            nodes = tree.levels[level].withColumns({"_file": file, "_pos": pos})
+            nodes = tree.levels[level] if named is None else tree.levels[level].where(F.col("file").isin(named))
+            nodes = nodes.withColumns({"_file": file, "_pos": pos})
             up = wrong.select(F.col("file").alias("_file"), F.col("pos").alias("_pos"))
             suspects.append(nodes.join(up, ["_file", "_pos"], "left_semi").drop("_file", "_pos"))
         wrong = cut(_unequal(*suspects))
@@ -194,7 +239,10 @@ def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     every, rest = DRILL
     files = write_archive(pages, [first, second], lambda page_id: page_id is not None and page_id % every == rest)
     records = cut(read_records(spark, first, files, contents=True))
-    bad = differing(FixityTree(records), FixityTree(read_records(spark, second, files)))
+    trees = fixity_trees(records, read_records(spark, second, files))
+    bad = differing(*trees)
+    for folder in (first, second, *[t.folder for t in trees]):
+        remove_folder(folder)  # the drill's findings are kept
     found = records.join(bad.withColumn("status", F.lit("corrupt")), ["file", "seq"], "left")
     return found.select("page_id", "url", "payload_sha256", F.coalesce("status", F.lit("intact")).alias("status"))
 
