@@ -4,7 +4,8 @@ Arrays are (height, width) for grey and (height, width, 3) for colour, 8 bits a
 their type). ``area_resize`` takes each target pixel as the mean of the source area it covers, from an integral
 image read at fractional places; the image is summed in bands, so an image of any height needs the memory of
 one band. The difference hash compares neighbours in a 9 x 8 resize. Tiles are NPY files: a column of them, or
-one stacked file a partition in a shared folder with an index.
+stacked, one file a batch of rows, in a shared folder, each row with its file and slot. The query stores each text as a
+grey map or a BMP, writes the tiles to such files and takes feature and tile_sha256 from what it reads back.
 
 Defined results: null media gives nulls; bytes that are no such image give nulls and the reason in ``media_error``;
 repeated rows are kept; an empty table gives an empty result; columns named like the new ones are replaced.
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import documents, shared_folder, small_batches, utf8, write_file
+from .runtime import cut, documents, filesystem, fresh, remove_folder, shared_folder, small_batches, tidy, utf8, write_file
 
 #: Payloads of the contract's query are padded to whole squares of this width.
 WIDTH = 24
@@ -192,7 +193,7 @@ def media_features(table: DataFrame, media: str, keep: list[str], samples: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
-        for batch in batches:
+        for batch in tidy(batches):
             rows = [features(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             new = [pa.array([r.get(n) for r in rows], types[t]) for n, t in made.items()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*keep, *made])
@@ -200,37 +201,86 @@ def media_features(table: DataFrame, media: str, keep: list[str], samples: bool
     return chosen.mapInArrow(run, schema)
 
 
-def write_tiles(tiles: DataFrame, folder: str | None = None, key: str = "doc_id", tile: str = "tile") -> DataFrame:
-    """Stacked NPY files, one a partition, in a shared folder; returns (key, file, slot) of every tile. Null tiles are left out."""
-    spark = tiles.sparkSession
-    folder = folder or shared_folder(spark, "tiles")
-    chosen = tiles.select(F.col(key).cast("long").alias("key"), tile).where(F.col(tile).isNotNull())
+def write_tiles(tiles: DataFrame, folder: str, tile: str = "tile") -> DataFrame:
+    """Stacked NPY files, one a batch of rows, in a shared folder; the table with (file, slot) instead of the tile. Null tiles have neither."""
+    kept = [c for c in tiles.columns if c != tile]
+    file, slot = fresh(kept, "file", "slot")
+    chosen = tiles.select(*kept, tile)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:-1]) + f", `{file}` string, `{slot}` int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for n, batch in enumerate(batches):
+        for n, batch in enumerate(tidy(batches)):
+            found = [x and np.load(io.BytesIO(x)) for x in batch.column(len(kept)).to_pylist()]
+            stack = [x for x in found if x is not None]
             name = f"{folder}/tiles-{part:06d}-{n:06d}.npy"
-            write_file(name, iter([npy(np.stack([np.load(io.BytesIO(x)) for x in batch.column(1).to_pylist()]))]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * batch.num_rows), pa.array(range(batch.num_rows), pa.int32())], ["key", "file", "slot"])
+            if stack:
+                write_file(name, iter([npy(np.stack(stack))]))
+            there = np.array([x is not None for x in found], bool)
+            slots = pa.array(np.cumsum(there) - 1, pa.int32(), mask=~there)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([name if x else None for x in there], pa.string()), slots], [*kept, file, slot])
 
-    return chosen.mapInArrow(run, "key long, file string, slot int")
+    return chosen.mapInArrow(run, schema)
+
+
+def read_tiles(placed: DataFrame, file: str = "file", slot: str = "slot") -> DataFrame:
+    """The table of ``write_tiles`` with tile_sha256 (of the tile as an NPY file of its own) and dhash, from the files, instead of file and slot."""
+    kept = [c for c in placed.columns if c not in (file, slot, "tile_sha256", "dhash")]
+    chosen = placed.select(*kept, file, slot)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:-2]) + ", tile_sha256 string, dhash string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, stack = None, None
+        for batch in tidy(batches):
+            shas, hashes = [], []
+            for where, k in zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist()):
+                if where is None:
+                    shas.append(None)
+                    hashes.append(None)
+                    continue
+                if where != name:  # rows of a file stand together
+                    fs, path = filesystem(where)
+                    with fs.open_input_stream(path, compression=None) as stream:
+                        name, stack = where, np.load(io.BytesIO(stream.read()))
+                shas.append(hashlib.sha256(npy(stack[k])).hexdigest())
+                hashes.append(difference_hash(stack[k]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(shas, pa.string()), pa.array(hashes, pa.string())], [*kept, "tile_sha256", "dhash"])
+
+    return chosen.mapInArrow(run, schema)
+
+
+def _little(n: Column) -> Column:
+    """A non-negative number below 2^31 as four bytes, the least first."""
+    digits = F.lpad(F.hex(n), 8, "0")
+    return F.concat(*[F.unhex(F.substring(digits, i, 2)) for i in (7, 5, 3, 1)])
+
+
+#: What an 8-bit BMP has between its sizes and its raster: one plane, 8 bits, no compression, and a palette of 256 greys.
+_PLANES = struct.pack("<HHI", 1, 8, 0)
+_PALETTE = np.repeat(np.arange(256, dtype=np.uint8), 4).tobytes()
 
 
 def payload_image(text: Column) -> Column:
-    """A text's bytes, padded with 255 to whole squares, as a binary grey map (P5) of width 24."""
+    """A text's bytes, padded with 255 to whole squares, as a grey image of width 24: a binary grey map (P5) or, for half of the texts by their checksum, a BMP with rows from the top."""
     raw = utf8(text)
     size = F.octet_length(raw)
     square = WIDTH * WIDTH
     whole = (F.greatest(F.lit(1), F.ceil(size / square)) * square).cast("int")
-    header = F.concat(F.lit(f"P5\n{WIDTH} "), (whole / WIDTH).cast("int").cast("string"), F.lit("\n255\n")).cast("binary")
+    rows = (whole / WIDTH).cast("int")
+    grey_map = F.concat(F.lit(f"P5\n{WIDTH} "), rows.cast("string"), F.lit("\n255\n")).cast("binary")
+    start = 54 + len(_PALETTE)
+    from_top = F.concat(*[F.unhex(F.substring(F.hex(F.lit(1 << 32) - rows), i, 2)) for i in (7, 5, 3, 1)])  # a negative height
+    sizes = F.concat(F.lit(struct.pack("<III", 0, start, 40)), F.lit(struct.pack("<i", WIDTH)), from_top, F.lit(_PLANES))
+    bitmap = F.concat(F.lit(b"BM"), _little(whole + start), sizes, _little(whole), F.lit(struct.pack("<iiII", 2835, 2835, 256, 0) + _PALETTE))
     padding = F.unhex(F.repeat(F.lit("FF"), whole - size))
-    return F.concat(header, raw, padding)
+    return F.concat(F.when(F.crc32(raw) % 2 == 0, grey_map).otherwise(bitmap), raw, padding)
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's payload as an image: what was stored, what is read back, and its features."""
+    """Every document's payload as an image: what was stored, what is read back, and the features of the tiles read from their files."""
     docs = documents(spark, sf_dir).select("doc_id", F.octet_length(utf8(F.col("text"))).cast("long").alias("n_bytes"), payload_image(F.col("text")).alias("media"))
-    found = media_features(docs, "media", ["doc_id", "n_bytes"], samples=True)
-    return found.select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("dhash").alias("feature"), F.sha2("tile", 256).alias("tile_sha256"), "width", "height"
-    )
+    found = media_features(docs, "media", ["doc_id", "n_bytes"], samples=True).drop("dhash", "media_error")
+    folder = shared_folder(spark, "tiles")
+    out = cut(read_tiles(cut(write_tiles(found, folder))))
+    remove_folder(folder)  # the digests are kept
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("dhash").alias("feature"), "tile_sha256", "width", "height")

@@ -246,19 +246,52 @@ def test_images_decode_resize_and_hash():
         media.decode_image(b"GIF89a")
 
 
-def test_media_payload_is_kept(spark, odd):
-    for r, t in zip(sorted(media.op4_media(spark, odd).collect(), key=lambda r: (r.doc_id or 0, r.payload_sha256)), sorted(documents(spark).collect(), key=lambda r: (r.doc_id or 0))):
+def _exact_means(image, rows, columns):
+    """Area means by repeating every sample."""
+    big = np.repeat(np.repeat(image.astype(float), rows, 0), columns, 1)
+    return big.reshape(rows, image.shape[0], columns, image.shape[1]).mean((1, 3))
+
+
+def test_media_query_equals_plain_images(spark, odd):
+    """Payload, stored form, feature and tile of every text, made again without the operator."""
+    import io
+    import struct
+
+    kinds = set()
+    texts = sorted(documents(spark).collect(), key=lambda r: (r.doc_id or 0))
+    for r, t in zip(sorted(media.op4_media(spark, odd).collect(), key=lambda r: (r.doc_id or 0, r.payload_sha256)), texts):
         raw = (t.text or "").encode()
         pad = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-32:]))
-
-
-def test_tiles_are_written_and_read(spark):
-    images = spark.createDataFrame([(i, bytearray(media.encode_netpbm(np.full((9, 9), i, np.uint8)))) for i in range(5)] + [(9, None), (10, bytearray(b"no"))], "doc_id long, media binary")
-    found = media.media_features(images, "media", ["doc_id"])
-    for r in media.write_tiles(found).collect():
-        assert (np.load(r.file.removeprefix("file://"))[r.slot] == r.key).all()
+        rows = len(pad) // 24
+        palette = b"".join(bytes([g, g, g, g]) for g in range(256))
+        bitmap = b"BM" + struct.pack("<IHHIIiiHHIIiiII", 1078 + len(pad), 0, 0, 1078, 40, 24, -rows, 1, 8, 0, len(pad), 2835, 2835, 256, 0) + palette
+        stored = (b"P5\n24 %d\n255\n" % rows if zlib.crc32(raw) % 2 == 0 else bitmap) + pad
+        kinds.add(stored[:2])
+        assert (r.media_bytes, r.media_sha256, r.width, r.height) == (len(stored), hashlib.sha256(stored).hexdigest(), 24, rows)
+        if rows > 1000:
+            continue
+        tile = np.rint(_exact_means(np.frombuffer(pad, np.uint8).reshape(rows, 24), 16, 16)).astype(np.uint8)
+        small = np.round(_exact_means(tile, 8, 9), 6)
+        assert r.feature == np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
+        file = io.BytesIO()
+        np.save(file, tile)
+        assert r.tile_sha256 == hashlib.sha256(file.getvalue()).hexdigest()
+    assert len(kinds) == 2
+
+
+def test_tiles_are_written_and_read(spark, tmp_path):
+    images = spark.createDataFrame([(i, bytearray(media.encode_netpbm(np.full((9, 9), i, np.uint8)))) for i in range(5)] + [(9, None), (10, bytearray(b"no"))], "slot long, media binary")
+    found = media.media_features(images, "media", ["slot"])
+    placed = media.write_tiles(found, f"file://{tmp_path}/t")
+    assert placed.columns[-2:] == ["file", "_slot"]
+    for r in placed.collect():
+        assert (r.file is None) == (r.slot >= 9)
+        if r.file:
+            assert (np.load(r.file.removeprefix("file://"))[r._slot] == r.slot).all()
     assert found.where("media_error is not null").count() == 1
+    got = media.read_tiles(placed, "file", "_slot").collect()
+    assert len({r.tile_sha256 for r in got}) == 6 and sum(r.dhash is None for r in got) == 2
 
 
 def test_base_scores_are_exact_and_contexts_help(spark, sf):
@@ -374,6 +407,15 @@ def test_shards_are_even_and_slots_gapless(spark, sf):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_places_equal_plain_comparison():
+    rng = np.random.default_rng(8)
+    keys = sorted({tuple(k) for k in rng.integers(0, 4, (40, 3)).tolist()})
+    rows = rng.integers(0, 5, (500, 3))
+    a, b, c = (np.array([k[i] for k in keys]) for i in range(3))
+    got = sharding.place(*rows.T, a, b, c)
+    assert got.tolist() == [sum(k <= tuple(r) for k in keys) for r in rows.tolist()]
+
+
 def test_a_hot_text_is_split(spark):
     docs = spark.createDataFrame([(i % 3, "same text") for i in range(800)] + [(i, f"other {i}") for i in range(800)], "doc_id long, text string")
     rows = sharding.histogram_shards(sharding.shard_keys(docs).drop("text"), 8, part_bytes=500).collect()
@@ -391,11 +433,15 @@ def test_audit_finds_damage_and_only_that(spark):
     bad = {3, 17, 44}
     files = warc.write_archive(pages, [a, b], lambda i: i in bad)
     records = warc.read_records(spark, a, files, contents=True)
-    trees = warc.FixityTree(records), warc.FixityTree(warc.read_records(spark, b, files))
-    assert trees[0].root != trees[1].root and trees[0].root == warc.FixityTree(records).root
+    trees = warc.fixity_trees(records, warc.read_records(spark, b, files))
+    assert trees[0].root != trees[1].root and trees[0].root == warc.fixity_trees(records)[0].root
     found = records.join(warc.differing(*trees), ["file", "seq"]).select("page_id").collect()
     assert {r.page_id for r in found} == bad
     assert warc.differing(trees[0], trees[0]).count() == 0
+    # a replica that lacks most records has a lower tree of its own; in step with the other it is still found by descent
+    few = records.where("seq < 3 or file > 0")
+    lacks = warc.differing(*warc.fixity_trees(records, few)).collect()
+    assert {(r.file, r.seq) for r in lacks} == {(r.file, r.seq) for r in records.where("seq >= 3 and file = 0").collect()}
     assert {(r.page_id, r.url, r.payload_sha256) for r in records.collect()} == {(i, f"http://x/{i}", hashlib.sha256(b"h" * i).hexdigest()) for i in range(60)}
 
 
