@@ -97,7 +97,8 @@ def histogram(c: Column, edges: list[float]) -> Column:
     return out
 
 
-def weighted_sample(df: DataFrame, keys: list[str], weight: Column, n: int, seed: int) -> DataFrame:
-    """n rows of each key without replacement, with chances by weight; the draw depends on the row's hash alone (RND-01, RND-02)."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
-    return top_per_group(df.withColumn("_d", -F.ln(u) / weight), keys, [F.col("_d"), F.xxhash64(*df.columns)], n).drop("_d")
+def weighted_sample(df: DataFrame, keys: list[str], weight: Column, n: int, seed: int, ident: list[str]) -> DataFrame:
+    """n rows of each key without replacement, with chances by weight; the draw depends on the seed and the row's ``ident`` alone (RND-01, RND-02)."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ident])
+    u = (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") + 1) / float((1 << 52) + 1)
+    return top_per_group(df.withColumn("_d", -F.ln(u) / weight), keys, [F.col("_d"), *map(F.col, ident)], n).drop("_d")

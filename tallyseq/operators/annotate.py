@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import classified, directional, gate, tier
+from ..functions.columns import classified, directional, gate, tier, truthy
 from .aggregate import first_by
 from .match import small, unambiguous
 
@@ -77,6 +77,26 @@ def program(text: Column) -> Column:
     return F.regexp_replace(classified(F.lower(text), PROGRAM_RULES, UNCLEAR), r" \((identity|endo)\)$", "")
 
 
+def receptor_call(cells: DataFrame, contigs: DataFrame, trb: str, tra: str, names: tuple[str, str]) -> DataFrame:
+    """cell, cell_type (the first name for cells with a chain of the receptor on an eligible contig) and clonotype (the most frequent, ties to the first; '' without) (Q-18).
+
+    contigs: cell, chain, cdr3, productive, high_confidence (text), clonotype.
+    """
+    eligible = truthy(F.coalesce("productive", F.lit(""))) | truthy(F.coalesce("high_confidence", F.lit("")))
+    has = ((F.col("chain") == "TRB") & (F.col("cdr3") == trb)) | ((F.col("chain") == "TRA") & (F.col("cdr3") == tra))
+    per = contigs.groupBy("cell").agg(F.coalesce(F.max(eligible & has), F.lit(False)).alias("_has"), F.mode("clonotype", True).alias("_c"))
+    kind = F.when(F.col("_has"), names[0]).otherwise(names[1])
+    return cells.join(per, "cell", "left").select("cell", kind.alias("cell_type"), F.coalesce("_c", F.lit("")).alias("clonotype"))
+
+
+def program_cards(hits: DataFrame, tier_name: str, text: str) -> DataFrame:
+    """Hits of one tier with their program and its number of cards, programs in order of first sight (Q-49). hits: gene, tier, row, an annotation text."""
+    cards = hits.where(F.col("tier") == tier_name).withColumn("program", program(F.col(text)))
+    sizes = cards.groupBy("program").agg(F.count("*").alias("gene_cards"), F.min("row").alias("_first"))
+    placed = sizes.withColumn("place", F.row_number().over(Window.orderBy("_first"))).drop("_first")  # one row a program
+    return cards.join(F.broadcast(placed), "program")
+
+
 def labels(df: DataFrame, name: str, score: str, k_low: int, k_high: int, forced: list[str]) -> DataFrame:
     """Forced names, then the lowest and the highest scores; a name that is chosen twice keeps the first reason (SRT-08)."""
     pick = lambda order, k, source, rank: df.orderBy(order, name).limit(k).withColumns({"source": F.lit(source), "_p": F.lit(rank)})

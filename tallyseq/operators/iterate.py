@@ -2,47 +2,39 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from dataclasses import dataclass
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq, special
+from .lineage import settle
 from .stats import benjamini_hochberg, overdispersion
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Lineage ends in the shared checkpoint folder the session names; in the plan where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = sc.getConf().get("spark.checkpoint.dir")
-        if not where:
-            import tempfile
-
-            where = tempfile.mkdtemp(prefix="tallyseq-")
-        sc.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
-
-
 def collapse_umis(counts: DataFrame, key: str, umi: str, count: str, length: int, ratio: int = 10, most: int = 3) -> DataFrame:
     """UMIs attach to the nearest more frequent one, and counts go to the roots (ITER-01).
 
     A parent has at least ``ratio`` times the count and at most ``most`` mismatches; the nearest wins, then the most
-    frequent, then the first by name. Parents are sought through shared seeds, so a key with very many UMIs is dealt over
-    its seeds. Each step multiplies the count by ``ratio``, so the chain has at most log(largest count) steps and the
+    frequent, then the first by name. Parents are sought through shared seeds and the magnitudes above the child's, so a
+    key with very many UMIs is dealt over both, and UMIs of one magnitude never meet. Each step multiplies the count by ``ratio``, so the chain has at most log(largest count) steps and the
     jumps to the root are unrolled.
     """
     rows = settle(counts.groupBy(key, umi).agg(F.sum(count).alias(count)))
-    seeds = rows.withColumn("_s", F.explode(seq.seed_chunks(F.col(umi), length, most)))
-    child = seeds.select(key, "_s", F.col(umi).alias("child"), F.col(count).alias("_c"))
-    parent = seeds.select(key, "_s", F.col(umi).alias("parent"), F.col(count).alias("_p"))
-    met = child.join(parent, [key, "_s"]).where(F.col("_p") >= ratio * F.col("_c")).where("child != parent").withColumn("_d", seq.hamming(F.col("child"), F.col("parent")))
+    largest = rows.agg(F.max(count)).first()[0] or 1
+    level = lambda c: F.floor(F.log(float(ratio), c) + 1e-9).cast("int")  # noqa: E731  a parent is a level higher at least
+    top = int(math.log(max(largest, 1), ratio) + 1e-9)
+    seeds = rows.withColumns({"_s": F.explode(seq.seed_chunks(F.col(umi), length, most)), "_l": level(F.col(count))})
+    child = seeds.where(F.col("_l") < top).select(key, "_s", F.col(umi).alias("child"), F.col(count).alias("_c"), F.explode(F.sequence(F.col("_l") + 1, F.lit(top))).alias("_l"))
+    parent = seeds.select(key, "_s", "_l", F.col(umi).alias("parent"), F.col(count).alias("_p"))
+    met = child.join(parent, [key, "_s", "_l"]).where(F.col("_p") >= ratio * F.col("_c")).where("child != parent").withColumn("_d", seq.hamming(F.col("child"), F.col("parent")))
     best = met.where(F.col("_d") <= most).groupBy(key, "child").agg(F.min(F.struct("_d", (-F.col("_p")).alias("p"), "parent")).alias("_b"))
     links = rows.join(best.select(key, F.col("child").alias(umi), F.col("_b.parent").alias("up")), [key, umi], "left")
     links = settle(links.withColumn("root", F.coalesce("up", umi)))
-    largest = links.agg(F.max(count)).first()[0] or 1
     steps = max(1, math.ceil(math.log(max(largest, 2), ratio)))
     for _ in range(max(1, math.ceil(math.log2(steps + 1)))):  # pointer jumping doubles the reach
         up = links.select(F.col(key), F.col(umi).alias("root"), F.col("root").alias("_next"))
@@ -103,16 +95,15 @@ def decontaminate(donor: DataFrame, recipient: DataFrame, settings: Decontaminat
     rows = settle(decontamination_input(donor, recipient, settings).withColumns({"stat_flagged": F.lit(False), "last_flag_round": F.lit(0)}))
 
     def rho_of(df: DataFrame) -> float:
-        with_totals = df if "barcode_total" in df.columns else df
-        with_totals = with_totals.withColumn("_n", F.sum("clean_count").over(Window.partitionBy("barcode")) if "barcode_total" not in df.columns else F.col("barcode_total"))
+        with_totals = df.withColumn("_n", F.sum("clean_count").over(Window.partitionBy("barcode")) if "barcode_total" not in df.columns else F.col("barcode_total"))
         eligible = (F.col("donor_n_ids") >= settings.min_donor_ids) & ~F.col("hard") & ~F.col("stat_flagged")
-        return overdispersion(with_totals, "clean_count", "_n", "p", eligible, cap=settings.rho_cap).first()[0] or 0.0
+        return overdispersion(with_totals, "clean_count", "_n", "p", eligible, cap=settings.rho_cap).first()[0]
 
     rho, done = rho_of(rows), 0
     for done in range(1, settings.rounds + 1):
         state = decontamination_candidates(rows.drop("barcode_total", "expected", "enrichment", "candidate", "p_value", "q_value"), settings)
         tested = state.withColumn("p_value", F.when(F.col("candidate"), tail(F.when(F.col("candidate"), F.col("clean_count")), F.when(F.col("candidate"), F.col("barcode_total")), F.col("p"), F.lit(rho))))
-        adjusted = benjamini_hochberg(tested, "p_value", "q_value", tie=["barcode", "cell_id"])
+        adjusted = benjamini_hochberg(tested, "p_value", "q_value")
         now = F.col("candidate") & (F.coalesce("q_value", F.lit(1.0)) <= settings.fdr)
         rows = settle(
             adjusted.withColumn("_now", now).withColumns(
@@ -149,29 +140,40 @@ def merge_barcodes(cell: str, rows: pd.DataFrame, most: int = 2, least_reads: in
         held[0].add(u)
         held[1] += int(n)
     support = lambda b: (len(umis[b]), reads[b], b)
-    apart = lambda a, b: sum(x != y for x, y in zip(a, b)) if len(a) == len(b) else max(len(a), len(b))
+    apart = lambda a, b: sum(x != y for x, y in zip(a, b))
     events: list[tuple] = []
-
-    def next_merge():
-        for low in sorted(umis, key=support):
-            if identity[low] is None:
-                continue
-            for high in sorted((b for b in umis if b != low and identity[b] == identity[low]), key=support, reverse=True):
-                if (d := apart(low, high)) <= most:
-                    return low, high, d
-        return None
-
-    while (step := next_merge()) is not None:
-        low, high, d = step
+    # barcodes alike share a mask, so a barcode's neighbours are found without comparing it with all others
+    masks = lambda b: ["".join("*" if i in hidden else x for i, x in enumerate(b)) for hidden in combinations(range(len(b)), min(most, len(b)))]
+    filed: dict[tuple, set] = {}
+    for b in umis:
+        if identity[b] is not None:
+            for m in masks(b):
+                filed.setdefault((identity[b], m), set()).add(b)
+
+    def neighbours(b: str) -> set:
+        return set().union(*[filed[identity[b], m] for m in masks(b)]) - {b}
+
+    # neighbours only ever go, so a barcode without any is done with; a stale entry of the heap is skipped
+    waiting = [support(b) for b in umis if identity[b] is not None and neighbours(b)]
+    heapq.heapify(waiting)
+    while waiting:
+        entry = heapq.heappop(waiting)
+        low = entry[2]
+        if low not in umis or support(low) != entry or not (near := neighbours(low)):
+            continue
+        high = max(near, key=support)
         shared = len(umis[low] & umis[high])
         before = (len(umis[low]), len(umis[high]), reads[low], reads[high])
         umis[high] |= umis.pop(low)
         reads[high] += reads.pop(low)
+        for m in masks(low):
+            filed[identity[low], m].discard(low)
         for f, (u, n) in by_feature.pop(low).items():
             held = by_feature[high].setdefault(f, [set(), 0])
             held[0] |= u
             held[1] += n
-        events.append((len(events) + 1, low, high, d, *before, shared, len(umis[high]), reads[high]))
+        events.append((len(events) + 1, low, high, apart(low, high), *before, shared, len(umis[high]), reads[high]))
+        heapq.heappush(waiting, support(high))
     kept = []
     for b in sorted(umis):
         if reads[b] > least_reads:

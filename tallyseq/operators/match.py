@@ -1,7 +1,7 @@
 """Joins between reads and references: exact, masked, nearest and approximate.
 
 Reference tables are dimensions of known size; ``small`` counts them and marks them for broadcast only within
-``DIMENSION_ROWS``, and larger ones meet the reads in shuffled joins on the same keys.
+``DIMENSION_ROWS`` and ``DIMENSION_BYTES``, and larger ones meet the reads in shuffled joins on the same keys.
 """
 
 from __future__ import annotations
@@ -15,16 +15,19 @@ from pyspark.sql import functions as F
 from ..functions import seq
 
 DIMENSION_ROWS = 500_000
+DIMENSION_BYTES = 64 << 20
 
 
-def small(df: DataFrame, rows: int = DIMENSION_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = DIMENSION_ROWS, size: int = DIMENSION_BYTES) -> DataFrame:
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
 
 
-def expand_degenerate(patterns: DataFrame, pattern: str, out: str, most: int = 10) -> DataFrame:
-    """Every n of a pattern as each of a, c, g and t, one place at a time (SEQ-02)."""
+def expand_degenerate(patterns: DataFrame, pattern: str, out: str) -> DataFrame:
+    """Every n of a pattern as each of a, c, g and t, one place at a time (SEQ-02). All places are expanded, as many as the longest pattern has."""
     df = patterns.withColumn(out, F.col(pattern))
     bases = F.array(*[F.lit(b) for b in "acgt"])
+    most = patterns.agg(F.max(F.length(F.regexp_replace(pattern, "[^n]", "")))).first()[0] or 0
     for _ in range(most):
         first = F.instr(out, "n")
         parts = F.transform(bases, lambda b: F.concat(F.substring(F.col(out), F.lit(1), first - 1), b, F.substring(F.col(out), first + 1, F.length(out))))
@@ -119,16 +122,23 @@ def nearest(queries: DataFrame, references: DataFrame, sequence: str, reference:
 
 
 def overlaps(blocks: DataFrame, features: DataFrame, keys: list[str], feature: str, chrom: str = "chrom", bin_size: int = 16384) -> DataFrame:
-    """For each read the features its blocks overlap (half-open): n, and the one if it is alone (MAT-11)."""
+    """For each read what its blocks overlap (half-open): status counted, no_feature or ambiguous, and the feature if it is alone (MAT-11).
 
-    def binned(df):
-        low, high = F.floor(F.col("start") / bin_size), F.floor((F.col("end") - 1) / bin_size)
-        return df.where("end > start").withColumn("_bin", F.explode(F.sequence(low, high)))
+    Blocks and features meet by bins; an overlap counts in the bin of its first base only, so none is met twice. Whether a
+    read has one feature is told by the least and the greatest, which are summed before the one exchange by read.
+    """
+
+    def bins(start, end):
+        return F.explode(F.sequence(F.floor(start / bin_size), F.floor((F.greatest(end, start + 1) - 1) / bin_size)))
 
-    f = binned(features.select(chrom, "start", "end", feature)).withColumnsRenamed({"start": "_fs", "end": "_fe"})
-    met = binned(blocks).join(f, [chrom, "_bin"]).where((F.col("_fs") < F.col("end")) & (F.col("_fe") > F.col("start")))
-    found = met.groupBy(*keys).agg(F.count_distinct(feature).alias("n"), F.min(feature).alias("_f"))
-    return found.select(*keys, "n", F.when(F.col("n") == 1, F.col("_f")).alias(feature))
+    f = features.where("end > start").select(F.col(chrom).alias("_fc"), F.col("start").alias("_fs"), F.col("end").alias("_fe"), F.col(feature).alias("_f"))
+    f = small(f.withColumn("_fb", bins(F.col("_fs"), F.col("_fe"))))
+    binned = blocks.withColumn("_bin", bins(F.col("start"), F.col("end")))
+    first = F.floor(F.greatest("start", "_fs") / bin_size) == F.col("_bin")
+    meets = (F.col(chrom) == F.col("_fc")) & (F.col("_bin") == F.col("_fb")) & (F.col("_fs") < F.col("end")) & (F.col("_fe") > F.col("start")) & (F.col("end") > F.col("start")) & first
+    found = binned.join(f, meets, "left").groupBy(*keys).agg(F.min("_f").alias("_low"), F.max("_f").alias("_high"))
+    status = F.when(F.col("_low").isNull(), "no_feature").when(F.col("_low") == F.col("_high"), "counted").otherwise("ambiguous")
+    return found.select(*keys, status.alias("status"), F.when(F.col("_low") == F.col("_high"), F.col("_low")).alias(feature))
 
 
 def context_pattern(barcodes: Iterable[str], left: str, right: str, edits: int = 1) -> str:
@@ -191,14 +201,24 @@ def knn(points: DataFrame, key: str, vector: str, label: str, k: int, block: int
         if not len(a) or not len(b):
             return pd.DataFrame({"_key": [], "neighbour": [], "label": [], "distance": []})
         x, y = np.stack(a._v.to_numpy()).astype(float), np.stack(b._v.to_numpy()).astype(float)
-        rows = []
-        ids = b._key.to_numpy()
-        for i, (own, v) in enumerate(zip(a._key, x)):
-            d = ((y - v) ** 2).sum(1)
-            d[ids == own] = np.inf
-            order = np.lexsort((ids, d))[:k]
-            rows += [(own, ids[j], b._l.iat[j], float(np.sqrt(d[j]))) for j in order if np.isfinite(d[j])]
-        return pd.DataFrame(rows, columns=["_key", "neighbour", "label", "distance"])
+        own, ids, names = a._key.to_numpy(), b._key.to_numpy(), b._l.to_numpy()
+        xx, yy = (x * x).sum(1), (y * y).sum(1)
+        slack = 1e-9 * (1 + xx.max() + yy.max())
+        out = []
+        for low in range(0, len(x), 256):
+            part = slice(low, low + 256)
+            # one matrix product finds who may be near; those few are measured exactly
+            rough = xx[part, None] + yy - 2 * x[part] @ y.T
+            rough[own[part, None] == ids] = np.inf
+            far = np.partition(rough, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+            i, j = np.nonzero((rough <= far[:, None] + slack) & np.isfinite(rough))
+            d = ((x[part][i] - y[j]) ** 2).sum(1)
+            order = np.lexsort((ids[j], d, i))
+            i, j, d = i[order], j[order], d[order]
+            nth = np.arange(len(i)) - np.searchsorted(i, i)
+            i, j, d = i[nth < k], j[nth < k], d[nth < k]
+            out.append(pd.DataFrame({"_key": own[part][i], "neighbour": ids[j], "label": names[j], "distance": np.sqrt(d)}))
+        return pd.concat(out)
 
     schema = f"_key {kind[key]}, neighbour {kind[key]}, label {kind[label]}, distance double"
     found = left.unionByName(right).groupBy("_b", "_o").applyInPandas(near, schema)

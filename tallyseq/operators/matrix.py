@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .match import small
+
 
 def library_sizes(triples: DataFrame) -> DataFrame:
     """Counts and genes of each cell (MTX-01)."""
@@ -32,10 +34,34 @@ def group_means(expr: DataFrame, groups: DataFrame, genes: DataFrame) -> DataFra
     return out.withColumns({"mean": F.col("s") / F.col("n_cells"), "mean_expressing": F.try_divide("s", "n_expressing"), "detected": F.col("n_expressing") / F.col("n_cells")})
 
 
-def marker_score(expr: DataFrame, markers: DataFrame) -> DataFrame:
-    """Mean over the markers that the matrix has of the normalised expression (ST-30). markers: gene."""
-    n = markers.count()
-    return expr.join(F.broadcast(markers), "gene", "left_semi").groupBy("cell").agg((F.sum("expr") / n).alias("score"))
+def marker_score(expr: DataFrame, markers: DataFrame, genes: DataFrame | None = None) -> DataFrame:
+    """Mean over the markers that the matrix has of the normalised expression (ST-30). markers: gene.
+
+    ``genes`` names the matrix's rows; without it they are the genes that any cell expresses. Markers that the matrix
+    lacks don't count in the divisor.
+    """
+    wanted = small(markers.select("gene").distinct())
+    hits = expr.join(wanted, "gene", "left_semi")
+    n = (hits if genes is None else genes.join(wanted, "gene", "left_semi")).agg(F.count_distinct("gene").alias("_n"))  # one row
+    return hits.groupBy("cell").agg(F.sum("expr").alias("_s")).crossJoin(F.broadcast(n)).select("cell", (F.col("_s") / F.col("_n")).alias("score"))
+
+
+def gene_index(features: DataFrame, order: str, symbol: str = "symbol", kind: str = "feature_type", wanted: str = "Gene Expression") -> DataFrame:
+    """The first row of each symbol among the features of one kind (MTX-04)."""
+    return features.where(F.col(kind) == wanted).groupBy(symbol).agg(F.min(order).alias(order))
+
+
+def nonzero_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that have any value other than 0 or missing in the columns (MTX-06)."""
+    return df.where(F.exists(F.array(*columns), lambda x: F.coalesce(x != 0, F.lit(False))))
+
+
+def standardised(df: DataFrame, columns: list[str], floor: float = 1e-6) -> DataFrame:
+    """Columns less their means over their population deviations, which are ``floor`` at least (MTX-07)."""
+    moments = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])  # one row
+    wide = df.crossJoin(F.broadcast(moments))
+    scaled = {c: (F.col(c) - F.col(f"_m_{c}")) / F.greatest(f"_s_{c}", F.lit(floor)) for c in columns}
+    return wide.withColumns(scaled).select(*df.columns)
 
 
 def cell_class(a: Column, b: Column, least: float = 0.05, margin: float = 0.05) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import settle
+
 
 def log2fc(a: Column, b: Column, pseudo: float) -> Column:
     """log2((a + pseudo) / (b + pseudo)) (ST-01, ST-02, ST-05, ST-06)."""
@@ -16,37 +18,43 @@ def cpm(count: Column, library: Column, pseudo: float = 0.0, rows: Column | floa
     return 1e6 * (count + pseudo) / (library + pseudo * rows)
 
 
-def benjamini_hochberg(df: DataFrame, p: str, out: str = "q", keys: list[str] | None = None, tie: list[str] | None = None) -> DataFrame:
+def benjamini_hochberg(df: DataFrame, p: str, out: str = "q", keys: list[str] | None = None) -> DataFrame:
     """Adjusted p-values, by family if ``keys`` are given; NULL and NaN pass through as NULL (ST-08, ST-09).
 
-    Without keys the family is one, and ranks would need one ordered task. So ranks are taken within buckets of p
-    whose sizes and least values are carried over from a summary of one row a bucket.
+    Equal p-values get one result, so ranks are taken over distinct values with their counts: rows that share a
+    p-value, or have none, never meet in a task. Within a family values are ranked in buckets whose sizes and least
+    results are carried over from a summary of one row a bucket, so a family needs no single ordered task either.
     """
-    keys, tie = keys or [], tie or []
+    keys = keys or []
     good = F.col(p).isNotNull() & ~F.isnan(p)
-    if keys:
-        family = Window.partitionBy(*keys)
-        m = F.sum(good.cast("long")).over(family)
-        rank = F.row_number().over(family.orderBy(F.when(good, F.col(p)).asc_nulls_last(), *tie))
-        raw = df.withColumns({"_m": m, "_r": rank}).withColumn("_q", F.when(good, F.col(p) * F.col("_m") / F.col("_r")))
-        down = family.orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        return raw.withColumn(out, F.when(good, F.least(F.min("_q").over(down), F.lit(1.0)))).drop("_m", "_r", "_q")
     buckets = 4096
-    # equal p-values share a bucket; a finer cut near zero, where p-values crowd
-    bucket = F.when(good, F.floor(F.sqrt(F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(1.0))) * buckets).cast("int")).otherwise(buckets + 1)
-    cut = df.withColumn("_b", bucket)
-    local = Window.partitionBy("_b").orderBy(p, *tie)
-    ranked = cut.withColumn("_r", F.row_number().over(local))
-    sizes = cut.where(F.col("_b") <= buckets).groupBy("_b").count()  # at most 4097 rows
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = sizes.select("_b", before.alias("_base"), F.sum("count").over(Window.partitionBy()).alias("_m"))
-    raw = ranked.join(F.broadcast(bases), "_b", "left").withColumn("_q", F.when(good, F.col(p) * F.col("_m") / (F.col("_base") + F.col("_r"))))
-    least = raw.where(good).groupBy("_b").agg(F.min("_q").alias("_q"))
-    after = F.min("_q").over(Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1))
-    laters = least.select("_b", after.alias("_later"))
-    down = Window.partitionBy("_b").orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    q = F.least(F.min("_q").over(down), F.coalesce("_later", F.lit(1.0)), F.lit(1.0))
-    return raw.join(F.broadcast(laters), "_b", "left").withColumn(out, F.when(good, q)).drop("_b", "_r", "_base", "_m", "_q", "_later")
+    # a finer cut near zero, where p-values crowd
+    bucket = F.floor(F.sqrt(F.least(F.greatest(F.col("_p"), F.lit(0.0)), F.lit(1.0))) * buckets).cast("int")
+    family = [f"_k{i}" for i in range(len(keys))]
+    values = df.where(good).select(*[F.col(k).alias(f) for k, f in zip(keys, family)], F.col(p).alias("_p")).groupBy(*family, "_p").agg(F.count("*").alias("_n")).withColumn("_b", bucket)
+    local = Window.partitionBy(*family, "_b")
+    ranked = values.withColumn("_r", F.sum("_n").over(local.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)))
+    across = Window.partitionBy(*family)
+    before = F.coalesce(F.sum("_s").over(across.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = values.groupBy(*family, "_b").agg(F.sum("_n").alias("_s")).select(*family, "_b", before.alias("_base"), F.sum("_s").over(across).alias("_m"))
+    raw = _met(ranked, bases, [*family, "_b"]).withColumn("_q", F.col("_p") * F.col("_m") / (F.col("_base") + F.col("_r")))
+    after = F.min("_q").over(across.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    laters = raw.groupBy(*family, "_b").agg(F.min("_q").alias("_q")).select(*family, "_b", after.alias("_later"))
+    q = F.least(F.min("_q").over(local.orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)), F.coalesce("_later", F.lit(1.0)), F.lit(1.0))
+    done = _met(raw, laters, [*family, "_b"]).select(*family, "_p", q.alias("_q"))
+    same = F.col(p) == F.col("_p")
+    for k, f in zip(keys, family):
+        same &= F.col(k).eqNullSafe(F.col(f))
+    return df.join(done, same, "left").withColumn(out, F.when(good, F.col("_q"))).drop(*family, "_p", "_q")
+
+
+def _met(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on keys that may be NULL; b's are dropped."""
+    b = b.withColumnsRenamed({k: f"{k}_" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"{k}_"))
+    return a.join(b, same).drop(*[f"{k}_" for k in keys])
 
 
 def average_rank(df: DataFrame, value: str, keys: list[str], out: str = "rank") -> DataFrame:
@@ -113,14 +121,53 @@ def control_centred(df: DataFrame, value: str, is_control: Column, out: str, key
     return joined.withColumn(out, F.col(value) - F.col("_c")).drop("_c")
 
 
+#: Up to so many rows an exact quantile is taken in one aggregate; beyond it the rows are narrowed down first.
+QUANTILE_ROWS = 1_000_000
+
+
+def quantile(rows: DataFrame, c: Column, q: float, n: int, most: int | None = None) -> float | None:
+    """The exact quantile (linear between neighbours) of n values without NULL, as ``percentile`` has it.
+
+    Of many rows only the two neighbours' surroundings are ordered: counts in 1024 even buckets narrow the range down
+    round by round, so no task holds the values.
+    """
+    most = QUANTILE_ROWS if most is None else most
+    if n == 0:
+        return None
+    at = q * (n - 1)
+    values = rows.select(c.cast("double").alias("v"))
+
+    def nth(k: int) -> float:
+        low, high = values.agg(F.min("v"), F.max("v")).first()
+        below, inside = 0, n
+        while inside > most and low < high:
+            step = (high - low) / 1024
+            if step == 0 or low + step == low:
+                break
+            bin_ = F.least(F.floor((F.col("v") - low) / step), F.lit(1023))
+            found = sorted(values.where(F.col("v").between(low, high)).groupBy(bin_.alias("b")).agg(F.count("*"), F.min("v"), F.max("v")).collect())
+            for _, size, lowest, highest in found:
+                if below + size > k:
+                    low, high, inside = lowest, highest, size
+                    break
+                below += size
+        return values.where(F.col("v").between(low, high)).agg(F.percentile("v", F.lit((k - below) / max(inside - 1, 1)))).first()[0]
+
+    if n <= most:
+        return values.agg(F.percentile("v", F.lit(q))).first()[0]
+    first = nth(int(at))
+    return first if at == int(at) else first + (at - int(at)) * (nth(int(at) + 1) - first)
+
+
 def overdispersion(df: DataFrame, count: str, total: str, p: str, eligible: Column, least: int = 100, cap: float = 0.2) -> DataFrame:
     """One row (rho): trimmed, weighted Pearson excess; 0 below ``least`` rows at any step (ST-12)."""
     n, mu = F.col(total).cast("double"), F.col(total) * F.col(p)
     var = mu * (1 - F.col(p))
     rows = df.where(eligible & (n > 1) & (var > 1e-8) & (mu >= 0.5)).select(mu.alias("mu"), (((F.col(count) - mu) ** 2 / var - 1) / F.greatest(n - 1, F.lit(1.0))).alias("q"))
-    rows = rows.where(F.col("q").isNotNull() & ~F.isnan("q") & (F.abs("q") < float("inf")))
-    cut = rows.agg(F.percentile("q", F.array(F.lit(0.05), F.lit(0.95))).alias("c"), F.count("*").alias("n"))
-    kept = rows.crossJoin(F.broadcast(cut)).where((F.col("n") >= least) & F.col("q").between(F.col("c")[0], F.col("c")[1]))  # cut is one row
+    rows = settle(rows.where(F.col("q").isNotNull() & ~F.isnan("q") & (F.abs("q") < float("inf"))))
+    seen = rows.count()
+    low, high = (quantile(rows, F.col("q"), x, seen) for x in (0.05, 0.95))
+    kept = rows.where(F.lit(seen >= least) & F.col("q").between(low, high))
     w = F.least(F.greatest("mu", F.lit(0.5)), F.lit(50.0))
     rho = F.when(F.count("*") >= least, F.least(F.greatest(F.sum(w * F.col("q")) / F.sum(w), F.lit(0.0)), F.lit(cap))).otherwise(0.0)
     return kept.agg(rho.alias("rho"))
@@ -129,9 +176,10 @@ def overdispersion(df: DataFrame, count: str, total: str, p: str, eligible: Colu
 def huber_line(df: DataFrame, x: str, y: str, tuning: float = 1.345, rounds: int = 100, tol: float = 1e-10) -> tuple[float, float, float, float]:
     """(slope, intercept, median residual, sigma) by reweighted least squares (ST-20).
 
-    A round takes five weighted sums and two medians over the data; only those numbers reach the driver.
+    A round takes five weighted sums and two medians over the data, which is computed once; only those numbers reach
+    the driver.
     """
-    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
+    rows = settle(df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null"))
     n = rows.count()
     if n < 2:
         mid = rows.agg(F.percentile("y", F.lit(0.5))).first()[0] or 0.0
@@ -148,8 +196,8 @@ def huber_line(df: DataFrame, x: str, y: str, tuning: float = 1.345, rounds: int
     middle = sigma = 0.0
     for _ in range(rounds):
         r = F.col("y") - slope * F.col("x") - intercept
-        middle = rows.agg(F.percentile(r, F.lit(0.5))).first()[0]
-        sigma = 1.4826 * rows.agg(F.percentile(F.abs(r - middle), F.lit(0.5))).first()[0]
+        middle = quantile(rows, r, 0.5, n)
+        sigma = 1.4826 * quantile(rows, F.abs(r - middle), 0.5, n)
         if sigma <= 0:
             break
         size = F.abs(r - middle) / (tuning * sigma)

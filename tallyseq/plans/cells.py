@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns, seq
 from ..operators import aggregate as agg
-from ..operators import match, matrix, small, stats
+from ..operators import annotate, match, matrix, small, stats
 from ..session import table
 from .catalog import query
 from .counts import r
@@ -74,11 +74,11 @@ def purity_assignment(spark, d):
 
 
 def _triples(spark, d):
-    words = table(spark, d, "documents").select(F.col("doc_id").alias("cell"), F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("gene")).where(F.length("gene").between(1, 4))
+    words = table(spark, d, "documents").select(F.col("doc_id").alias("cell"), F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("gene")).where("gene != ''")
     return words.groupBy("cell", "gene").agg(F.count("*").alias("count"))
 
 
-_TRIPLES = """w AS (SELECT doc_id AS cell, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS gene FROM documents), t AS (SELECT cell, gene, count(*) AS n FROM w WHERE length(gene) BETWEEN 1 AND 4 GROUP BY 1, 2),
+_TRIPLES = """w AS (SELECT doc_id AS cell, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS gene FROM documents), t AS (SELECT cell, gene, count(*) AS n FROM w WHERE gene <> '' GROUP BY 1, 2),
  z AS (SELECT cell, sum(n) AS lib FROM t GROUP BY 1), x AS (SELECT cell, gene, n, ln(1 + n / CAST(greatest(lib, 1) AS DOUBLE) * 1e4) AS x FROM t JOIN z USING (cell))"""
 PANEL = ["the", "and", "of", "de", "und", "la", "in", "que"]
 _IN = ", ".join(f"'{g}'" for g in PANEL)
@@ -98,12 +98,21 @@ def sparse_group_means(spark, d):
     return out.select("gene", "group", "n_cells", r(F.col("mean"), "mean"), r(F.col("mean_expressing"), "mean_expressing"), r(F.col("detected"), "detected"))
 
 
-@query("marker_cell_class", f"""WITH {_TRIPLES}, s AS (SELECT doc_id AS cell, coalesce(sum(x) FILTER (gene IN ('the', 'and', 'of')), 0) / 3 AS a, coalesce(sum(x) FILTER (gene IN ('de', 'la', 'que')), 0) / 3 AS b FROM documents LEFT JOIN x ON x.cell = doc_id GROUP BY 1) SELECT cell, round(a, 6) AS dc_score, round(b, 6) AS t_score, CASE WHEN a >= 0.05 AND a > b + 0.05 THEN 'dc' WHEN b >= 0.05 AND b > a + 0.05 THEN 't' ELSE 'unknown' END AS cell_class FROM s""")
+#: Markers of two classes; the last of each stands in no document, so it doesn't count in the mean.
+DC_MARKERS, T_MARKERS = ["the", "and", "of", "qzqzqz"], ["de", "la", "que", "zqzqzq"]
+
+
+def _mean_of(genes):
+    listed = ", ".join(f"'{g}'" for g in genes)
+    return f"coalesce(sum(x) FILTER (gene IN ({listed})), 0) / greatest((SELECT count(DISTINCT gene) FROM t WHERE gene IN ({listed})), 1)"
+
+
+@query("marker_cell_class", f"""WITH {_TRIPLES}, s AS (SELECT doc_id AS cell, {_mean_of(DC_MARKERS)} AS a, {_mean_of(T_MARKERS)} AS b FROM documents LEFT JOIN x ON x.cell = doc_id GROUP BY 1) SELECT cell, round(a, 6) AS dc_score, round(b, 6) AS t_score, CASE WHEN a >= 0.05 AND a > b + 0.05 THEN 'dc' WHEN b >= 0.05 AND b > a + 0.05 THEN 't' ELSE 'unknown' END AS cell_class FROM s""")
 def marker_cell_class(spark, d):
     expr = matrix.log_normalised(_triples(spark, d))
     side = lambda genes, name: matrix.marker_score(expr, spark.createDataFrame([(g,) for g in genes], "gene string")).withColumnRenamed("score", name)
     cells = table(spark, d, "documents").select(F.col("doc_id").alias("cell"))
-    both = cells.join(side(["the", "and", "of"], "a"), "cell", "left").join(side(["de", "la", "que"], "b"), "cell", "left").na.fill(0.0, ["a", "b"])
+    both = cells.join(side(DC_MARKERS, "a"), "cell", "left").join(side(T_MARKERS, "b"), "cell", "left").na.fill(0.0, ["a", "b"])
     return both.select("cell", r(F.col("a"), "dc_score"), r(F.col("b"), "t_score"), matrix.cell_class(F.col("a"), F.col("b")).alias("cell_class"))
 
 
@@ -123,11 +132,84 @@ def signature_score(spark, d):
     return cells.join(extra, "cell", "left").crossJoin(base).select("cell", F.round(score, 5).alias("score"))
 
 
-@query("unique_genes", f"WITH {_TRIPLES}, g AS (SELECT DISTINCT gene, left(gene, 2) AS symbol FROM t), k AS (SELECT symbol, g.gene, sum(n) AS total FROM g JOIN t USING (gene) GROUP BY 1, 2) SELECT symbol, gene FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY total DESC, gene DESC) AS i FROM k) WHERE i = 1")
+_PARTS = "t AS (SELECT l_partkey AS gene, l_suppkey AS cell, count(*) AS n FROM lineitem GROUP BY 1, 2), k AS (SELECT p_partkey AS gene, p_brand || '-' || CAST(p_size AS VARCHAR) AS symbol, CASE WHEN p_partkey % 3 = 0 THEN 'Antibody Capture' ELSE 'Gene Expression' END AS feature_type FROM part)"
+
+
+def _parts(spark, d):
+    """A matrix of parts (genes, with repeated symbols) by suppliers (cells), and its features."""
+    triples = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("gene"), F.col("l_suppkey").alias("cell")).agg(F.count("*").alias("count"))
+    kind = F.when(F.col("p_partkey") % 3 == 0, "Antibody Capture").otherwise("Gene Expression")
+    return triples, table(spark, d, "part").select(F.col("p_partkey").alias("gene"), F.concat_ws("-", "p_brand", "p_size").alias("symbol"), kind.alias("feature_type"))
+
+
+@query("unique_genes", f"WITH {_PARTS}, s AS (SELECT gene, sum(n) AS total FROM t GROUP BY 1) SELECT symbol, gene FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY coalesce(total, 0) DESC, k.gene) AS i FROM k LEFT JOIN s USING (gene)) WHERE i = 1")
 def unique_genes(spark, d):
-    totals = _triples(spark, d).groupBy("gene").agg(F.sum("count").alias("t"))
-    best = totals.groupBy(F.left("gene", F.lit(2)).alias("symbol")).agg(F.max(F.struct("t", "gene")).alias("b"))
-    return best.select("symbol", F.col("b.gene").alias("gene"))
+    """The row with the largest total of each repeated symbol (MTX-03)."""
+    triples, features = _parts(spark, d)
+    return matrix.unique_genes(triples, features.select("gene", "symbol"))
+
+
+@query("gene_index", f"WITH {_PARTS} SELECT symbol, min(gene) AS gene FROM k WHERE feature_type = 'Gene Expression' GROUP BY 1")
+def gene_index(spark, d):
+    """The first row of each symbol among the expression features (MTX-04)."""
+    return matrix.gene_index(_parts(spark, d)[1], "gene").select("symbol", "gene")
+
+
+@query("nonzero_gene_rows", """WITH m AS (SELECT p_type AS gene, coalesce(sum(CASE WHEN p_size > 45 THEN 1 ELSE 0 END), 0) AS a, coalesce(sum(CASE WHEN p_size < 3 THEN 1 ELSE 0 END), 0) AS b FROM part GROUP BY 1) SELECT gene, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM m WHERE a <> 0 OR b <> 0""")
+def nonzero_gene_rows(spark, d):
+    """Rows with any value other than 0 (MTX-06)."""
+    m = table(spark, d, "part").groupBy(F.col("p_type").alias("gene")).agg(F.count_if(F.col("p_size") > 45).alias("a"), F.count_if(F.col("p_size") < 3).alias("b"))
+    return matrix.nonzero_rows(m, ["a", "b"])
+
+
+@query("standardised_columns", """WITH v AS (SELECT c_custkey, c_acctbal AS a, CAST(c_nationkey AS DOUBLE) AS b, 3.0 AS c FROM customer), m AS (SELECT avg(a) AS ma, greatest(stddev_pop(a), 1e-6) AS sa, avg(b) AS mb, greatest(stddev_pop(b), 1e-6) AS sb FROM v)
+ SELECT c_custkey, round((a - ma) / sa, 6) AS a, round((b - mb) / sb, 6) AS b, 0.0::DOUBLE AS c FROM v, m""")
+def standardised_columns(spark, d):
+    """Columns to mean 0 and deviation 1, constant ones to 0 (MTX-07)."""
+    v = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("a"), F.col("c_nationkey").cast("double").alias("b"), F.lit(3.0).alias("c"))
+    return matrix.standardised(v, ["a", "b", "c"]).select("c_custkey", r(F.col("a"), "a"), r(F.col("b"), "b"), r(F.col("c"), "c"))
+
+
+_CONTIGS = """v AS (SELECT o_custkey AS cell, CASE WHEN o_orderkey % 2 = 0 THEN 'TRB' ELSE 'TRA' END AS chain, substring(md5(CAST(o_orderkey % 40 AS VARCHAR)), 1, 4) AS cdr3, CASE o_orderstatus WHEN 'O' THEN 'True' WHEN 'F' THEN 'false' END AS productive, CASE WHEN o_orderkey % 5 = 0 THEN 'true' ELSE 'False' END AS high_confidence, CASE WHEN o_orderkey % 7 > 0 THEN 'clonotype' || CAST(o_orderkey % 7 AS VARCHAR) END AS clonotype FROM orders)"""
+
+
+def _contigs(spark, d):
+    key = F.col("o_orderkey")
+    return table(spark, d, "orders").select(
+        F.col("o_custkey").alias("cell"), F.when(key % 2 == 0, "TRB").otherwise("TRA").alias("chain"), F.substring(F.md5((key % 40).cast("string").cast("binary")), 1, 4).alias("cdr3"),
+        F.when(F.col("o_orderstatus") == "O", "True").when(F.col("o_orderstatus") == "F", "false").alias("productive"), F.when(key % 5 == 0, "true").otherwise("False").alias("high_confidence"),
+        F.when(key % 7 > 0, F.concat(F.lit("clonotype"), (key % 7).cast("string"))).alias("clonotype"),
+    )
+
+
+#: The receptor's two chains in the made-up contigs.
+TRB, TRA = "c81e", "c4ca"
+
+
+@query("tcr_call", f"""WITH {_CONTIGS}, o AS (SELECT DISTINCT cell FROM v WHERE (lower(coalesce(productive, '')) = 'true' OR lower(high_confidence) = 'true') AND ((chain = 'TRB' AND cdr3 = '{TRB}') OR (chain = 'TRA' AND cdr3 = '{TRA}'))),
+ n AS (SELECT cell, clonotype, count(*) AS n FROM v WHERE clonotype IS NOT NULL GROUP BY 1, 2), m AS (SELECT cell, clonotype FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY n DESC, clonotype) AS i FROM n) WHERE i = 1)
+ SELECT c_custkey AS cell, CASE WHEN o.cell IS NULL THEN 'other' ELSE 'transgenic' END AS cell_type, coalesce(clonotype, '') AS clonotype FROM customer LEFT JOIN o ON o.cell = c_custkey LEFT JOIN m ON m.cell = c_custkey""")
+def tcr_call(spark, d):
+    """Cells with one of the two known chains on a contig that is productive or of high confidence, and each cell's most frequent clonotype (Q-18)."""
+    cells = table(spark, d, "customer").select(F.col("c_custkey").alias("cell"))
+    return annotate.receptor_call(cells, _contigs(spark, d), TRB, TRA, ("transgenic", "other"))
+
+
+@query("transfer_metric", f"""WITH {_EDGES}, a AS (SELECT cell, dcbc, umi, reads, s_nationkey AS pep, c_mktsegment = 'BUILDING' AS is_donor FROM e JOIN supplier ON s_suppkey = dcbc JOIN customer ON c_custkey = cell WHERE s_acctbal > 0),
+ den AS (SELECT pep, count(DISTINCT dcbc) AS donors, sum(umi) AS donor_umi FROM a WHERE is_donor GROUP BY 1), p AS (SELECT cell, pep, sum(umi) AS u, sum(sum(umi)) OVER (PARTITION BY cell) AS total FROM a WHERE NOT is_donor GROUP BY 1, 2),
+ q AS (SELECT pep, count(*) AS cells, exp(avg(ln(u))) AS g FROM p WHERE u > 2 AND u / total >= 0.1 GROUP BY 1)
+ SELECT CAST(n_nationkey AS BIGINT) AS pep, coalesce(cells, 0) AS cells, round(coalesce(g, 0), 6) AS geomean_umi, coalesce(donors, 0) AS donors, CAST(coalesce(donor_umi, 0) AS BIGINT) AS donor_umi, round(coalesce(g, 0) / donor_umi * 10000, 6) AS per_10k FROM nation LEFT JOIN q ON q.pep = n_nationkey LEFT JOIN den ON den.pep = n_nationkey""")
+def transfer_metric(spark, d):
+    """For each peptide the geometric mean of its counts in cells where it counts more than twice and is a share, per 10 000 of the donors' (Q-34)."""
+    ids = match.small(table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("dcbc"), F.col("s_nationkey").alias("pep")))
+    cells = table(spark, d, "customer").select(F.col("c_custkey").alias("cell"), (F.col("c_mktsegment") == "BUILDING").alias("is_donor"))
+    a = _edges(spark, d).join(ids, "dcbc").join(cells, "cell")
+    donors = a.where("is_donor").groupBy("pep").agg(F.count_distinct("dcbc").alias("donors"), F.sum("umi").alias("donor_umi"))
+    own = a.where("not is_donor")
+    per = own.groupBy("cell", "pep").agg(F.sum("umi").alias("u")).join(own.groupBy("cell").agg(F.sum("umi").alias("total")), "cell")
+    enough = per.where((F.col("u") > 2) & (F.col("u") / F.greatest("total", F.lit(1)) >= 0.1)).groupBy("pep").agg(F.count("*").alias("cells"), agg.geometric_mean(F.col("u")).alias("g"))
+    out = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("pep")).join(enough, "pep", "left").join(donors, "pep", "left").na.fill(0, ["cells", "g", "donors", "donor_umi"])
+    return out.select("pep", "cells", r(F.col("g"), "geomean_umi"), "donors", "donor_umi", r(F.try_divide(F.col("g"), F.col("donor_umi")) * 10000, "per_10k"))
 
 
 @query("knn_label_fraction", """WITH p AS (SELECT a.vec_id AS id, b.label, a.label AS own, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.vec_id) AS n FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) SELECT id AS vec_id, round(avg(CAST(label = own AS INT)), 6) AS same FROM p WHERE n <= 10 GROUP BY 1""")

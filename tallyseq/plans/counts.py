@@ -134,28 +134,39 @@ def _bh_sql(family: str) -> str:
 
 @query("bh_adjust_global", _bh_sql(""))
 def bh_adjust_global(spark, d):
-    return stats.benjamini_hochberg(_p_values(spark, d), "p", tie=["event_id"]).select("event_id", F.round("p", 9).alias("p"), r(F.col("q"), "q"))
+    return stats.benjamini_hochberg(_p_values(spark, d), "p").select("event_id", F.round("p", 9).alias("p"), r(F.col("q"), "q"))
 
 
 @query("bh_by_family", _bh_sql("event_type"))
 def bh_by_family(spark, d):
-    return stats.benjamini_hochberg(_p_values(spark, d), "p", keys=["event_type"], tie=["event_id"]).select("event_id", F.round("p", 9).alias("p"), r(F.col("q"), "q"))
+    return stats.benjamini_hochberg(_p_values(spark, d), "p", keys=["event_type"]).select("event_id", F.round("p", 9).alias("p"), r(F.col("q"), "q"))
 
 
-@query("mann_whitney_u", """WITH v AS (SELECT l_linestatus AS grp, l_quantity AS x, l_returnflag = 'A' AS a FROM lineitem), k AS (SELECT grp, x, count(*) AS t, count(*) FILTER (a) AS t1 FROM v GROUP BY 1, 2),
+def _simpson(f: str, top: str, steps: int = 2000) -> str:
+    """DuckDB SQL for the integral of f (an expression in x) from 0 to ``top``."""
+    at = f"({top}) * i / {steps}.0"
+    weight = f"CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(({top}) / {3 * steps}.0 * list_sum(list_transform(range(0, {steps + 1}), lambda i: {weight} * ({f.replace('{x}', '(' + at + ')')}))))"
+
+
+_MANN_WHITNEY = """WITH v AS (SELECT l_linestatus AS grp, l_quantity AS x, l_returnflag = 'A' AS a FROM lineitem), k AS (SELECT grp, x, count(*) AS t, count(*) FILTER (a) AS t1 FROM v GROUP BY 1, 2),
  rk AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY grp ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2.0 AS rank FROM k),
  s AS (SELECT grp, CAST(sum(t1) AS DOUBLE) AS n1, CAST(sum(t - t1) AS DOUBLE) AS n2, CAST(sum(rank * t1) AS DOUBLE) AS r1, sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM rk GROUP BY 1),
  u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u, n1 + n2 AS n FROM s)
- SELECT grp, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(u, 3) AS u, ties, round((u - n1 * n2 / 2 - 0.5 * sign(u - n1 * n2 / 2)) / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))), 6) AS z, round(2 * u / (n1 * n2) - 1, 6) AS rank_biserial FROM u WHERE n1 > 0 AND n2 > 0""")
+ SELECT grp, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(u, 3) AS u, ties, round((u - n1 * n2 / 2 - 0.5 * sign(u - n1 * n2 / 2)) / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))), 6) AS z, round(2 * u / (n1 * n2) - 1, 6) AS rank_biserial FROM u WHERE n1 > 0 AND n2 > 0"""
+
+
+@query("mann_whitney_u", _MANN_WHITNEY)
 def mann_whitney_u(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_linestatus").alias("grp"), F.col("l_quantity").alias("x"), (F.col("l_returnflag") == "A").alias("a"))
     out = stats.mann_whitney(rows, "x", "a", ["grp"]).where("n1 > 0 and n2 > 0")
     return out.select("grp", "n1", "n2", F.round("u", 3).alias("u"), "ties", r(F.col("z"), "z"), r(F.col("rank_biserial"), "rank_biserial"))
 
 
-@query("mann_whitney_p")
+@query("mann_whitney_p", f"SELECT *, round(greatest(1 - 2 * {_simpson('exp(-{x} * {x} / 2) / sqrt(2 * pi())', 'least(abs(z), 40)', 20000)}, 0), 6) + 0 AS p_value FROM ({_MANN_WHITNEY})")
 def mann_whitney_p(spark, d):
-    return mann_whitney_u(spark, d).withColumn("p_value", F.least(2 * special.normal_udf()(F.abs("z")), F.lit(1.0)))
+    """With the two-sided normal tail (ST-17)."""
+    return mann_whitney_u(spark, d).withColumn("p_value", r(F.least(2 * special.normal_udf()(F.abs("z")), F.lit(1.0)), "p_value"))
 
 
 _REV = "rev AS (SELECT c_mktsegment AS seg, c_custkey, coalesce(sum(o_totalprice), 0.0) AS x FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2)"
@@ -177,15 +188,22 @@ def _segment_pairs(spark, d):
     return m.where("seg != 'BUILDING'").toDF("seg", "n1", "m1", "v1", "d1").crossJoin(F.broadcast(b))  # one row
 
 
-@query("welch_moments", f"WITH {_WELCH} SELECT seg, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS t, round(power(v1 / n1 + v2 / n2, 2) / (power(v1 / n1, 2) / (n1 - 1) + power(v2 / n2, 2) / (n2 - 1)), 4) AS df FROM w")
+_WELCH_T = f"WITH {_WELCH} SELECT seg, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS t, round(power(v1 / n1 + v2 / n2, 2) / (power(v1 / n1, 2) / (n1 - 1) + power(v2 / n2, 2) / (n2 - 1)), 4) AS df FROM w"
+
+
+@query("welch_moments", _WELCH_T)
 def welch_moments(spark, d):
     t, df = stats.welch(*[F.col(c) for c in ("m1", "v1", "n1", "m2", "v2", "n2")])
     return _segment_pairs(spark, d).select("seg", r(t, "t"), F.round(df, 4).alias("df"))
 
 
-@query("welch_p")
+_STUDENT = "exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * power(1 + {x} * {x} / df, -(df + 1) / 2)"
+
+
+@query("welch_p", f"SELECT *, round(greatest(1 - 2 * {_simpson(_STUDENT, 'abs(t)')}, 0), 6) + 0 AS p_value FROM ({_WELCH_T})")
 def welch_p(spark, d):
-    return welch_moments(spark, d).withColumn("p_value", special.student_udf()("t", "df"))
+    """With Student's two-sided tail (ST-13)."""
+    return welch_moments(spark, d).withColumn("p_value", r(special.student_udf()("t", "df"), "p_value"))
 
 
 @query("cohen_d", f"WITH {_WELCH} SELECT seg, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 6) AS d FROM w")
@@ -384,10 +402,12 @@ def top_k_per_group(spark, d):
     return agg.top_per_group(table(spark, d, "orders"), ["o_orderstatus"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 5).select("o_orderstatus", "o_orderkey", "o_totalprice")
 
 
-@query("weighted_sample")
+@query("weighted_sample", """WITH u AS (SELECT o_orderkey, o_orderstatus, o_totalprice, (CAST('0x' || substring(md5('475|' || CAST(o_orderkey AS VARCHAR)), 1, 13) AS BIGINT) + 1) / 4503599627370497.0 AS u FROM orders)
+ SELECT o_orderkey, o_orderstatus, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY -ln(u) * sqrt(o_totalprice), o_orderkey) AS n FROM u) WHERE n <= 200""")
 def weighted_sample(spark, d):
+    """200 orders of each status, cheap ones likelier; the draw is a hash of the order's key (RND-01, RND-02)."""
     rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    return agg.weighted_sample(rows, ["o_orderstatus"], 1 / F.sqrt("o_totalprice"), 200, 475)
+    return agg.weighted_sample(rows, ["o_orderstatus"], 1 / F.sqrt("o_totalprice"), 200, 475, ["o_orderkey"])
 
 
 @query("fisher_exact_2x2", """WITH s AS (SELECT p_brand, CAST(count(*) FILTER (p_size <= 10) AS DOUBLE) AS a, CAST(count(*) FILTER (p_size > 10) AS DOUBLE) AS b FROM part GROUP BY 1), m AS (SELECT s.p_brand, s.a, s.b, r.a AS c, r.b AS d FROM s, s r WHERE r.p_brand = 'Brand#1' AND s.p_brand <> 'Brand#1'),

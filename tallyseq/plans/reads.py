@@ -112,12 +112,12 @@ def masked_mismatch_match(spark, d):
     return match.masked_match(_reads(spark, d), PATTERNS, "seq").groupBy("name").agg(F.count("*").alias("reads"), F.sum("mismatches").cast("long").alias("mismatches"))
 
 
-_NEAR = f"q AS (SELECT DISTINCT substring({_DNA.format('event_id % 400')}, 1, 9) AS query FROM events), f AS (SELECT CAST(i AS INT) AS label, substring({_DNA.format('i * 7')}, 1, 9) AS reference FROM range(0, 300) AS t(i))"
+_NEAR = f"q AS (SELECT DISTINCT substring({_DNA.format('event_id')}, 1, 9) AS query FROM events), f AS (SELECT CAST(i AS INT) AS label, substring({_DNA.format('i * 7')}, 1, 9) AS reference FROM range(0, 300) AS t(i))"
 
 
 @query("pigeonhole_nearest", f"""WITH {_NEAR}, h AS (SELECT query, label, hamming(query, reference) AS d FROM q, f WHERE hamming(query, reference) <= 2), m AS (SELECT *, min(d) OVER (PARTITION BY query) AS m FROM h) SELECT query, min(label) AS label, CAST(min(d) AS INT) AS distance FROM m WHERE d = m GROUP BY 1 HAVING count(*) = 1""")
 def pigeonhole_nearest(spark, d):
-    q = table(spark, d, "events").select(F.substring(dna(F.col("event_id") % 400), 1, 9).alias("s"))
+    q = table(spark, d, "events").select(F.substring(dna(F.col("event_id")), 1, 9).alias("s"))
     refs = spark.range(300).select(F.col("id").cast("int").alias("label"), F.substring(dna(F.col("id") * 7), 1, 9).alias("reference"))
     return match.nearest(q, refs, "s", "reference", "label", 9)
 
@@ -183,16 +183,30 @@ def barcode_correction_events(spark, d):
     return iterate.correct_barcodes(_cells(spark, d), 8)[1]
 
 
-@query("interval_overlap_count", """WITH b AS (SELECT l_orderkey AS id, l_linenumber AS line, CAST(l_suppkey % 5 AS VARCHAR) AS chrom, CAST(l_partkey * 37 % 60000 AS INT) AS s, CAST(l_partkey * 37 % 60000 + l_quantity * 20 AS INT) AS e FROM lineitem), f AS (SELECT CAST(p_partkey % 5 AS VARCHAR) AS chrom, CAST(p_partkey * 101 % 60000 AS INT) AS s, CAST(p_partkey * 101 % 60000 + 40 + p_size AS INT) AS e, p_partkey AS gene FROM part),
- h AS (SELECT DISTINCT b.id, b.line, b.chrom, b.s, gene FROM b JOIN f ON b.chrom = f.chrom AND f.s < b.e AND f.e > b.s), g AS (SELECT id, line, chrom, s, count(*) AS n, min(gene) AS gene FROM h GROUP BY 1, 2, 3, 4) SELECT CASE WHEN n = 1 THEN gene END AS gene, count(*) AS reads FROM g GROUP BY 1""")
-def interval_overlap_count(spark, d):
+_READ_GENES = """b AS (SELECT l_orderkey AS id, l_linenumber AS line, CAST(l_suppkey % 5 AS VARCHAR) AS chrom, CAST(l_partkey * 37 % 60000 AS INT) AS s, CAST(l_partkey * 37 % 60000 + l_quantity * 20 AS INT) AS e FROM lineitem), f AS (SELECT CAST(p_partkey % 5 AS VARCHAR) AS chrom, CAST(p_partkey * 101 % 60000 AS INT) AS s, CAST(p_partkey * 101 % 60000 + 40 + p_size AS INT) AS e, p_partkey AS gene FROM part),
+ h AS (SELECT DISTINCT b.id, b.line, b.chrom, b.s, gene FROM b LEFT JOIN f ON b.chrom = f.chrom AND f.s < b.e AND f.e > b.s AND b.e > b.s), g AS (SELECT id, line, chrom, s, count(gene) AS n, min(gene) AS gene FROM h GROUP BY 1, 2, 3, 4)"""
+
+
+def _read_genes(spark, d):
     li, part = table(spark, d, "lineitem"), table(spark, d, "part")
     at = F.col("l_partkey") * 37 % 60000
     blocks = li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), (F.col("l_suppkey") % 5).cast("string").alias("chrom"), at.cast("int").alias("start"), (at + F.col("l_quantity") * 20).cast("int").alias("end")).withColumn("at", F.col("start"))
     p = F.col("p_partkey") * 101 % 60000
     genes = part.select((F.col("p_partkey") % 5).cast("string").alias("chrom"), p.cast("int").alias("start"), (p + 40 + F.col("p_size")).cast("int").alias("end"), F.col("p_partkey").alias("gene"))
-    found = match.overlaps(blocks, genes, ["id", "line", "chrom", "at"], "gene", bin_size=1024)
-    return found.groupBy("gene").agg(F.count("*").alias("reads"))
+    return match.overlaps(blocks, genes, ["id", "line", "chrom", "at"], "gene", bin_size=1024)
+
+
+@query("interval_overlap_count", f"WITH {_READ_GENES} SELECT CASE WHEN n = 1 THEN gene END AS gene, count(*) AS reads FROM g WHERE n > 0 GROUP BY 1")
+def interval_overlap_count(spark, d):
+    """Reads of each gene that is alone under them; ambiguous reads under NULL (MAT-11)."""
+    return _read_genes(spark, d).where("status != 'no_feature'").groupBy("gene").agg(F.count("*").alias("reads"))
+
+
+@query("overlap_funnel", f"WITH {_READ_GENES} SELECT chrom, count(*) AS records, count(*) FILTER (n = 1) AS counted, count(*) FILTER (n = 0) AS no_feature, count(*) FILTER (n > 1) AS ambiguous FROM g GROUP BY 1")
+def overlap_funnel(spark, d):
+    """What became of the reads of each sample (Q-57)."""
+    is_ = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return _read_genes(spark, d).groupBy("chrom").agg(F.count("*").alias("records"), is_("counted"), is_("no_feature"), is_("ambiguous"))
 
 
 @query("interval_merge", """WITH v AS (SELECT o_custkey AS cust, CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS INT) AS s, CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) + 90 AS INT) AS e FROM orders), m AS (SELECT *, max(e) OVER (PARTITION BY cust ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v),
@@ -211,7 +225,12 @@ def cigar_blocks(spark, d):
     return rows.select("id", "b.start", "b.end")
 
 
-@query("approximate_context_match")
+_FORMS = [(name, form) for name, barcode in (("green", "ACGTAC"), ("scarlet", "TTGCAA")) for form in (f"GGAGT{barcode}TCGGC", f"GGAGT{barcode}TCGGC"[::-1].translate(str.maketrans("ACGT", "TGCA")))]
+
+
+@query("approximate_context_match", f"""WITH s AS (SELECT {_DNA.format('user_id')} || CASE event_id % 3 WHEN 0 THEN 'GGAGTACGTACTCGGC' WHEN 1 THEN 'GGAGTTTGCAATCGG' ELSE 'AAAA' END || {_DNA.format('event_id % 9')} AS seq, count(*) AS n FROM events GROUP BY 1), f(grp, form) AS (VALUES {', '.join(str(x) for x in _FORMS)}),
+ w AS (SELECT seq, grp, min(levenshtein(seq[i:i + len - 1], form)) AS d FROM s, f, unnest(range(1, length(seq) + 1)) AS t(i), unnest([15, 16, 17]) AS u(len) WHERE i + len - 1 <= length(seq) GROUP BY 1, 2), b AS (SELECT seq, grp FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY d, grp) AS k FROM w WHERE d <= 1) WHERE k = 1)
+ SELECT grp, CAST(sum(n) AS BIGINT) AS reads, round(sum(n) / CAST(sum(sum(n)) OVER () AS DOUBLE), 6) AS proportion FROM s LEFT JOIN b USING (seq) GROUP BY 1""")
 def approximate_context_match(spark, d):
     """Group whose context a read matches best within one edit (MAT-09, Q-54)."""
     e = table(spark, d, "events").select("event_id", F.concat(dna(F.col("user_id")), F.when(F.col("event_id") % 3 == 0, "GGAGTACGTACTCGGC").when(F.col("event_id") % 3 == 1, "GGAGTTTGCAATCGG").otherwise("AAAA"), dna(F.col("event_id") % 9)).alias("seq"))

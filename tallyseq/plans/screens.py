@@ -106,14 +106,21 @@ def _volcano(spark, d):
     return v.withColumn("log2_fc", stats.log2fc(F.col("test_cpm"), F.col("reference_cpm"), 0.5))
 
 
-@query("volcano")
+_FISHER = f"""{_VOLCANO}, k AS (SELECT *, test AS a, lt - test AS b, ref AS c, lr - ref AS d, unnest(range(0, CAST(test + ref AS BIGINT) + 1)) AS k FROM v, l),
+ lp AS (SELECT *, lgamma(lt + 1) - lgamma(k + 1) - lgamma(lt - k + 1) + lgamma(lr + 1) - lgamma(a + c - k + 1) - lgamma(lr - (a + c - k) + 1) AS lp, lgamma(lt + 1) - lgamma(a + 1) - lgamma(b + 1) + lgamma(lr + 1) - lgamma(c + 1) - lgamma(d + 1) AS l0, lgamma(lt + lr + 1) - lgamma(a + c + 1) - lgamma(b + d + 1) AS la FROM k WHERE k <= lt AND a + c - k <= lr),
+ f AS (SELECT gene, ref, test, any_value(ref_cpm) AS ref_cpm, any_value(test_cpm) AS test_cpm, least(sum(exp(lp - la)) FILTER (lp <= l0 + 1e-7), 1) AS p FROM lp GROUP BY 1, 2, 3),
+ r AS (SELECT *, p * (count(*) OVER ()) / row_number() OVER (ORDER BY p, gene) AS raw FROM f), q AS (SELECT *, least(min(raw) OVER (ORDER BY p DESC, gene DESC ROWS UNBOUNDED PRECEDING), 1) AS fdr, log2((test_cpm + 0.5) / (ref_cpm + 0.5)) AS lfc FROM r)"""
+
+
+@query("volcano", f"WITH {_FISHER} SELECT gene, ref AS reference_count, test AS test_count, round(lfc, 6) AS log2_fc, round(p, 6) AS pvalue, round(fdr, 6) AS fdr, round(-log10(greatest(fdr, 1e-300)), 5) AS neg_log10_fdr, fdr < 0.05 AND abs(lfc) >= 1 AS significant FROM q")
 def volcano(spark, d):
     """With Fisher's exact test, adjustment and the significance flag (Q-58)."""
     v = _volcano(spark, d)
     p = special.fisher_udf()("test_count", F.col("lt") - F.col("test_count"), "reference_count", F.col("lr") - F.col("reference_count"))
-    v = stats.benjamini_hochberg(v.withColumn("pvalue", p), "pvalue", "fdr", tie=["gene"])
+    v = stats.benjamini_hochberg(v.withColumn("pvalue", p), "pvalue", "fdr")
     significant = (F.col("fdr") < 0.05) & (F.abs("log2_fc") >= 1)
-    return v.select("gene", "reference_count", "test_count", "log2_fc", "pvalue", "fdr", (-F.log10(F.greatest("fdr", F.lit(1e-300)))).alias("neg_log10_fdr"), significant.alias("significant"))
+    high = F.round(-F.log10(F.greatest("fdr", F.lit(1e-300))), 5).alias("neg_log10_fdr")
+    return v.select("gene", "reference_count", "test_count", r(F.col("log2_fc"), "log2_fc"), r(F.col("pvalue"), "pvalue"), r(F.col("fdr"), "fdr"), high, significant.alias("significant"))
 
 
 @query("program_enrichment", """WITH b AS (SELECT p_brand AS program, p_retailprice AS x FROM part), k AS (SELECT x, count(*) AS t FROM b GROUP BY 1), rk AS (SELECT x, coalesce(sum(t) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2.0 AS rank FROM k), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM b)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyseq.functions import columns, seq, special
 from tallyseq.operators import aggregate as agg
-from tallyseq.operators import annotate, iterate, match, small, stats
+from tallyseq.operators import annotate, iterate, match, matrix, small, stats
 from tallyseq.sources import alignments, fastq, provenance, tables
 from tallyseq.streaming import counts as stream
 
@@ -90,10 +90,10 @@ def test_adjustment_in_one_family_and_in_many(spark):
         return out
 
     want = plain({0, 1, 2})
-    for r in stats.benjamini_hochberg(df, "p", tie=["i"]).collect():
+    for r in stats.benjamini_hochberg(df, "p").collect():
         assert (r.q is None) == (r.i not in want) and (r.q is None or r.q == pytest.approx(want[r.i]))
     want = plain({0}) | plain({1}) | plain({2})
-    for r in stats.benjamini_hochberg(df, "p", keys=["g"], tie=["i"]).collect():
+    for r in stats.benjamini_hochberg(df, "p", keys=["g"]).collect():
         assert (r.q is None) == (r.i not in want) and (r.q is None or r.q == pytest.approx(want[r.i]))
 
 
@@ -160,9 +160,86 @@ def test_fuzzy_context(spark):
 
 
 def test_interval_join(spark):
-    blocks = spark.createDataFrame([(1, "c", 0, 10), (2, "c", 10, 20), (3, "c", 5, 16)], "id int, chrom string, start int, end int")
+    blocks = spark.createDataFrame([(1, "c", 0, 10), (2, "c", 10, 20), (3, "c", 5, 16), (4, "c", 10, 15), (5, "x", 0, 9), (6, "c", 5, 5), (7, "c", 1, 2), (7, "c", 16, 18), (8, "c", 0, 2), (8, "c", 3, 9)], "id int, chrom string, start int, end int")
     genes = spark.createDataFrame([("c", 0, 10, "g"), ("c", 15, 30, "h")], "chrom string, start int, end int, gene string")
-    assert {r.id: (r.n, r.gene) for r in match.overlaps(blocks, genes, ["id"], "gene", bin_size=4).collect()} == {1: (1, "g"), 2: (1, "h"), 3: (2, None)}
+    want = {1: ("counted", "g"), 2: ("counted", "h"), 3: ("ambiguous", None), 4: ("no_feature", None), 5: ("no_feature", None), 6: ("no_feature", None), 7: ("ambiguous", None), 8: ("counted", "g")}
+    for size in (1, 4, 64):
+        assert {r.id: (r.status, r.gene) for r in match.overlaps(blocks, genes, ["id"], "gene", bin_size=size).collect()} == want
+
+
+def test_adjustment_spreads_missing_and_equal_values(spark):
+    """Rows without a p-value, or with the same one, do not meet in a task."""
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 10 == 0, F.col("id") / 20_000).when(F.col("id") % 10 == 1, F.lit(1.0)).alias("p"))
+    q = stats.benjamini_hochberg(df, "p")
+    assert q.count() == 20_000 and q.where("q is not null").count() == 4_000
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(q._jdf.queryExecution(), "simple")
+    before_windows = [x for x in plan.split("\n") if "HashAggregate" in x and "partial_count" in x]
+    assert before_windows  # values are counted before they are exchanged
+    many = spark.createDataFrame([(g, p) for g in ("a", None) for p in (0.01, 0.01, 0.04, 0.03, None, 0.9)], "g string, p double")
+    for r in stats.benjamini_hochberg(many, "p", keys=["g"]).collect():
+        ps = sorted(x for x in (0.01, 0.01, 0.04, 0.03, 0.9))
+        want = None if r.p is None else min(min(1.0, ps[i] * 5 / (i + 1)) for i in range(5) if ps[i] >= r.p)
+        assert r.q == (None if want is None else pytest.approx(want))
+
+
+def test_quantile_narrows_down_to_the_same_value(spark):
+    rows = spark.range(5000).select((F.pmod(F.xxhash64("id"), F.lit(700)) ** 3 / 7.0).alias("v"))
+    exact = rows.agg(F.percentile("v", F.array(*[F.lit(q) for q in (0.0, 0.05, 0.5, 0.77, 1.0)]))).first()[0]
+    for q, want in zip((0.0, 0.05, 0.5, 0.77, 1.0), exact):
+        assert stats.quantile(rows, F.col("v"), q, 5000, most=50) == pytest.approx(want, rel=1e-12)
+        assert stats.quantile(rows, F.col("v"), q, 5000) == pytest.approx(want, rel=1e-12)
+
+
+def test_patterns_are_expanded_whole(spark):
+    patterns = spark.createDataFrame([("a" + "n" * 11,), ("acgt",), ("nn",)], "p string")
+    got = match.expand_degenerate(patterns, "p", "b").agg(F.count("*"), F.count_distinct("b"), F.count_if(F.col("b").contains("n"))).first()
+    assert tuple(got) == (4**11 + 1 + 16, 4**11 + 1 + 16, 0)
+
+
+def test_marker_score_divides_by_the_markers_that_are_there(spark):
+    expr = spark.createDataFrame([("a", 1, 2.0), ("b", 1, 4.0), ("c", 1, 9.0), ("a", 2, 1.0)], "gene string, cell int, expr double")
+    markers = spark.createDataFrame([("a",), ("b",), ("zz",), ("a",)], "gene string")
+    assert {r.cell: r.score for r in matrix.marker_score(expr, markers).collect()} == {1: 3.0, 2: 0.5}
+    genes = spark.createDataFrame([("a",), ("b",), ("c",), ("zz",)], "gene string")
+    assert {r.cell: r.score for r in matrix.marker_score(expr, markers, genes).collect()} == {1: 2.0, 2: pytest.approx(1 / 3)}
+
+
+def test_barcodes_merge_as_by_comparing_all(spark):
+    """The mask index gives what scanning all pairs in order of support gives."""
+    import random
+
+    import pandas as pd
+
+    def plain(rows, most=2):
+        umis, reads, identity = {}, {}, {}
+        for b, u, n, _, i in rows:
+            umis.setdefault(b, set()).add(u)
+            reads[b] = reads.get(b, 0) + n
+            identity[b] = i or None
+        support, events = (lambda b: (len(umis[b]), reads[b], b)), []
+        while True:
+            step = None
+            for low in sorted(umis, key=support):
+                for high in sorted((b for b in umis if b != low and identity[low] and identity[b] == identity[low]), key=support, reverse=True):
+                    if (d := sum(x != y for x, y in zip(low, high))) <= most:
+                        step = low, high, d
+                        break
+                if step:
+                    break
+            if not step:
+                return events
+            low, high, d = step
+            umis[high] |= umis.pop(low)
+            reads[high] += reads.pop(low)
+            events.append((low, high, d, len(umis[high]), reads[high]))
+
+    rng = random.Random(3)
+    for _ in range(30):
+        rows = [("".join(rng.choice("AC") for _ in range(7)), f"u{rng.randint(0, 30)}", rng.randint(1, 9), "f", rng.choice(["x", "y", None])) for _ in range(60)]
+        identity = {r[0]: r[4] for r in rows}
+        rows = [(b, u, n, f, identity[b]) for b, u, n, f, _ in rows]
+        _, events = iterate.merge_barcodes("c", pd.DataFrame(rows, columns=["barcode", "umi", "reads", "feature", "identity"]))
+        assert [(e[1], e[2], e[3], e[9], e[10]) for e in events] == plain(rows)
 
 
 def test_fastq_sources(spark, tmp_path):
