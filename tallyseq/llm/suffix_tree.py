@@ -25,6 +25,7 @@ Words are known by 64-bit hashes, contexts by 64-bit hashes of their words' numb
 
 from __future__ import annotations
 
+import gc
 import math
 import struct
 from collections.abc import Iterator
@@ -45,7 +46,7 @@ DISCOUNT = 0.5
 #: The hash that stands for a text's end; a word with the same hash would be taken for it.
 END = np.uint64(0)
 #: Tokens a block has, and bytes of text that are cut into words at a time.
-BLOCK = 800_000
+BLOCK = 1_500_000
 BATCH = 4 << 20
 #: A context is dealt over parts if it occurs more often than this and than an even share of all tokens.
 SPLIT = 20_000
@@ -100,6 +101,17 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ascending distinct values, a place of each, which of them each value is); numpy's own way sorts stably, which takes several times as long."""
+    order = np.argsort(values)
+    ascending = values[order]
+    new = np.ones(len(values), bool)
+    np.not_equal(ascending[1:], ascending[:-1], out=new[1:])
+    which = np.empty(len(values), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ascending[new], order[new], which
+
+
 def tokenised(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words and ends, tokens a text)."""
     import xxhash
@@ -193,66 +205,88 @@ class Block:
         self.rows = pa.ipc.open_stream(data[8 + size :]).read_all()
         self.words = np.cumsum(words)
         self.train = np.repeat(trains.astype(bool), self.sizes)
-        self.place = np.arange(len(self.codes)) - np.repeat(firsts(self.sizes), self.sizes)
-        self.codes = self.codes.astype(np.int64)
+        self.place = (np.arange(len(self.codes)) - np.repeat(firsts(self.sizes), self.sizes)).astype(np.int32)
+        self.codes = self.codes.astype(np.int32)
+        self.word_part = (self.words % np.uint64(corpus.parts)).astype(np.int64)
+        self.order = np.argsort(self.word_part << 32 | np.arange(len(self.words)))
 
     def ask_words(self) -> Iterator[tuple[int, bytes]]:
-        """(part, words and their training counts); remembers the order for the answer."""
-        part = (self.words % np.uint64(self.corpus.parts)).astype(np.int64)
-        self.order = np.argsort(part, kind="stable")
+        """(part, words and their training counts)."""
         counts = np.bincount(self.codes[self.train], minlength=len(self.words))[self.order]
-        words, part = self.words[self.order], part[self.order]
-        for p, low, high in runs(part):
+        words = self.words[self.order]
+        for p, low, high in runs(self.word_part[self.order]):
             yield p, pack(steps(words[low:high]), counts[low:high])
 
     def hear_words(self, answers: list[bytes]) -> None:
         got = [unpack(a) for a in answers]
         self.ids, self.counts = np.zeros(len(self.words), np.uint64), np.zeros(len(self.words), np.int64)
         self.ids[self.order], self.counts[self.order] = (np.concatenate([g[i] for g in got]) for i in (0, 1))
-        n = self.counts[self.codes]
-        self.known = n > 0
-        self.base = np.log10(n + 1.0) - self.corpus.log_all
-        self.value = self.base.copy()
+        self.value = (np.log10(self.counts + 1.0) - self.corpus.log_all)[self.codes]
+        first = firsts(self.sizes)
+        self.known = np.add.reduceat((self.counts > 0)[self.codes], first, dtype=np.int64)
+        self.base = np.add.reduceat(self.value, first)
         # of the first length of context: the word before
-        self.suffix_count = n
-        self.context = np.where(self.place >= 1, np.concatenate([[-1], self.codes[:-1]]), -1)
+        self.suffix_count = self.counts[self.codes]
+        self.context = self._after(self.codes, 1)
         self.keys, self.totals = mix(self.ids, np.ones_like(self.ids)), self.counts
+        self._look()
 
-    def ask(self) -> Iterator[tuple[int, bytes]]:
-        """(part, contexts and pairs with their training counts and the suffix's log probability) of the current length."""
+    def _after(self, values: np.ndarray, words: int) -> np.ndarray:
+        """Each token's value of the token before, or -1 where fewer ``words`` stand before it in its text."""
+        out = np.full(len(values), -1, np.int32)
+        out[1:] = values[:-1]
+        out[self.place < words] = -1
+        return out
+
+    def _look(self) -> None:
+        """Pairs of the current length, and what to ask for, in order of part and context."""
         corpus = self.corpus
         open_ = np.flatnonzero(self.context >= 0)
-        open_ = open_[self.totals[self.context[open_]] >= LEAST]
-        pairs, at, self.pair = np.unique(self.context[open_] << 32 | self.codes[open_], return_index=True, return_inverse=True)
-        self.open = open_
+        self.open = open_ = open_[self.totals[self.context[open_]] >= LEAST]
+        pairs, at, self.pair = distinct(self.context[open_].astype(np.int64) << 32 | self.codes[open_])
         self.pair_context, self.pair_code = pairs >> 32, pairs & 0xFFFFFFFF
-        there = open_[at]
-        listed = np.flatnonzero(self.suffix_count[there] >= LEAST)
-        counts = np.bincount(self.pair[self.train[open_]], minlength=len(pairs))
-        symbol = self.ids[self.pair_code[listed]]
+        self.there = open_[at]
+        listed = np.flatnonzero(self.suffix_count[self.there] >= LEAST)
         context = self.pair_context[listed]
-        subs = np.where(self.totals > corpus.most, 1 + self.totals // corpus.most, 1).astype(np.uint64)[context]
-        sub = mix(symbol, symbol) % subs
-        part = ((self.keys[context] + sub * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(corpus.parts)).astype(np.int64)
-        order = np.lexsort((symbol, self.keys[context], part))
-        self.listed, part, context, symbol = listed[order], part[order], context[order], symbol[order]
-        edge = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (context[1:] != context[:-1])])) if len(part) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(edge, len(part)))
+        edge = np.ones(len(pairs), bool)
+        np.not_equal(self.pair_context[1:], self.pair_context[:-1], out=edge[1:])
+        known = self.pair_context[edge]  # distinct contexts
+        rank, part_of = np.zeros(len(self.totals), np.int64), np.zeros(len(self.totals), np.int64)
+        rank[known[np.argsort(self.keys[known])]] = np.arange(len(known))
+        part_of[known] = (self.keys[known] % np.uint64(corpus.parts)).astype(np.int64)
+        part = part_of[context]
+        for i in [np.flatnonzero(self.totals[context] > corpus.most)]:  # dealt over parts by their symbols
+            symbol = self.ids[self.pair_code[listed[i]]]
+            sub = mix(symbol, symbol) % (1 + self.totals[context[i]] // corpus.most).astype(np.uint64)
+            part[i] = ((self.keys[context[i]] + sub * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(corpus.parts)).astype(np.int64)
+        place = part << 32 | rank[context]
+        order = np.argsort(place)
+        self.listed, place = listed[order], place[order]
+        edge = np.ones(len(place), bool)
+        np.not_equal(place[1:], place[:-1], out=edge[1:])
+        first = np.flatnonzero(edge)
         # contexts none of whose pairs are asked for still need what they leave to others
-        alone = np.setdiff1d(self.pair_context[self.totals[self.pair_context] <= corpus.most], context)
-        c = np.concatenate([context[edge], alone])
-        c_part = np.concatenate([part[edge], (self.keys[alone] % np.uint64(corpus.parts)).astype(np.int64)])
-        c_size = np.concatenate([sizes, np.zeros(len(alone), np.int64)])
-        c_order = np.lexsort((self.keys[c], c_part))
-        self.listed_context, c_part, c_size = c[c_order], c_part[c_order], c_size[c_order]
-        n, short = counts[self.listed], self.value[there[self.listed]].astype(np.float32)
-        ends = np.cumsum(c_size)
+        asked = np.zeros(len(self.totals), bool)
+        asked[context] = True
+        alone = known[~asked[known] & (self.totals[known] <= corpus.most)]
+        c = np.concatenate([self.pair_context[self.listed[first]], alone])
+        c_place = np.concatenate([place[first], part_of[alone] << 32 | rank[alone]])
+        c_size = np.concatenate([np.diff(np.append(first, len(place))), np.zeros(len(alone), np.int64)])
+        c_order = np.argsort(c_place)
+        self.listed_context, self.listed_part, self.listed_size = c[c_order], c_place[c_order] >> 32, c_size[c_order]
+
+    def ask(self) -> Iterator[tuple[int, bytes]]:
+        """(part, contexts and pairs with their training counts and the suffix's log probability) of the current length."""
+        n = np.bincount(self.pair[self.train[self.open]], minlength=len(self.pair_code))[self.listed]
+        short = self.value[self.there[self.listed]].astype(np.float32)
+        symbol = self.ids[self.pair_code[self.listed]]
+        ends = np.cumsum(self.listed_size)
         keys, totals = self.keys[self.listed_context], self.totals[self.listed_context]
-        for p, low, high in runs(c_part):
-            own = slice(ends[low] - c_size[low], ends[high - 1])
-            yield p, pack(steps(keys[low:high]), totals[low:high], c_size[low:high], symbol[own], n[own], short[own])
+        for p, low, high in runs(self.listed_part):
+            own = slice(ends[low] - self.listed_size[low], ends[high - 1])
+            yield p, pack(steps(keys[low:high]), totals[low:high], self.listed_size[low:high], symbol[own], n[own], short[own])
 
-    def hear(self, level: int, answers: list[bytes]) -> None:
+    def hear(self, level: int, answers: list[bytes], last: bool = False) -> None:
         """Take in the answers to what was asked last, and go on to contexts one word longer."""
         got = [unpack(a) for a in answers]
         left = np.full(len(self.totals), np.nan)
@@ -264,21 +298,26 @@ class Block:
         hot = np.flatnonzero(self.totals > self.corpus.most)
         at = find(keys, self.keys[hot])
         left[hot] = np.where(at >= 0, values[at] if len(values) else np.nan, np.nan)
-        i = self.open
-        n, spread, total = count[self.pair], left[self.context[i]], self.totals[self.context[i]]
-        entry = np.log10(np.maximum(n, 1) - DISCOUNT) - np.log10(total)
-        self.value[i] = np.where(np.isnan(spread), self.value[i], np.where(n >= LEAST, entry, spread + self.value[i]))
+        # by pair, then to the tokens
+        spread, total = left[self.pair_context], self.totals[self.pair_context]
+        entry = count >= LEAST
+        own = np.log10(np.maximum(count, 1) - DISCOUNT) - np.log10(total)
+        kept, i = ~np.isnan(spread), self.open
+        value = self.value[i]
+        self.value[i] = np.where((kept & entry)[self.pair], own[self.pair], value + np.where(kept & ~entry, spread, 0.0)[self.pair])
+        if last:
+            return
         self.suffix_count = np.zeros(len(self.codes), np.int64)
-        self.suffix_count[i] = n
-        ended = np.full(len(self.codes), -1)
+        self.suffix_count[i] = count[self.pair]
+        ended = np.full(len(self.codes), -1, np.int32)
         ended[i] = self.pair
-        self.context = np.where(self.place > level, np.concatenate([[-1], ended[:-1]]), -1)
+        self.context = self._after(ended, level + 1)
         self.keys, self.totals = mix(self.keys[self.pair_context], self.ids[self.pair_code]), count
+        self._look()
 
     def scores(self) -> list[np.ndarray]:
         """(tokens, known tokens, base score, score) of each text."""
-        first = firsts(self.sizes)
-        return [self.sizes, *[np.add.reduceat(x, first, dtype=t) for x, t in ((self.known, np.int64), (self.base, np.float64), (self.value, np.float64))]]
+        return [self.sizes, self.known, self.base, np.add.reduceat(self.value, firsts(self.sizes))]
 
 
 def runs(ascending: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -319,7 +358,7 @@ def answer(corpus: Corpus, part: int, asked: list[tuple[int, bytes]]) -> Iterato
     total[at] = np.concatenate([g[1] for g in got])
     context = np.repeat(at, np.concatenate([g[2] for g in got]))
     _, symbol = np.unique(np.concatenate([g[3] for g in got]), return_inverse=True)
-    pairs, first, pair = np.unique(context << 32 | symbol, return_index=True, return_inverse=True)
+    pairs, first, pair = distinct(context << 32 | symbol)
     n = np.bincount(pair, np.concatenate([g[4] for g in got]), len(pairs)).astype(np.int64)
     n[n < LEAST] = 0
     short = np.concatenate([g[5] for g in got]).astype(float)[first]
@@ -362,17 +401,21 @@ def grouped(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[int,
         yield held[0][key], held
 
 
-def replayed(corpus: Corpus, number: int, rows: list[tuple], levels: int) -> Block:
+def replayed(corpus: Corpus, number: int, rows: list[tuple], levels: int, last: bool = False) -> Block:
     """A block that has heard the answers of the first ``levels`` rounds. rows: level, part, block, payload in order."""
     block = Block(corpus, number)
     for level in range(levels):
-        for _ in block.ask_words() if level == 0 else block.ask():
-            pass
         answers = [r[3] for r in rows if r[0] == level]
-        block.hear_words(answers) if level == 0 else block.hear(level, answers)
+        block.hear_words(answers) if level == 0 else block.hear(level, answers, last and level == levels - 1)
     return block
 
 
+def free(spark: SparkSession) -> None:
+    """The files of a finished round's exchange go when the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def part_labels(spark: SparkSession, parts: int) -> np.ndarray:
     """Ascending numbers that Spark's hash partitioning deals to one partition each, all different."""
     drawn = spark.range(int(parts * (math.log(parts + 1) + 12))).select(F.col("id").cast("int").alias("label"))
@@ -414,16 +457,18 @@ def scores(docs: DataFrame, keep: list[str], trains: str, depth: int = DEPTH) ->
         return [bytes(r.payload) for r in answered.where("block < 0").select("payload").collect()]
 
     answers = round_(0, corpus)
+    free(spark)
     kinds, tokens = np.sum([unpack(s)[0] for s in sums(answers)] or [[0, 0]], axis=0).tolist()
     corpus = Corpus(folder, corpus.labels, int(tokens), int(kinds))
     for level in range(1, depth + 1):
         answered = round_(level, corpus)
         corpus = Corpus(folder, corpus.labels, corpus.tokens, corpus.kinds, corpus.hot | {level: combined(sums(answered), corpus.tokens)})
         answers = answers.unionByName(answered)
+        free(spark)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in grouped(tidy(batches), 2):
-            block = replayed(corpus, number, rows, depth + 1)
+            block = replayed(corpus, number, rows, depth + 1, last=True)
             table = block.rows.combine_chunks()
             size, known, base, score = block.scores()
             made = [pa.array(x) for x in (size, known, np.full(len(size), corpus.tokens), base, score)]
