@@ -143,3 +143,8 @@ def safe_name(text: str) -> str:
     import re
 
     return re.sub(r"[^A-Za-z0-9._-]+", "_", text).strip("_")
+
+
+def same_label(a: Column, b: Column) -> Column:
+    """Labels that differ by case or outer blanks alone (SEQ-18)."""
+    return F.lower(F.trim(a)) == F.lower(F.trim(b))

@@ -102,3 +102,10 @@ def weighted_sample(df: DataFrame, keys: list[str], weight: Column, n: int, seed
     text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ident])
     u = (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") + 1) / float((1 << 52) + 1)
     return top_per_group(df.withColumn("_d", -F.ln(u) / weight), keys, [F.col("_d"), *map(F.col, ident)], n).drop("_d")
+
+
+def top_names(df: DataFrame, keys: list[str], name: str, order: list[Column], k: int = 12, sep: str = ";") -> DataFrame:
+    """The first k names of each key in an explicit order, as one text (AGG-13). Only k rows of a key are gathered."""
+    first = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= k)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_n", name))), lambda x: x[name])
+    return first.groupBy(*keys).agg(F.array_join(listed, sep).alias("names"))

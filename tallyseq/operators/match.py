@@ -87,6 +87,40 @@ def longest_in_window(windows: DataFrame, dictionary: DataFrame, window: str, ke
     return found.withColumn(label, F.when(F.col("_d") == 1, F.col(label))).drop("_d")
 
 
+def conjunctive(df: DataFrame, features: list[str], umi: str) -> DataFrame:
+    """Rows that have all features and then a UMI (MAT-06)."""
+    both = F.col(umi).isNotNull()
+    for f in features:
+        both &= F.col(f).isNotNull()
+    return df.where(both)
+
+
+def conjunctive_funnel(df: DataFrame, features: list[str], umi: str) -> DataFrame:
+    """How many rows have each feature, all of them, and a UMI on top: one pass (MAT-06, Q-05)."""
+    every = F.lit(True)
+    for f in features:
+        every &= F.col(f).isNotNull()
+    return df.agg(F.count("*").alias("reads"), *[F.count(f).alias(f"with_{f}") for f in features], F.count_if(every).alias("all_features"), F.count_if(every & F.col(umi).isNotNull()).alias("recorded"))
+
+
+def orientation(rows: DataFrame, columns: dict[str, DataFrame]) -> DataFrame:
+    """One row: matches of each column's dictionary read directly and reversed, of both columns together, and the choice (SEQ-21).
+
+    ``columns`` names two columns and their dictionaries (one column each). Reversed is chosen only if more pairs match so.
+    """
+    names = list(columns)
+    for c, words in columns.items():
+        w = words.select(F.col(words.columns[0]).alias("_w")).distinct()
+        for turned, key in (("direct", F.col("_w")), ("reversed", seq.reverse_complement(F.col("_w")))):
+            side = w.select(key.alias(f"_{c}_{turned}_key")).withColumn(f"_{c}_{turned}", F.lit(True))
+            rows = rows.join(small(side), F.col(c) == F.col(f"_{c}_{turned}_key"), "left").drop(f"_{c}_{turned}_key")
+    hit = lambda c, turned: F.coalesce(F.col(f"_{c}_{turned}"), F.lit(False))
+    single = [F.count_if(hit(c, t)).alias(f"{c}_{t}") for c in names for t in ("direct", "reversed")]
+    both = [F.count_if(hit(names[0], t) & hit(names[1], t)).alias(f"both_{t}") for t in ("direct", "reversed")]
+    out = rows.agg(F.count("*").alias("pairs"), *single, *both)
+    return out.withColumn("selected", F.when(F.col("both_reversed") > F.col("both_direct"), "reversed").otherwise("direct"))
+
+
 def masked_match(reads: DataFrame, library: list[tuple[str, str]], sequence: str, most: int = 3) -> DataFrame:
     """Library rows a read fits at position 0: upper-case places exactly, lower-case ones up to ``most`` mismatches (MAT-07).
 

@@ -207,3 +207,47 @@ def huber_line(df: DataFrame, x: str, y: str, tuning: float = 1.345, rounds: int
         if moved < tol:
             break
     return slope, intercept, middle, sigma
+
+
+def pairwise_against(df: DataFrame, group: str, value: str, reference: str, least: int = 5) -> DataFrame:
+    """Each group against the reference group: sizes, medians and their difference, rank-biserial effect, z (ST-17, ST-18, Q-33).
+
+    Groups or references of fewer than ``least`` values give no row. Values are counted first, so a pair of groups costs a
+    row for each distinct value.
+    """
+    rows = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    ref, own = rows.where(F.col("_g") == reference), rows.where(F.col("_g") != reference)
+    groups = own.select("_g").distinct()
+    stacked = own.withColumn("_in", F.lit(1)).unionByName(ref.drop("_g").crossJoin(F.broadcast(groups)).withColumn("_in", F.lit(0)))  # groups are names
+    per = stacked.groupBy("_g", "_v").agg(F.sum("_n").alias("t"), F.sum(F.col("_n") * F.col("_in")).alias("t1"))
+    before = Window.partitionBy("_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = per.withColumn("rank", F.coalesce(F.sum("t").over(before), F.lit(0)) + (F.col("t") + 1) / 2)
+    t = F.col("t").cast("double")
+    median = lambda n: F.expr(f"percentile(_v, 0.5, {n})")
+    s = ranked.groupBy("_g").agg(
+        F.sum("t1").alias("n1"), F.sum(F.col("t") - F.col("t1")).alias("n2"), F.sum(F.col("rank") * F.col("t1")).alias("r1"), F.sum(t * t * t - t).alias("ties"),
+        median("t1").alias("median_group"), median("t - t1").alias("median_reference"),
+    )
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    n, u = n1 + n2, F.col("r1") - n1 * (n1 + 1) / 2
+    sd = F.sqrt(n1 * n2 / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))
+    off = u - n1 * n2 / 2
+    z = F.try_divide(off - 0.5 * F.signum(off), sd)
+    enough = s.where((F.col("n1") >= least) & (F.col("n2") >= least))
+    return enough.select(
+        F.col("_g").alias(group), F.col("n1").alias("n_group"), F.col("n2").alias("n_reference"), "median_group", "median_reference",
+        (F.col("median_group") - F.col("median_reference")).alias("median_diff"), (2 * u / (n1 * n2) - 1).alias("rank_biserial"), z.alias("z"),
+    )
+
+
+def compared(generated: DataFrame, golden: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """For each value column: rows only one side has, rows that differ, and the greatest absolute difference (Q-59)."""
+    a = generated.select(*keys, *[F.col(v).cast("double").alias(f"_a_{v}") for v in values], F.lit(True).alias("_a"))
+    b = golden.select(*keys, *[F.col(v).cast("double").alias(f"_b_{v}") for v in values], F.lit(True).alias("_b"))
+    met = a.join(b, keys, "full")
+    one = F.col("_a").isNull() | F.col("_b").isNull()
+    parts = []
+    for v in values:
+        x, y = F.col(f"_a_{v}"), F.col(f"_b_{v}")
+        parts.append(F.struct(F.lit(v).alias("column"), F.count_if(one).alias("unmatched"), F.count_if(~one & ~x.eqNullSafe(y)).alias("differing"), F.coalesce(F.max(F.abs(x - y)), F.lit(0.0)).alias("max_abs_diff")))
+    return met.agg(F.array(*parts).alias("_p")).select(F.explode("_p").alias("_p")).select("_p.*")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import gzip
+import io
 import os
 from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SUFFIXES = (".fastq.gz", ".fq.gz", ".fastq", ".fq")
+BATCH = 20_000
 
 
 class _File(InputPartition):
@@ -18,23 +23,47 @@ class _File(InputPartition):
         self.paths = paths
 
 
-def listed(path: str) -> list[str]:
-    """Files of a folder or pattern, by name (SRC-07)."""
-    found = [os.path.join(path, f) for f in os.listdir(path)] if os.path.isdir(path) else glob.glob(path)
-    return sorted((f for f in found if f.lower().endswith(SUFFIXES)), key=lambda f: (os.path.basename(f), f))
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI or local path, and the path on it."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
+
+
+def listed(path: str, suffixes: tuple[str, ...] = SUFFIXES) -> list[str]:
+    """Files of a folder or pattern, by name (SRC-07). Same-named files of several folders stay apart by their path."""
+    fs, where = filesystem(path)
+    head = path[: len(path) - len(where)] if path.endswith(where) else ""
+    pattern = None
+    if fs.get_file_info(where).type != pafs.FileType.Directory:
+        fixed = where[: min((where.find(c) for c in "*?[" if c in where), default=len(where))]
+        pattern, where = where, os.path.dirname(fixed)
+    infos = fs.get_file_info(pafs.FileSelector(where, recursive=pattern is not None, allow_not_found=True))
+    found = [i.path for i in infos if i.type == pafs.FileType.File and (pattern is None or fnmatch.fnmatch(i.path, pattern))]
+    return [head + f for f in sorted((f for f in found if f.lower().endswith(suffixes)), key=lambda f: (os.path.basename(f), f))]
 
 
 def _open(path: str):
-    return gzip.open(path, "rb") if path.endswith(".gz") else open(path, "rb")
+    fs, where = filesystem(path)
+    stream = io.BufferedReader(fs.open_input_stream(where, compression=None), 1 << 20)
+    return gzip.open(stream, "rb") if path.endswith(".gz") else stream
+
 
+def batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches."""
+    while part := list(islice(rows, BATCH)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
 
-def records(path: str, strict: bool, require_at: bool, upper: bool) -> Iterator[tuple[str, str]]:
-    """(read id, sequence). strict: a record that is cut short is an error; require_at: odd headers are skipped."""
+
+def records(path: str, strict: bool, require_at: bool, upper: bool, quality: bool = False) -> Iterator[tuple[str, str]]:
+    """(read id, sequence). strict: a record that is cut short is an error; quality: one without its quality line is; require_at: odd headers are skipped."""
     with _open(path) as lines:
         while head := lines.readline():
             seq, plus, qual = lines.readline(), lines.readline(), lines.readline()
             if strict and not (seq and plus and qual):
                 raise ValueError(f"{path}: incomplete FASTQ record")
+            if quality and not qual:
+                raise ValueError(f"{path}: FASTQ record without a quality line")
             if not seq:
                 return
             name = head.decode("utf-8", "ignore").strip()
@@ -48,26 +77,29 @@ class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         flag = lambda k, d: str(options.get(k, d)).lower() == "true"
-        self.strict, self.require_at, self.upper = flag("strict", "true"), flag("requireat", "false"), flag("upper", "true")
+        self.strict, self.require_at, self.upper, self.quality = flag("strict", "true"), flag("requireat", "false"), flag("upper", "true"), flag("quality", "false")
+        self.suffixes = tuple(options.get("suffixes", ",".join(SUFFIXES)).split(","))
 
     def partitions(self):
-        return [_File(p) for p in listed(self.path)] or [_File()]
+        return [_File(p) for p in listed(self.path, self.suffixes)] or [_File()]
 
     def read(self, partition):
+        schema = pa.schema([("file", pa.string()), ("path", pa.string()), ("read_idx", pa.int64()), ("read_id", pa.string()), ("seq", pa.string()), ("seq_len", pa.int32())])
         for path in partition.paths:
-            for i, (name, text) in enumerate(records(path, self.strict, self.require_at, self.upper)):
-                yield os.path.basename(path), i, name, text, len(text)
+            name = os.path.basename(path)
+            found = records(path, self.strict, self.require_at, self.upper, self.quality)
+            yield from batches(((name, path, i, read, text, len(text)) for i, (read, text) in enumerate(found)), schema)
 
 
 class FastqSource(DataSource):
-    """Options: path, strict, requireAt, upper (SRC-01 to SRC-05)."""
+    """Options: path, strict, requireAt, quality, upper, suffixes (SRC-01 to SRC-05). ``file`` names the sample, also over several folders; ``path`` tells its files apart (SRC-08)."""
 
     @classmethod
     def name(cls):
         return "fastq"
 
     def schema(self):
-        return "file string, read_idx long, read_id string, seq string, seq_len int"
+        return "file string, path string, read_idx long, read_id string, seq string, seq_len int"
 
     def reader(self, schema):
         return _Reader(self.options)
@@ -84,17 +116,20 @@ class _PairReader(DataSourceReader):
         return [_File(*p) for p in zip(a, b)] or [_File()]
 
     def read(self, partition):
-        if not partition.paths:
-            return
-        one, two = (records(p, True, False, True) for p in partition.paths)
+        schema = pa.schema([("file", pa.string()), ("read_idx", pa.int64()), ("seq1", pa.string()), ("seq2", pa.string())])
+        if partition.paths:
+            yield from batches(self._pairs(partition.paths), schema)
+
+    def _pairs(self, paths):
+        one, two = (records(p, True, False, True) for p in paths)
         i, end = 0, object()
         while True:
             a, b = next(one, end), next(two, end)
             if a is end and b is end:
                 return
             if a is end or b is end:
-                raise ValueError(f"{partition.paths}: files of unequal length")
-            yield os.path.basename(partition.paths[0]), i, a[1], b[1]
+                raise ValueError(f"{paths}: files of unequal length")
+            yield os.path.basename(paths[0]), i, a[1], b[1]
             i += 1
 
 

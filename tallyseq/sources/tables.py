@@ -29,6 +29,31 @@ def assert_unique(df: DataFrame, *keys: str) -> DataFrame:
     return df
 
 
+def validated_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", validate: str = "many_to_one") -> DataFrame:
+    """A join whose cardinality is checked first: many_to_one, one_to_many or one_to_one (JOIN-05)."""
+    sides = {"many_to_one": [right], "one_to_many": [left], "one_to_one": [left, right]}
+    if validate not in sides:
+        raise ValueError(f"validate is one of {', '.join(sides)}")
+    for side in sides[validate]:
+        assert_unique(side, *keys)
+    return left.join(right, keys, how)
+
+
+def assert_same_keys(have: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``have``, or an error that shows keys which only one of the two has (SRC-25)."""
+    a, b = have.select(key).distinct(), wanted.select(key).distinct()
+    lacks, extra = ([r[0] for r in x.join(y, key, "left_anti").orderBy(key).limit(10).collect()] for x, y in ((b, a), (a, b)))
+    if lacks or extra:
+        raise ValueError(f"keys that differ: missing {lacks}, extra {extra}")
+    return have
+
+
+def read_snapshot(spark: SparkSession, path: str, wanted: DataFrame, key: str = "gene", field: str = "genes") -> DataFrame:
+    """(key, value as JSON text) of the object ``field`` of a JSON document, whose keys must be those of ``wanted`` (SRC-25)."""
+    text = spark.read.text(path, wholetext=True).select(F.from_json(F.get_json_object("value", f"$.{field}"), "map<string,string>").alias("m"))
+    return assert_same_keys(text.select(F.explode("m").alias(key, "value")), wanted, key)
+
+
 def read_strings(spark: SparkSession, path: str, required: list[str], sep: str = ",") -> DataFrame:
     """All columns as text, missing ones as '' (SRC-15)."""
     return expect_columns(spark.read.csv(path, header=True, sep=sep, inferSchema=False), *required).na.fill("")
@@ -137,7 +162,7 @@ def read_xlsx(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
 
 def logged_commands(spark: SparkSession, path: str, executable: str = "mageck") -> DataFrame:
     """(file, command): each log's first Parameters line, the executable's folder dropped (SRC-27)."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), "value")
+    lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), "value")
     found = F.regexp_extract("value", r"Parameters:\s*([^\r\n]*)", 1)
     return lines.where(found != "").select("file", F.regexp_replace(found, rf"^\S*/({executable}\S*)", "$1").alias("command"))
 

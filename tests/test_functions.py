@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallyseq.functions import columns, seq, special
 from tallyseq.operators import aggregate as agg
 from tallyseq.operators import annotate, iterate, match, matrix, small, stats
-from tallyseq.sources import alignments, fastq, provenance, tables
+from tallyseq.sources import alignments, fastq, provenance, sqlite, tables
 from tallyseq.streaming import counts as stream
 
 def values(spark, rows, schema, *exprs):
@@ -340,3 +340,66 @@ def test_streamed_counts_equal_the_batch(spark, tmp_path):
     q = source.writeStream.foreachBatch(stream.merge_into(str(tmp_path / "out"), ["k"], "n")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert dict(stream.merged(spark, str(tmp_path / "out"), ["k"], "n").collect()) == {"a": 4, "b": 2}
+
+
+def test_sqlite_rows_come_back_in_ranges(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "x.db")
+    with sqlite3.connect(path) as db:
+        db.execute('CREATE TABLE "umi store" (CellBC TEXT, Reads INTEGER, f REAL, b BLOB)')
+        db.executemany('INSERT INTO "umi store" VALUES (?, ?, ?, ?)', [(f"c{i % 7}", i, i / 2, None if i % 5 else b"x") for i in range(1, 1001)])
+        db.execute("CREATE TABLE none (a TEXT)")
+    df = sqlite.read_sqlite(spark, path, "umi store", 4)
+    assert df.dtypes == [("CellBC", "string"), ("Reads", "bigint"), ("f", "double"), ("b", "binary")] and df.rdd.getNumPartitions() == 4
+    assert df.agg(F.count("*"), F.sum("Reads"), F.sum("f"), F.count("b")).first() == (1000, 500500, 250250.0, 200)
+    assert sqlite.read_sqlite(spark, path, "none").count() == 0
+    parts = sqlite.read_sqlite(spark, path, "umi store", 4, "CellBC").select("CellBC", F.spark_partition_id().alias("p")).distinct()
+    assert parts.count() == 7
+    with pytest.raises(Exception, match="no table"):
+        sqlite.read_sqlite(spark, path, "other")
+
+
+def test_snapshot_keys_must_be_those_wanted(spark, tmp_path):
+    import json
+
+    path = str(tmp_path / "s.json")
+    with open(path, "w") as f:
+        json.dump({"species": "human", "genes": {"A": {"name": "x"}, "B": {"name": "y", "n": 1}}}, f, indent=1)
+    genes = lambda *g: spark.createDataFrame([(x,) for x in g], "gene string")
+    got = {r.gene: json.loads(r.value) for r in tables.read_snapshot(spark, path, genes("A", "B", "A")).collect()}
+    assert got == {"A": {"name": "x"}, "B": {"name": "y", "n": 1}}
+    with pytest.raises(ValueError, match="missing .'C'., extra .'B'."):
+        tables.read_snapshot(spark, path, genes("A", "C"))
+
+
+def test_joins_are_validated(spark):
+    a, b = spark.createDataFrame([(1,), (1,), (2,)], "k int"), spark.createDataFrame([(1, "x"), (3, "y")], "k int, v string")
+    assert tables.validated_join(a, b, ["k"]).count() == 3
+    for kind in ("one_to_one", "one_to_many"):
+        with pytest.raises(ValueError, match="more than one row"):
+            tables.validated_join(a, b, ["k"], validate=kind)
+
+
+def test_column_rules(spark):
+    row = spark.createDataFrame([(1.5, float("nan"), float("inf"), None, "True", "no")], "a double, b double, c double, d double, t string, f string")
+    got = row.select(*[columns.finite(F.col(c)).alias(c) for c in "abcd"], columns.truthy(F.col("t")).alias("t"), columns.truthy(F.col("f")).alias("f"), columns.clipped(F.col("a"), 2.0, 3.0).alias("low"), columns.clipped(F.col("a"), high=1.0).alias("high")).first()
+    assert tuple(got) == (True, False, False, False, True, False, 2.0, 1.0)
+    assert columns.no_nan(row).select("b").first().b is None
+    assert tables.first_present(spark.createDataFrame([(1,)], "Gene int"), "id", "gene") == "Gene"
+    assert seq.safe_name("a b/c") != "a b/c"
+    assert values(spark, [("xxGAAGACGTACGTACGTACGTTGAA",)], "s string", seq.captured(F.col("s"), "GAAG([ACGT]{16})TGAA"))[0][0] == "ACGTACGTACGTACGT"
+
+
+def test_same_named_files_of_several_folders(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        with gzip.open(tmp_path / folder / "s.fastq.gz", "wt") as f:
+            f.write(f"@r {folder}\nacgt\n+\nIIII\n")
+    got = fastq.read_fastq(spark, f"file://{tmp_path}/*/s.fastq.gz")
+    assert {(r.file, r.read_idx, r.seq) for r in got.collect()} == {("s.fastq.gz", 0, "ACGT")} and got.select("path").distinct().count() == 2
+    with open(tmp_path / "t.fastq", "w") as f:
+        f.write("@r\nacgt\n+\n")
+    with pytest.raises(Exception, match="quality"):
+        fastq.read_fastq(spark, f"{tmp_path}/t.fastq", strict="false", quality="true").collect()
+    assert fastq.read_fastq(spark, f"{tmp_path}/t.fastq", strict="false").count() == 1
