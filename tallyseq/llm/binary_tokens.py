@@ -81,7 +81,7 @@ def encoder(vocabulary: str, dtype: str) -> chunks.PieceCache:
             out.update(zip(rest, separately(rest)))
             return [out[p] for p in pieces]
 
-        _ENCODERS[key] = chunks.PieceCache(encode_all)
+        _ENCODERS[key] = chunks.PieceCache(encode_all, dtype)
     return _ENCODERS[key]
 
 
@@ -105,19 +105,20 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part, known = TaskContext.get().partitionId(), encoder(vocabulary, dtype)
-        end = np.array([end_id], dtype).tobytes()
-        width = len(end)
         lengths, ids, nulls = [], [], 0
 
         def encoded() -> Iterator[bytes]:
             nonlocal nulls
             for batch in batches:
-                texts = batch.column(1).to_pylist()
-                values = [v + end for v in known.of(texts)]
-                lengths.append(np.fromiter((len(v) // width for v in values), np.int64, len(values)))
+                own, counts = known.of(batch.column(1))
+                out, last = np.full(len(own) + len(counts), end_id, dtype), np.cumsum(counts + 1) - 1
+                inner = np.ones(len(out), bool)
+                inner[last] = False
+                out[inner] = own
+                lengths.append(counts + 1)
                 nulls += batch.column(0).null_count
                 ids.append(batch.column(0).fill_null(0).to_numpy())
-                yield b"".join(values)
+                yield out.tobytes()
 
         first = next(batches, None)
         if first is None:

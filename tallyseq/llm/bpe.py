@@ -17,6 +17,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,7 +92,7 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.tokens))
         self.split = regex.compile(pattern).findall
         self.map = byte_characters()
-        self.pieces = chunks.PieceCache(self._encode_pieces)
+        self.pieces = chunks.PieceCache(self._encode_pieces, "<u4")
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         pre = [[p.encode() for p in self.split(piece)] for piece in pieces]
@@ -103,9 +104,12 @@ class Codec:
             b"".join([struct.pack("<I", self.whole[p]) if p in self.whole else struct.pack(f"<{len(ids[p])}I", *[i - 1 for i in ids[p]]) for p in ps]) for ps in pre
         ]
 
-    def encode(self, texts: list[str]) -> list[memoryview]:
-        """Each text's ids."""
-        return [memoryview(v).cast("I") for v in self.pieces.of(texts)]
+    def encode(self, texts: pa.Array) -> list[list[int]]:
+        """Each text's ids, of a string column without nulls."""
+        ids, counts = self.pieces.of(texts)
+        ends = np.cumsum(counts).tolist()
+        flat = ids.tolist()
+        return [flat[i:j] for i, j in zip([0, *ends], ends)]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -133,7 +137,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(vocabulary, pattern)
         for batch in tidy(batches):
-            rows = code.encode(batch.column(batch.num_columns - 1).to_pylist())
+            rows = code.encode(batch.column(batch.num_columns - 1))
             names = code.names
             got = {
                 "n_tokens": pa.array([len(r) for r in rows], pa.int64()),
@@ -141,7 +145,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "t
                 "decoded_sha256": [hashlib.sha256(code.decode(r)).hexdigest() for r in rows],
             }
             if ids:
-                got["ids"] = pa.array([r.tolist() for r in rows], pa.list_(pa.int32()))
+                got["ids"] = pa.array(rows, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(got[n]) if isinstance(got[n], list) else got[n] for n in made]], [*keep, *made])
 
     return chosen.mapInArrow(run, schema)

@@ -3,66 +3,102 @@
 The pre-tokenisation pattern lets a token start with one space but never run from a non-space into white space.
 A text may therefore be cut before every ASCII space whose left neighbour is not white space; the tokens of the
 pieces, one after another, are the tokens of the text. Where white space stands before a space the run stays
-in one piece.
+in one piece. A batch of texts is cut, its distinct pieces are found and its ids put together by whole arrays; Python
+sees a piece once a batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+
 #: White space by any of the libraries' definitions.
 SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_RUNS = tuple(c + " " for c in SPACES)
-
-
-def cut(text: str) -> tuple[list[str], list[str]]:
-    """(pieces as they stand, further pieces without the one space before each)."""
-    parts = text.split(" ")
-    if parts[0] and not any(run in text for run in _RUNS):
-        return parts[:1], parts[1:]
-    out, current = [], parts[0]
-    for part in parts[1:]:
-        if current and not current[-1].isspace():
-            out.append(current)
-            current = " " + part
+
+
+def _last_bytes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By last byte: if it is white space of one byte; and by the last two and three bytes, as numbers, white space of more."""
+    one = np.zeros(256, bool)
+    longer: dict[int, list[int]] = {2: [], 3: []}
+    for c in SPACES:
+        raw = c.encode()
+        if len(raw) == 1:
+            one[raw[0]] = True
         else:
-            current += " " + part
-    return ([*out, current] if current else out), []
+            longer[len(raw)].append(int.from_bytes(raw, "big"))
+    return one, np.array(sorted(longer[2])), np.array(sorted(longer[3]))
+
+
+_ONE, _TWO, _THREE = _last_bytes()
+
+
+def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes, offsets of the values) of a string or binary column without nulls."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return whole[at[0] : at[-1]], at - at[0]
+
+
+def bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces start: at the start of every text that is not empty, and at the spaces where it may be cut."""
+    starts = np.zeros(len(data) + 1, bool)
+    starts[offsets[:-1]] = True
+    starts = starts[:-1]
+    at = np.flatnonzero(data == 32)
+    at = at[~starts[at]]
+    after = data[at - 1].astype(np.int64)
+    white = _ONE[after]
+    high = np.flatnonzero(after >= 0x80)
+    if len(high):
+        two = data[at[high] - 2].astype(np.int64) << 8 | after[high]
+        three = data[at[high] - 3].astype(np.int64) << 16 | two
+        white[high] = np.isin(two, _TWO) | np.isin(three, _THREE)
+    starts[at[~white]] = True
+    return np.flatnonzero(starts)
 
 
 class PieceCache:
     """Piece -> its encoding (bytes), for one worker. Two generations of ``limit`` pieces bound its memory."""
 
-    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], limit: int = 150_000, longest: int = 48):
-        self.encode_all, self.limit, self.longest = encode_all, limit, longest
-        #: By the piece without the space before it; pieces as they stand.
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.standing: dict[str, bytes] = {}
-
-    def _stand(self, pieces: set[str]) -> None:
-        """Learn pieces that have no space before them."""
-        if len(self.standing) > self.limit // 2:
-            self.standing.clear()
-        new = [p for p in pieces if p not in self.standing]
-        self.standing.update(zip(new, self.encode_all(new)))
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        """Each text's encoding."""
-        cuts = [cut(t) for t in texts]
-        self._stand(set().union(*[c[0] for c in cuts]))
+    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], dtype: str, limit: int = 200_000, longest: int = 48):
+        self.encode_all, self.dtype, self.limit, self.longest = encode_all, np.dtype(dtype), limit, longest
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _found(self, pieces: list[bytes]) -> list[bytes]:
+        """Each distinct piece's encoding."""
         if len(self.known) > self.limit:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = set().union(*[c[1] for c in cuts]).difference(known)
+        new = [p for p in pieces if p not in known]
         if older:
             known.update([(p, older[p]) for p in new if p in older])
-            new = new.difference(known)
-        order = list(new)
-        known.update(zip(order, self.encode_all([" " + p for p in order])))
-        standing = self.standing
-        out = [b"".join([*map(standing.__getitem__, a), *map(known.__getitem__, b)]) for a, b in cuts]
+            new = [p for p in new if p not in known]
+        known.update(zip(new, self.encode_all([p.decode() for p in new])))
+        out = list(map(known.__getitem__, pieces))
         for p in new:  # long pieces are rarely met again
             if len(p) > self.longest:
                 del known[p]
         return out
+
+    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after another; how many each text has) of a string column without nulls."""
+        data, offsets = column_bytes(column)
+        first = bounds(data, offsets)
+        if not len(first):
+            return np.zeros(0, self.dtype), np.zeros(len(column), np.int64)
+        ends = pa.py_buffer(np.append(first, len(data)).astype(np.int32))
+        pieces = pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        codes = pieces.indices.to_numpy()
+        found = self._found(pieces.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        size = sizes[codes]
+        total = np.cumsum(size)
+        at = np.repeat((np.cumsum(sizes) - sizes)[codes] - (total - size), size)
+        at += np.arange(len(at))
+        counts = np.diff(np.concatenate([[0], total])[np.searchsorted(first, offsets)])
+        return flat[at], counts

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,15 +207,29 @@ def test_bpe_equals_the_library_and_round_trips(name):
     rng = random.Random(2)
     letters = "abcXYZ é漢🎉 \n\t\x00\x1c\x85\xa0　'.,!?01٣ÀñΩא﻿|▁"
     texts = TEXTS + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(500)]
-    for text, ids in zip(texts, code.encode(texts)):
+    for text, ids in zip(texts, code.encode(pa.array(texts)[:])):
         assert list(ids) == own.encode_ordinary(text), text
         assert code.decode(ids) == text.encode()
 
 
-def test_pieces_join_to_the_text():
-    for t in TEXTS:
-        first, rest = chunks.cut(t)
-        assert "".join(first) + "".join(" " + x for x in rest) == t
+def test_pieces_start_at_spaces_after_no_white_space():
+    texts = [*TEXTS, *(f"a{c} b {c}{c} c{c}" for c in chunks.SPACES), *(f"{c} x" for c in "àá…é0\u2010\u3001"), ""]
+    column = pa.array(["cut off", *texts])[1:]
+    data, offsets = chunks.column_bytes(column)
+    first = set(chunks.bounds(data, offsets).tolist())
+    for text, low, high in zip(texts, offsets, offsets[1:]):
+        want = {len(text[:i].encode()) for i in range(1, len(text)) if text[i] == " " and text[i - 1] not in chunks.SPACES} | ({0} if text else set())
+        assert {x - low for x in first if low <= x < high} == want, text
+
+
+def test_generations_of_pieces_give_the_same_ids():
+    cache = chunks.PieceCache(lambda ps: [np.array([len(p), 7], "<u4").tobytes() for p in ps], "<u4", limit=3, longest=4)
+    texts = ["aa bb cc dd ee", "", "aa longerpiece bb", " aa  bb", "cc dd ee ff gg hh"] * 3
+    for low in range(0, len(texts), 2):
+        ids, counts = cache.of(pa.array(texts[low : low + 2]))
+        pieces = [[]if not t else [p for p in __import__("re").findall(r"(?:^| )? *[^ ]+", t)] for t in texts[low : low + 2]]
+        assert counts.tolist() == [2 * len(p) for p in pieces]
+        assert ids[::2].tolist() == [len(x) for p in pieces for x in p]
 
 
 def test_token_files_equal_the_library(spark, sf, tmp_path):
