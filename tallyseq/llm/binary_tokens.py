@@ -15,6 +15,8 @@ read. A doc_id that a third of all rows share is dealt over partitions by the ha
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,6 +42,10 @@ class TokenFile:
     start: int = 0
 
 
+#: A space and letters, digits or signs of ASCII, or letters beyond it; and the same without the space.
+_PLAIN = re.compile(r" [^\s\x1c-\x1f\x85\xa0]+").fullmatch
+_BARE = re.compile(r"[^\s\x1c-\x1f\x85\xa0]+").fullmatch
+
 _ENCODERS: dict[tuple[str, str], chunks.PieceCache] = {}
 
 
@@ -55,33 +61,52 @@ def encoder(vocabulary: str, dtype: str) -> chunks.PieceCache:
         if any(t.lstrip or t.rstrip or t.normalized or any(c.isspace() for c in t.content) for t in added):
             raise ValueError("added tokens that take in white space: texts can't be cut at spaces")
         special = [t.content for t in added]  # the library's call gives their strings in a text their own ids
-        opens = np.zeros(tokenizer.get_vocab_size(), bool)  # tokens that start with the mapped space
-        opens[[i for t, i in tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
+        vocabulary_ids = tokenizer.get_vocab()
+        opens = np.zeros(max(vocabulary_ids.values()) + 1, bool)  # tokens that start with the mapped space
+        opens[[i for t, i in vocabulary_ids.items() if t.startswith("Ġ")]] = True
+        line = vocabulary_ids.get("Ċ")
         width = np.dtype(dtype).itemsize
+        kinds = json.loads(tokenizer.to_str())["pre_tokenizer"] or {}
+        classes = kinds.get("type") == "ByteLevel" and bool(kinds.get("use_regex", True)) and not kinds.get("add_prefix_space")
 
         def separately(pieces: list[str]) -> list[bytes]:
             return [np.array(e.ids, dtype).tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-        def together(pieces: list[str]) -> list[bytes]:
+        def ids_of(text: str) -> np.ndarray:
+            return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype)
+
+        def spaced(pieces: list[str]) -> list[bytes]:
             """Pieces that start with a space, have no other and end with none, in one call: each one's first token, and no other, starts with the space."""
-            ids = np.array(tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, dtype)
+            ids = ids_of("".join(pieces))
             at = (np.flatnonzero(opens[ids]) * width).tolist()
             if len(at) != len(pieces):
                 return separately(pieces)
             data = ids.tobytes()
             return [data[i:j] for i, j in zip(at, [*at[1:], len(data)])]
 
+        def lined(pieces: list[str]) -> list[bytes]:
+            """Pieces without white space, a line each, in one call: between two of them stands the line end's token, and nowhere else."""
+            ids = ids_of("\n".join(pieces))
+            at = (np.flatnonzero(ids == line) * width).tolist()
+            if line is None or len(at) != len(pieces) - 1:
+                return separately(pieces)
+            data = ids.tobytes()
+            return [data[i:j] for i, j in zip([0, *[k + width for k in at]], [*at, len(data)])]
+
         def encode_all(pieces: list[str]) -> list[bytes]:
-            plain = [p for p in pieces if p[:1] == " " and p.count(" ") == 1 and not p[-1].isspace() and not any(x in p for x in special)]
+            odd = {p for s in special for p in pieces if s in p}
             out: dict[str, bytes] = {}
-            for low in range(0, len(plain), 20_000):
-                part = plain[low : low + 20_000]
-                out.update(zip(part, together(part)))
+            with_space = [p for p in pieces if p[:1] == " " and _PLAIN(p) and p not in odd]
+            without = [p for p in pieces if _BARE(p) and p not in odd] if classes else []
+            for group, together in ((with_space, spaced), (without, lined)):
+                for low in range(0, len(group), 20_000):
+                    part = group[low : low + 20_000]
+                    out.update(zip(part, together(part)))
             rest = [p for p in pieces if p not in out]
             out.update(zip(rest, separately(rest)))
             return [out[p] for p in pieces]
 
-        _ENCODERS[key] = chunks.PieceCache(encode_all, dtype)
+        _ENCODERS[key] = chunks.PieceCache(encode_all, dtype, classes, special)
     return _ENCODERS[key]
 
 

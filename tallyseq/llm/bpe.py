@@ -92,7 +92,7 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.tokens))
         self.split = regex.compile(pattern).findall
         self.map = byte_characters()
-        self.pieces = chunks.PieceCache(self._encode_pieces, "<u4")
+        self.pieces = chunks.PieceCache(self._encode_pieces, "<u4", pattern == chunks.CLASSES)
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         pre = [[p.encode() for p in self.split(piece)] for piece in pieces]

@@ -217,6 +217,19 @@ def test_pieces_start_at_spaces_after_no_white_space():
     column = pa.array(["cut off", *texts])[1:]
     data, offsets = chunks.column_bytes(column)
     first = set(chunks.bounds(data, offsets).tolist())
+    import public_tokenizers
+    import regex
+
+    assert chunks.CLASSES == public_tokenizers.PATTERN
+    rng = random.Random(5)
+    signs = ["a", "B", "7", "'", "s", "'s", "'t", "'ve", ".", ",", "&", "_", " ", "  ", "\n", "\n\n", "\t", "é", "í\u0301", "٣", "\u3000", "…", "’", "漢", "🎉", "-", '"', "x\n", "<|endoftext|>"]
+    mixed = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(4000)] + texts
+    d, at = chunks.column_bytes(pa.array(mixed))
+    cuts = chunks.bounds(d, at, classes=True)
+    for text, low, high in zip(mixed, at, at[1:]):
+        raw, own = text.encode(), [*cuts[(cuts >= low) & (cuts < high)] - low, high - low]
+        pieces = [raw[i:j].decode() for i, j in zip(own, own[1:])]
+        assert [t for piece in pieces for t in regex.findall(chunks.CLASSES, piece)] == regex.findall(chunks.CLASSES, text), text
     for text, low, high in zip(texts, offsets, offsets[1:]):
         want = {len(text[:i].encode()) for i in range(1, len(text)) if text[i] == " " and text[i - 1] not in chunks.SPACES} | ({0} if text else set())
         assert {x - low for x in first if low <= x < high} == want, text
@@ -237,6 +250,9 @@ def test_token_files_equal_the_library(spark, sf, tmp_path):
 
     t = Tokenizer.from_file(p.path("byte_bpe_50k.json"))
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + TEXTS + SPECIAL
+    rng = random.Random(7)
+    signs = ["a", "Be", "7", "'", "'s", "'ve", ".", "&&", " ", "  ", "\n", "\n\n", "\t", "é", "\u3000", "…", "’", "漢", " the", "endoftext", "<|", "|>", "<|endoftext|>"]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(800)]
     docs = list(enumerate(texts))
     folder = save(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), tmp_path)
     got = {r.doc_id: r for r in binary_tokens.op7_binary_tokens(spark, folder).collect()}
