@@ -11,9 +11,11 @@ probability 8e-11 and fails the second test with less than 1e-10 (Chernoff), a c
 (prefix filter), and those are keys as well. Groups of candidates are then compared by their shingle sets, exactly.
 
 Equal texts (by 128 bits of their words' hash) are one node from the start. A group's sets are read together; from a
-group of m fewer than m links are kept, found by searching from each text among those not reached. Groups above
-``GROUP`` texts or ``GROUP_BYTES`` of sets are dealt in pairs of blocks. The document with the least id of each
-class stays.
+group of m fewer than m links are kept, found by searching from each text among those not reached. In a group above
+``GROUP`` texts or ``GROUP_BYTES`` of sets the candidates' own links are compared first, a row each. What they join is
+one class for certain, so only the texts outside a group's largest class have to meet others: the largest is dealt once in
+blocks, and the rest, a few in groups of near copies, meets each block. The document with the least id of each class
+stays.
 
 Defined results: null and empty texts have no words and are equal; a text of fewer than five words is one shingle;
 a null id sorts first; of repeated rows one stays; an empty table stays empty; all columns are kept, whatever they
@@ -42,7 +44,7 @@ BANDS, ROWS = 44, 4
 SKETCH, MATCHES = 128, 70
 #: A band's key that more texts share is dealt in pairs of blocks.
 BLOCK = 8192
-GROUP = 2000
+GROUP = 512
 GROUP_BYTES = 16 << 20
 #: Up to this many keys (some 16 bytes each) are broadcast; beyond it joins are shuffled.
 BROADCAST_KEYS = 1_000_000
@@ -197,18 +199,8 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
 
 
-def alike(docs: DataFrame, nodes: DataFrame, exact: bool = False) -> DataFrame:
-    """(a, b): links that join all nodes whose texts are alike. nodes: node, word_hash, doc_id, th (a row it stands for), sketch, n, f0, heads."""
-    candidates = golay_links(nodes, ["f0"]).unionByName(band_links(nodes))
-    if exact:
-        candidates = candidates.unionByName(prefix_links(nodes))
-    grouped = cut(components(candidates))
-    wanted = cut(nodes.join(grouped, "node").select("node", "word_hash", "root", "doc_id", "th", "n"))
-    sizes = wanted.groupBy("root").agg(F.count("*").alias("rows"), (8 * F.sum("n")).alias("bytes"))
-    blocks = F.ceil(F.greatest(F.col("rows") / (GROUP / 2), F.col("bytes") / (GROUP_BYTES / 2)))
-    crowd = sizes.where((F.col("rows") > GROUP) | ((F.col("bytes") > GROUP_BYTES) & (F.col("rows") > 2))).select("root", F.least(blocks, "rows").alias("blocks"))
-    # a root's members are dealt to every pair of its blocks
-    dealt = _dealt(wanted.join(crowd, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))))
+def set_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the wanted nodes: the set of each as packed hashes. wanted: node, word_hash, doc_id, th."""
     id_, hash_ = fresh(docs.columns, "wanted_id", "wanted_hash")
     keys = _small(wanted.select(F.col("doc_id").alias(id_), F.col("th").alias(hash_)).distinct())
     texts = docs.select("doc_id", text_hash().alias("th"), "text").join(keys, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col("th") == F.col(hash_)), "left_semi")
@@ -223,24 +215,78 @@ def alike(docs: DataFrame, nodes: DataFrame, exact: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(made, pa.binary())], ["word_hash", "shingles"])
 
     found = texts.select(utf8(F.col("text"))).mapInArrow(sets, "word_hash binary, shingles binary").dropDuplicates(["word_hash"])
+    return wanted.select("node", "word_hash").join(found, "word_hash").select("node", "shingles")
+
+
+def alike_links(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the links (a, b) whose own two texts are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tidy(batches):
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both + 1e-9 >= SIMILARITY * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    ends = [sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab"]
+    return links.join(ends[0], "a").join(ends[1], "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _crowds(docs: DataFrame, wanted: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of large groups: rows (root, part, node, label) to meet, and the links that are certain. wanted: as in ``set_rows``, with root and n."""
+    sure = cut(alike_links(candidates.join(wanted.select(F.col("node").alias("a")), "a"), set_rows(docs, wanted)))
+    named = wanted.join(components(sure).withColumnRenamed("root", "label"), "node", "left").select("root", "node", "n", F.coalesce("label", "node").alias("label"))
+    classes = cut(named.groupBy("root", "label").agg(F.count("*").alias("rows"), (8 * F.sum("n")).alias("bytes")))
+    blocks = F.ceil(F.greatest(F.col("rows") / (GROUP / 2), F.col("bytes") / (GROUP_BYTES / 2)))
+    largest = classes.groupBy("root").agg(F.max(F.struct("rows", "bytes", "label")).alias("m")).select("root", "m.*")
+    rest = classes.join(largest.select("root", F.col("label").alias("top")), "root").where("label != top").groupBy("root").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
+    plan = largest.select("root", F.col("label").alias("top"), F.least(blocks, "rows").alias("g")).join(rest.select("root", F.least(blocks, "rows").alias("o")), "root")
+    rows = named.join(plan, "root").withColumns({"i": F.pmod(F.xxhash64("node"), F.col("g")), "j": F.pmod(F.xxhash64("node"), F.col("o"))})
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    # a block of the largest class with a block of the rest, then two blocks of the rest
+    main = rows.where("label = top").withColumn("other", F.explode(upto("o"))).withColumn("part", F.col("i") * F.col("o") + F.col("other"))
+    against = rows.where("label != top").withColumn("other", F.explode(upto("g"))).withColumn("part", F.col("other") * F.col("o") + F.col("j"))
+    among = rows.where("label != top and o > 1").withColumn("other", F.explode(upto("o"))).withColumn("part", F.col("g") * F.col("o") + F.least("j", "other") * F.col("o") + F.greatest("j", "other"))
+    names = ("root", "part", "node", "label")
+    return main.select(*names).unionByName(against.select(*names)).unionByName(among.select(*names)), sure
+
+
+def alike(docs: DataFrame, nodes: DataFrame, exact: bool = False) -> DataFrame:
+    """(a, b): links that join all nodes whose texts are alike. nodes: node, word_hash, doc_id, th (a row it stands for), sketch, n, f0, heads."""
+    candidates = golay_links(nodes, ["f0"]).unionByName(band_links(nodes))
+    if exact:
+        candidates = candidates.unionByName(prefix_links(nodes))
+    candidates = cut(candidates)
+    grouped = components(candidates)
+    wanted = cut(nodes.join(grouped, "node").select("node", "word_hash", "root", "doc_id", "th", "n"))
+    sizes = wanted.groupBy("root").agg(F.count("*").alias("rows"), (8 * F.sum("n")).alias("bytes"))
+    crowd = cut(sizes.where((F.col("rows") > GROUP) | ((F.col("bytes") > GROUP_BYTES) & (F.col("rows") > 2))).select("root"))
+    dealt = wanted.join(crowd, "root", "left_anti").select("root", F.lit(0).cast("long").alias("part"), "node", F.col("node").alias("label"))
+    sure = None
+    if crowd.limit(1).count():
+        rows, sure = _crowds(docs, cut(wanted.join(crowd, "root", "left_semi")), candidates)
+        dealt = dealt.unionByName(rows)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in in_runs(tidy(batches), 2, 1):
             edge = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
             links = []
             for low, high in zip([0, *edge], [*edge, len(rows[0])]):
-                own = [np.frombuffer(x, "<i8") for x in rows[3][low:high]]
-                links += [(low + a, low + b) for a, b in similar(own)]
+                own = [np.frombuffer(x, "<i8") for x in rows[4][low:high]]
+                links += [(low + a, low + b) for a, b in similar(own, rows[3][low:high])]
             if links:
                 at = np.array(links)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[2][at[:, 0]]), pa.array(rows[2][at[:, 1]])], ["a", "b"])
 
-    met = dealt.select("root", "part", "node", "word_hash").join(found, "word_hash").select("root", "part", "node", "shingles").repartition("root", "part").sortWithinPartitions("root", "part", "node")
-    return met.mapInArrow(verify, "a long, b long")
+    met = dealt.join(set_rows(docs, wanted), "node").select("root", "part", "node", "label", "shingles").repartition("root", "part").sortWithinPartitions("root", "part", "node")
+    links = met.mapInArrow(verify, "a long, b long")
+    return links if sure is None else links.unionByName(sure)
 
 
-def similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join all sets connected by a Jaccard similarity of SIMILARITY or more."""
+def similar(sets: list[np.ndarray], labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join all sets connected by a Jaccard similarity of SIMILARITY or more; those of one label are joined already."""
     if len(sets) < 2:
         return []
     sizes = np.array([len(s) for s in sets])
@@ -261,7 +307,7 @@ def similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         marks[own] = False
         return near
 
-    return joining_links(np.zeros(len(sets)), close)
+    return joining_links(np.zeros(len(sets)), close, labels)
 
 
 def near_dedup(docs: DataFrame, exact: bool = False) -> DataFrame:

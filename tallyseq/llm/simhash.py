@@ -144,18 +144,28 @@ def fingerprints(docs: DataFrame, keep: list[str], shingle: int = 3) -> DataFram
     return chosen.mapInArrow(run, f"{schema}, fp long")
 
 
-def joining_links(fps: np.ndarray, close) -> list[tuple[int, int]]:
-    """Positions of links that join all that ``close(i, positions) -> mask`` connects, fewer than there are fingerprints."""
+def joining_links(fps: np.ndarray, close, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Positions of links that join all that ``close(i, positions) -> mask`` connects, fewer than there are fingerprints.
+
+    Those of one label count as joined already: they are neither compared nor linked with one another.
+    """
     left, links = np.arange(len(fps)), []
+
+    def reach(near: np.ndarray) -> np.ndarray:
+        """What is reached with ``near`` (a mask of ``left``), taken from ``left``."""
+        nonlocal left
+        if labels is not None and near.any():
+            near = np.isin(labels[left], labels[left[near]])
+        got, left = left[near], left[~near]
+        return got
+
     while len(left):
-        front, left = [left[0]], left[1:]
+        front = reach(np.arange(len(left)) == 0).tolist()
         while front and len(left):
             x = front.pop()
             near = close(x, left)
-            found = left[near]
-            links += [(x, y) for y in found]
-            front += found.tolist()
-            left = left[~near]
+            links += [(x, y) for y in left[near]]
+            front += reach(near).tolist()
     return links
 
 
