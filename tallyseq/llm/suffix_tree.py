@@ -451,7 +451,9 @@ def scores(docs: DataFrame, keep: list[str], trains: str, depth: int = DEPTH) ->
 
         source = blocks if level == 0 else by_block(level)
         asked = source.mapInArrow(asking, "part int, block long, payload binary").repartition(parts, "part").sortWithinPartitions("part", "block")
-        return cut(asked.mapInArrow(answering, ANSWER))
+        # written, not checkpointed: a checkpoint's frame holds on to the exchange it came from, and so to its files
+        asked.mapInArrow(answering, ANSWER).write.parquet(f"{folder}/answers-{level}")
+        return spark.read.schema(ANSWER).parquet(f"{folder}/answers-{level}")
 
     def sums(answered: DataFrame) -> list[bytes]:
         return [bytes(r.payload) for r in answered.where("block < 0").select("payload").collect()]
