@@ -147,8 +147,9 @@ def find_hits(docs: DataFrame, items: DataFrame, keep: list[str], broadcast_byte
     else:
         rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()).select("_row", "text", *[c for c in keep if c != "text"]))
         base = _fingerprinted(rows, settings, ["_row", *keep])
-        found = base.select("_row", F.explode(_tagged(kinds)).alias("_e")).select("_row", "_e.kind", "_e.fp").join(filed.select("kind", "fp").distinct(), ["kind", "fp"], "left_semi")
-        hit = base.join(found, "_row").join(filed, ["kind", "fp"])
+        # kept hashes fetch their windows as rows of their own, so that a passage in very many documents moves no texts
+        found = base.select("_row", F.explode(_tagged(kinds)).alias("_e")).select("_row", "_e.kind", "_e.fp").join(filed, ["kind", "fp"])
+        hit = base.join(found, "_row")
         own = base.withColumns({"kind": F.lit(OWN), "fp": F.lit(0).cast("long"), "at": F.lit(0), "gram": F.array().cast("array<string>"), "items": F.array().cast("array<string>")})
         met = hit.unionByName(own)
     hits = (
