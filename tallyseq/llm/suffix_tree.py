@@ -20,7 +20,7 @@ exact counts give the base score.
 Defined results: a null or empty text is the end alone; a null id counts as empty text in the fold; repeated rows
 count each time; without training texts the base is uniform over nothing (each token has probability 1) and so is
 the score; an empty table gives an empty result; extra columns are not read. A text stays whole in one block.
-Words are known by 64-bit hashes, contexts by 64-bit hashes of their words' numbers.
+Words are known by 64-bit hashes, contexts by hashes of their words' numbers of 20 bits more than the tokens' number has.
 """
 
 from __future__ import annotations
@@ -112,6 +112,12 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ascending[new], order[new], which
 
 
+def read_file(uri: str) -> bytes:
+    fs, path = filesystem(uri)
+    with fs.open_input_stream(path, compression=None) as stream:
+        return stream.read()
+
+
 def tokenised(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words and ends, tokens a text)."""
     import xxhash
@@ -148,6 +154,18 @@ class Corpus:
     def log_all(self) -> float:
         return math.log10(self.tokens + self.kinds + 1)
 
+    @property
+    def bits(self) -> int:
+        """Bits of a context's key: so many more than the corpus has tokens that one context in a million meets another's key."""
+        return min(64, max(40, (self.tokens + 2).bit_length() + 20))
+
+    def key(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return mix(context, word) >> np.uint64(64 - self.bits)
+
+    def part_of(self, keys: np.ndarray, bits: int) -> np.ndarray:
+        """The part of each key of so many bits: an even share of their range, so that keys of a part lie close."""
+        return ((keys >> np.uint64(bits - 32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int64)
+
     @property
     def most(self) -> int:
         """Occurrences up to which a context stays in one part."""
@@ -156,10 +174,13 @@ class Corpus:
 
 def block_bytes(rows: pa.Table, trains: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> bytes:
     words, codes = np.unique(hashes, return_inverse=True)
+    often = np.argsort(-np.bincount(codes), kind="stable")  # frequent words have small numbers, which pack better
+    rank = np.empty(len(words), np.uint32)
+    rank[often] = np.arange(len(words), dtype=np.uint32)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows.schema) as out:
         out.write_table(rows)
-    packed = pack(sizes, trains.astype(np.uint8), steps(words), codes.astype(np.uint32))
+    packed = pack(sizes, trains.astype(np.uint8), steps(words), often.astype(np.uint32), rank[codes])
     return struct.pack("<q", len(packed)) + packed + sink.getvalue().to_pybytes()
 
 
@@ -197,38 +218,33 @@ class Block:
 
     def __init__(self, corpus: Corpus, number: int):
         self.corpus = corpus
-        fs, path = filesystem(f"{corpus.folder}/{number}.block")
-        with fs.open_input_stream(path, compression=None) as stream:
-            data = stream.read()
+        data = read_file(f"{corpus.folder}/{number}.block")
         (size,) = struct.unpack_from("<q", data)
-        self.sizes, trains, words, self.codes = unpack(data[8 : 8 + size])
+        self.sizes, trains, words, often, ranks = unpack(data[8 : 8 + size])
+        self.codes = often[ranks]
         self.rows = pa.ipc.open_stream(data[8 + size :]).read_all()
         self.words = np.cumsum(words)
         self.train = np.repeat(trains.astype(bool), self.sizes)
         self.place = (np.arange(len(self.codes)) - np.repeat(firsts(self.sizes), self.sizes)).astype(np.int32)
         self.codes = self.codes.astype(np.int32)
-        self.word_part = (self.words % np.uint64(corpus.parts)).astype(np.int64)
-        self.order = np.argsort(self.word_part << 32 | np.arange(len(self.words)))
 
     def ask_words(self) -> Iterator[tuple[int, bytes]]:
         """(part, words and their training counts)."""
-        counts = np.bincount(self.codes[self.train], minlength=len(self.words))[self.order]
-        words = self.words[self.order]
-        for p, low, high in runs(self.word_part[self.order]):
-            yield p, pack(steps(words[low:high]), counts[low:high])
+        counts = np.bincount(self.codes[self.train], minlength=len(self.words))
+        for p, low, high in runs(self.corpus.part_of(self.words, 64)):
+            yield p, pack(steps(self.words[low:high]), counts[low:high])
 
     def hear_words(self, answers: list[bytes]) -> None:
         got = [unpack(a) for a in answers]
-        self.ids, self.counts = np.zeros(len(self.words), np.uint64), np.zeros(len(self.words), np.int64)
-        self.ids[self.order], self.counts[self.order] = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+        self.ids, self.counts = (np.concatenate([g[i] for g in got]) for i in (0, 1))
         self.value = (np.log10(self.counts + 1.0) - self.corpus.log_all)[self.codes]
         first = firsts(self.sizes)
         self.known = np.add.reduceat((self.counts > 0)[self.codes], first, dtype=np.int64)
         self.base = np.add.reduceat(self.value, first)
         # of the first length of context: the word before
-        self.suffix_count = self.counts[self.codes]
+        self.level, self.suffix_count = 1, self.counts[self.codes]
         self.context = self._after(self.codes, 1)
-        self.keys, self.totals = mix(self.ids, np.ones_like(self.ids)), self.counts
+        self.keys, self.totals = self.ids, self.counts
         self._look()
 
     def _after(self, values: np.ndarray, words: int) -> np.ndarray:
@@ -253,12 +269,12 @@ class Block:
         known = self.pair_context[edge]  # distinct contexts
         rank, part_of = np.zeros(len(self.totals), np.int64), np.zeros(len(self.totals), np.int64)
         rank[known[np.argsort(self.keys[known])]] = np.arange(len(known))
-        part_of[known] = (self.keys[known] % np.uint64(corpus.parts)).astype(np.int64)
+        part_of[known] = corpus.part_of(self.keys[known], corpus.bits) if self.level > 1 else (self.keys[known] % np.uint64(corpus.parts)).astype(np.int64)
         part = part_of[context]
         for i in [np.flatnonzero(self.totals[context] > corpus.most)]:  # dealt over parts by their symbols
             symbol = self.ids[self.pair_code[listed[i]]]
             sub = mix(symbol, symbol) % (1 + self.totals[context[i]] // corpus.most).astype(np.uint64)
-            part[i] = ((self.keys[context[i]] + sub * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(corpus.parts)).astype(np.int64)
+            part[i] = (part_of[context[i]] + (sub * np.uint64(7919) % np.uint64(corpus.parts)).astype(np.int64)) % corpus.parts
         place = part << 32 | rank[context]
         order = np.argsort(place)
         self.listed, place = listed[order], place[order]
@@ -276,9 +292,10 @@ class Block:
         self.listed_context, self.listed_part, self.listed_size = c[c_order], c_place[c_order] >> 32, c_size[c_order]
 
     def ask(self) -> Iterator[tuple[int, bytes]]:
-        """(part, contexts and pairs with their training counts and the suffix's log probability) of the current length."""
+        """(part, contexts and pairs with their training counts and the suffix's log probability) of the current length; the first length's suffix is the root, where the word's count says it."""
         n = np.bincount(self.pair[self.train[self.open]], minlength=len(self.pair_code))[self.listed]
-        short = self.value[self.there[self.listed]].astype(np.float32)
+        there = self.there[self.listed]
+        short = self.suffix_count[there] if self.level == 1 else self.value[there].astype(np.float32)
         symbol = self.ids[self.pair_code[self.listed]]
         ends = np.cumsum(self.listed_size)
         keys, totals = self.keys[self.listed_context], self.totals[self.listed_context]
@@ -312,7 +329,7 @@ class Block:
         ended = np.full(len(self.codes), -1, np.int32)
         ended[i] = self.pair
         self.context = self._after(ended, level + 1)
-        self.keys, self.totals = mix(self.keys[self.pair_context], self.ids[self.pair_code]), count
+        self.keys, self.totals, self.level = self.corpus.key(self.keys[self.pair_context], self.ids[self.pair_code]), count, level + 1
         self._look()
 
     def scores(self) -> list[np.ndarray]:
@@ -361,7 +378,8 @@ def answer(corpus: Corpus, part: int, asked: list[tuple[int, bytes]]) -> Iterato
     pairs, first, pair = distinct(context << 32 | symbol)
     n = np.bincount(pair, np.concatenate([g[4] for g in got]), len(pairs)).astype(np.int64)
     n[n < LEAST] = 0
-    short = np.concatenate([g[5] for g in got]).astype(float)[first]
+    short = np.concatenate([g[5] for g in got])[first]
+    short = np.log10(short + 1.0) - corpus.log_all if short.dtype.kind == "i" else short.astype(float)
     entry = n > 0
     where, short, m = (pairs >> 32)[entry], short[entry], n[entry]
     share = (m - DISCOUNT) / total[where]
@@ -402,10 +420,23 @@ def grouped(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[int,
 
 
 def replayed(corpus: Corpus, number: int, rows: list[tuple], levels: int, last: bool = False) -> Block:
-    """A block that has heard the answers of the first ``levels`` rounds. rows: level, part, block, payload in order."""
+    """A block that has heard the answers of the first ``levels`` rounds. rows: level, part, block, payload of the last of them, in order.
+
+    Answers travel once: those of earlier rounds are in files beside the block, and the last ones are put there.
+    """
     block = Block(corpus, number)
     for level in range(levels):
-        answers = [r[3] for r in rows if r[0] == level]
+        name = f"{corpus.folder}/{number}.heard-{level}"
+        if level == levels - 1:
+            answers = [r[3] for r in rows if r[0] == level]
+            if not last:
+                write_file(name, iter([struct.pack("<q", len(a)) + a for a in answers]))
+        else:
+            answers, data, at = [], read_file(name), 0
+            while at < len(data):
+                (size,) = struct.unpack_from("<q", data, at)
+                answers.append(data[at + 8 : at + 8 + size])
+                at += 8 + size
         block.hear_words(answers) if level == 0 else block.hear(level, answers, last and level == levels - 1)
     return block
 
@@ -430,9 +461,11 @@ def scores(docs: DataFrame, keep: list[str], trains: str, depth: int = DEPTH) ->
     blocks = cut(write_blocks(docs, keep, trains, folder))
     corpus = Corpus(folder, part_labels(spark, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     parts, answers = corpus.parts, None
+    # a block that asked nothing has no answer but goes on
+    every = blocks.select(F.lit(-1).alias("level"), F.lit(-1).alias("part"), "block", F.lit(None).cast("binary").alias("payload"))
 
-    def by_block(levels: int) -> DataFrame:
-        return answers.where(f"block >= 0 and level < {levels}").repartition(parts, "block").sortWithinPartitions("block", "level", "part")
+    def by_block() -> DataFrame:
+        return answers.where("block >= 0").unionByName(every).repartition(parts, "block").sortWithinPartitions("block", "part")
 
     def round_(level: int, corpus: Corpus) -> DataFrame:
         def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,7 +482,7 @@ def scores(docs: DataFrame, keep: list[str], trains: str, depth: int = DEPTH) ->
                 for block, payload in (answer_words if level == 0 else answer)(corpus, part, [r[1:] for r in rows]):
                     yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([label], pa.int32()), pa.array([block]), pa.array([payload], pa.binary())], ["level", "part", "block", "payload"])
 
-        source = blocks if level == 0 else by_block(level)
+        source = blocks if level == 0 else by_block()
         asked = source.mapInArrow(asking, "part int, block long, payload binary").repartition(parts, "part").sortWithinPartitions("part", "block")
         # written, not checkpointed: a checkpoint's frame holds on to the exchange it came from, and so to its files
         asked.mapInArrow(answering, ANSWER).write.parquet(f"{folder}/answers-{level}")
@@ -459,13 +492,14 @@ def scores(docs: DataFrame, keep: list[str], trains: str, depth: int = DEPTH) ->
         return [bytes(r.payload) for r in answered.where("block < 0").select("payload").collect()]
 
     answers = round_(0, corpus)
-    free(spark)
     kinds, tokens = np.sum([unpack(s)[0] for s in sums(answers)] or [[0, 0]], axis=0).tolist()
     corpus = Corpus(folder, corpus.labels, int(tokens), int(kinds))
+    free(spark)
     for level in range(1, depth + 1):
         answered = round_(level, corpus)
         corpus = Corpus(folder, corpus.labels, corpus.tokens, corpus.kinds, corpus.hot | {level: combined(sums(answered), corpus.tokens)})
-        answers = answers.unionByName(answered)
+        answers = answered
+        remove_folder(f"{folder}/answers-{level - 1}")  # heard by the blocks
         free(spark)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,7 +513,7 @@ def scores(docs: DataFrame, keep: list[str], trains: str, depth: int = DEPTH) ->
 
     names = [*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    out = cut(by_block(depth + 1).mapInArrow(finish, f"{kept}, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    out = cut(by_block().mapInArrow(finish, f"{kept}, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
     remove_folder(folder)
     return out
 
