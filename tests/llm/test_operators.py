@@ -212,6 +212,26 @@ def test_bpe_equals_the_library_and_round_trips(name):
         assert code.decode(ids) == text.encode()
 
 
+def _library_ids(texts):
+    import tiktoken
+
+    own = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=bpe.Codec(p.path("byte_bpe_multi_50k.tiktoken"), p.PATTERN).whole, special_tokens={})
+    return [own.encode_ordinary(t or "") for t in texts]
+
+
+def _sha(data):
+    return hashlib.sha256(data).hexdigest()
+
+
+def test_bpe_query_equals_the_library(spark, sf, tmp_path):
+    """Counts and digests of whole texts, those of the test data and odd ones."""
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + TEXTS + SPECIAL + [None]
+    folder = save(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), tmp_path)
+    got = {r.doc_id: r for r in bpe.op3_byte_bpe(spark, folder).collect()}
+    for i, (text, ids) in enumerate(zip(texts, _library_ids(texts))):
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), _sha(",".join(map(str, ids)).encode()), _sha((text or "").encode())), text
+
+
 def test_pieces_start_at_spaces_after_no_white_space():
     texts = [*TEXTS, *(f"a{c} b {c}{c} c{c}" for c in chunks.SPACES), *(f"{c} x" for c in "àá…é0\u2010\u3001"), ""]
     column = pa.array(["cut off", *texts])[1:]
@@ -428,6 +448,8 @@ def test_packed_arrays_come_back():
 
 def test_shards_are_even_and_slots_gapless(spark, sf):
     rows = sharding.op6_histogram_sharding(spark, sf).collect()
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert all((r["size"], r.text_crc32, r.law, r.grown_shard) == (len(texts[r.doc_id]) + 1, zlib.crc32(texts[r.doc_id]), "bytes", None) for r in rows) and len(rows) == len(texts)
     size, slots = Counter(), {}
     for r in rows:
         size[r.shard] += r.size
@@ -497,11 +519,14 @@ def test_toxicity_on_unseen_texts_and_misspellings():
     assert toxicity.scores([b"zlorkkest aeb zlorkly"], model)[0] > 0.5 > toxicity.scores([b""], model)[0]
 
 
-def _brute_hits(text, items):
-    words = decontaminate.GAPS  # noqa: F841
+def _benchmark_words(text):
     import re
 
-    split = lambda t: [w for w in re.split(decontaminate.GAPS, "".join(c.lower() if c.isascii() else c for c in (t or ""))) if w]
+    return [w for w in re.split(decontaminate.GAPS, "".join(c.lower() if c.isascii() else c for c in (text or ""))) if w]
+
+
+def _brute_hits(text, items):
+    split = _benchmark_words
     doc, hit, found = split(text), set(), set()
     for item, t in items:
         w = split(t)
@@ -542,6 +567,49 @@ def test_pipeline_filters_and_keeps_clean_documents(spark, sf):
     assert pipeline.run(spark, sf).count() == kept.count()
 
 
+def test_pipeline_equals_brute_force(spark, sf):
+    """Every stage on all that its predecessor kept, against plain Python: scores of the model, all pairs' Jaccard, all windows, the library's ids."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), F.expr("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2"))
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    rows = [r for r, s in zip(rows, toxicity.scores([(t or "").encode() for _, t in rows], model)) if s < 0.3]
+    words = [(t or "").encode().lower().split() for _, t in rows]
+    rows = [rows[i] for i in _jaccard_classes(words)[1]]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    grams = {}
+    for item, t in items:
+        w = _benchmark_words(t)
+        for i in range(max(1, len(w) - 12)) if w else ():
+            grams.setdefault(len(w[i : i + 13]), set()).add(tuple(w[i : i + 13]))
+    kept = []
+    for i, t in rows:
+        w, hit = _benchmark_words(t), set()
+        for n, found in grams.items():
+            for j in range(len(w) - n + 1):
+                if tuple(w[j : j + n]) in found:
+                    hit |= set(range(j, j + n))
+        if not (hit and 20 * len(hit) >= len(w)):
+            kept.append((i, t))
+    want = sorted((i, len(ids), _sha(",".join(map(str, ids)).encode())) for (i, t), ids in zip(kept, _library_ids([t for _, t in kept])))
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in pipeline.run(spark, sf).collect()) == want
+
+
+def test_toxicity_on_the_held_out_labels(spark):
+    """The shipped settings on the labelled documents of the fold that is not learnt from."""
+    import os
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [(r.score, marks[r.doc_id]) for r in toxicity.op9_toxicity(spark, folder).collect() if r.held_out and r.doc_id in marks]
+    pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
+    assert len(pos) > 50 and len(neg) > 500
+    assert np.mean([a > b for a in pos for b in neg]) > 0.95
+    assert np.mean([s >= 0.3 for s in neg]) < 0.05
+
+
 def test_pipeline_on_odd_and_empty_tables(spark, odd, empty):
     pipeline = pytest.importorskip("corpus_pipeline")
     assert pipeline.run(spark, empty).count() == 0
