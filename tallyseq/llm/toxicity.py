@@ -11,13 +11,14 @@ The sample of labelled rows is bounded: ``per_class`` rows of each class of the
 least hash of their id, of at most ``sample_bytes`` each. The classes' true frequencies, counted over all labelled
 training rows, are put back into the bias. All documents are scored over their whole texts.
 
-Defined results: a null or empty text has the bias's score; rows without a label are scored too; several labels of
+Defined results: a null or empty text, or one of marks alone, has the bias's score; rows without a label are scored too; several labels of
 one id count as their greatest; without labels of both classes in the training folds every score is the
 training rows' toxic fraction (1e-6 without rows); repeated rows are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -43,9 +44,13 @@ SCALE = 100.0
 SURE, SMOOTH = 3.0, 5.0
 
 
+#: What a word has one of at least; runs of marks, such as the bars of a table, are no words.
+_LETTER = re.compile(rb"[0-9a-z\x80-\xff]").search
+
+
 def tokens(text: bytes) -> list[bytes]:
     """Words in lower case (A-Z), marks at their ends taken off."""
-    return [w.strip(b".,;:!?\"'()[]") or w for w in text.lower().split()]
+    return [w.strip(b".,;:!?\"'()[]") or w for w in text.lower().split() if _LETTER(w)]
 
 
 def buckets(word: bytes, size: int = BUCKETS) -> list[int]:
@@ -90,7 +95,7 @@ class _Sums:
         return self._sum(grad[self.bg] * self.bw[:, None], self.bi, self.m)
 
 
-def train(texts: list[bytes], labels: list[int], prior: float, size: int = BUCKETS, width: int = 4, rounds: int = 40, rate: float = 0.02, seed: int = 7) -> Model:
+def train(texts: list[bytes], labels: list[int], prior: float, size: int = BUCKETS, width: int = 4, rounds: int = 80, rate: float = 0.02, seed: int = 7) -> Model:
     """Fit on whole texts of both classes; ``prior`` is the toxic fraction to restore.
 
     Buckets whose document frequencies do not differ between the classes by ``SURE`` standard errors keep weight
