@@ -237,20 +237,20 @@ def alike_links(links: DataFrame, sets: DataFrame) -> DataFrame:
 def _crowds(docs: DataFrame, wanted: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of large groups: rows (root, part, node, label) to meet, and the links that are certain. wanted: as in ``set_rows``, with root and n."""
     sure = cut(alike_links(candidates.join(wanted.select(F.col("node").alias("a")), "a"), set_rows(docs, wanted)))
-    named = wanted.join(components(sure).withColumnRenamed("root", "label"), "node", "left").select("root", "node", "n", F.coalesce("label", "node").alias("label"))
-    classes = cut(named.groupBy("root", "label").agg(F.count("*").alias("rows"), (8 * F.sum("n")).alias("bytes")))
+    named = cut(wanted.join(components(sure).withColumnRenamed("root", "label"), "node", "left").select("root", "node", "n", F.coalesce("label", "node").alias("label")))
+    classes = named.groupBy("root", "label").agg(F.count("*").alias("rows"), (8 * F.sum("n")).alias("bytes"))
     blocks = F.ceil(F.greatest(F.col("rows") / (GROUP / 2), F.col("bytes") / (GROUP_BYTES / 2)))
     largest = classes.groupBy("root").agg(F.max(F.struct("rows", "bytes", "label")).alias("m")).select("root", "m.*")
     rest = classes.join(largest.select("root", F.col("label").alias("top")), "root").where("label != top").groupBy("root").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
     plan = largest.select("root", F.col("label").alias("top"), F.least(blocks, "rows").alias("g")).join(rest.select("root", F.least(blocks, "rows").alias("o")), "root")
     rows = named.join(plan, "root").withColumns({"i": F.pmod(F.xxhash64("node"), F.col("g")), "j": F.pmod(F.xxhash64("node"), F.col("o"))})
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    # a block of the largest class with a block of the rest, then two blocks of the rest
-    main = rows.where("label = top").withColumn("other", F.explode(upto("o"))).withColumn("part", F.col("i") * F.col("o") + F.col("other"))
-    against = rows.where("label != top").withColumn("other", F.explode(upto("g"))).withColumn("part", F.col("other") * F.col("o") + F.col("j"))
-    among = rows.where("label != top and o > 1").withColumn("other", F.explode(upto("o"))).withColumn("part", F.col("g") * F.col("o") + F.least("j", "other") * F.col("o") + F.greatest("j", "other"))
-    names = ("root", "part", "node", "label")
-    return main.select(*names).unionByName(against.select(*names)).unionByName(among.select(*names)), sure
+    # a block of the largest class with each block of the rest; a block of the rest with each of the largest class, and with the other blocks of the rest
+    main = F.transform(upto("o"), lambda j: F.col("i") * F.col("o") + j)
+    against = F.transform(upto("g"), lambda i: i * F.col("o") + F.col("j"))
+    among = F.transform(upto("o"), lambda j: (F.col("g") + F.least("j", j)) * F.col("o") + F.greatest("j", j))
+    parts = F.when(F.col("label") == F.col("top"), main).when(F.col("o") > 1, F.concat(against, among)).otherwise(against)
+    return cut(rows.select("root", F.explode(parts).alias("part"), "node", "label")), sure
 
 
 def alike(docs: DataFrame, nodes: DataFrame, exact: bool = False) -> DataFrame:

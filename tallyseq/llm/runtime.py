@@ -103,9 +103,8 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``batches``; at their end the worker gives freed memory back, as it goes on to serve other stages."""
-    yield from batches
+def give_back() -> None:
+    """Memory that this process has freed goes back to the machine, as the process goes on to do other work."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -113,6 +112,12 @@ def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pass
 
 
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``; at their end the worker gives freed memory back, as it goes on to serve other stages."""
+    yield from batches
+    give_back()
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import buffers, doc_bucket, documents, fresh, small_batches, tidy, utf8
+from .runtime import buffers, doc_bucket, documents, fresh, give_back, small_batches, tidy, utf8
 
 BUCKETS = 1 << 20
 GRAMS = (3, 4, 5)
@@ -205,7 +205,10 @@ def fit(docs: DataFrame, labels: DataFrame, trains, per_class: int = PER_CLASS,
     order = Window.partitionBy("toxic").orderBy("order", "id", F.xxhash64("text"))
     rows = joined.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_class).select(utf8(F.col("text")).alias("text"), "toxic", "place").collect()
     rows.sort(key=lambda r: (r.toxic, r.place))
-    return train([bytes(r.text) for r in rows], [r.toxic for r in rows], prior)
+    model = train([bytes(r.text) for r in rows], [r.toxic for r in rows], prior)
+    del rows
+    give_back()
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, keep: list[str], out: str = "score") -> DataFrame:
