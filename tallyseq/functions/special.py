@@ -29,6 +29,23 @@ def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
     return float(min(1.0, math.exp(log_sum(logs[logs <= logs[a - low] + 1e-7]))))
 
 
+#: Terms of a tail that are summed at a time.
+CHUNK = 1 << 15
+
+
+def _summed(log_mass, start: int, stop: int, step: int) -> float:
+    """log of the sum of exp(log_mass(k)) from ``start`` towards ``stop``, in chunks; ends early where terms fall and add nothing."""
+    total = -math.inf
+    for low in range(start, stop, step * CHUNK):
+        k = np.arange(low, max(stop, low - CHUNK) if step < 0 else min(stop, low + CHUNK), step, dtype=float)
+        logs = log_mass(k)
+        part = log_sum(logs)
+        total = max(total, part) + math.log1p(math.exp(-abs(total - part))) if min(total, part) > -math.inf else max(total, part)
+        if logs[-1] < logs[0] and logs[-1] < total - 50 - math.log(max(abs(stop - low), 1)):
+            break
+    return total
+
+
 def binomial_tail(x: int, n: int, p: float) -> float:
     """P(X >= x)."""
     if x <= 0:
@@ -37,8 +54,15 @@ def binomial_tail(x: int, n: int, p: float) -> float:
         return 0.0
     if p >= 1:
         return 1.0
-    k = np.arange(x, n + 1, dtype=float)
-    return float(min(1.0, math.exp(log_sum(log_choose(n, k) + k * math.log(p) + (n - k) * math.log1p(-p)))))
+    mass = lambda k: log_choose(n, k) + k * math.log(p) + (n - k) * math.log1p(-p)
+    return _shorter(mass, x, n, n * p)
+
+
+def _shorter(mass, x: int, n: int, mean: float) -> float:
+    """P(X >= x) by the tail that falls away from the mean."""
+    if x > mean:
+        return float(min(1.0, math.exp(_summed(mass, x, n + 1, 1))))
+    return float(max(0.0, 1 - math.exp(_summed(mass, x - 1, -1, -1))))
 
 
 def betabinomial_tail(x: int, n: int, p: float, rho: float) -> float:
@@ -55,9 +79,7 @@ def betabinomial_tail(x: int, n: int, p: float, rho: float) -> float:
     def mass(k):
         return log_choose(n, k) + _LGAMMA(k + alpha) + _LGAMMA(n - k + beta) - _LGAMMA(n + alpha + beta) - (math.lgamma(alpha) + math.lgamma(beta) - math.lgamma(alpha + beta))
 
-    if n - x + 1 <= x:  # the shorter tail
-        return float(min(1.0, math.exp(log_sum(mass(np.arange(x, n + 1, dtype=float))))))
-    return float(max(0.0, 1 - math.exp(log_sum(mass(np.arange(0, x, dtype=float))))))
+    return _shorter(mass, x, n, n * p)
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -87,7 +109,7 @@ def beta_cdf(a: float, b: float, x: float) -> float:
 
 
 def student_two_sided(t: float, df: float) -> float:
-    """P(|T| >= |t|); 1 where either is missing or not finite (ST-13)."""
+    """P(|T| >= |t|); 1 where either is not finite (ST-13). The UDF gives NULL where either is missing."""
     if t is None or df is None or not (math.isfinite(t) and math.isfinite(df)) or df <= 0:
         return 1.0
     return beta_cdf(df / 2, 0.5, df / (df + t * t))

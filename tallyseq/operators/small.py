@@ -56,8 +56,10 @@ def leaf_order(rows: np.ndarray) -> list[int]:
     return clusters[alive[0]] if alive else []
 
 
-def clustered(df: DataFrame, name: str, features: list[str]) -> DataFrame:
-    """Rows of a figure's heatmap with their place in leaf order."""
+def clustered(df: DataFrame, name: str, features: list[str], most: int = 2000) -> DataFrame:
+    """Rows of a figure's heatmap with their place in leaf order. A heatmap of more than ``most`` rows is an error: all distances are held at once."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows to cluster")
     kind = dict(df.dtypes)[name]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -403,3 +403,26 @@ def test_same_named_files_of_several_folders(spark, tmp_path):
     with pytest.raises(Exception, match="quality"):
         fastq.read_fastq(spark, f"{tmp_path}/t.fastq", strict="false", quality="true").collect()
     assert fastq.read_fastq(spark, f"{tmp_path}/t.fastq", strict="false").count() == 1
+
+
+def test_tails_in_chunks_equal_whole_sums(monkeypatch):
+    """Sums in chunks that end early, against every term at once."""
+    def whole(x, n, p, rho):
+        kappa = 1 / rho - 1
+        a, b = p * kappa, (1 - p) * kappa
+        k = np.arange(x, n + 1, dtype=float)
+        logs = special.log_choose(n, k) + special._LGAMMA(k + a) + special._LGAMMA(n - k + b) - math.lgamma(n + a + b) - (math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b))
+        return min(1.0, math.exp(special.log_sum(logs)))
+
+    monkeypatch.setattr(special, "CHUNK", 7)
+    for n in (1, 5, 40, 300):
+        for x in range(1, n + 1, max(1, n // 13)):
+            for p in (0.001, 0.2, 0.5, 0.93):
+                assert special.betabinomial_tail(x, n, p, 0.05) == pytest.approx(whole(x, n, p, 0.05), rel=1e-9, abs=1e-12)
+                exact = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(x, n + 1))
+                assert special.binomial_tail(x, n, p) == pytest.approx(exact, rel=1e-9, abs=1e-12)
+
+
+def test_clustering_is_bounded(spark):
+    with pytest.raises(ValueError, match="more than 3 rows"):
+        small.clustered(spark.range(5).select(F.col("id").alias("n"), F.lit(1.0).alias("x")), "n", ["x"], 3)
