@@ -38,9 +38,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder: its lineage ends there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once and kept as a table in the shared folder: its lineage ends there.
+
+    A table and no checkpoint, as a checkpoint's frame holds on to the plan it came from, and so to that plan's exchanges
+    on the executors' disks and its broadcasts in the driver's memory.
+    """
+    where = shared_folder(df.sparkSession, "cut")
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
