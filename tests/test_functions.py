@@ -426,3 +426,25 @@ def test_tails_in_chunks_equal_whole_sums(monkeypatch):
 def test_clustering_is_bounded(spark):
     with pytest.raises(ValueError, match="more than 3 rows"):
         small.clustered(spark.range(5).select(F.col("id").alias("n"), F.lit(1.0).alias("x")), "n", ["x"], 3)
+
+
+def test_robust_line_equals_plain_reweighting(spark):
+    """The line of ``huber_line``, and its median residual and sigma, by numpy alone; also where quantiles are narrowed down."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 2, 400).round(3)
+    y = 1.5 * x - 0.7 + rng.standard_t(2, 400).round(3)
+    slope, intercept = np.polyfit(x, y, 1)
+    for _ in range(100):
+        r = y - slope * x - intercept
+        middle = np.median(r)
+        sigma = 1.4826 * np.median(np.abs(r - middle))
+        size = np.abs(r - middle) / (1.345 * sigma)
+        w = np.where(size <= 1, 1, 1 / np.maximum(size, 1e-300))
+        d = w.sum() * (w * x * x).sum() - (w * x).sum() ** 2
+        new = (w.sum() * (w * x * y).sum() - (w * x).sum() * (w * y).sum()) / d
+        moved, slope = abs(new - slope), new
+        intercept = ((w * y).sum() - slope * (w * x).sum()) / w.sum()
+        if moved < 1e-12:
+            break
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)] + [(None, 1.0)], "x double, y double")
+    assert stats.huber_line(df, "x", "y") == pytest.approx((slope, intercept, middle, sigma), rel=1e-6, abs=1e-6)
