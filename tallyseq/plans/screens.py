@@ -59,10 +59,26 @@ def rule_classifier(spark, d):
     return table(spark, d, "part").select("p_partkey", columns.classified(F.concat_ws(" ", "p_type", "p_name"), RULES, annotate.UNCLEAR).alias("program"))
 
 
-@query("program_of_annotation")
+#: Annotation texts that stand after the conversations' own, by turn of their number; the last fits no rule.
+PHRASES = [
+    "exocyst complex", "antigen processing", "TRAPP III", "protein neddylation", "GPI anchor synthesis", "E3 ubiquitin ligase", "spectrin binding", "sodium/proton antiport", "cell polarity", "COPII coat", "SNARE binding",
+    "mitophagy", "tail-anchored protein", "early endosome recycling", "phospholipid translocation", "apoptotic cell clearance", "cell-cell adhesion", "aquaporin", "cortical actin", "interleukin 2 and exocytosis",
+    "mRNA splicing of snRNP", "histone and mitochondrial", "NADH oxidation", "nothing of note",
+]
+
+
+def _program_sql(text: str) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    cases = " ".join(f"WHEN {' OR '.join(f'regexp_matches(lower({text}), {quoted(p)})' for p in patterns)} THEN {quoted(name)}" for name, patterns in annotate.PROGRAM_RULES)
+    return f"regexp_replace(CASE {cases} ELSE {quoted(annotate.UNCLEAR)} END, ' \\((identity|endo)\\)$', '')"
+
+
+@query("program_of_annotation", f"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') || ' ' || (ARRAY{PHRASES})[1 + (conv_id * 7 + turn) % {len(PHRASES)}] AS text FROM conversations) SELECT conv_id, turn, {_program_sql('text')} AS program FROM t""")
 def program_of_annotation(spark, d):
-    """The fixed program rules over conversation and annotation texts (Q-48)."""
-    return table(spark, d, "conversations").select("conv_id", "turn", annotate.program(F.col("text")).alias("program"))
+    """The fixed program rules, in order, over conversations and annotation texts (Q-48)."""
+    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), ((F.col("conv_id") * 7 + F.col("turn")) % len(PHRASES) + 1).cast("int"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), phrase)
+    return table(spark, d, "conversations").select("conv_id", "turn", annotate.program(text).alias("program"))
 
 
 @query("coalesced_lookup", """WITH a AS (SELECT n_name AS k, n_nationkey AS v FROM nation WHERE n_nationkey % 3 = 0), b AS (SELECT 'NATION_' || n_nationkey AS k, n_nationkey + 100 AS v FROM nation WHERE n_nationkey % 2 = 0), c AS (SELECT n_name AS k, min(n_nationkey) + 200 AS v FROM nation GROUP BY 1)
