@@ -6,11 +6,13 @@ import gzip
 import os
 import struct
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.aggregate import merged_intervals
+from . import fastq
 
 #: Flags of reads that are not counted: unmapped, secondary, supplementary, failed quality; and duplicates.
 SKIP, DUPLICATE = 0x4 | 0x100 | 0x800 | 0x200, 0x400
@@ -39,6 +41,11 @@ def hit_count(tags: bytes) -> int | None:
     return None
 
 
+_SCHEMA = pa.schema(
+    [("file", pa.string()), ("read_idx", pa.int64()), ("ref", pa.string()), ("pos", pa.int32()), ("flag", pa.int32()), ("cigar", pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())]))), ("nh", pa.int32())]
+)
+
+
 class _Bam(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -49,11 +56,13 @@ class _BamReader(DataSourceReader):
         self.path = options["path"]
 
     def partitions(self):
-        path = self.path
-        return [_Bam(os.path.join(path, f)) for f in sorted(os.listdir(path)) if f.endswith(".bam")] if os.path.isdir(path) else [_Bam(path)]
+        return [_Bam(p) for p in fastq.listed(self.path, (".bam",))]
 
     def read(self, partition):
-        with gzip.open(partition.path, "rb") as data:  # BGZF is gzip of many members
+        yield from fastq.batches(self._records(partition), _SCHEMA)
+
+    def _records(self, partition):
+        with gzip.open(fastq.opened(partition.path), "rb") as data:  # BGZF is gzip of many members
             if data.read(4) != b"BAM\1":
                 raise ValueError(f"{partition.path}: no BAM file")
             data.read(struct.unpack("<i", data.read(4))[0])
@@ -73,7 +82,7 @@ class _BamReader(DataSourceReader):
 
 
 class BamSource(DataSource):
-    """Option: path (SRC-10)."""
+    """Option: path (SRC-10). One partition a file, as records may span blocks; rows come as Arrow batches."""
 
     @classmethod
     def name(cls):

@@ -43,10 +43,14 @@ def listed(path: str, suffixes: tuple[str, ...] = SUFFIXES) -> list[str]:
     return [head + f for f in sorted((f for f in found if f.lower().endswith(suffixes)), key=lambda f: (os.path.basename(f), f))]
 
 
-def _open(path: str):
+def opened(path: str) -> io.BufferedReader:
+    """A file of any file system as a stream of its bytes."""
     fs, where = filesystem(path)
-    stream = io.BufferedReader(fs.open_input_stream(where, compression=None), 1 << 20)
-    return gzip.open(stream, "rb") if path.endswith(".gz") else stream
+    return io.BufferedReader(fs.open_input_stream(where, compression=None), 1 << 20)
+
+
+def _open(path: str):
+    return gzip.open(opened(path), "rb") if path.endswith(".gz") else opened(path)
 
 
 def batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

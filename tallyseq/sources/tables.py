@@ -11,8 +11,12 @@ import tarfile
 import zipfile
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader
+
+from . import fastq
 
 
 def expect_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -107,25 +111,59 @@ def wide_row(df: DataFrame, key: str, value: str, label: str = "label") -> DataF
 
 def archive_member(path: str, suffix: str) -> bytes:
     """The member of a tar.gz whose name ends with ``suffix``, unpacked if it is gzip too (SRC-14)."""
-    with tarfile.open(path) as tar:
-        for m in tar.getmembers():
+    with tarfile.open(fileobj=fastq.opened(path), mode="r|gz") as tar:
+        for m in tar:
             if m.name.endswith(suffix):
                 data = tar.extractfile(m).read()
                 return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
     raise FileNotFoundError(f"{path}: no member {suffix}")
 
 
-def read_matrix_archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(triples, features, cells) of a gene x cell archive (SRC-13). Indices are 0-based.
+class _MatrixReader(DataSourceReader):
+    def __init__(self, options):
+        self.path = options["path"]
+
+    def partitions(self):
+        return [fastq._File(self.path)]
+
+    def read(self, partition):
+        schema = pa.schema([("gene", pa.int32()), ("cell", pa.int32()), ("count", pa.float64())])
+        yield from fastq.batches(self._entries(partition.paths[0]), schema)
+
+    def _entries(self, path):
+        with tarfile.open(fileobj=fastq.opened(path), mode="r|gz") as tar:
+            for m in tar:
+                if m.name.endswith("matrix.mtx.gz"):
+                    lines = (x for x in gzip.open(tar.extractfile(m), "rt") if not x.startswith("%"))
+                    next(lines, None)  # the sizes
+                    for line in lines:
+                        gene, cell, count = line.split()
+                        yield int(gene) - 1, int(cell) - 1, float(count)
+                    return
+        raise FileNotFoundError(f"{path}: no matrix")
+
 
-    The archive is one file of a single experiment and is read where the driver can open it.
-    """
+class MatrixSource(DataSource):
+    """Option: path of a tar.gz with matrix.mtx.gz; its entries are streamed by one task, in Arrow batches (SRC-13)."""
+
+    @classmethod
+    def name(cls):
+        return "mtx_tar"
+
+    def schema(self):
+        return "gene int, cell int, count double"
+
+    def reader(self, schema):
+        return _MatrixReader(self.options)
+
+
+def read_matrix_archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(triples, features, cells) of a gene x cell archive (SRC-13). Indices are 0-based. Names of genes and cells are read by the driver, the matrix by a task."""
     lines = lambda suffix: archive_member(path, suffix).decode().splitlines()
     features = [(i, *(x.split("\t") + ["", ""])[:3]) for i, x in enumerate(lines("features.tsv.gz"))]
     cells = [(i, x.strip()) for i, x in enumerate(lines("barcodes.tsv.gz"))]
-    body = [x for x in lines("matrix.mtx.gz") if not x.startswith("%")][1:]
-    rows = spark.createDataFrame([(x,) for x in body], "value string").select(F.split("value", r"\s+").alias("p"))
-    triples = rows.select((F.col("p")[0].cast("int") - 1).alias("gene"), (F.col("p")[1].cast("int") - 1).alias("cell"), F.col("p")[2].cast("double").alias("count"))
+    spark.dataSource.register(MatrixSource)
+    triples = spark.read.format("mtx_tar").options(path=path).load()
     return triples, spark.createDataFrame(features, "gene int, gene_id string, symbol string, feature_type string"), spark.createDataFrame(cells, "cell int, barcode string")
 
 
