@@ -122,7 +122,7 @@ def pigeonhole_nearest(spark, d):
     return match.nearest(q, refs, "s", "reference", "label", 9)
 
 
-_UMI = f"u AS (SELECT user_id % 20 AS id, substring({_DNA.format('event_id % 60')}, 1, 6) AS umi, sum(CASE WHEN event_id % 60 < 3 THEN 40 ELSE 1 END) AS n FROM events GROUP BY 1, 2)"
+_UMI = f"u AS (SELECT user_id AS id, substring({_DNA.format('event_id')}, 1, 6) AS umi, sum(CASE WHEN event_id % 60 < 3 THEN 40 ELSE 1 END) AS n FROM events GROUP BY 1, 2)"
 
 
 @query("umi_collapse", f"""WITH RECURSIVE {_UMI}, e AS (SELECT c.id, c.umi AS child, p.umi AS parent, row_number() OVER (PARTITION BY c.id, c.umi ORDER BY hamming(c.umi, p.umi), p.n DESC, p.umi) AS k FROM u c JOIN u p ON c.id = p.id AND p.n >= 10 * c.n AND c.umi <> p.umi AND hamming(c.umi, p.umi) <= 3),
@@ -130,7 +130,7 @@ _UMI = f"u AS (SELECT user_id % 20 AS id, substring({_DNA.format('event_id % 60'
  t(id, umi, n, root, up) AS (SELECT w.id, w.umi, w.n, w.up, p.up FROM w JOIN w p ON p.id = w.id AND p.umi = w.up UNION ALL SELECT t.id, t.umi, t.n, t.up, p.up FROM t JOIN w p ON p.id = t.id AND p.umi = t.up WHERE t.root <> t.up)
  SELECT id, root AS umi, CAST(sum(n) AS BIGINT) AS n, count(*) AS members FROM t WHERE root = up GROUP BY 1, 2""")
 def umi_collapse(spark, d):
-    rows = table(spark, d, "events").select((F.col("user_id") % 20).alias("id"), F.substring(dna(F.col("event_id") % 60), 1, 6).alias("umi"), F.when(F.col("event_id") % 60 < 3, 40).otherwise(1).alias("n"))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("id"), F.substring(dna(F.col("event_id")), 1, 6).alias("umi"), F.when(F.col("event_id") % 60 < 3, 40).otherwise(1).alias("n"))
     return iterate.collapsed_counts(iterate.collapse_umis(rows, "id", "umi", "n", 6), "id", "n")
 
 
