@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 from . import chunks
 from .runtime import documents, fresh, small_batches, tidy
 
+#: Bytes of texts that are encoded at a time, and pieces a worker keeps in each of two generations.
+BATCH = 3 << 20
+PIECES = 120_000
+
 UNKNOWN, NORMAL = 2, 1
 BPE = 2
 
@@ -92,7 +96,7 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.tokens))
         self.split = regex.compile(pattern).findall
         self.map = byte_characters()
-        self.pieces = chunks.PieceCache(self._encode_pieces, "<u4", pattern == chunks.CLASSES)
+        self.pieces = chunks.PieceCache(self._encode_pieces, "<u4", pattern == chunks.CLASSES, limit=PIECES)
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         pre = [[p.encode() for p in self.split(piece)] for piece in pieces]
@@ -104,12 +108,12 @@ class Codec:
             b"".join([struct.pack("<I", self.whole[p]) if p in self.whole else struct.pack(f"<{len(ids[p])}I", *[i - 1 for i in ids[p]]) for p in ps]) for ps in pre
         ]
 
-    def encode(self, texts: pa.Array) -> list[list[int]]:
+    def encode(self, texts: pa.Array) -> Iterator[list[int]]:
         """Each text's ids, of a string column without nulls."""
         ids, counts = self.pieces.of(texts)
         ends = np.cumsum(counts).tolist()
-        flat = ids.tolist()
-        return [flat[i:j] for i, j in zip([0, *ends], ends)]
+        for low, high in zip([0, *ends], ends):
+            yield ids[low:high].tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -127,7 +131,7 @@ def codec(vocabulary: str, pattern: str) -> Codec:
 
 def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: bool = True, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ids (array, if asked for), n_tokens, ids_sha256 and decoded_sha256; columns of those names are replaced."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size=BATCH)
     made = [*(["ids"] if ids else []), "n_tokens", "ids_sha256", "decoded_sha256"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     types = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
@@ -137,16 +141,18 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(vocabulary, pattern)
         for batch in tidy(batches):
-            rows = code.encode(batch.column(batch.num_columns - 1))
-            names = code.names
-            got = {
-                "n_tokens": pa.array([len(r) for r in rows], pa.int64()),
-                "ids_sha256": [hashlib.sha256(",".join(map(names.__getitem__, r)).encode()).hexdigest() for r in rows],
-                "decoded_sha256": [hashlib.sha256(code.decode(r)).hexdigest() for r in rows],
-            }
+            names, counts, digests, decoded, kept = code.names, [], [], [], []
+            for row in code.encode(batch.column(batch.num_columns - 1)):  # a row at a time: numbers take many times their bytes
+                counts.append(len(row))
+                digests.append(hashlib.sha256(",".join(map(names.__getitem__, row)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(code.decode(row)).hexdigest())
+                if ids:
+                    kept.append(pa.array(row, pa.int32()))
+            got = {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
             if ids:
-                got["ids"] = pa.array(rows, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(got[n]) if isinstance(got[n], list) else got[n] for n in made]], [*keep, *made])
+                ends = np.cumsum([0, *counts]).astype(np.int32)
+                got["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(kept) if kept else pa.array([], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[got[n] for n in made]], [*keep, *made])
 
     return chosen.mapInArrow(run, schema)
 

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -108,6 +109,16 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+@cache
+def steady() -> None:
+    """From now on this process takes large pieces of memory from the machine and gives each back as it is freed, instead of keeping them."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def give_back() -> None:
     """Memory that this process has freed goes back to the machine, as the process goes on to do other work."""
     pa.default_memory_pool().release_unused()
@@ -119,6 +130,7 @@ def give_back() -> None:
 
 def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``batches``; at their end the worker gives freed memory back, as it goes on to serve other stages."""
+    steady()
     yield from batches
     give_back()
 
