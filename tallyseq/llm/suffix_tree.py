@@ -270,24 +270,31 @@ class Block:
         rank, part_of = np.zeros(len(self.totals), np.int64), np.zeros(len(self.totals), np.int64)
         rank[known[np.argsort(self.keys[known])]] = np.arange(len(known))
         part_of[known] = corpus.part_of(self.keys[known], corpus.bits) if self.level > 1 else (self.keys[known] % np.uint64(corpus.parts)).astype(np.int64)
-        part = part_of[context]
-        for i in [np.flatnonzero(self.totals[context] > corpus.most)]:  # dealt over parts by their symbols
-            symbol = self.ids[self.pair_code[listed[i]]]
-            sub = mix(symbol, symbol) % (1 + self.totals[context[i]] // corpus.most).astype(np.uint64)
-            part[i] = (part_of[context[i]] + (sub * np.uint64(7919) % np.uint64(corpus.parts)).astype(np.int64)) % corpus.parts
+        # listed pairs stand by context; runs of them are sorted by place, which no two runs share, so the order is the same wherever it is made
+        part, frequent = part_of[context], self.totals[context] > corpus.most
+        split = np.flatnonzero(frequent)  # of frequent contexts the pairs are dealt over parts by their symbols
+        symbol = self.ids[self.pair_code[listed[split]]]
+        sub = mix(symbol, symbol) % (1 + self.totals[context[split]] // corpus.most).astype(np.uint64)
+        part[split] = (part[split] + (sub * np.uint64(7919) % np.uint64(corpus.parts)).astype(np.int64)) % corpus.parts
         place = part << 32 | rank[context]
-        order = np.argsort(place)
-        self.listed, place = listed[order], place[order]
+        run = np.concatenate([np.flatnonzero(~frequent), split[np.argsort(place[split], kind="stable")]])
+        place = place[run]
         edge = np.ones(len(place), bool)
         np.not_equal(place[1:], place[:-1], out=edge[1:])
-        first = np.flatnonzero(edge)
+        starts = np.flatnonzero(edge)
+        sizes = np.diff(np.append(starts, len(place)))
+        by_place = np.argsort(place[starts])
+        starts, sizes = starts[by_place], sizes[by_place]
+        order = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(place))
+        self.listed, place = listed[run[order]], place[order]
+        first = np.cumsum(sizes) - sizes
         # contexts none of whose pairs are asked for still need what they leave to others
         asked = np.zeros(len(self.totals), bool)
         asked[context] = True
         alone = known[~asked[known] & (self.totals[known] <= corpus.most)]
         c = np.concatenate([self.pair_context[self.listed[first]], alone])
         c_place = np.concatenate([place[first], part_of[alone] << 32 | rank[alone]])
-        c_size = np.concatenate([np.diff(np.append(first, len(place))), np.zeros(len(alone), np.int64)])
+        c_size = np.concatenate([sizes, np.zeros(len(alone), np.int64)])
         c_order = np.argsort(c_place)
         self.listed_context, self.listed_part, self.listed_size = c[c_order], c_place[c_order] >> 32, c_size[c_order]
 
