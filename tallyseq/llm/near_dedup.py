@@ -12,7 +12,7 @@ probability 8e-11 and fails the second test with less than 1e-10 (Chernoff), a c
 
 Equal texts (by 128 bits of their words' hash) are one node from the start. A group's sets are read together; from a
 group of m fewer than m links are kept, found by searching from each text among those not reached. In a group above
-``GROUP`` texts or ``GROUP_BYTES`` of sets the candidates' own links are compared first, a row each. What they join is
+``GROUP`` texts or ``GROUP_BYTES`` of sets each text is compared with one of its candidates first. What they join is
 one class for certain, so only the texts outside a group's largest class have to meet others: the largest is dealt once in
 blocks, and the rest, a few in groups of near copies, meets each block. The document with the least id of each class
 stays.
@@ -44,7 +44,7 @@ BANDS, ROWS = 44, 4
 SKETCH, MATCHES = 128, 70
 #: A band's key that more texts share is dealt in pairs of blocks.
 BLOCK = 8192
-GROUP = 512
+GROUP = 256
 GROUP_BYTES = 16 << 20
 #: Up to this many keys (some 16 bytes each) are broadcast; beyond it joins are shuffled.
 BROADCAST_KEYS = 1_000_000
@@ -236,7 +236,9 @@ def alike_links(links: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _crowds(docs: DataFrame, wanted: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of large groups: rows (root, part, node, label) to meet, and the links that are certain. wanted: as in ``set_rows``, with root and n."""
-    sure = cut(alike_links(candidates.join(wanted.select(F.col("node").alias("a")), "a"), set_rows(docs, wanted)))
+    # one link a text, to the least it is a candidate with: as many rows as texts, however many keys they share
+    links = candidates.groupBy(F.greatest("a", "b").alias("b")).agg(F.min(F.least("a", "b")).alias("a")).join(wanted.select(F.col("node").alias("b")), "b")
+    sure = cut(alike_links(links, set_rows(docs, wanted)))
     named = cut(wanted.join(components(sure).withColumnRenamed("root", "label"), "node", "left").select("root", "node", "n", F.coalesce("label", "node").alias("label")))
     classes = named.groupBy("root", "label").agg(F.count("*").alias("rows"), (8 * F.sum("n")).alias("bytes"))
     blocks = F.ceil(F.greatest(F.col("rows") / (GROUP / 2), F.col("bytes") / (GROUP_BYTES / 2)))
