@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary_tokens, bpe, decontaminate, media, sharding, simhash, suffix_tree, toxicity, url_filter, warc
+from . import alignment, binary_tokens, bpe, decontaminate, media, sharding, simhash, suffix_tree, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_warc_fixity": warc.op8_warc_fixity,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_alignment": alignment.op11_alignment,
     }
 
 
