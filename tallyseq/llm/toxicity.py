@@ -7,12 +7,12 @@ like. A text of several passages is read by passages as well, and its score is t
 toxic passage, as few words in many thousands vanish in a mean. After training a bucket is one number
 (embedding times softmax difference), so scoring is a lookup a word.
 
-The sample of labelled rows is bounded: ``per_class`` rows of each class of the training folds, those with the
-least hash of their id, of at most ``sample_bytes`` each. The classes' true frequencies, counted over all labelled
-training rows, are put back into the bias. All documents are scored over their whole texts.
+The sample of labelled rows is bounded (``labelled``): ``per_class`` rows of each class of the training folds, of at most ``sample_bytes``
+each. The classes' true frequencies, counted over all labelled training rows, are put back into the bias. All documents are
+scored over their whole texts.
 
 Defined results: a null or empty text, or one of marks alone, has the bias's score; rows without a label are scored too; several labels of
-one id count as their greatest; without labels of both classes in the training folds every score is the
+one id count as their greatest; without labels of both classes among the sampled rows every score is the
 training rows' toxic fraction (1e-6 without rows); repeated rows are kept; an empty table gives an empty result.
 """
 
@@ -26,9 +26,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import labelled
 from .runtime import buffers, doc_bucket, documents, fresh, give_back, small_batches, tidy, utf8
 
 BUCKETS = 1 << 20
@@ -186,27 +187,12 @@ def scores(texts: list[bytes], model: Model, known: dict[bytes, float] | None =
 
 def fit(docs: DataFrame, labels: DataFrame, trains, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from the labelled rows of ``docs`` for which the condition ``trains`` holds."""
-    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marks = marks.where(trains)
-    found = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    total = sum(found.values())
-    prior = found.get(1, 0) / total if total else 0.0
-    if len(found) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
-    # only about as many rows as asked for meet the texts; which ones is decided by the id alone
-    chosen = None
-    for label, n in sorted(found.items()):
-        cut = min(1.0, 3.0 * per_class / n)
-        part = marks.where((F.col("toxic") == label) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(cut * (1 << 20))))
-        chosen = part if chosen is None else chosen.unionByName(part)
-    # broadcast: the hash leaves some three times ``per_class`` ids of each class, however many there are; ids meet as text, whatever their types
-    chosen = chosen.select(F.col("doc_id").cast("string").alias("id"), F.xxhash64("doc_id").alias("order"), "toxic")
-    joined = docs.select(F.col("doc_id").cast("string").alias("id"), "text").where(F.octet_length("text") <= sample_bytes).join(F.broadcast(chosen), "id")
-    order = Window.partitionBy("toxic").orderBy("order", "id", F.xxhash64("text"))
-    rows = joined.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_class).select(utf8(F.col("text")).alias("text"), "toxic", "place").collect()
-    rows.sort(key=lambda r: (r.toxic, r.place))
-    model = train([bytes(r.text) for r in rows], [r.toxic for r in rows], prior)
-    del rows
+    got = labelled.sample(docs, labels, "toxic", trains, per_class, sample_bytes)
+    if got.whole:
+        model = train(got.texts, got.labels, got.prior)
+    else:
+        model = Model(np.zeros(BUCKETS, np.float32), float(np.log(max(got.prior, 1e-6) / max(1 - got.prior, 1e-6))))
+    del got
     give_back()
     return model
 
