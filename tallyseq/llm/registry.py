@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, binary_tokens, bpe, decontaminate, media, sharding, simhash, suffix_tree, toxicity, url_filter, warc
+from . import alignment, binary_tokens, bpe, decontaminate, media, quality, sharding, simhash, spelling, suffix_tree, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_decontaminate": decontaminate.op10_decontaminate,
         "op11_alignment": alignment.op11_alignment,
+        "op12_quality": quality.op12_quality,
+        "op13_spelling": spelling.op13_spelling,
     }
 
 

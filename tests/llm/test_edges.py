@@ -6,12 +6,15 @@ from tallyseq.llm import registry
 
 from .helpers import save
 
-DOCS = {n for n in registry.queries() if not n.startswith(("op1_", "op8_"))}
+DOCS = {n for n in registry.queries() if not n.startswith(("op1_", "op8_", "op13_"))}
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_odd_rows_all_come_back(spark, odd, name):
     rows = registry.queries()[name](spark, odd).collect()
+    if name == "op13_spelling":  # a row a word; none here is long and frequent
+        assert rows == []
+        return
     assert len(rows) == (9 if name in DOCS else 6)
 
 
