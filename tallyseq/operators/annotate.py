@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import classified, directional, gate, tier, truthy
+from ..functions.columns import classified, directional, first_match, gate, tier
 from .aggregate import first_by
 from .match import small, unambiguous
 
@@ -60,16 +60,54 @@ def synonyms(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(key, F.explode(F.split(column, r"\|")).alias("synonym")).where("synonym is not null and synonym not in ('', '-')")
 
 
-def call_hits(genes: DataFrame) -> DataFrame:
-    """Hits of two screens (columns mle_z, b_lfc, b_pos_fdr, b_neg_fdr, and c_*): filter, tier, best row a gene (Q-48)."""
-    gene = F.coalesce(F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])[F.col("gene")], F.col("gene"))
+def call_hits(
+    genes: DataFrame, direction: str | None = None, min_absz: float | None = None, max_mle_fdr: float | None = None, max_rra_fdr: float | None = FILTER["max_rra_fdr"],
+    require_both_donor_lfc: bool = True, max_neg_lfc: float | None = FILTER["max_neg_lfc"], min_pos_lfc: float | None = FILTER["min_pos_lfc"], drop_ntc: bool = True,
+) -> DataFrame:
+    """Hits of two screens (Q-48): each gene's row of largest |mle_z|, then the filter, then tiers; what fits no tier is none.
+
+    genes: gene, mle_beta, mle_z, mle_fdr, b_lfc, b_pos_fdr, b_neg_fdr and c_*; depmap and surfaceome are kept where they are there. Genes go by
+    the names they have (``ALIASES`` serves lookups of annotations). ``direction`` is depletion, enrichment or None for either; both
+    donors must lie beyond the bound on one side, whichever that is. A missing value fails every bound that is set on it.
+    Ties in |mle_z| go to the row of least FDR, then z, then folds.
+    """
+    side = (direction or "").strip().lower()
+    if side not in ("", "none", "both", "depletion", "enrichment"):
+        raise ValueError(f"direction {direction!r}: depletion, enrichment or None")
     worst = F.greatest(directional(F.col("b_lfc"), F.col("b_pos_fdr"), F.col("b_neg_fdr")), directional(F.col("c_lfc"), F.col("c_pos_fdr"), F.col("c_neg_fdr")))
-    rows = genes.where(~F.col("gene").startswith("NTC")).withColumns({"gene": gene, "rra_maxfdr": worst, "absz": F.abs("mle_z")})
+    rows = genes.withColumns({"rra_maxfdr": worst, "absz": F.abs("mle_z"), "origin": F.lit("new")})
+    best = first_by(rows, ["gene"], [F.col("absz").desc_nulls_last(), F.col("rra_maxfdr").asc_nulls_last(), F.col("mle_z"), F.col("b_lfc"), F.col("c_lfc")])
     both = lambda test: test(F.col("b_lfc")) & test(F.col("c_lfc"))
-    sided = F.when(F.col("mle_z") < 0, both(lambda c: c <= FILTER["max_neg_lfc"])).otherwise(both(lambda c: c >= FILTER["min_pos_lfc"]))
-    kept = rows.where(gate({"max_fdr": (F.col("rra_maxfdr"), FILTER["max_rra_fdr"]), "is_sided": (sided, True)}))
-    kept = kept.withColumn("tier", tier(F.col("rra_maxfdr"), TIERS)).where("tier != 'untiered'")
-    return first_by(kept, ["gene"], [F.col("absz").desc(), F.col("rra_maxfdr"), F.col("mle_z")])
+    low = both(lambda c: c < 0 if max_neg_lfc is None else c <= max_neg_lfc)
+    high = both(lambda c: c > 0 if min_pos_lfc is None else c >= min_pos_lfc)
+    donors = {"depletion": low, "enrichment": high}.get(side, low | high)
+    signs = {"depletion": F.col("mle_beta") < 0, "enrichment": F.col("mle_beta") > 0}
+    kept = best.where(gate({
+        "is_side": (signs.get(side), side in signs), "is_both": (donors, require_both_donor_lfc), "min_z": (F.col("absz"), min_absz), "max_mle": (F.col("mle_fdr"), max_mle_fdr),
+        "max_rra": (F.col("rra_maxfdr"), max_rra_fdr), "is_gene": (~F.startswith("gene", F.lit("NTC")), drop_ntc),
+    }))
+    # an FDR that is missing lies beyond no tier's bound
+    kept = kept.withColumn("tier", tier(F.coalesce("rra_maxfdr", F.lit(0.0)), TIERS)).where("tier != 'untiered'")
+    more = ["depmap"] if "depmap" in genes.columns else []
+    if "surfaceome" in genes.columns:
+        kept, more = kept.withColumn("surface", F.coalesce(F.lower("surfaceome") == "surface", F.lit(False))), [*more, "surface"]
+    return kept.select("gene", "mle_beta", "mle_z", "absz", "mle_fdr", "rra_maxfdr", "b_lfc", "c_lfc", "tier", "origin", *more)
+
+
+def program_evidence(text: Column) -> Column:
+    """The pattern that decides the program of an annotation text."""
+    cases, low = [(p, F.lower(text).rlike(p)) for _, patterns in PROGRAM_RULES for p in patterns], "no keyword match"
+    return first_match(cases, low)
+
+
+def annotated_hits(hits: DataFrame, annotations: DataFrame, known: str = "gene", text: str = "annotation") -> DataFrame:
+    """Hits with preferred_symbol, program, program_evidence and likely_general; annotations: one text a gene, under the hit's name or its newer one."""
+    newer = F.coalesce(F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])[F.col("gene")], F.col("gene"))
+    texts = small(annotations.select(F.col(known).alias("_known"), F.col(text).alias("_text")))
+    named = hits.withColumn("preferred_symbol", newer).join(texts, F.col("preferred_symbol") == F.col("_known"), "left").drop("_known")
+    blob = F.coalesce("_text", F.lit(""))
+    told = named.withColumns({"program": program(blob), "program_evidence": program_evidence(blob)}).drop("_text")
+    return told.withColumn("likely_general", F.col("program").endswith("(likely general)"))
 
 
 def program(text: Column) -> Column:
@@ -82,7 +120,8 @@ def receptor_call(cells: DataFrame, contigs: DataFrame, trb: str, tra: str, name
 
     contigs: cell, chain, cdr3, productive, high_confidence (text), clonotype.
     """
-    eligible = truthy(F.coalesce("productive", F.lit(""))) | truthy(F.coalesce("high_confidence", F.lit("")))
+    marked = lambda c: F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "true"  # noqa: E731  nothing else counts as true here
+    eligible = marked("productive") | marked("high_confidence")
     has = ((F.col("chain") == "TRB") & (F.col("cdr3") == trb)) | ((F.col("chain") == "TRA") & (F.col("cdr3") == tra))
     per = contigs.groupBy("cell").agg(F.coalesce(F.max(eligible & has), F.lit(False)).alias("_has"), F.mode("clonotype", True).alias("_c"))
     kind = F.when(F.col("_has"), names[0]).otherwise(names[1])

@@ -22,9 +22,11 @@ def collapse_umis(counts: DataFrame, key: str, umi: str, count: str, length: int
     A parent has at least ``ratio`` times the count and at most ``most`` mismatches; the nearest wins, then the most
     frequent, then the first by name. Parents are sought through shared seeds and the magnitudes above the child's, so a
     key with very many UMIs is dealt over both, and UMIs of one magnitude never meet. Each step multiplies the count by ``ratio``, so the chain has at most log(largest count) steps and the
-    jumps to the root are unrolled.
+    jumps to the root are unrolled. Rows without a key or a UMI are no one's neighbours and stay as they are, summed like any.
     """
-    rows = settle(counts.groupBy(key, umi).agg(F.sum(count).alias(count)))
+    summed = settle(counts.groupBy(key, umi).agg(F.sum(count).alias(count)))
+    named = F.col(key).isNotNull() & F.col(umi).isNotNull()
+    rows, unnamed = summed.where(named), summed.where(~named)
     largest = rows.agg(F.max(count)).first()[0] or 1
     level = lambda c: F.floor(F.log(float(ratio), c) + 1e-9).cast("int")  # noqa: E731  a parent is a level higher at least
     top = int(math.log(max(largest, 1), ratio) + 1e-9)
@@ -40,7 +42,7 @@ def collapse_umis(counts: DataFrame, key: str, umi: str, count: str, length: int
         up = links.select(F.col(key), F.col(umi).alias("root"), F.col("root").alias("_next"))
         links = links.join(up, [key, "root"]).withColumn("root", F.col("_next")).drop("_next")
         links = links.select(key, umi, count, "root")
-    return settle(links)
+    return settle(links.unionByName(unnamed.select(key, umi, count, F.col(umi).alias("root"))))
 
 
 def collapsed_counts(links: DataFrame, key: str, count: str) -> DataFrame:

@@ -34,15 +34,15 @@ def group_means(expr: DataFrame, groups: DataFrame, genes: DataFrame) -> DataFra
     return out.withColumns({"mean": F.col("s") / F.col("n_cells"), "mean_expressing": F.try_divide("s", "n_expressing"), "detected": F.col("n_expressing") / F.col("n_cells")})
 
 
-def marker_score(expr: DataFrame, markers: DataFrame, genes: DataFrame | None = None) -> DataFrame:
-    """Mean over the markers that the matrix has of the normalised expression (ST-30). markers: gene.
+def marker_score(expr: DataFrame, markers: DataFrame, genes: DataFrame) -> DataFrame:
+    """Mean over the markers that the matrix has of the normalised expression (ST-30). markers, genes: gene.
 
-    ``genes`` names the matrix's rows; without it they are the genes that any cell expresses. Markers that the matrix
-    lacks don't count in the divisor.
+    ``genes`` names the matrix's rows, whether any cell expresses them or not. Markers that it lacks don't count in the
+    divisor; without any there are no scores.
     """
     wanted = small(markers.select("gene").distinct())
-    hits = expr.join(wanted, "gene", "left_semi")
-    n = (hits if genes is None else genes.join(wanted, "gene", "left_semi")).agg(F.count_distinct("gene").alias("_n"))  # one row
+    n = genes.join(wanted, "gene", "left_semi").agg(F.count_distinct("gene").alias("_n"))  # one row
+    hits = expr.join(wanted, "gene", "left_semi").join(genes.select("gene").distinct(), "gene", "left_semi")
     return hits.groupBy("cell").agg(F.sum("expr").alias("_s")).crossJoin(F.broadcast(n)).select("cell", (F.col("_s") / F.col("_n")).alias("score"))
 
 

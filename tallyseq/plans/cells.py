@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns, seq
 from ..operators import aggregate as agg
 from ..operators import annotate, match, matrix, small, stats
+from ..operators.lineage import settle
 from ..session import table
 from .catalog import query
 from .counts import r
@@ -94,23 +95,25 @@ def library_sizes(spark, d):
 def sparse_group_means(spark, d):
     groups = table(spark, d, "documents").select(F.col("doc_id").alias("cell"), F.col("lang").alias("group"))
     genes = spark.createDataFrame([(g,) for g in PANEL], "gene string")
-    out = matrix.group_means(matrix.log_normalised(_triples(spark, d)), groups, genes)
+    out = matrix.group_means(matrix.log_normalised(settle(_triples(spark, d))), groups, genes)
     return out.select("gene", "group", "n_cells", r(F.col("mean"), "mean"), r(F.col("mean_expressing"), "mean_expressing"), r(F.col("detected"), "detected"))
 
 
-#: Markers of two classes; the last of each stands in no document, so it doesn't count in the mean.
+#: Markers of two classes. No document has the last of each; the first side's is in the gene index all the same and counts in the mean.
 DC_MARKERS, T_MARKERS = ["the", "and", "of", "qzqzqz"], ["de", "la", "que", "zqzqzq"]
 
 
 def _mean_of(genes):
     listed = ", ".join(f"'{g}'" for g in genes)
-    return f"coalesce(sum(x) FILTER (gene IN ({listed})), 0) / greatest((SELECT count(DISTINCT gene) FROM t WHERE gene IN ({listed})), 1)"
+    return f"coalesce(sum(x) FILTER (gene IN ({listed})), 0) / greatest((SELECT count(DISTINCT gene) FROM i WHERE gene IN ({listed})), 1)"
 
 
-@query("marker_cell_class", f"""WITH {_TRIPLES}, s AS (SELECT doc_id AS cell, {_mean_of(DC_MARKERS)} AS a, {_mean_of(T_MARKERS)} AS b FROM documents LEFT JOIN x ON x.cell = doc_id GROUP BY 1) SELECT cell, round(a, 6) AS dc_score, round(b, 6) AS t_score, CASE WHEN a >= 0.05 AND a > b + 0.05 THEN 'dc' WHEN b >= 0.05 AND b > a + 0.05 THEN 't' ELSE 'unknown' END AS cell_class FROM s""")
+@query("marker_cell_class", f"""WITH {_TRIPLES}, i AS (SELECT gene FROM t UNION SELECT '{DC_MARKERS[-1]}'), s AS (SELECT doc_id AS cell, {_mean_of(DC_MARKERS)} AS a, {_mean_of(T_MARKERS)} AS b FROM documents LEFT JOIN x ON x.cell = doc_id GROUP BY 1) SELECT cell, round(a, 6) AS dc_score, round(b, 6) AS t_score, CASE WHEN a >= 0.05 AND a > b + 0.05 THEN 'dc' WHEN b >= 0.05 AND b > a + 0.05 THEN 't' ELSE 'unknown' END AS cell_class FROM s""")
 def marker_cell_class(spark, d):
-    expr = matrix.log_normalised(_triples(spark, d))
-    side = lambda genes, name: matrix.marker_score(expr, spark.createDataFrame([(g,) for g in genes], "gene string")).withColumnRenamed("score", name)
+    triples = settle(_triples(spark, d))
+    expr = matrix.log_normalised(triples)
+    index = triples.select("gene").distinct().unionByName(spark.createDataFrame([(DC_MARKERS[-1],)], "gene string"))
+    side = lambda genes, name: matrix.marker_score(expr, spark.createDataFrame([(g,) for g in genes], "gene string"), index).withColumnRenamed("score", name)
     cells = table(spark, d, "documents").select(F.col("doc_id").alias("cell"))
     both = cells.join(side(DC_MARKERS, "a"), "cell", "left").join(side(T_MARKERS, "b"), "cell", "left").na.fill(0.0, ["a", "b"])
     return both.select("cell", r(F.col("a"), "dc_score"), r(F.col("b"), "t_score"), matrix.cell_class(F.col("a"), F.col("b")).alias("cell_class"))
@@ -121,7 +124,7 @@ def marker_cell_class(spark, d):
 def signature_score(spark, d):
     """Moments of each gene over all cells, zeros counted but never stored, then the mean z-score of each cell (ST-23)."""
     genes = F.broadcast(spark.createDataFrame([(g,) for g in PANEL], "gene string"))
-    expr = matrix.log_normalised(_triples(spark, d)).join(genes, "gene", "left_semi")
+    expr = matrix.log_normalised(settle(_triples(spark, d))).join(genes, "gene", "left_semi")
     cells = table(spark, d, "documents").select(F.col("doc_id").alias("cell"))
     n = F.broadcast(cells.agg(F.count("*").alias("n")))
     moments = expr.groupBy("gene").agg(F.sum("expr").alias("s"), F.sum(F.col("expr") ** 2).alias("ss")).crossJoin(n)

@@ -37,13 +37,39 @@ def tier_assignment(spark, d):
     return f.select("gene", "rra_maxfdr", columns.tier(F.col("rra_maxfdr"), annotate.TIERS).alias("tier"))
 
 
-@query("screen_hits", f"""WITH {_SCREEN}, x AS (SELECT *, b_lfc + c_lfc AS z, greatest(CASE WHEN b_lfc > 0 THEN b_pos ELSE b_neg END, CASE WHEN c_lfc > 0 THEN c_pos ELSE c_neg END) AS f FROM s) SELECT gene, round(z, 6) AS mle_z, round(f, 6) AS rra_maxfdr, CASE WHEN f <= 0.05 THEN 'T1-core' ELSE 'T2-nearmiss-RRA' END AS tier FROM x
- WHERE f <= 0.1 AND CASE WHEN z < 0 THEN b_lfc <= -0.25 AND c_lfc <= -0.25 ELSE b_lfc >= 0.5 AND c_lfc >= 0.5 END""")
+#: A row for each part: genes of several rows, folds of either sign whatever z is, a renamed pair, controls, and missing FDRs.
+_ROWS = """p AS (SELECT CASE WHEN p_size % 11 = 1 THEN 'WRB' WHEN p_size % 11 = 2 THEN 'GET1' WHEN p_size % 11 = 3 THEN 'NTC_' || p_size ELSE p_brand || '_' || CAST(p_size AS VARCHAR) || '_' || CAST(p_partkey % 3 AS VARCHAR) END AS gene, CAST(p_partkey AS BIGINT) AS k FROM part),
+ m AS (SELECT gene, ((k * 53 % 1009) - 504) / 100.0 AS mle_z, ((k * 59 % 1009) - 504) / 500.0 AS mle_beta, (k * 61 % 1009) / 2000.0 AS mle_fdr, ((k * 31 % 401) - 200) / 100.0 AS b_lfc, ((k * 31 % 401 + k * 7 % 31) - 215) / 100.0 AS c_lfc,
+  CASE WHEN k % 17 > 0 THEN (k * 7919 % 1000) / 6000.0 END AS b_pos, (k * 104729 % 1000) / 6000.0 AS b_neg, (k * 6007 % 1000) / 6000.0 AS c_pos, CASE WHEN k % 13 > 0 THEN (k * 7001 % 1000) / 6000.0 END AS c_neg FROM p),
+ x AS (SELECT *, coalesce(greatest(CASE WHEN b_lfc > 0 THEN b_pos ELSE b_neg END, CASE WHEN c_lfc > 0 THEN c_pos ELSE c_neg END), CASE WHEN b_lfc > 0 THEN b_pos ELSE b_neg END, CASE WHEN c_lfc > 0 THEN c_pos ELSE c_neg END) AS f FROM m),
+ b AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY abs(mle_z) DESC, f NULLS LAST, mle_z, b_lfc, c_lfc) AS place FROM x)"""
+
+
+def _rows(spark, d):
+    k, size = F.col("p_partkey").cast("long"), F.col("p_size")
+    gene = F.when(size % 11 == 1, "WRB").when(size % 11 == 2, "GET1").when(size % 11 == 3, F.concat(F.lit("NTC_"), size)).otherwise(F.concat_ws("_", "p_brand", size, k % 3))
+    fdr = lambda factor: k * factor % 1000 / 6000.0
+    return table(spark, d, "part").select(
+        gene.alias("gene"), ((k * 53 % 1009 - 504) / 100.0).alias("mle_z"), ((k * 59 % 1009 - 504) / 500.0).alias("mle_beta"), (k * 61 % 1009 / 2000.0).alias("mle_fdr"), ((k * 31 % 401 - 200) / 100.0).alias("b_lfc"), ((k * 31 % 401 + k * 7 % 31 - 215) / 100.0).alias("c_lfc"),
+        F.when(k % 17 > 0, fdr(7919)).alias("b_pos_fdr"), fdr(104729).alias("b_neg_fdr"), fdr(6007).alias("c_pos_fdr"), F.when(k % 13 > 0, fdr(7001)).alias("c_neg_fdr"),
+    )
+
+
+@query("screen_hits", f"""WITH {_ROWS} SELECT gene, round(mle_z, 6) AS mle_z, round(f, 6) AS rra_maxfdr, CASE WHEN f <= 0.05 THEN 'T1-core' ELSE 'T2-nearmiss-RRA' END AS tier FROM b
+ WHERE place = 1 AND NOT starts_with(gene, 'NTC') AND f <= 0.1 AND ((b_lfc <= -0.25 AND c_lfc <= -0.25) OR (b_lfc >= 0.5 AND c_lfc >= 0.5))""")
 def screen_hits(spark, d):
-    hits = annotate.call_hits(_screen(spark, d).withColumn("mle_z", F.col("b_lfc") + F.col("c_lfc")))
+    hits = annotate.call_hits(_rows(spark, d))
     return hits.select("gene", r(F.col("mle_z"), "mle_z"), r(F.col("rra_maxfdr"), "rra_maxfdr"), "tier")
 
 
+@query("screen_hits_directed", f"""WITH {_ROWS} SELECT gene, round(mle_beta, 6) AS mle_beta, round(abs(mle_z), 6) AS absz, round(mle_fdr, 6) AS mle_fdr, CASE WHEN coalesce(f, 0) <= 0.05 THEN 'T1-core' ELSE 'T2-nearmiss-RRA' END AS tier FROM b
+ WHERE place = 1 AND coalesce(f, 0) <= 0.1 AND mle_beta < 0 AND b_lfc < 0 AND c_lfc < 0 AND abs(mle_z) >= 0.5 AND mle_fdr <= 0.4""")
+def screen_hits_directed(spark, d):
+    """Depleted genes by every bound that hits can have; the tiers alone bound the FDR (Q-48)."""
+    hits = annotate.call_hits(_rows(spark, d), "Depletion", min_absz=0.5, max_mle_fdr=0.4, max_rra_fdr=None, max_neg_lfc=None, drop_ntc=False)
+    return hits.select("gene", r(F.col("mle_beta"), "mle_beta"), r(F.col("absz"), "absz"), r(F.col("mle_fdr"), "mle_fdr"), "tier")
+
+
 @query("sequential_hit_tables", f"WITH {_SCREEN} SELECT 'neg' AS side, gene FROM s WHERE b_neg < 0.05 AND c_neg < 0.05 AND b_lfc > -0.25 UNION ALL SELECT 'pos', gene FROM s WHERE b_pos < 0.05 AND c_pos < 0.05 AND b_lfc > -0.25")
 def sequential_hit_tables(spark, d):
     s = _screen(spark, d).where("b_lfc > -0.25")

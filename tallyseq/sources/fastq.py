@@ -30,16 +30,31 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
 
 
+def _matching(fs: pafs.FileSystem, where: str, parts: list[str]) -> Iterator[str]:
+    """Files below a folder that fit a pattern part by part: ``*`` never crosses a folder's border, and ``**`` is any number of folders."""
+    if not parts:
+        return
+    if parts[0] == "**":
+        yield from _matching(fs, where, parts[1:])
+    for info in fs.get_file_info(pafs.FileSelector(where, allow_not_found=True)):
+        if info.type == pafs.FileType.Directory and parts[0] == "**":
+            yield from _matching(fs, info.path, parts)
+        elif fnmatch.fnmatchcase(info.base_name, parts[0]):
+            if info.type == pafs.FileType.Directory:
+                yield from _matching(fs, info.path, parts[1:])
+            elif len(parts) == 1:
+                yield info.path
+
+
 def listed(path: str, suffixes: tuple[str, ...] = SUFFIXES) -> list[str]:
     """Files of a folder or pattern, by name (SRC-07). Same-named files of several folders stay apart by their path."""
     fs, where = filesystem(path)
     head = path[: len(path) - len(where)] if path.endswith(where) else ""
-    pattern = None
-    if fs.get_file_info(where).type != pafs.FileType.Directory:
-        fixed = where[: min((where.find(c) for c in "*?[" if c in where), default=len(where))]
-        pattern, where = where, os.path.dirname(fixed)
-    infos = fs.get_file_info(pafs.FileSelector(where, recursive=pattern is not None, allow_not_found=True))
-    found = [i.path for i in infos if i.type == pafs.FileType.File and (pattern is None or fnmatch.fnmatch(i.path, pattern))]
+    if fs.get_file_info(where).type == pafs.FileType.Directory:
+        found = set(_matching(fs, where, ["*"]))
+    else:
+        fixed = os.path.dirname(where[: min((where.find(c) for c in "*?[" if c in where), default=len(where))])
+        found = set(_matching(fs, fixed, where[len(fixed) :].strip("/").split("/")))
     return [head + f for f in sorted((f for f in found if f.lower().endswith(suffixes)), key=lambda f: (os.path.basename(f), f))]
 
 
@@ -49,6 +64,12 @@ def opened(path: str) -> io.BufferedReader:
     return io.BufferedReader(fs.open_input_stream(where, compression=None), 1 << 20)
 
 
+def random_access(path: str):
+    """A file of any file system, to be read at any place."""
+    fs, where = filesystem(path)
+    return fs.open_input_file(where)
+
+
 def _open(path: str):
     return gzip.open(opened(path), "rb") if path.endswith(".gz") else opened(path)
 

@@ -199,7 +199,7 @@ def test_patterns_are_expanded_whole(spark):
 def test_marker_score_divides_by_the_markers_that_are_there(spark):
     expr = spark.createDataFrame([("a", 1, 2.0), ("b", 1, 4.0), ("c", 1, 9.0), ("a", 2, 1.0)], "gene string, cell int, expr double")
     markers = spark.createDataFrame([("a",), ("b",), ("zz",), ("a",)], "gene string")
-    assert {r.cell: r.score for r in matrix.marker_score(expr, markers).collect()} == {1: 3.0, 2: 0.5}
+    assert {r.cell: r.score for r in matrix.marker_score(expr, markers, expr).collect()} == {1: 3.0, 2: 0.5}
     genes = spark.createDataFrame([("a",), ("b",), ("c",), ("zz",)], "gene string")
     assert {r.cell: r.score for r in matrix.marker_score(expr, markers, genes).collect()} == {1: 2.0, 2: pytest.approx(1 / 3)}
 
