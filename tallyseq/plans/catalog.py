@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import cells, counts, products, reads, screens  # noqa: F401  each registers its queries
+    from . import cells, counts, genes, products, reads, screens  # noqa: F401  each registers its queries
 
 
 def queries() -> dict:

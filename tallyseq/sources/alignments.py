@@ -5,18 +5,22 @@ from __future__ import annotations
 import gzip
 import os
 import struct
+import uuid
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.aggregate import merged_intervals
-from . import fastq
+from . import bgzf, fastq
 
 #: Flags of reads that are not counted: unmapped, secondary, supplementary, failed quality; and duplicates.
 SKIP, DUPLICATE = 0x4 | 0x100 | 0x800 | 0x200, 0x400
 _OPS = "MIDNSHP=X"
+#: Bytes of a file in one partition.
+SPLIT_BYTES = 64 << 20
 #: Sizes of the fixed-length tag types.
 _SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 _FORMATS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I"}
@@ -47,24 +51,45 @@ _SCHEMA = pa.schema(
 
 
 class _Bam(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    """A range of a file's bytes; without a header the file is gzip of no blocks, and read as one stream."""
+
+    def __init__(self, path: str, low: int = 0, high: int = 0, header: bgzf.Header | None = None):
+        self.path, self.low, self.high, self.header = path, low, high, header
 
 
 class _BamReader(DataSourceReader):
     def __init__(self, options):
-        self.path = options["path"]
+        self.path, self.split = options["path"], int(options.get("split_bytes", SPLIT_BYTES))
 
     def partitions(self):
-        return [_Bam(p) for p in fastq.listed(self.path, (".bam",))]
+        out = []
+        for path in fastq.listed(self.path, (".bam",)):
+            with fastq.random_access(path) as file:
+                window = bgzf.Window(file)
+                if bgzf.block_size(window.at(0, bgzf.MOST)) is None:
+                    out.append(_Bam(path))
+                    continue
+                header = bgzf.read_header(window, path)
+                out += [_Bam(path, low, min(low + self.split, window.size), header) for low in range(0, window.size, self.split)]
+        return out
 
     def read(self, partition):
-        yield from fastq.batches(self._records(partition), _SCHEMA)
-
-    def _records(self, partition):
-        with gzip.open(fastq.opened(partition.path), "rb") as data:  # BGZF is gzip of many members
+        yield from fastq.batches(self._rows(partition), _SCHEMA)
+
+    def _rows(self, partition):
+        name = os.path.basename(partition.path)
+        if partition.header is None:
+            yield from self._streamed(partition.path, name)
+            return
+        with fastq.random_access(partition.path) as file:
+            for place, record in bgzf.records(file, partition.header, partition.low, partition.high):
+                yield name, place, *_fields(record, partition.header.names)
+
+    @staticmethod
+    def _streamed(path, name):
+        with gzip.open(fastq.opened(path), "rb") as data:
             if data.read(4) != b"BAM\1":
-                raise ValueError(f"{partition.path}: no BAM file")
+                raise ValueError(f"{path}: no BAM file")
             data.read(struct.unpack("<i", data.read(4))[0])
             names = []
             for _ in range(struct.unpack("<i", data.read(4))[0]):
@@ -72,17 +97,24 @@ class _BamReader(DataSourceReader):
                 data.read(4)
             i = 0
             while len(head := data.read(4)) == 4:
-                block = data.read(struct.unpack("<i", head)[0])
-                ref, pos, name_len, _, _, n_ops, flag, seq_len = struct.unpack_from("<iiBBHHHi", block, 0)
-                at = 32 + name_len
-                cigar = [{"op": _OPS[x & 15], "len": x >> 4} for x in struct.unpack_from(f"<{n_ops}I", block, at)]
-                at += 4 * n_ops + (seq_len + 1) // 2 + seq_len
-                yield os.path.basename(partition.path), i, names[ref] if ref >= 0 else None, pos, flag, cigar, hit_count(block[at:])
+                yield name, i, *_fields(data.read(struct.unpack("<i", head)[0]), names)
                 i += 1
 
 
+def _fields(record: bytes, names) -> tuple:
+    """(ref, pos, flag, cigar, nh) of a record."""
+    ref, pos, name_len, _, _, n_ops, flag, seq_len = struct.unpack_from("<iiBBHHHi", record, 0)
+    at = 32 + name_len
+    cigar = [{"op": _OPS[x & 15], "len": x >> 4} for x in struct.unpack_from(f"<{n_ops}I", record, at)]
+    at += 4 * n_ops + (seq_len + 1) // 2 + seq_len
+    return names[ref] if ref >= 0 else None, pos, flag, cigar, hit_count(record[at:])
+
+
 class BamSource(DataSource):
-    """Option: path (SRC-10). One partition a file, as records may span blocks; rows come as Arrow batches."""
+    """Options: path, split_bytes (SRC-10). Ranges of a file's bytes are partitions; read_idx is a record's virtual offset, which orders a file's rows and is the same for any split.
+
+    A file that is gzip but has no blocks is read in one partition, its read_idx a running number. Rows come as Arrow batches.
+    """
 
     @classmethod
     def name(cls):
@@ -95,9 +127,40 @@ class BamSource(DataSource):
         return _BamReader(self.options)
 
 
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
+def read_bam(spark: SparkSession, path: str, split_bytes: int = 0) -> DataFrame:
     spark.dataSource.register(BamSource)
-    return spark.read.format("bam").options(path=path).load()
+    return spark.read.format("bam").options(path=path, split_bytes=split_bytes or SPLIT_BYTES).load()
+
+
+def write_bam(records: DataFrame, folder: str, references: list[tuple[str, int]], payload: int = bgzf.PAYLOAD) -> None:
+    """Records (sample, name, ref, pos, flag, cigar as in ``read_bam``, nh) as files ``<sample>.<partition>.bam``, one for each sample of a partition.
+
+    A file appears whole under its name, so a task that runs again replaces it with the same bytes. Rows keep the order they have.
+    """
+    numbers = {name: i for i, (name, _) in enumerate(references)}
+    columns = ["sample", "name", "ref", "pos", "flag", "cigar", "nh"]
+
+    def write(batches):
+        part, open_files = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["sample"] not in open_files:
+                    fs, where = fastq.filesystem(f"{folder}/{row['sample']}.{part:05d}.bam")
+                    fs.create_dir(os.path.dirname(where), recursive=True)
+                    temporary = f"{where}.{uuid.uuid4().hex}.tmp"
+                    open_files[row["sample"]] = (fs, where, temporary, fs.open_output_stream(temporary, compression=None), bgzf.Writer(payload=payload))
+                    open_files[row["sample"]][3].write(open_files[row["sample"]][4].write(bgzf.bam_header(references)))
+                _, _, _, out, packer = open_files[row["sample"]]
+                tags = b"" if row["nh"] is None else b"NHi" + struct.pack("<i", row["nh"])
+                cigar = [(_OPS.index(x["op"]), x["len"]) for x in row["cigar"] or []]
+                out.write(packer.write(bgzf.bam_record(row["name"], numbers.get(row["ref"], -1), row["pos"], row["flag"], cigar, tags)))
+        for fs, where, temporary, out, packer in open_files.values():
+            out.write(packer.close())
+            out.close()
+            fs.move(temporary, where)
+        yield pa.RecordBatch.from_pydict({"files": [len(open_files)]}, schema=pa.schema([("files", pa.int64())]))
+
+    records.select(columns).mapInArrow(write, "files long").agg(F.sum("files")).collect()
 
 
 def usable(df: DataFrame, duplicates: bool = False, multimappers: bool = False) -> DataFrame:
