@@ -11,15 +11,6 @@ def geometric_mean(c: Column) -> Column:
     return F.coalesce(F.exp(F.avg(F.when(c > 0, F.ln(c)))), F.lit(0.0))
 
 
-def summary(c: Column, name: str) -> list[Column]:
-    """Mean, median, sample deviation, extremes and quartiles (AGG-04)."""
-    q = lambda p: F.percentile(c, F.lit(p))
-    return [
-        F.avg(c).alias(f"{name}_mean"), q(0.5).alias(f"{name}_median"), F.stddev_samp(c).alias(f"{name}_sd"), F.min(c).alias(f"{name}_min"),
-        F.max(c).alias(f"{name}_max"), q(0.25).alias(f"{name}_q25"), q(0.75).alias(f"{name}_q75"),
-    ]
-
-
 def dominant(df: DataFrame, keys: list[str], label: list[str], weights: list[str], fraction: float, strict: bool = False) -> DataFrame:
     """Each key's label with the greatest weights and its share of the first weight; ``assigned`` from ``fraction`` on (AGG-07, Q-14).
 
@@ -81,13 +72,6 @@ def block_positions(df: DataFrame, group: str, order: Column, gap: float) -> Dat
     return df.withColumn("_f", first).withColumns({"start": F.col("_f") - 0.5, "end": F.col("_f") + F.col("n") - 0.5, "center": F.col("_f") + (F.col("n") - 1) / 2}).drop("_f")
 
 
-def mad_sigma(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """median and 1.4826 times the median absolute deviation of each group (AGG-19)."""
-    mid = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("median"))
-    off = df.join(mid, keys).withColumn("_off", F.abs(F.col(value) - F.col("median")))
-    return off.groupBy(*keys).agg(F.first("median").alias("median"), (1.4826 * F.percentile("_off", F.lit(0.5))).alias("sigma"))
-
-
 def histogram(c: Column, edges: list[float]) -> Column:
     """0-based bin of right-open bins, the last one closed; NULL outside (AGG-21)."""
     out = F.lit(None).cast("int")

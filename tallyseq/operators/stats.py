@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import special
 from .lineage import settle
+from .ranks import average_rank, mean_ranks, met, quantiles_of_counts, value_counts
 
 
 def log2fc(a: Column, b: Column, pseudo: float) -> Column:
@@ -37,43 +39,24 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str = "q", keys: list[str] |
     across = Window.partitionBy(*family)
     before = F.coalesce(F.sum("_s").over(across.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = values.groupBy(*family, "_b").agg(F.sum("_n").alias("_s")).select(*family, "_b", before.alias("_base"), F.sum("_s").over(across).alias("_m"))
-    raw = _met(ranked, bases, [*family, "_b"]).withColumn("_q", F.col("_p") * F.col("_m") / (F.col("_base") + F.col("_r")))
+    raw = met(ranked, bases, [*family, "_b"]).withColumn("_q", F.col("_p") * F.col("_m") / (F.col("_base") + F.col("_r")))
     after = F.min("_q").over(across.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1))
     laters = raw.groupBy(*family, "_b").agg(F.min("_q").alias("_q")).select(*family, "_b", after.alias("_later"))
     q = F.least(F.min("_q").over(local.orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)), F.coalesce("_later", F.lit(1.0)), F.lit(1.0))
-    done = _met(raw, laters, [*family, "_b"]).select(*family, "_p", q.alias("_q"))
+    done = met(raw, laters, [*family, "_b"]).select(*family, "_p", q.alias("_q"))
     same = F.col(p) == F.col("_p")
     for k, f in zip(keys, family):
         same &= F.col(k).eqNullSafe(F.col(f))
     return df.join(done, same, "left").withColumn(out, F.when(good, F.col("_q"))).drop(*family, "_p", "_q")
 
 
-def _met(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Join on keys that may be NULL; b's are dropped."""
-    b = b.withColumnsRenamed({k: f"{k}_" for k in keys})
-    same = F.lit(True)
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"{k}_"))
-    return a.join(b, same).drop(*[f"{k}_" for k in keys])
-
-
-def average_rank(df: DataFrame, value: str, keys: list[str], out: str = "rank") -> DataFrame:
-    """Ranks within the group, ties sharing their mean (ST-17, ST-19)."""
-    per = df.groupBy(*keys, value).count()
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = per.withColumn(out, F.coalesce(F.sum("count").over(w), F.lit(0)) + (F.col("count") + 1) / 2).drop("count")
-    return df.join(ranks, [*keys, value])
-
-
-def mann_whitney(df: DataFrame, value: str, inside: str, keys: list[str]) -> DataFrame:
+def mann_whitney(df: DataFrame, value: str, inside: str, keys: list[str], most: int | None = None) -> DataFrame:
     """U of the rows with ``inside`` against the rest, z (tie- and continuity-corrected), rank-biserial effect (ST-17, ST-18).
 
-    Counts of equal values meet first, so a group costs a row for each distinct value.
+    Counts of equal values meet first, so a group costs a row for each distinct value, and these are ranked by ranges.
     """
-    x = F.col(inside).cast("long")
-    per = df.groupBy(*keys, value).agg(F.count("*").alias("t"), F.sum(x).alias("t1"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("rank", F.coalesce(F.sum("t").over(w), F.lit(0)) + (F.col("t") + 1) / 2)
+    per = value_counts(df, keys, value, t1=F.sum(F.col(inside).cast("long"))).withColumnRenamed("n", "t")
+    ranked = mean_ranks(per, keys, value, "t", most=most)
     t = F.col("t").cast("double")
     sums = ranked.groupBy(*keys).agg(F.sum("t1").alias("n1"), F.sum(F.col("t") - F.col("t1")).alias("n2"), F.sum(F.col("rank") * F.col("t1")).alias("r1"), F.sum(t * t * t - t).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
@@ -84,6 +67,25 @@ def mann_whitney(df: DataFrame, value: str, inside: str, keys: list[str]) -> Dat
     return sums.select(*keys, "n1", "n2", u.alias("u"), "ties", z.alias("z"), (F.try_divide(2 * u, n1 * n2) - 1).alias("rank_biserial"), F.try_divide(u, n1 * n2).alias("effect"))
 
 
+def correlations(df: DataFrame, x: str, y: str, keys: list[str], most: int | None = None) -> DataFrame:
+    """n, Pearson's r and Spearman's rho of each group with two-sided p-values by Student's t of n - 2 degrees (ST-19).
+
+    Rows that lack either value don't count. A group of fewer than three rows, or with a column of one value, has no p-value.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    ranked = average_rank(average_rank(rows, x, keys, "_rx", most), y, keys, "_ry", most)
+    # a built-in correlation fails where a column has one value
+    corr = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    found = ranked.groupBy(*keys).agg(F.count("*").alias("n"), corr(x, y).alias("pearson"), corr("_rx", "_ry").alias("spearman"))
+    student = special.student_udf()
+    for name in ("pearson", "spearman"):
+        c = F.when(F.isnan(name), None).when(F.col(name) > 1, 1.0).when(F.col(name) < -1, -1.0).otherwise(F.col(name))
+        free = F.when(F.col("n") > 2, (F.col("n") - 2).cast("double"))
+        t = c * F.sqrt(F.try_divide(free, 1 - c * c))  # a perfect correlation has p = 0
+        found = found.withColumn(name, c).withColumn(f"{name}_p", F.when(F.abs(F.col(name)) >= 1, F.when(free.isNotNull(), 0.0)).otherwise(student(F.when(F.abs(F.col(name)) < 1, t), free)))
+    return found
+
+
 def welch(m1: Column, v1: Column, n1: Column, m2: Column, v2: Column, n2: Column) -> tuple[Column, Column]:
     """(t, degrees of freedom) from means and unbiased variances (ST-13)."""
     a, b = v1 / n1, v2 / n2
@@ -209,25 +211,25 @@ def huber_line(df: DataFrame, x: str, y: str, tuning: float = 1.345, rounds: int
     return slope, intercept, middle, sigma
 
 
-def pairwise_against(df: DataFrame, group: str, value: str, reference: str, least: int = 5) -> DataFrame:
+def pairwise_against(df: DataFrame, group: str, value: str, reference: str, least: int = 5, most: int | None = None) -> DataFrame:
     """Each group against the reference group: sizes, medians and their difference, rank-biserial effect, z (ST-17, ST-18, Q-33).
 
     Groups or references of fewer than ``least`` values give no row. Values are counted first, so a pair of groups costs a
-    row for each distinct value.
+    row for each distinct value, and these are ranked by ranges.
     """
     rows = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     ref, own = rows.where(F.col("_g") == reference), rows.where(F.col("_g") != reference)
     groups = own.select("_g").distinct()
     stacked = own.withColumn("_in", F.lit(1)).unionByName(ref.drop("_g").crossJoin(F.broadcast(groups)).withColumn("_in", F.lit(0)))  # groups are names
-    per = stacked.groupBy("_g", "_v").agg(F.sum("_n").alias("t"), F.sum(F.col("_n") * F.col("_in")).alias("t1"))
-    before = Window.partitionBy("_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("rank", F.coalesce(F.sum("t").over(before), F.lit(0)) + (F.col("t") + 1) / 2)
+    per = settle(stacked.groupBy("_g", "_v").agg(F.sum("_n").alias("t"), F.sum(F.col("_n") * F.col("_in")).alias("t1")))
+    ranked = mean_ranks(per, ["_g"], "_v", "t", most=most)
     t = F.col("t").cast("double")
-    median = lambda n: F.expr(f"percentile(_v, 0.5, {n})")
     s = ranked.groupBy("_g").agg(
         F.sum("t1").alias("n1"), F.sum(F.col("t") - F.col("t1")).alias("n2"), F.sum(F.col("rank") * F.col("t1")).alias("r1"), F.sum(t * t * t - t).alias("ties"),
-        median("t1").alias("median_group"), median("t - t1").alias("median_reference"),
     )
+    counts = per.withColumn("t2", F.col("t") - F.col("t1"))
+    for side, name in (("t1", "median_group"), ("t2", "median_reference")):
+        s = s.join(quantiles_of_counts(counts, ["_g"], "_v", {name: 0.5}, side, most), "_g", "left")
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n, u = n1 + n2, F.col("r1") - n1 * (n1 + 1) / 2
     sd = F.sqrt(n1 * n2 / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))

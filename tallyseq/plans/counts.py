@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns, special
 from ..operators import aggregate as agg
-from ..operators import annotate, stats
+from ..operators import annotate, ranks, stats
+from ..operators.lineage import settle
 from ..operators.match import small
 from ..session import table
 from .catalog import query
@@ -55,8 +56,10 @@ def equalized_log2fc(spark, d):
  FROM l GROUP BY 1, 2""")
 def group_log2fc_summary(spark, d):
     rows = _equalised(spark, d).withColumn("grp", F.col("user_id") % 4)
-    out = rows.groupBy("event_type", "grp").agg(F.count("*").alias("barcodes"), F.avg((F.col("k") > 0).cast("int")).alias("detected_fraction"), *agg.summary(F.col("lfc"), "lfc"))
-    return out.select("event_type", "grp", "barcodes", *[r(F.col(c), c) for c in out.columns[3:]])
+    rows, keys = settle(rows), ["event_type", "grp"]
+    out = rows.groupBy(*keys).agg(F.count("*").alias("barcodes"), F.avg((F.col("k") > 0).cast("int")).alias("detected_fraction"))
+    out = out.join(ranks.group_summary(rows, "lfc", keys, "lfc"), keys, "left")
+    return out.select(*keys, "barcodes", *[r(F.col(c), c) for c in ("detected_fraction", *[f"lfc_{x}" for x in ("mean", "median", "sd", "min", "max", "q25", "q75")])])
 
 
 @query("reference_scale_factors", """WITH t AS (SELECT event_type, CAST(count(*) AS DOUBLE) AS raw_total FROM events GROUP BY 1)
@@ -221,17 +224,33 @@ def detection_odds(spark, d):
  SELECT grp, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, round(regr_slope(y, x), 4) AS slope, round(regr_intercept(y, x), 4) AS intercept, round(regr_r2(y, x), 6) AS r2 FROM a GROUP BY 1""")
 def pearson_spearman_ols(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
-    ranked = stats.average_rank(stats.average_rank(rows, "x", ["grp"], "rx"), "y", ["grp"], "ry")
+    ranked = ranks.average_rank(ranks.average_rank(rows, "x", ["grp"], "rx"), "y", ["grp"], "ry")
     return ranked.groupBy("grp").agg(
         r(F.corr("x", "y"), "pearson"), r(F.corr("rx", "ry"), "spearman"), F.round(F.regr_slope("y", "x"), 4).alias("slope"), F.round(F.regr_intercept("y", "x"), 4).alias("intercept"), r(F.regr_r2("y", "x"), "r2")
     )
 
 
+_SMALL_PAIRS = "v AS (SELECT c_nationkey AS grp, c_custkey, c_acctbal AS x, coalesce(sum(o_totalprice), 0) AS y FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2, 3)"
+
+
+@query("correlation_p", f"""WITH {_SMALL_PAIRS}, a AS (SELECT grp, x, y, rank() OVER (PARTITION BY grp ORDER BY x) + (count(*) OVER (PARTITION BY grp, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY grp ORDER BY y) + (count(*) OVER (PARTITION BY grp, y) - 1) / 2.0 AS ry FROM v),
+ s AS (SELECT grp, count(*) AS n, corr(x, y) AS pearson, corr(rx, ry) AS spearman FROM a GROUP BY 1), t AS (SELECT *, pearson * sqrt((n - 2) / nullif(1 - pearson * pearson, 0)) AS tp, spearman * sqrt((n - 2) / nullif(1 - spearman * spearman, 0)) AS ts FROM s WHERE n > 2),
+ g AS (SELECT *, lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0) - 0.5 * ln(pi() * (n - 2)) AS c FROM t),
+ p AS (SELECT *, {_simpson('exp(c - (n - 1) / 2.0 * ln(1 + {x} * {x} / (n - 2)))', 'abs(tp)')} AS half_p, {_simpson('exp(c - (n - 1) / 2.0 * ln(1 + {x} * {x} / (n - 2)))', 'abs(ts)')} AS half_s FROM g)
+ SELECT grp, n, round(pearson, 6) AS pearson, round(CASE WHEN abs(pearson) >= 1 THEN 0 ELSE greatest(1 - 2 * half_p, 0) END, 5) + 0 AS pearson_p, round(spearman, 6) AS spearman, round(CASE WHEN abs(spearman) >= 1 THEN 0 ELSE greatest(1 - 2 * half_s, 0) END, 5) + 0 AS spearman_p FROM p""")
+def correlation_p(spark, d):
+    """Pearson's and Spearman's correlation of balance and revenue by nation, with two-sided p-values by Student's t (ST-19, Q-27)."""
+    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("y"))
+    rows = table(spark, d, "customer").join(orders, "c_custkey", "left").select(F.col("c_nationkey").alias("grp"), F.col("c_acctbal").alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"))
+    found = stats.correlations(settle(rows), "x", "y", ["grp"])
+    return found.select("grp", "n", r(F.col("pearson"), "pearson"), (F.round("pearson_p", 5) + 0).alias("pearson_p"), r(F.col("spearman"), "spearman"), (F.round("spearman_p", 5) + 0).alias("spearman_p"))
+
+
 @query("robust_mad", """WITH v AS (SELECT l_returnflag AS grp, l_extendedprice AS x FROM lineitem), m AS (SELECT grp, quantile_cont(x, 0.5) AS md FROM v GROUP BY 1)
  SELECT v.grp, round(any_value(md), 6) AS median, round(1.4826 * quantile_cont(abs(x - md), 0.5), 6) AS sigma FROM v JOIN m ON v.grp = m.grp GROUP BY 1""")
 def robust_mad(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_extendedprice").alias("x"))
-    return agg.mad_sigma(rows, "x", ["grp"]).select("grp", r(F.col("median"), "median"), r(F.col("sigma"), "sigma"))
+    return ranks.mad_sigma(rows, "x", ["grp"]).select("grp", r(F.col("median"), "median"), r(F.col("sigma"), "sigma"))
 
 
 @query("huber_read_support_flags")
@@ -325,8 +344,8 @@ def log_histogram(spark, d):
 @query("quantile_summary", """SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 4) AS p05, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.75), 4) AS p75, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM lineitem GROUP BY 1""")
 def quantile_summary(spark, d):
     points = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    q = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.array(*map(F.lit, points.values()))).alias("q"))
-    return q.select("l_returnflag", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(points)])
+    q = ranks.group_quantiles(table(spark, d, "lineitem"), "l_extendedprice", ["l_returnflag"], points)
+    return q.select("l_returnflag", *[F.round(n, 4).alias(n) for n in points])
 
 
 @query("grid_completed_bubble", """WITH s(seg) AS (VALUES ('AUTOMOBILE'), ('BUILDING'), ('FURNITURE'), ('HOUSEHOLD'), ('MACHINERY'), ('NONE')), p(pr) AS (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM'), ('4-NOT SPECIFIED'), ('5-LOW')), t(st) AS (VALUES ('F'), ('O'), ('P')),

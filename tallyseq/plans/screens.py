@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns, seq, special
-from ..operators import annotate, stats
+from ..operators import annotate, ranks, stats
 from ..session import table
 from .catalog import query
 from .counts import r
@@ -170,7 +170,7 @@ def volcano(spark, d):
 def program_enrichment(spark, d):
     """Each program's genes against all others: one ranking serves all programs (ST-29)."""
     b = table(spark, d, "part").select(F.col("p_brand").alias("program"), F.col("p_retailprice").alias("x"), F.lit(1).alias("all"))
-    ranked = stats.average_rank(b, "x", ["all"])
+    ranked = ranks.average_rank(b, "x", ["all"])
     n = F.broadcast(b.agg(F.count("*").alias("n")))
     s = ranked.groupBy("program").agg(F.count("*").alias("n_in"), F.sum("rank").alias("s")).crossJoin(n)
     u = F.col("s") - F.col("n_in") * (F.col("n_in") + 1) / 2
