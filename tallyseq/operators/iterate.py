@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq, special
+from .graph import components
 from .lineage import settle
+from .ranks import running_counts
 from .stats import benjamini_hochberg, overdispersion
 
 
@@ -184,28 +186,41 @@ def merge_barcodes(cell: str, rows: pd.DataFrame, most: int = 2, least_reads: in
     return kept, events
 
 
+def barcode_components(rows: DataFrame, length: int, most: int = 2) -> DataFrame:
+    """cell, barcode and component (its first barcode) of the barcodes that have one of their identity alike in their cell (ITER-03)."""
+    named = rows.where("cell is not null and barcode is not null and identity is not null and identity != ''")
+    masks = named.select("cell", "barcode", "identity").distinct().withColumn("_k", F.explode(seq.mask_keys(F.col("barcode"), length, most)))
+    # a mask's barcodes differ in its hidden places alone, so there are few of them
+    hub = F.min("barcode").over(Window.partitionBy("cell", "identity", "_k"))
+    node = lambda c: F.struct("cell", F.col(c).alias("barcode"))
+    edges = masks.withColumn("_hub", hub).where("barcode != _hub").select(node("barcode").alias("a"), node("_hub").alias("b"))
+    return components(edges).select("node.cell", "node.barcode", F.col("component.barcode").alias("component"))
+
+
 def correct_barcodes(rows: DataFrame, length: int, most: int = 2, least_reads: int = 10) -> tuple[DataFrame, DataFrame]:
     """(corrected counts, merge events) of all cells (ITER-03, Q-15). rows: cell, barcode, umi, reads, feature, identity.
 
-    Only cells in which two barcodes of one identity lie close enter Python, one cell at a time (a cell has some
-    hundred barcodes); all others are aggregated as they are.
+    A merge never leaves a connected component of barcodes alike, so components are what enters Python, each by itself, however many
+    barcodes a cell has; all other barcodes are aggregated as they are. Within a component candidates are merged by rising support, which only grows, and
+    so a cell's events stand in the order of their candidates' support, as if the cell had been merged as one.
     """
-    masks = rows.where("identity is not null and identity != ''").select("cell", "barcode", "identity").distinct().withColumn("_k", F.explode(seq.mask_keys(F.col("barcode"), length, most)))
-    busy = settle(masks.groupBy("cell", "identity", "_k").agg(F.count_distinct("barcode").alias("n")).where("n > 1").select("cell").distinct())
-    kind = "kind string, cell string, seq long, barcode string, other string, feature string, umis long, reads long, distance long"
+    busy = settle(barcode_components(rows, length, most))
+    kind = "kind string, cell string, barcode string, other string, feature string, umis long, reads long, distance long, low_umis long, low_reads long"
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
         kept, events = merge_barcodes(key[0], pdf, most, least_reads)
-        out = [("kept", key[0], None, b, None, f, u, n, None) for b, f, u, n in kept]
-        out += [("event", key[0], e[0], e[1], e[2], None, e[9], e[10], e[3]) for e in events]
-        return pd.DataFrame(out, columns=[x.split()[0] for x in kind.split(", ")]).astype({"seq": "Int64", "distance": "Int64"})
+        out = [("kept", key[0], b, None, f, u, n, None, None, None) for b, f, u, n in kept]
+        out += [("event", key[0], e[1], e[2], None, e[9], e[10], e[3], e[4], e[6]) for e in events]
+        return pd.DataFrame(out, columns=[x.split()[0] for x in kind.split(", ")]).astype({c: "Int64" for c in ("umis", "reads", "distance", "low_umis", "low_reads")})
 
-    merged = settle(rows.join(busy, "cell", "left_semi").groupBy("cell").applyInPandas(one, kind))
-    quiet = rows.join(busy, "cell", "left_anti")
+    merged = settle(rows.join(busy, ["cell", "barcode"]).groupBy("cell", "component").applyInPandas(one, kind))
+    quiet = rows.join(busy, ["cell", "barcode"], "left_anti")
     per = quiet.groupBy("cell", "barcode", "feature").agg(F.count_distinct("umi").alias("u"), F.sum("reads").alias("r"))
     label = per.groupBy("cell", "barcode").agg(F.max(F.struct("u", "r", "feature")).alias("_b"))
     whole = quiet.groupBy("cell", "barcode").agg(F.count_distinct("umi").alias("umis"), F.sum("reads").alias("reads")).where(F.col("reads") > least_reads)
     plain = whole.join(label, ["cell", "barcode"]).select("cell", "barcode", F.col("_b.feature").alias("feature"), "umis", "reads")
     kept = merged.where("kind = 'kept'").select("cell", "barcode", "feature", "umis", "reads")
-    events = merged.where("kind = 'event'").select("cell", "seq", F.col("barcode").alias("candidate"), F.col("other").alias("seed"), "distance", "umis", "reads")
+    support = F.struct("low_umis", "low_reads", "barcode")
+    events = running_counts(settle(merged.where("kind = 'event'").withColumns({"_o": support, "n": F.lit(1)})), ["cell"], "_o")
+    events = events.select("cell", (F.col("below") + 1).alias("seq"), F.col("barcode").alias("candidate"), F.col("other").alias("seed"), "distance", "umis", "reads")
     return kept.unionByName(plain), events

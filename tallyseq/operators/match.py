@@ -213,48 +213,3 @@ def approximate_count(reads: Column, barcode: str, edits: int = 1) -> Column:
         return texts.map(lambda t: sum(1 for _ in r.finditer(t or "")))
 
     return count(reads)
-
-
-def knn(points: DataFrame, key: str, vector: str, label: str, k: int, block: int = 2000) -> DataFrame:
-    """(key, neighbour, label, distance): the k nearest other points of each point, exactly (MAT-14).
-
-    Both sides are dealt in blocks; a pair of blocks gives k rows a point, and the best k of all blocks stay. The
-    points of an experiment are cells, some hundred thousand, so all pairs of blocks is what is wanted.
-    """
-    n = points.count()
-    blocks = max(1, -(-n // block))
-    dealt = points.select(F.col(key).alias("_key"), F.col(vector).alias("_v"), F.col(label).alias("_l"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_b"))
-    left = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_side", F.lit(0))
-    right = dealt.withColumn("_o", F.col("_b")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_side", F.lit(1))
-    kind = dict(points.dtypes)
-
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        a, b = pdf[pdf._side == 0], pdf[pdf._side == 1]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"_key": [], "neighbour": [], "label": [], "distance": []})
-        x, y = np.stack(a._v.to_numpy()).astype(float), np.stack(b._v.to_numpy()).astype(float)
-        own, ids, names = a._key.to_numpy(), b._key.to_numpy(), b._l.to_numpy()
-        xx, yy = (x * x).sum(1), (y * y).sum(1)
-        slack = 1e-9 * (1 + xx.max() + yy.max())
-        out = []
-        for low in range(0, len(x), 256):
-            part = slice(low, low + 256)
-            # one matrix product finds who may be near; those few are measured exactly
-            rough = xx[part, None] + yy - 2 * x[part] @ y.T
-            rough[own[part, None] == ids] = np.inf
-            far = np.partition(rough, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
-            i, j = np.nonzero((rough <= far[:, None] + slack) & np.isfinite(rough))
-            d = ((x[part][i] - y[j]) ** 2).sum(1)
-            order = np.lexsort((ids[j], d, i))
-            i, j, d = i[order], j[order], d[order]
-            nth = np.arange(len(i)) - np.searchsorted(i, i)
-            i, j, d = i[nth < k], j[nth < k], d[nth < k]
-            out.append(pd.DataFrame({"_key": own[part][i], "neighbour": ids[j], "label": names[j], "distance": np.sqrt(d)}))
-        return pd.concat(out)
-
-    schema = f"_key {kind[key]}, neighbour {kind[key]}, label {kind[label]}, distance double"
-    found = left.unionByName(right).groupBy("_b", "_o").applyInPandas(near, schema)
-    best = found.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("distance", "neighbour"))).where(F.col("_n") <= k)
-    return best.select(F.col("_key").alias(key), "neighbour", "label", "distance")

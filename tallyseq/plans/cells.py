@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns, seq
 from ..operators import aggregate as agg
-from ..operators import annotate, match, matrix, small, stats
+from ..operators import annotate, match, matrix, neighbours, small, stats
 from ..operators.lineage import settle
 from ..session import table
 from .catalog import query
@@ -218,7 +218,7 @@ def transfer_metric(spark, d):
 @query("knn_label_fraction", """WITH p AS (SELECT a.vec_id AS id, b.label, a.label AS own, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.vec_id) AS n FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) SELECT id AS vec_id, round(avg(CAST(label = own AS INT)), 6) AS same FROM p WHERE n <= 10 GROUP BY 1""")
 def knn_label_fraction(spark, d):
     e = table(spark, d, "embeddings")
-    near = match.knn(e, "vec_id", "embedding", "label", 10)
+    near = neighbours.knn(e, "vec_id", "embedding", "label", 10)
     return near.join(e.select("vec_id", F.col("label").alias("own")), "vec_id").groupBy("vec_id").agg(r(F.avg((F.col("label") == F.col("own")).cast("int")), "same"))
 
 
@@ -227,7 +227,7 @@ def doublet_scores(spark, d):
     """Share of simulated doublets among a cell's neighbours, and the call at the 95 % point (ITER-05, Q-11)."""
     cells = table(spark, d, "embeddings").select("vec_id", "embedding")
     all_ = cells.withColumn("label", F.lit(0)).unionByName(small.simulated_doublets(cells, "vec_id", "embedding").withColumn("label", F.lit(1)))
-    near = match.knn(all_, "vec_id", "embedding", "label", 40).where("vec_id >= 0")
+    near = neighbours.knn(all_, "vec_id", "embedding", "label", 40).where("vec_id >= 0")
     scores = near.groupBy("vec_id").agg(F.avg("label").alias("score"))
     top = F.broadcast(scores.agg(F.percentile("score", F.lit(0.95)).alias("t")))
     return scores.crossJoin(top).select("vec_id", r(F.col("score"), "doublet_score"), (F.col("score") < F.col("t")).alias("singlet"))
