@@ -59,6 +59,28 @@ def sample_name(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?i)\.(fastq|fq)(\.gz)?$", "")
 
 
+#: Bases that fit a long, two bits each, and the lower bit of each.
+PACKED, LOWER = 31, 0x1555555555555555
+
+
+def packed(c: Column) -> Column:
+    """A, C, G and T as two bits each, the first in the highest place; NULL for other letters and for more than ``PACKED``."""
+    clean = (F.length(c) <= PACKED) & c.rlike("^[ACGT]+$")
+    return F.when(clean, F.conv(F.translate(c, "ACGT", "0123"), 4, 10).cast("long"))
+
+
+def packed_mismatches(a: Column, b: Column) -> Column:
+    """Places in which two packed sequences of one length differ."""
+    x = a.bitwiseXOR(b)
+    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(LOWER))).cast("int")
+
+
+def distance(a: Column, b: Column, packed_a: Column, packed_b: Column) -> Column:
+    """``hamming`` of two sequences of which the packed forms are at hand: by bits where both have one, else letter by letter."""
+    by_bits = packed_a.isNotNull() & packed_b.isNotNull() & (F.length(a) == F.length(b))
+    return F.when(by_bits, packed_mismatches(packed_a, packed_b)).otherwise(hamming(a, b))
+
+
 def gene_and_transcript(c: Column, exempt: str = "NTC") -> tuple[Column, Column]:
     """Split at the first underscore; control names stay whole (SEQ-12)."""
     whole = c.startswith(exempt) | ~c.contains("_")

@@ -32,10 +32,10 @@ def collapse_umis(counts: DataFrame, key: str, umi: str, count: str, length: int
     largest = rows.agg(F.max(count)).first()[0] or 1
     level = lambda c: F.floor(F.log(float(ratio), c) + 1e-9).cast("int")  # noqa: E731  a parent is a level higher at least
     top = int(math.log(max(largest, 1), ratio) + 1e-9)
-    seeds = rows.withColumns({"_s": F.explode(seq.seed_chunks(F.col(umi), length, most)), "_l": level(F.col(count))})
-    child = seeds.where(F.col("_l") < top).select(key, "_s", F.col(umi).alias("child"), F.col(count).alias("_c"), F.explode(F.sequence(F.col("_l") + 1, F.lit(top))).alias("_l"))
-    parent = seeds.select(key, "_s", "_l", F.col(umi).alias("parent"), F.col(count).alias("_p"))
-    met = child.join(parent, [key, "_s", "_l"]).where(F.col("_p") >= ratio * F.col("_c")).where("child != parent").withColumn("_d", seq.hamming(F.col("child"), F.col("parent")))
+    seeds = rows.withColumns({"_s": F.explode(seq.seed_chunks(F.col(umi), length, most)), "_l": level(F.col(count)), "_bits": seq.packed(F.col(umi))})
+    child = seeds.where(F.col("_l") < top).select(key, "_s", F.col(umi).alias("child"), F.col(count).alias("_c"), F.col("_bits").alias("_cb"), F.explode(F.sequence(F.col("_l") + 1, F.lit(top))).alias("_l"))
+    parent = seeds.select(key, "_s", "_l", F.col(umi).alias("parent"), F.col(count).alias("_p"), F.col("_bits").alias("_pb"))
+    met = child.join(parent, [key, "_s", "_l"]).where(F.col("_p") >= ratio * F.col("_c")).where("child != parent").withColumn("_d", seq.distance(F.col("child"), F.col("parent"), F.col("_cb"), F.col("_pb")))
     best = met.where(F.col("_d") <= most).groupBy(key, "child").agg(F.min(F.struct("_d", (-F.col("_p")).alias("p"), "parent")).alias("_b"))
     links = rows.join(best.select(key, F.col("child").alias(umi), F.col("_b.parent").alias("up")), [key, umi], "left")
     links = settle(links.withColumn("root", F.coalesce("up", umi)))

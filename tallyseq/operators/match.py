@@ -47,18 +47,23 @@ def scan_kmers(reads: DataFrame, library: DataFrame, sequence: str, barcode: str
     return windows.join(small(keyed), "_k").drop("_k")
 
 
-def best_substring(segments: DataFrame, candidates: DataFrame, segment: str, candidate: str, label: str, keys: list[str]) -> DataFrame:
-    """The longest candidate a segment contains, then the leftmost, then the first by name; its end (MAT-03).
+def dictionary_hits(segments: DataFrame, words: DataFrame, segment: str, word: str, keys: list[str]) -> DataFrame:
+    """``keys``, the columns of ``words`` and _p, the 0-based place, of every occurrence of a word in the segments: one pass over them, whatever lengths words have.
 
-    Candidates are few lengths, so a segment's windows of those lengths meet them by equality.
+    Words are filed under their beginnings, as long as the shortest word. At each place of a segment that many letters fetch the
+    words that may begin there, and the rest of the word is compared in place.
     """
+    first = words.agg(F.min(F.length(word))).first()[0] or 1
+    filed = small(words.where(F.length(word) > 0).withColumn("_begin", F.substring(word, 1, first)))
+    windows = segments.select(*keys, F.col(segment).alias("_segment"), F.posexplode(seq.kmers(F.col(segment), first)).alias("_p", "_at"))
+    met = windows.join(filed, F.col("_at") == F.col("_begin"))
+    return met.where(F.substring(F.col("_segment"), F.col("_p") + 1, F.length(word)) == F.col(word)).drop("_segment", "_at", "_begin")
+
+
+def best_substring(segments: DataFrame, candidates: DataFrame, segment: str, candidate: str, label: str, keys: list[str]) -> DataFrame:
+    """The longest candidate a segment contains, then the leftmost, then the first by name; its end (MAT-03)."""
     listed = candidates.select(F.col(candidate).alias("_k"), label).distinct()
-    lengths = sorted(r[0] for r in listed.select(F.length("_k")).distinct().collect())
-    windows = None
-    for n in lengths:
-        part = segments.select(*keys, F.posexplode(seq.kmers(F.col(segment), n)).alias("_p", "_k"))
-        windows = part if windows is None else windows.unionByName(part)
-    hits = windows.join(small(listed), "_k")
+    hits = dictionary_hits(segments, listed, segment, "_k", keys)
     best = F.min(F.struct((-F.length("_k")).alias("len"), F.col("_p").alias("pos"), F.col(label).alias("label")))
     return hits.groupBy(*keys).agg(best.alias("_b")).select(*keys, F.col("_b.label").alias(label), (F.col("_b.pos") - F.col("_b.len")).alias("end"))
 
@@ -76,12 +81,8 @@ def two_ended(reads: DataFrame, fronts: DataFrame, backs: DataFrame, read: str,
 
 def longest_in_window(windows: DataFrame, dictionary: DataFrame, window: str, key: str, label: str, keys: list[str]) -> DataFrame:
     """Of the longest keys found in a window the label if they agree, else NULL; leftmost place (MAT-05)."""
-    lengths = sorted(r[0] for r in dictionary.select(F.length(key)).distinct().collect())
-    parts = None
-    for n in lengths:
-        part = windows.select(*keys, F.posexplode(seq.kmers(F.col(window), n)).alias("_p", "_k"))
-        parts = part if parts is None else parts.unionByName(part)
-    hits = parts.join(small(dictionary.select(F.col(key).alias("_k"), F.col(label).alias("_l"))), "_k").withColumn("_n", F.length("_k"))
+    words = dictionary.select(F.col(key).alias("_k"), F.col(label).alias("_l"))
+    hits = dictionary_hits(windows, words, window, "_k", keys).withColumn("_n", F.length("_k"))
     top = hits.withColumn("_m", F.max("_n").over(Window.partitionBy(*keys))).where("_n = _m")
     found = top.groupBy(*keys).agg(F.count_distinct("_l").alias("_d"), F.min("_l").alias(label), F.min("_p").alias("pos"), F.max("_n").alias("key_length"))
     return found.withColumn(label, F.when(F.col("_d") == 1, F.col(label))).drop("_d")
@@ -124,32 +125,33 @@ def orientation(rows: DataFrame, columns: dict[str, DataFrame]) -> DataFrame:
 def masked_match(reads: DataFrame, library: list[tuple[str, str]], sequence: str, most: int = 3) -> DataFrame:
     """Library rows a read fits at position 0: upper-case places exactly, lower-case ones up to ``most`` mismatches (MAT-07).
 
-    One equi-join for each distinct mask; the mismatches are counted on the rows that meet.
+    One pass over the reads for any number of patterns: a read gives one key for each distinct mask, its letters in the exact places,
+    and meets the patterns of that mask by it. The other places are compared by bits where both are bases.
     """
-    spark, masks = reads.sparkSession, {}
+    masks: dict[tuple, int] = {}
+    rows = []
     for name, pattern in library:
         must, free = seq.case_pattern(pattern)
-        masks.setdefault((tuple(must), tuple(free)), []).append((name, pattern.upper(), pattern))
-    out = None
-    for (must, free), rows in masks.items():
-        pick = lambda c, places: F.concat(*[F.substring(c, F.lit(p + 1), F.lit(1)) for p in places]) if places else F.lit("")
-        dim = spark.createDataFrame(rows, "name string, _seq string, pattern string")
-        dim = dim.select("name", "pattern", pick(F.col("_seq"), must).alias("_key"), pick(F.col("_seq"), free).alias("_free"))
-        need = max([*must, *free], default=-1) + 1
-        own = reads.where(F.length(sequence) >= need).withColumns({"_key": pick(F.upper(F.col(sequence)), must), "_own": pick(F.upper(F.col(sequence)), free)})
-        met = own.join(small(dim), "_key").withColumn("mismatches", seq.hamming(F.col("_own"), F.col("_free"))).where(F.col("mismatches") <= most)
-        met = met.drop("_key", "_own", "_free")
-        out = met if out is None else out.unionByName(met)
-    return out
+        mask = masks.setdefault((tuple(must), tuple(free)), len(masks))
+        letters = lambda places: "".join(pattern[p].upper() for p in places)
+        rows.append((mask, name, pattern, letters(must), letters(free)))
+    pick = lambda c, places: F.concat(*[F.substring(c, F.lit(p + 1), F.lit(1)) for p in places]) if places else F.lit("")
+    dim = reads.sparkSession.createDataFrame(rows, "_mask int, name string, pattern string, _key string, _free string").withColumn("_packed", seq.packed(F.col("_free")))
+    upper = F.upper(F.col(sequence))
+    long_enough = lambda places: F.length(sequence) >= max(places, default=-1) + 1
+    keys = [F.when(long_enough([*must, *free]), F.struct(F.lit(i).alias("_mask"), pick(upper, must).alias("_key"), pick(upper, free).alias("_own"))) for (must, free), i in masks.items()]
+    own = reads.withColumn("_m", F.explode(F.array_compact(F.array(*keys)))).select(*reads.columns, "_m.*").withColumn("_bits", seq.packed(F.col("_own")))
+    met = own.join(small(dim), ["_mask", "_key"]).withColumn("mismatches", seq.distance(F.col("_own"), F.col("_free"), F.col("_bits"), F.col("_packed")))
+    return met.where(F.col("mismatches") <= most).select(*reads.columns, "name", "pattern", "mismatches")
 
 
 def nearest(queries: DataFrame, references: DataFrame, sequence: str, reference: str, label: str, length: int, most: int = 2) -> DataFrame:
     """Each distinct query's one nearest reference within ``most`` mismatches; ties and odd letters give no row (MAT-08)."""
     clean = queries.select(F.col(sequence).alias("query")).distinct().where((F.length("query") == length) & F.col("query").rlike("^[ACGT]*$"))
-    seeds = lambda df, c: df.withColumn("_s", F.explode(seq.seed_chunks(F.col(c), length, most)))
+    seeds = lambda df, c: df.withColumns({"_s": F.explode(seq.seed_chunks(F.col(c), length, most)), f"_{c}": seq.packed(F.col(c))})
     refs = seeds(references.select(F.col(reference).alias("reference"), label).where(F.length("reference") == length), "reference")
     met = seeds(clean, "query").join(small(refs), "_s").drop("_s").distinct()
-    near = met.withColumn("distance", seq.hamming(F.col("query"), F.col("reference"))).where(F.col("distance") <= most)
+    near = met.withColumn("distance", seq.distance(F.col("query"), F.col("reference"), F.col("_query"), F.col("_reference"))).where(F.col("distance") <= most)
     best = near.withColumn("_m", F.min("distance").over(Window.partitionBy("query"))).where("distance = _m")
     found = best.groupBy("query").agg(F.count("*").alias("_n"), F.min(label).alias(label), F.min("distance").alias("distance"))
     return found.where("_n = 1").drop("_n")
