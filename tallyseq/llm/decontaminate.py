@@ -73,27 +73,32 @@ def least_of(values: Column, n: Column, w: int) -> Column:
 
 
 def windows_of(items: DataFrame, short: tuple[int, int] | None, window: int = WINDOW, long: tuple[int, int] = LONG) -> DataFrame:
-    """Distinct windows: kind, fp (the hash they are filed under), at (its k-gram's place), gram, items."""
-    listed = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    n = F.size("w")
-    runs = F.when(n < window, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0))))
-    distinct = (
-        listed.withColumn("i", F.explode(runs))
-        .select("item_id", F.slice("w", F.col("i") + 1, window).alias("gram"))
-        .groupBy("gram")
-        .agg(F.collect_set("item_id").alias("items"))
-    )
+    """Distinct windows: kind, fp (the hash they are filed under), at (its k-gram's place), gram."""
+    distinct = item_grams(items, window).select("gram").distinct()
     size, hashes = F.size("gram"), F.transform("gram", lambda x: F.xxhash64(x))
     kinds = [(0, long, size == window)] + ([(1, short, size < window)] if short else [])
     out = None
     for kind, (k, w), fits in kinds:
         grams = gram_hashes(hashes, size, k)
         filed = distinct.where(fits).withColumn("h", F.slice(grams, 1, w)).withColumn("fp", F.array_min("h"))
-        rows = filed.select(F.lit(kind).alias("kind"), "fp", (F.array_position("h", F.col("fp")) - 1).cast("int").alias("at"), "gram", "items")
+        rows = filed.select(F.lit(kind).alias("kind"), "fp", (F.array_position("h", F.col("fp")) - 1).cast("int").alias("at"), "gram")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def item_grams(items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """item_id (as text) and gram, a row for each window of each item."""
+    listed = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    n = F.size("w")
+    runs = F.when(n < window, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0))))
+    return listed.withColumn("i", F.explode(runs)).select("item_id", F.slice("w", F.col("i") + 1, window).alias("gram"))
+
+
+def items_of(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """window and item_id, a row for each item that holds it. A window of very many items is as many rows, and none of them a list."""
+    return item_grams(items).join(windows.select("window", "gram"), "gram").select("window", "item_id").distinct()
+
+
 def short_setting(items: DataFrame, window: int = WINDOW, k: int = LONG[0]) -> tuple[int, int] | None:
     """k and w for items below the window's length, from the shortest; None where there are none."""
     n = F.size(words(F.col("text")))
@@ -129,18 +134,21 @@ def _starts(kinds: int) -> Column:
     return F.filter(places, lambda i: F.slice(F.col("w"), i + 1, F.size("gram")) == F.col("gram"))
 
 
-def find_hits(docs: DataFrame, items: DataFrame, keep: list[str], broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """A row for each document: ``keep``, n_words, n_hit, items (sorted item ids as strings)."""
+def find_hits(docs: DataFrame, items: DataFrame, keep: list[str], broadcast_bytes: int = BROADCAST_BYTES, with_items: bool = True) -> DataFrame:
+    """A row for each document: ``keep``, n_words, n_hit and, if asked for, items (sorted item ids as strings).
+
+    Windows go by numbers; whose they are is looked up at the end, once for each distinct set of windows that documents have.
+    """
     small = items.select("item_id", "text")
     short = short_setting(small)
     settings = [LONG] + ([short] if short else [])
-    filed = cut(windows_of(small, short))
-    held = filed.agg(F.coalesce(F.sum(F.octet_length(F.array_join("gram", " ")) + 24 * F.size("gram") + F.octet_length(F.array_join("items", " ")) + 100), F.lit(0))).first()[0]
+    filed = cut(windows_of(small, short).withColumn("window", F.monotonically_increasing_id()))
+    held = filed.agg(F.coalesce(F.sum(F.octet_length(F.array_join("gram", " ")) + 24 * F.size("gram") + 100), F.lit(0))).first()[0]
     kinds = len(settings)
     if held <= broadcast_bytes:
         base = _fingerprinted(docs.withColumn("_row", F.monotonically_increasing_id()), settings, ["_row", *keep])
         own = filed.sparkSession.range(1).select(
-            F.lit(OWN).alias("kind"), F.lit(0).cast("long").alias("fp"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("gram"), F.array().cast("array<string>").alias("items")
+            F.lit(OWN).alias("kind"), F.lit(0).cast("long").alias("fp"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("gram"), F.lit(None).cast("long").alias("window")
         )
         each = F.explode(F.concat(F.array(F.struct(F.lit(OWN).alias("kind"), F.lit(0).cast("long").alias("fp"))), _tagged(kinds)))
         met = base.withColumn("_e", each).withColumns({"kind": F.col("_e.kind"), "fp": F.col("_e.fp")}).drop("_e").join(F.broadcast(filed.unionByName(own)), ["kind", "fp"])
@@ -150,14 +158,14 @@ def find_hits(docs: DataFrame, items: DataFrame, keep: list[str], broadcast_byte
         # kept hashes fetch their windows as rows of their own, so that a passage in very many documents moves no texts
         found = base.select("_row", F.explode(_tagged(kinds)).alias("_e")).select("_row", "_e.kind", "_e.fp").join(filed, ["kind", "fp"])
         hit = base.join(found, "_row")
-        own = base.withColumns({"kind": F.lit(OWN), "fp": F.lit(0).cast("long"), "at": F.lit(0), "gram": F.array().cast("array<string>"), "items": F.array().cast("array<string>")})
+        own = base.withColumns({"kind": F.lit(OWN), "fp": F.lit(0).cast("long"), "at": F.lit(0), "gram": F.array().cast("array<string>"), "window": F.lit(None).cast("long")})
         met = hit.unionByName(own)
     hits = (
         met.withColumn("_s", F.when(F.col("kind") == OWN, F.array().cast("array<int>")).otherwise(_starts(kinds)))
         .where((F.col("kind") == OWN) | (F.size("_s") > 0))
-        .select("_row", *keep, "n", F.transform("_s", lambda i: F.struct(i.alias("a"), (i + F.size("gram")).alias("b"))).alias("_s"), "items")
+        .select("_row", *keep, "n", F.transform("_s", lambda i: F.struct(i.alias("a"), (i + F.size("gram")).alias("b"))).alias("_s"), "window")
     )
-    gathered = hits.groupBy("_row", *keep, "n").agg(F.flatten(F.collect_list("_s")).alias("_s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    gathered = hits.groupBy("_row", *keep, "n").agg(F.flatten(F.collect_list("_s")).alias("_s"), F.array_sort(F.collect_set("window")).alias("windows"))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("total"))
     covered = F.aggregate(
         F.array_sort(F.array_distinct("_s")),
@@ -167,7 +175,13 @@ def find_hits(docs: DataFrame, items: DataFrame, keep: list[str], broadcast_byte
         ),
         lambda acc: acc["total"],
     )
-    return gathered.select(*keep, F.col("n").cast("long").alias("n_words"), covered.alias("n_hit"), "items")
+    out = gathered.select(*keep, F.col("n").cast("long").alias("n_words"), covered.alias("n_hit"), "windows")
+    if not with_items:
+        return out.drop("windows")
+    out = cut(out)
+    sets = out.where(F.size("windows") > 0).select(F.col("windows").alias("set")).distinct()
+    of = sets.withColumn("window", F.explode("set")).join(items_of(filed, small), "window").groupBy("set").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    return out.join(of, out.windows == of.set, "left").select(*keep, "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
