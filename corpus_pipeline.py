@@ -39,7 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     own, id_, hash_ = fresh(docs.columns, "own_hash", "bad_id", "bad_hash")
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.select("doc_id", "text", text_hash.alias(own))
-    found = decontaminate.find_hits(rows, items, ["doc_id", own])
+    found = decontaminate.find_hits(rows, items, ["doc_id", own], with_items=False)
     bad = cut(found.where(decontaminate.contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias(id_), F.col(own).alias(hash_)).distinct())
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_KEYS else bad
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(id_)) & (text_hash == F.col(hash_)), "left_anti")
