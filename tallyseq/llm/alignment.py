@@ -34,7 +34,7 @@ from .runtime import cut, documents, fresh, small_batches, tidy
 #: Bytes of texts that become one row.
 BATCH = 3 << 20
 #: Pieces a worker keeps in each of two generations.
-PIECES = 400_000
+PIECES = 250_000
 #: Pieces that are tokenised in one call.
 TOGETHER = 2000
 #: Up to this many distinct id pairs are broadcast (some 50 bytes each); beyond it they are joined.
@@ -188,11 +188,6 @@ def tokenise(docs: DataFrame, keep: list[str], vocabulary: str, model: str, text
     return chosen.mapInArrow(run, f"texts array<struct<{kept}`{own}`: array<int>>>, " + ", ".join(f"{n} array<array<int>>" for n in lists))
 
 
-def _indices(n: Column) -> Column:
-    """0 to n - 1."""
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-
 def _places(of: Column, within: Column) -> Column:
     """Where each value of a rising array stands, from 1, in a rising array that holds them all.
 
@@ -205,22 +200,29 @@ def _places(of: Column, within: Column) -> Column:
     return F.when(F.size(within) <= SHORT, F.transform(of, lambda x: F.array_position(within, x))).otherwise(merged)
 
 
-def _groups(i: Column) -> Column:
-    """The groups of piece ``i`` as text: decimal ids by comma, sides by bar, groups by semicolon."""
-
-    def members(names: str, last: str, k: Column) -> Column:
-        mine = F.get(last, i)
-        before = F.when(k > 0, F.get(mine, k - 1)).otherwise(0)
-        return F.array_join(F.slice(F.get(names, i), before + 1, F.get(mine, k) - before), ",")
-
-    n = F.size(F.get("a_last", i))
-    several = F.array_join(F.transform(_indices(n), lambda k: F.concat(members("a_names", "a_last", k), F.lit("|"), members("b_names", "b_last", k))), ";")
-    return F.when(n == 1, F.concat(F.array_join(F.get("a_names", i), ","), F.lit("|"), F.array_join(F.get("b_names", i), ","))).otherwise(several)
+def _parts(ids: Column, last: Column) -> Column:
+    """A side's ids by group as text, by commas; ``last`` is the place of each group's last token."""
+    names = ids.cast("array<string>")
+    before = lambda k: F.when(k > 0, F.get(last, k - 1)).otherwise(0)
+    several = F.transform(last, lambda at, k: F.array_join(F.slice(names, before(k) + 1, at - before(k)), ","))
+    return F.when(F.size(ids) == F.size(last), names).otherwise(several)  # as many groups as tokens: one each
 
 
 def _spread(ids: Column, places: Column) -> Column:
     """Each id as often as ends lie in its token, which are as many as its place in all ends is beyond the one before."""
-    return F.flatten(F.zip_with(ids, F.transform(places, lambda p, k: p - F.when(k > 0, F.get(places, k - 1)).otherwise(0)), lambda x, n: F.array_repeat(x, n.cast("int"))))
+    times = F.transform(places, lambda p, k: p - F.when(k > 0, F.get(places, k - 1)).otherwise(0))
+    spread = F.flatten(F.zip_with(ids, times, lambda x, n: F.array_repeat(x, n.cast("int"))))
+    return F.when(F.size(ids) == F.get(places, F.size(places) - 1), ids).otherwise(spread)  # as many ends as tokens: one each
+
+
+def _shared(a: Column, b: Column) -> Column:
+    """Where both end a token; if either has one token, that is its end."""
+    return F.when(F.size(a) == 1, a).when(F.size(b) == 1, b).otherwise(F.array_intersect(a, b))
+
+
+def _all(a: Column, b: Column) -> Column:
+    """Where either ends a token, in order."""
+    return F.when(F.size(a) == 1, b).when(F.size(b) == 1, a).otherwise(F.sort_array(F.array_union(a, b)))
 
 
 def align(docs: DataFrame, keep: list[str], vocabulary: str, model: str, text: str = "text", id_width: int | None = None) -> DataFrame:
@@ -232,13 +234,12 @@ def align(docs: DataFrame, keep: list[str], vocabulary: str, model: str, text: s
     tokens = tokenise(docs, keep, vocabulary, model, text)
     (own,) = fresh(keep, "pieces")
     lists = ["a_ids", "a_ends", "b_ids", "b_ends"]
-    ends = tokens.select("texts", *lists, F.zip_with("a_ends", "b_ends", F.array_intersect).alias("shared"),
-                         F.zip_with("a_ends", "b_ends", lambda a, b: F.sort_array(F.array_union(a, b))).alias("ends"))
-    placed = ends.select("texts", "a_ids", "b_ids", F.zip_with("a_ends", "ends", _places).alias("a_at"), F.zip_with("b_ends", "ends", _places).alias("b_at"),
-                         F.zip_with("shared", "a_ends", _places).alias("a_last"), F.zip_with("shared", "b_ends", _places).alias("b_last"),
-                         F.col("a_ids").cast("array<array<string>>").alias("a_names"), F.col("b_ids").cast("array<array<string>>").alias("b_names"))
-    pairs = F.zip_with(F.zip_with("a_ids", "a_at", _spread), F.zip_with("b_ids", "b_at", _spread), lambda a, b: F.zip_with(a, b, lambda x, y: x.cast("long") * width + y))
-    aligned = placed.select("texts", F.transform(_indices(F.size("a_ids")), _groups).alias("groups"), pairs.alias("links"), F.transform("a_ids", F.size).alias("n_a"), F.transform("b_ids", F.size).alias("n_b"))
+    ends = tokens.select("texts", *lists, F.zip_with("a_ends", "b_ends", _shared).alias("shared"), F.zip_with("a_ends", "b_ends", _all).alias("ends"))
+    parts = [F.zip_with(f"{side}_ids", F.zip_with("shared", f"{side}_ends", _places), _parts) for side in "ab"]
+    groups = F.zip_with(*parts, lambda a, b: F.array_join(F.zip_with(a, b, lambda x, y: F.concat(x, F.lit("|"), y)), ";"))
+    spread = [F.zip_with(f"{side}_ids", F.zip_with(f"{side}_ends", "ends", _places), _spread) for side in "ab"]
+    links = F.zip_with(*spread, lambda a, b: F.zip_with(a, b, lambda x, y: x.cast("long") * width + y))
+    aligned = ends.select("texts", groups.alias("groups"), links.alias("links"), F.transform("a_ids", F.size).alias("n_a"), F.transform("b_ids", F.size).alias("n_b"))
 
     def total(codes: Column, of: str) -> Column:
         return F.aggregate(codes, F.lit(0), lambda sum_, c: sum_ + F.get(of, c))
