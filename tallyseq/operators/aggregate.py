@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import finite
+
 
 def geometric_mean(c: Column) -> Column:
     """Of the positive values; 0 where there are none (AGG-06)."""
@@ -81,11 +83,42 @@ def histogram(c: Column, edges: list[float]) -> Column:
     return out
 
 
+def drawn(seed: int, ident: list[str]) -> Column:
+    """A number between 0 and 1 that depends on the seed and the row's ``ident`` alone."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ident])
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") + 1) / float((1 << 52) + 1)
+
+
 def weighted_sample(df: DataFrame, keys: list[str], weight: Column, n: int, seed: int, ident: list[str]) -> DataFrame:
     """n rows of each key without replacement, with chances by weight; the draw depends on the seed and the row's ``ident`` alone (RND-01, RND-02)."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ident])
-    u = (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") + 1) / float((1 << 52) + 1)
-    return top_per_group(df.withColumn("_d", -F.ln(u) / weight), keys, [F.col("_d"), *map(F.col, ident)], n).drop("_d")
+    return top_per_group(df.withColumn("_d", -F.ln(drawn(seed, ident)) / weight), keys, [F.col("_d"), *map(F.col, ident)], n).drop("_d")
+
+
+def density_bins(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
+    """``df`` with x_bin, y_bin of ``bins`` even bins on each axis from least to greatest value, the last one closed, and density, the points of the bin (AGG-21).
+
+    Points without two finite coordinates have neither. An axis of one value has one bin.
+    """
+    there = finite(F.col(x)) & finite(F.col(y))
+    ends = F.broadcast(df.where(there).agg(F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1")))  # one row
+    place = lambda c, a, b: F.when(there, F.least(F.coalesce(F.floor(F.try_divide(F.col(c) - F.col(a), (F.col(b) - F.col(a)) / bins)), F.lit(0)), F.lit(bins - 1))).cast("int")
+    placed = df.crossJoin(ends).withColumns({"x_bin": place(x, "_x0", "_x1"), "y_bin": place(y, "_y0", "_y1")}).drop("_x0", "_x1", "_y0", "_y1")
+    counts = placed.where("x_bin is not null").groupBy("x_bin", "y_bin").agg(F.count("*").alias("density"))
+    return placed.join(F.broadcast(counts), ["x_bin", "y_bin"], "left").select(*df.columns, "x_bin", "y_bin", "density")  # at most bins * bins rows
+
+
+def thinned(df: DataFrame, label: str, limits: dict, x: str, y: str, ident: list[str], bins: int = 180, seed: int = 475) -> DataFrame:
+    """Points of each label, up to its limit, those of dense bins less likely; labels without a limit are left out (RND-01, RND-03, Q-21).
+
+    A point's weight is one over the root of its bin's count. The draw is without replacement and depends on the seed and the point's ``ident`` alone.
+    """
+    listed = F.create_map(*[F.lit(v) for kv in limits.items() for v in kv])
+    chosen = density_bins(df, x, y, bins).where(F.col(label).isin(*limits))
+    weight = 1 / F.sqrt(F.greatest(F.coalesce("density", F.lit(1)), F.lit(1)))
+    ranked = chosen.withColumn("_d", -F.ln(drawn(seed, ident)) / weight)
+    # a bound that all labels share is taken before rows move; each label's own bound after it
+    first = ranked.withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy("_d", *ident))).where(F.col("_n") <= max(limits.values()))
+    return first.where(F.col("_n") <= listed[F.col(label)]).drop("_d", "_n")
 
 
 def top_names(df: DataFrame, keys: list[str], name: str, order: list[Column], k: int = 12, sep: str = ";") -> DataFrame:

@@ -222,6 +222,28 @@ def knn_label_fraction(spark, d):
     return near.join(e.select("vec_id", F.col("label").alias("own")), "vec_id").groupBy("vec_id").agg(r(F.avg((F.col("label") == F.col("own")).cast("int")), "same"))
 
 
+BINS, THIN = 12, {0: 20, 3: 25, 7: 15, 9: 1000}
+_BINNED = f"""e AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), m AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM e),
+ b AS (SELECT e.*, CAST(least(floor((x - x0) / ((x1 - x0) / {BINS})), {BINS - 1}) AS INT) AS x_bin, CAST(least(floor((y - y0) / ((y1 - y0) / {BINS})), {BINS - 1}) AS INT) AS y_bin FROM e, m), d AS (SELECT *, count(*) OVER (PARTITION BY x_bin, y_bin) AS density FROM b)"""
+
+
+def _plane(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+
+
+@query("density_bins", f"WITH {_BINNED} SELECT x_bin, y_bin, count(*) AS points, max(density) AS density FROM d GROUP BY 1, 2")
+def density_bins(spark, d):
+    """Points of each bin of two coordinates (AGG-21)."""
+    return agg.density_bins(_plane(spark, d), "x", "y", BINS).groupBy("x_bin", "y_bin").agg(F.count("*").alias("points"), F.max("density").alias("density"))
+
+
+@query("thinned_points", f"""WITH {_BINNED}, u AS (SELECT *, (CAST('0x' || substring(md5('475|' || CAST(vec_id AS VARCHAR)), 1, 13) AS BIGINT) + 1) / 4503599627370497.0 AS u FROM d WHERE label IN ({', '.join(map(str, THIN))})),
+ r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY -ln(u) * sqrt(density), vec_id) AS n FROM u) SELECT vec_id, label, density FROM r WHERE n <= CASE label {' '.join(f'WHEN {k} THEN {v}' for k, v in THIN.items())} END""")
+def thinned_points(spark, d):
+    """Points of four labels up to each one's limit, those in dense bins less likely (RND-01, RND-03, Q-21)."""
+    return agg.thinned(_plane(spark, d), "label", THIN, "x", "y", ["vec_id"], BINS).select("vec_id", "label", "density")
+
+
 @query("doublet_scores")
 def doublet_scores(spark, d):
     """Share of simulated doublets among a cell's neighbours, and the call at the 95 % point (ITER-05, Q-11)."""

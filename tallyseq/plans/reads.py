@@ -49,10 +49,16 @@ def kmer_dictionary_scan(spark, d):
     return hits.groupBy("label").agg(F.count("*").alias("hits"), F.count_distinct("id").alias("reads"))
 
 
-@query("degenerate_expansion", """WITH p(name, a, b) AS (VALUES ('P1', 'aaggatg', ''), ('P2', 'ttt', 'gg')), b(x) AS (VALUES ('a'), ('c'), ('g'), ('t')) SELECT name, p.a || i.x || j.x || k.x || p.b AS barcode FROM p, b i, b j, b k""")
+_PATTERN = "SELECT DISTINCT translate(lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0'), '0123456789', 'acgtnacgnn') AS pattern FROM part"
+_LETTERS = ", ".join(f"unnest(CASE WHEN pattern[{i}] = 'n' THEN ['a', 'c', 'g', 't'] ELSE [pattern[{i}]] END) AS t{i}(x{i})" for i in range(1, 5))
+
+
+@query("degenerate_expansion", f"WITH p AS ({_PATTERN}) SELECT 'tt' || pattern || 'gg' AS pattern, 'tt' || x1 || x2 || x3 || x4 || 'gg' AS barcode FROM p, {_LETTERS}")
 def degenerate_expansion(spark, d):
-    patterns = spark.createDataFrame([("P1", "aaggatgnnn"), ("P2", "tttnnngg")], "name string, pattern string")
-    return match.expand_degenerate(patterns, "pattern", "barcode").select("name", "barcode")
+    """Barcodes of the patterns that the parts' numbers spell, of none to four open places (SEQ-02, Q-01)."""
+    digits = F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0")
+    patterns = table(spark, d, "part").select(F.concat(F.lit("tt"), F.translate(digits, "0123456789", "acgtnacgnn"), F.lit("gg")).alias("pattern")).distinct()
+    return match.expand_degenerate(patterns, "pattern", "barcode").select("pattern", "barcode")
 
 
 @query("unambiguous_dictionary", """WITH t AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) || '-' || CAST(p_size AS VARCHAR) AS token, p_brand FROM part) SELECT token, min(p_brand) AS brand FROM t GROUP BY 1 HAVING count(DISTINCT p_brand) = 1""")
