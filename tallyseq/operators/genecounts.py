@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seq
 from ..sources import alignments, fastq
+from .lineage import stored
 from .match import overlaps
 
 STATUSES = ["skipped_flag_or_unmapped", "skipped_multimapper", "counted", "no_feature", "ambiguous"]
@@ -40,10 +41,12 @@ def read_outcomes(records: DataFrame, exons: DataFrame, settings: CountSettings
     duplicate = (F.col("flag").bitwiseAND(F.lit(alignments.DUPLICATE)) != 0) & F.lit(not settings.duplicates)
     several = (F.coalesce("nh", F.lit(1)) > 1) & F.lit(not settings.multimappers)
     told = records.withColumns({"why": F.when(flagged | duplicate, STATUSES[0]).when(several, STATUSES[1]), "duplicate": duplicate & ~flagged})
-    skipped = told.where("why is not null").select("file", "read_idx", F.col("why").alias("status"), F.lit(None).cast("string").alias("gene_id"), "duplicate")
     # a record whose alignment has no block overlaps nothing
-    left = told.where("why is null").withColumn("block", F.explode_outer(seq.aligned_blocks(F.col("pos"), F.col("cigar"))))
-    blocks = left.select("file", "read_idx", F.col("ref").alias("chrom"), F.coalesce("block.start", F.lit(0)).alias("start"), F.coalesce("block.end", F.lit(0)).alias("end"))
+    aligned = F.when(F.col("why").isNull(), seq.aligned_blocks(F.col("pos"), F.col("cigar")))
+    told = told.withColumn("block", F.explode_outer(aligned)).select("file", "read_idx", F.col("ref").alias("chrom"), "block.start", "block.end", "why", "duplicate")
+    told = stored(told)  # files are read once
+    skipped = told.where("why is not null").select("file", "read_idx", F.col("why").alias("status"), F.lit(None).cast("string").alias("gene_id"), "duplicate")
+    blocks = told.where("why is null").select("file", "read_idx", "chrom", F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("end", F.lit(0)).alias("end"))
     met = overlaps(blocks, exons.select("chrom", "start", "end", F.col("gene_id").cast("string").alias("gene_id")), ["file", "read_idx"], "gene_id", bin_size=settings.bin_size)
     return skipped.unionByName(met.select("file", "read_idx", "status", "gene_id", F.lit(False).alias("duplicate")))
 

@@ -8,14 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq
+from .lineage import settle, stored
 
 DIMENSION_ROWS = 500_000
 DIMENSION_BYTES = 64 << 20
+#: Distinct spans of a bin that one group looks up.
+BIN_SPANS = 1_000_000
 
 
 def small(df: DataFrame, rows: int = DIMENSION_ROWS, size: int = DIMENSION_BYTES) -> DataFrame:
@@ -157,22 +161,80 @@ def nearest(queries: DataFrame, references: DataFrame, sequence: str, reference:
     return found.where("_n = 1").drop("_n")
 
 
-def overlaps(blocks: DataFrame, features: DataFrame, keys: list[str], feature: str, chrom: str = "chrom", bin_size: int = 16384) -> DataFrame:
+def _covering(features: pd.DataFrame, spans: pd.DataFrame, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which spans overlap a feature, and the least and the greatest code of the features they overlap).
+
+    Features' ends cut the axis into segments. A feature is noted at two runs of segments, as long as a power of two, that cover it; notes are handed
+    down to the halves of their runs until each segment has its own. Least codes of a span are then read off two runs again.
+    """
+    cuts = np.unique(np.concatenate([features["_s"], features["_e"]]))
+    first, last = (np.searchsorted(cuts, features[c]) for c in ("_s", "_e"))
+    begin = np.maximum(np.searchsorted(cuts, spans["_s"], "right") - 1, 0)
+    end = np.minimum(np.searchsorted(cuts, spans["_e"], "left"), len(cuts) - 1)
+    met = np.flatnonzero(begin < end)
+    begin, end = begin[met], end[met]
+    power = lambda n: np.frexp(n)[1] - 1  # noqa: E731  of the greatest power of two that is no longer
+    none = np.iinfo(kind).max
+
+    def least(codes: np.ndarray) -> np.ndarray:
+        table = np.full((int(power(len(cuts) - 1)) + 1, len(cuts) - 1), none, kind)
+        k = power(last - first)
+        for at in (first, last - (1 << k)):
+            np.minimum.at(table, (k, at), codes)
+        for j in range(len(table) - 1, 0, -1):
+            half = 1 << (j - 1)
+            np.minimum(table[j - 1], table[j], out=table[j - 1])
+            np.minimum(table[j - 1, half:], table[j, :-half], out=table[j - 1, half:])
+        for j in range(1, len(table)):
+            half = 1 << (j - 1)
+            table[j] = table[j - 1]
+            table[j, :-half] = np.minimum(table[j - 1, :-half], table[j - 1, half:])
+        k = power(end - begin)
+        return np.minimum(table[k, begin], table[k, end - (1 << k)])
+
+    low, high = least(features["_low"].to_numpy(kind)), -least(-features["_high"].to_numpy(kind))
+    some = low != none
+    return met[some], low[some], high[some]
+
+
+def overlaps(blocks: DataFrame, features: DataFrame, keys: list[str], feature: str, chrom: str = "chrom", bin_size: int = 16384, spans: int = BIN_SPANS) -> DataFrame:
     """For each read what its blocks overlap (half-open): status counted, no_feature or ambiguous, and the feature if it is alone (MAT-11).
 
-    Blocks and features meet by bins; an overlap counts in the bin of its first base only, so none is met twice. Whether a
-    read has one feature is told by the least and the greatest, which are summed before the one exchange by read.
+    Whether a read has one feature is told by the least and the greatest that its blocks overlap, so pairs of reads and features are never made. Distinct spans
+    of blocks meet the features of their bins, and a bin of more than ``spans`` of them is dealt over several groups; a bin's least and greatest
+    feature under any span are looked up in a table of its segments. Blocks fetch what their span has found.
     """
 
     def bins(start, end):
-        return F.explode(F.sequence(F.floor(start / bin_size), F.floor((F.greatest(end, start + 1) - 1) / bin_size)))
-
-    f = features.where("end > start").select(F.col(chrom).alias("_fc"), F.col("start").alias("_fs"), F.col("end").alias("_fe"), F.col(feature).alias("_f"))
-    f = small(f.withColumn("_fb", bins(F.col("_fs"), F.col("_fe"))))
-    binned = blocks.withColumn("_bin", bins(F.col("start"), F.col("end")))
-    first = F.floor(F.greatest("start", "_fs") / bin_size) == F.col("_bin")
-    meets = (F.col(chrom) == F.col("_fc")) & (F.col("_bin") == F.col("_fb")) & (F.col("_fs") < F.col("end")) & (F.col("_fe") > F.col("start")) & (F.col("end") > F.col("start")) & first
-    found = binned.join(f, meets, "left").groupBy(*keys).agg(F.min("_f").alias("_low"), F.max("_f").alias("_high"))
+        return F.explode(F.sequence(F.floor(start / bin_size), F.floor((end - 1) / bin_size)))
+
+    kinds, named = dict(blocks.dtypes), dict(features.dtypes)[feature]
+    wide = blocks.where((F.col("end") > F.col("start")) & F.col(chrom).isNotNull())
+    distinct = wide.select(F.col(chrom).alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e")).distinct()
+    asked = stored(distinct.withColumn("_b", bins(F.col("_s"), F.col("_e"))))
+    parts = small(settle(asked.groupBy("_c", "_b").agg(F.ceil(F.count("*") / spans).cast("int").alias("_n"))))
+    f = features.where("end > start").where(F.col(feature).isNotNull()).groupBy(F.col(chrom).cast(kinds[chrom]).alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    f = f.agg(F.min(feature).alias("_low"), F.max(feature).alias("_high")).withColumn("_b", bins(F.col("_s"), F.col("_e")))
+    held = f.join(parts, ["_c", "_b"]).withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    dealt = asked.join(parts, ["_c", "_b"]).withColumn("_p", F.pmod(F.xxhash64("_s", "_e"), F.col("_n")).cast("int")).drop("_n")
+    group = ["_c", "_b", "_p"]
+
+    def look(key, own: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        columns = ["_c", "_s", "_e", "_low", "_high"]
+        if not len(own) or not len(there):
+            return pd.DataFrame(columns=columns)
+        codes, values = pd.factorize(pd.concat([own["_low"], own["_high"]], ignore_index=True), sort=True)
+        # what lies beyond the bin is another bin's
+        low, high = key[1] * bin_size, (key[1] + 1) * bin_size
+        clipped = own.assign(_s=own["_s"].clip(lower=low), _e=own["_e"].clip(upper=high), _low=codes[: len(own)], _high=codes[len(own) :])
+        at, least, most = _covering(clipped, pd.DataFrame({"_s": there["_s"].clip(lower=low), "_e": there["_e"].clip(upper=high)}), np.int32)
+        return there.iloc[at][["_c", "_s", "_e"]].assign(_low=values[least], _high=values[most])
+
+    schema = f"_c {kinds[chrom]}, _s {kinds['start']}, _e {kinds['end']}, _low {named}, _high {named}"
+    met = held.groupBy(group).cogroup(dealt.groupBy(group)).applyInPandas(look, schema)
+    best = met.groupBy("_c", "_s", "_e").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    own = (F.col(chrom) == F.col("_c")) & (F.col("start") == F.col("_s")) & (F.col("end") == F.col("_e"))
+    found = blocks.join(best, own, "left").groupBy(*keys).agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
     status = F.when(F.col("_low").isNull(), "no_feature").when(F.col("_low") == F.col("_high"), "counted").otherwise("ambiguous")
     return found.select(*keys, status.alias("status"), F.when(F.col("_low") == F.col("_high"), F.col("_low")).alias(feature))
 
