@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .match import small
@@ -19,6 +19,18 @@ def log_normalised(triples: DataFrame, scale: float = 1e4) -> DataFrame:
     return sized.withColumn("expr", F.log1p(F.col("count") / F.greatest("n_counts", F.lit(1)) * scale)).drop("n_counts")
 
 
+def panel_normalised(cells: DataFrame, words: str, genes: list[str], scale: float = 1e4) -> DataFrame:
+    """``log_normalised`` triples of the listed genes alone, of cells given by rows with an array of their genes, one entry for each count.
+
+    A row's size is the length of its array, so counts of other genes never leave it. A cell's rows are summed.
+    """
+    own = cells.where("cell is not null").select("cell", F.when(F.col(words).isNotNull(), F.size(words)).cast("long").alias("_n"), F.filter(words, lambda w: w.isin(genes)).alias("_w"))
+    hits = own.select("cell", "_n", F.posexplode_outer("_w").alias("_p", "gene"))
+    per = hits.groupBy("cell", "gene").agg(F.count("gene").alias("count"), F.sum(F.when(F.coalesce("_p", F.lit(0)) == 0, F.col("_n"))).alias("_n"))
+    sized = per.withColumn("_n", F.sum("_n").over(Window.partitionBy("cell"))).where("gene is not null")
+    return sized.withColumn("expr", F.log1p(F.col("count") / F.greatest("_n", F.lit(1)) * scale)).drop("_n")
+
+
 def unique_genes(triples: DataFrame, names: DataFrame) -> DataFrame:
     """Of genes with one symbol the row with the largest total, then the first (MTX-03). names: gene, symbol."""
     totals = names.join(triples.groupBy("gene").agg(F.sum("count").alias("_t")), "gene", "left").na.fill(0, ["_t"])
