@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import combinations, groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -134,9 +136,13 @@ def merge_barcodes(cell: str, rows: pd.DataFrame, most: int = 2, least_reads: in
     rows: barcode, umi, reads, feature, identity. Alike is within ``most`` mismatches and of the same identity. After
     each merge the order is taken anew. Returns the kept (barcode, feature, umis, reads) and the events.
     """
+    return _merged(rows[["barcode", "umi", "reads", "feature", "identity"]].itertuples(index=False, name=None), most, least_reads)
+
+
+def _merged(rows: Iterable[tuple], most: int, least_reads: int) -> tuple[list[tuple], list[tuple]]:
     umis, reads, identity = {}, {}, {}
     by_feature: dict[str, dict] = {}
-    for b, u, n, f, i in rows[["barcode", "umi", "reads", "feature", "identity"]].itertuples(index=False):
+    for b, u, n, f, i in rows:
         umis.setdefault(b, set()).add(u)
         reads[b] = reads.get(b, 0) + int(n)
         identity[b] = i if isinstance(i, str) and i else None
@@ -207,13 +213,23 @@ def correct_barcodes(rows: DataFrame, length: int, most: int = 2, least_reads: i
     busy = settle(barcode_components(rows, length, most))
     kind = "kind string, cell string, barcode string, other string, feature string, umis long, reads long, distance long, low_umis long, low_reads long"
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, events = merge_barcodes(key[0], pdf, most, least_reads)
-        out = [("kept", key[0], b, None, f, u, n, None, None, None) for b, f, u, n in kept]
-        out += [("event", key[0], e[1], e[2], None, e[9], e[10], e[3], e[4], e[6]) for e in events]
-        return pd.DataFrame(out, columns=[x.split()[0] for x in kind.split(", ")]).astype({c: "Int64" for c in ("umis", "reads", "distance", "low_umis", "low_reads")})
-
-    merged = settle(rows.join(busy, ["cell", "barcode"]).groupBy("cell", "component").applyInPandas(one, kind))
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Components one after the other as they are sorted, of which only the one at hand is held."""
+        names = [x.split()[0] for x in kind.split(", ")]
+        told = (row for pdf in frames for row in pdf.itertuples(index=False, name=None))
+        out: list[tuple] = []
+        for (cell, _), group in groupby(told, itemgetter(0, 1)):
+            kept, events = _merged((row[2:] for row in group), most, least_reads)
+            out += [("kept", cell, b, None, f, u, n, None, None, None) for b, f, u, n in kept]
+            out += [("event", cell, e[1], e[2], None, e[9], e[10], e[3], e[4], e[6]) for e in events]
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=names).astype({c: "Int64" for c in names[5:]})
+                out = []
+        yield pd.DataFrame(out, columns=names).astype({c: "Int64" for c in names[5:]})
+
+    # a component is some rows, too few for a call of its own
+    near = rows.join(busy, ["cell", "barcode"]).select("cell", "component", "barcode", "umi", F.col("reads").cast("long"), "feature", "identity")
+    merged = settle(near.repartition("cell", "component").sortWithinPartitions("cell", "component").mapInPandas(merge, kind))
     quiet = rows.join(busy, ["cell", "barcode"], "left_anti")
     per = quiet.groupBy("cell", "barcode", "feature").agg(F.count_distinct("umi").alias("u"), F.sum("reads").alias("r"))
     label = per.groupBy("cell", "barcode").agg(F.max(F.struct("u", "r", "feature")).alias("_b"))

@@ -116,3 +116,13 @@ def test_a_cell_of_many_barcodes_is_many_components(spark):
     found = iterate.barcode_components(rows, 24, 1)
     sizes = found.groupBy("component").count().agg(F.max("count"), F.count("*")).first()
     assert sizes == (2, 50_000)
+
+
+def test_many_small_components_take_no_call_each(spark, monkeypatch):
+    """6000 cells of one component each: a call for each of them took most of the time."""
+    rows = spark.range(18_000).selectExpr("cast(id % 6000 as string) as cell", "case when id < 12000 then 'ACGTAC' else 'ACGTAA' end as barcode", "concat('u', id) as umi", "7L as reads", "'f' as feature", "'i' as identity")
+    monkeypatch.setattr(type(rows.groupBy("cell")), "applyInPandas", lambda *_: pytest.fail("a call for each component"))
+    kept, events = iterate.correct_barcodes(rows, 6)
+    assert {tuple(r)[1:] for r in kept.collect()} == {("ACGTAC", "f", 3, 21)} and kept.count() == 6000
+    assert {tuple(r)[1:] for r in events.collect()} == {(1, "ACGTAA", "ACGTAC", 1, 3, 21)} and events.count() == 6000
+    assert iterate.merge_barcodes("0", rows.where("cell = '0'").toPandas())[0] == [("ACGTAC", "f", 3, 21)]
