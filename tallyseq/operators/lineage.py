@@ -28,6 +28,18 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a task that sorts them or holds them in a hash map.
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str, most: int = TASK_ROWS) -> DataFrame:
+    """``df``, of some ``rows`` rows, by its keys over as many tasks as hold ``most`` rows each; few rows are left to the session.
+
+    Shuffles merge small parts by their packed bytes, so that a task's memory would grow with the input where rows pack well.
+    """
+    return df.repartition(-(-rows // most), *keys) if rows > 4 * most else df
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept as a table in the shared checkpoint folder, whose columns are packed and read as they are asked for."""
     where = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

@@ -139,26 +139,27 @@ def quantile(rows: DataFrame, c: Column, q: float, n: int, most: int | None = No
     at = q * (n - 1)
     values = rows.select(c.cast("double").alias("v"))
 
-    def nth(k: int) -> float:
-        low, high = values.agg(F.min("v"), F.max("v")).first()
-        below, inside = 0, n
-        while inside > most and low < high:
-            step = (high - low) / 1024
-            if step == 0 or low + step == low:
-                break
-            bin_ = F.least(F.floor((F.col("v") - low) / step), F.lit(1023))
-            found = sorted(values.where(F.col("v").between(low, high)).groupBy(bin_.alias("b")).agg(F.count("*"), F.min("v"), F.max("v")).collect())
-            for _, size, lowest, highest in found:
-                if below + size > k:
-                    low, high, inside = lowest, highest, size
-                    break
-                below += size
-        return values.where(F.col("v").between(low, high)).agg(F.percentile("v", F.lit((k - below) / max(inside - 1, 1)))).first()[0]
-
     if n <= most:
         return values.agg(F.percentile("v", F.lit(q))).first()[0]
-    first = nth(int(at))
-    return first if at == int(at) else first + (at - int(at)) * (nth(int(at) + 1) - first)
+    k, share = int(at), at - int(at)
+    low, high = values.agg(F.min("v"), F.max("v")).first()
+    below, inside = 0, n
+    while inside > most and low < high:
+        step = (high - low) / 1024
+        if step == 0 or low + step == low:
+            break
+        bin_ = F.least(F.floor((F.col("v") - low) / step), F.lit(1023))
+        found = sorted(values.where(F.col("v").between(low, high)).groupBy(bin_.alias("b")).agg(F.count("*"), F.min("v"), F.max("v")).collect())
+        for _, size, lowest, highest in found:
+            if below + size > k:
+                low, high, inside = lowest, highest, size
+                break
+            below += size
+    # both neighbours in one pass: the upper one is in the range too, or the least value behind it
+    near = F.when(F.col("v").between(low, high), F.col("v"))
+    place = lambda i: F.percentile(near, F.lit(min(i - below, inside - 1) / max(inside - 1, 1)))
+    first, second, behind = values.where(F.col("v") >= low).agg(place(k), place(k + 1), F.min(F.when(F.col("v") > high, F.col("v")))).first()
+    return first if share == 0 else first + share * ((second if k + 1 < below + inside else behind) - first)
 
 
 def overdispersion(df: DataFrame, count: str, total: str, p: str, eligible: Column, least: int = 100, cap: float = 0.2) -> DataFrame:
