@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import settle
@@ -70,21 +70,24 @@ def dealt(points: DataFrame, block: int = BLOCK, pivots: int = PIVOTS) -> tuple[
     order = F.struct("away", "key")
     placed = running_counts(settle(near.withColumns({"_o": order, "n": F.lit(1)})), ["pivot"], "_o")
     band = F.floor(F.col("below") / block).cast("int")
-    return settle(placed.select("key", "v", "label", "pivot", "away", band.alias("band"))), centres
+    return settle(placed.select(*points.columns, "pivot", "away", band.alias("band"))), centres
 
 
 def own_blocks(placed: DataFrame, k: int) -> DataFrame:
-    """key, neighbours in its own block (array of neighbour, label, distance) and bound: how far the k-th of them is, infinite without."""
+    """Of the points that ask: key, neighbours in its own block (array of neighbour, label, distance) and bound: how far the k-th of them is, infinite without."""
     kinds = dict(placed.dtypes)
 
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids, names = _matrix(pdf.v), pdf.key.to_numpy(), pdf.label.to_numpy()
-        found, listed, named = [[] for _ in ids], ids.tolist(), names.tolist()
-        for i, j, d in _nearest(x, ids, x, ids, k):
+        listed, named = ids.tolist(), names.tolist()
+        asks = pdf.asks.to_numpy(bool) if "asks" in pdf else np.ones(len(pdf), bool)
+        pdf = pdf[asks]
+        found: list[list] = [[] for _ in range(len(pdf))]
+        for i, j, d in _nearest(x[asks], ids[asks], x, ids, k) if len(pdf) else ():
             for a, b, c in zip(i.tolist(), j.tolist(), d.tolist()):
                 found[a].append({"neighbour": listed[b], "label": named[b], "distance": c})
         bound = [f[k - 1]["distance"] if len(f) >= k else float("inf") for f in found]
-        return pd.DataFrame({"key": pdf.key, "v": pdf.v, "pivot": pdf["pivot"], "band": pdf.band, "near": found, "bound": bound})
+        return pd.DataFrame({"key": pdf.key, "v": pdf.v, "pivot": pdf["pivot"], "band": pdf.band, "near": pd.Series(found, pdf.index, object), "bound": pd.Series(bound, pdf.index, float)})
 
     near = f"array<struct<neighbour: {kinds['key']}, label: {kinds['label']}, distance: double>>"
     return placed.groupBy("pivot", "band").applyInPandas(own, f"key {kinds['key']}, v {kinds['v']}, pivot int, band int, near {near}, bound double")
@@ -114,9 +117,10 @@ def visits(found: DataFrame, shells: pd.DataFrame, centres: np.ndarray) -> DataF
     return found.select("key", "v", "bound", "pivot", "band").mapInPandas(visit, schema)
 
 
-def knn(points: DataFrame, key: str, vector: str, label: str, k: int, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
-    """(key, neighbour, label, distance): the k nearest other points of each point, exactly, ties by key (MAT-14)."""
-    own = points.select(F.col(key).alias("key"), F.col(vector).alias("v"), F.col(label).alias("label"))
+def knn(points: DataFrame, key: str, vector: str, label: str, k: int, block: int = BLOCK, pivots: int = PIVOTS, asks: Column | None = None) -> DataFrame:
+    """(key, neighbour, label, distance): the k nearest other points of each point, exactly, ties by key (MAT-14). Points for which ``asks`` is not true are neighbours only."""
+    asking = F.lit(True) if asks is None else F.coalesce(asks, F.lit(False))
+    own = points.select(F.col(key).alias("key"), F.col(vector).alias("v"), F.col(label).alias("label"), asking.alias("asks"))
     placed, centres = dealt(own, block, pivots)
     shells = placed.groupBy("pivot", "band").agg(F.min("away").alias("low"), F.max("away").alias("high")).toPandas()  # a row for each block
     found = settle(own_blocks(placed, k)) if len(shells) > 1 else own_blocks(placed, k)
