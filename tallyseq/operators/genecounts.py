@@ -5,26 +5,31 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import seq
 from ..sources import alignments, fastq
 from .lineage import stored
-from .match import overlaps
+from .match import DIMENSION_ROWS, Outline, outline_of, overlaps
 
 STATUSES = ["skipped_flag_or_unmapped", "skipped_multimapper", "counted", "no_feature", "ambiguous"]
 
 
 @dataclass(frozen=True)
 class CountSettings:
-    """What is counted: duplicates, records of several hits; and the bin of the overlap join."""
+    """What is counted: duplicates, records of several hits; the bin of the overlap join, and up to how many stretches an annotation's outline travels to the records."""
 
     duplicates: bool = False
     multimappers: bool = False
     bin_size: int = 16384
+    outline_rows: int = DIMENSION_ROWS
 
 
 def sample_of(file: Column) -> Column:
@@ -35,7 +40,8 @@ def sample_of(file: Column) -> Column:
 def read_outcomes(records: DataFrame, exons: DataFrame, settings: CountSettings = CountSettings()) -> DataFrame:
     """file, read_idx, status, gene_id (of counted records) and duplicate (skipped for that flag alone) of ``read_bam``'s records (Q-57).
 
-    exons: chrom, start, end, gene_id. A record's flag is looked at first, then its number of hits; only what is left meets the exons.
+    exons: chrom, start, end, gene_id. A record's flag is looked at first, then its number of hits; only what is left meets the exons. Records look their
+    blocks up in the exons' outline where that is small, and nothing is shuffled; else blocks are joined to them (``overlaps``), with the same rows.
     """
     flagged = (F.col("flag").bitwiseAND(F.lit(alignments.SKIP)) != 0) | F.col("ref").isNull()
     duplicate = (F.col("flag").bitwiseAND(F.lit(alignments.DUPLICATE)) != 0) & F.lit(not settings.duplicates)
@@ -43,14 +49,47 @@ def read_outcomes(records: DataFrame, exons: DataFrame, settings: CountSettings
     told = records.withColumns({"why": F.when(flagged | duplicate, STATUSES[0]).when(several, STATUSES[1]), "duplicate": duplicate & ~flagged})
     # a record whose alignment has no block overlaps nothing
     aligned = F.when(F.col("why").isNull(), seq.aligned_blocks(F.col("pos"), F.col("cigar")))
-    told = told.withColumn("block", F.explode_outer(aligned)).select("file", "read_idx", F.col("ref").alias("chrom"), "block.start", "block.end", "why", "duplicate")
-    told = stored(told)  # files are read once
+    told = told.select("file", "read_idx", F.col("ref").alias("chrom"), aligned.alias("blocks"), "why", "duplicate")
+    features = exons.select("chrom", "start", "end", F.col("gene_id").cast("string").alias("gene_id"))
+    outline = outline_of(features, "gene_id", bin_size=settings.bin_size, rows=settings.outline_rows)
+    if outline is not None:
+        return _looked(told, outline)
+    told = stored(told.withColumn("block", F.explode_outer("blocks")).select("file", "read_idx", "chrom", "block.start", "block.end", "why", "duplicate"))  # files are read once
     skipped = told.where("why is not null").select("file", "read_idx", F.col("why").alias("status"), F.lit(None).cast("string").alias("gene_id"), "duplicate")
     blocks = told.where("why is null").select("file", "read_idx", "chrom", F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("end", F.lit(0)).alias("end"))
-    met = overlaps(blocks, exons.select("chrom", "start", "end", F.col("gene_id").cast("string").alias("gene_id")), ["file", "read_idx"], "gene_id", bin_size=settings.bin_size)
+    met = overlaps(blocks, features, ["file", "read_idx"], "gene_id", bin_size=settings.bin_size)
     return skipped.unionByName(met.select("file", "read_idx", "status", "gene_id", F.lit(False).alias("duplicate")))
 
 
+def _looked(told: DataFrame, outline: Outline) -> DataFrame:
+    """Outcomes of records (file, read_idx, chrom, blocks, why, duplicate) where they are: the annotation's outline travels to them."""
+    sent = told.sparkSession.sparkContext.broadcast(outline)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        names = pa.array([*map(str, own.features)], pa.string())
+        known = pa.array([*own.chroms], pa.string())
+        codes = np.array([*own.chroms.values(), -1], np.int64)
+        for batch in batches:
+            file, place, chrom, blocks, why, duplicate = batch.columns
+            counts = pc.fill_null(pc.list_value_length(blocks), 0).to_numpy(zero_copy_only=False)
+            on = codes[pc.fill_null(pc.index_in(chrom, known, skip_nulls=True), len(codes) - 1).to_numpy(zero_copy_only=False)]
+            spans = blocks.flatten()
+            start, end = (spans.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "end"))
+            low, high = own.meet(np.repeat(on, counts), start, end)
+            some = np.flatnonzero(counts)
+            first = (np.cumsum(counts) - counts)[some]
+            least, most = np.full(len(counts), own.none, np.int32), np.full(len(counts), -1, np.int32)
+            if len(some):
+                least[some], most[some] = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+            found = pa.array(STATUSES[2:], pa.string()).take(pa.array(np.where(most < 0, 1, np.where(least == most, 0, 2))))
+            counted = (most >= 0) & (least == most)
+            gene = names.take(pa.array(np.where(counted, least, 0), mask=~counted))
+            yield pa.RecordBatch.from_arrays([file, place, pc.coalesce(why, found), gene, duplicate], ["file", "read_idx", "status", "gene_id", "duplicate"])
+
+    return told.mapInArrow(run, "file string, read_idx long, status string, gene_id string, duplicate boolean")
+
+
 def sample_counts(outcomes: DataFrame) -> DataFrame:
     """sample, status, gene_id (null but for counted) and n, duplicates: all that later tables need, one row for each of them."""
     return outcomes.groupBy(sample_of(F.col("file")).alias("sample"), "status", "gene_id").agg(F.count("*").alias("n"), F.count_if("duplicate").alias("duplicates"))

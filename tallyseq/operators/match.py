@@ -239,6 +239,71 @@ def overlaps(blocks: DataFrame, features: DataFrame, keys: list[str], feature: s
     return found.select(*keys, status.alias("status"), F.when(F.col("_low") == F.col("_high"), F.col("_low")).alias(feature))
 
 
+def outlined(features: DataFrame, feature: str, chrom: str = "chrom", bin_size: int = 16384) -> DataFrame:
+    """Stretches of each chromosome that have a feature, apart from one another: _c, _s, _e and the least and greatest feature (_low, _high) all along it. Bins are outlined by themselves."""
+    f = features.where("end > start").where(F.col(feature).isNotNull() & F.col(chrom).isNotNull()).groupBy(F.col(chrom).alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    f = f.agg(F.min(feature).alias("_low"), F.max(feature).alias("_high")).withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / bin_size), F.floor((F.col("_e") - 1) / bin_size))))
+    kinds = dict(f.dtypes)
+
+    def outline(key, own: pd.DataFrame) -> pd.DataFrame:
+        low, high = key[1] * bin_size, (key[1] + 1) * bin_size
+        codes, values = pd.factorize(pd.concat([own["_low"], own["_high"]], ignore_index=True), sort=True)
+        clipped = pd.DataFrame({"_s": own["_s"].clip(lower=low), "_e": own["_e"].clip(upper=high), "_low": codes[: len(own)], "_high": codes[len(own) :]})
+        cuts = np.unique(np.concatenate([clipped["_s"], clipped["_e"]]))
+        at, least, most = _covering(clipped, pd.DataFrame({"_s": cuts[:-1], "_e": cuts[1:]}), np.int32)
+        new = np.ones(len(at), bool)  # neighbours alike are one stretch
+        new[1:] = (np.diff(at) != 1) | (np.diff(least) != 0) | (np.diff(most) != 0)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at)) - 1
+        return pd.DataFrame({"_c": key[0], "_s": cuts[at[first]], "_e": cuts[at[last] + 1], "_low": values[least[first]], "_high": values[most[first]]})
+
+    return f.groupBy("_c", "_b").applyInPandas(outline, f"_c {kinds['_c']}, _s {kinds['_s']}, _e {kinds['_e']}, _low {kinds['_low']}, _high {kinds['_high']}")
+
+
+class Outline:
+    """Collected rows of ``outlined``: what spans meet, by two runs of stretches as long as a power of two. Longer runs are made when a span needs them."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.chroms = {c: i for i, c in enumerate(rows["_c"].unique())}
+        rows = rows.assign(_c=rows["_c"].map(self.chroms)).sort_values(["_c", "_s"], ignore_index=True)
+        codes, self.features = pd.factorize(pd.concat([rows["_low"], rows["_high"]], ignore_index=True), sort=True)
+        self.begins, self.ends = (self.place(rows["_c"].to_numpy(np.int64), rows[c].to_numpy(np.int64)) for c in ("_s", "_e"))
+        self.none = len(self.features)
+        self.least, self.most = [codes[: len(rows)].astype(np.int32)], [codes[len(rows) :].astype(np.int32)]
+
+    @staticmethod
+    def place(chrom: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return (chrom << 33) + at
+
+    def meet(self, chrom: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the greatest code of ``features`` under each span; ``none`` and -1 without any. A chromosome that the outline lacks is -1."""
+        low, high = np.full(len(start), self.none, np.int32), np.full(len(start), -1, np.int32)
+        first = np.searchsorted(self.ends, self.place(chrom, start), "right")
+        last = np.searchsorted(self.begins, self.place(chrom, end), "left")
+        met = np.flatnonzero((last > first) & (end > start) & (chrom >= 0))
+        first, last = first[met], last[met]
+        power = np.frexp(last - first)[1] - 1
+        while len(met) and len(self.least) <= power.max():
+            half = 1 << (len(self.least) - 1)
+            for table, of in ((self.least, np.minimum), (self.most, np.maximum)):
+                longer = table[-1].copy()
+                longer[:-half] = of(table[-1][:-half], table[-1][half:])
+                table.append(longer)
+        for k in np.unique(power):
+            own = power == k
+            a, b = first[own], last[own] - (1 << int(k))
+            low[met[own]] = np.minimum(self.least[k][a], self.least[k][b])
+            high[met[own]] = np.maximum(self.most[k][a], self.most[k][b])
+        return low, high
+
+
+def outline_of(features: DataFrame, feature: str, chrom: str = "chrom", bin_size: int = 16384, rows: int = DIMENSION_ROWS, size: int = DIMENSION_BYTES) -> Outline | None:
+    """The features' outline if it is a small dimension, as ``small`` has it; else None."""
+    out = settle(outlined(features, feature, chrom, bin_size))
+    n, held = out.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return Outline(out.toPandas()) if n <= rows and held <= size else None
+
+
 def context_pattern(barcodes: Iterable[str], left: str, right: str, edits: int = 1) -> str:
     """Alternation of the barcodes in their context and of the reverse complements, with an edit budget (MAT-09)."""
     comp = str.maketrans("ACGTN", "TGCAN")

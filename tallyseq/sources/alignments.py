@@ -7,7 +7,9 @@ import os
 import struct
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,16 +76,15 @@ class _BamReader(DataSourceReader):
         return out
 
     def read(self, partition):
-        yield from fastq.batches(self._rows(partition), _SCHEMA)
-
-    def _rows(self, partition):
         name = os.path.basename(partition.path)
         if partition.header is None:
-            yield from self._streamed(partition.path, name)
+            yield from fastq.batches(self._streamed(partition.path, name), _SCHEMA)
             return
         with fastq.random_access(partition.path) as file:
-            for place, record in bgzf.records(file, partition.header, partition.low, partition.high):
-                yield name, place, *_fields(record, partition.header.names)
+            for data, starts, sizes, places in bgzf.stretches(file, partition.header, partition.low, partition.high):
+                for at in range(0, len(starts), fastq.BATCH):
+                    part = slice(at, at + fastq.BATCH)
+                    yield _columns(name, partition.header.names, data, starts[part], sizes[part], places[part])
 
     @staticmethod
     def _streamed(path, name):
@@ -110,6 +111,37 @@ def _fields(record: bytes, names) -> tuple:
     return names[ref] if ref >= 0 else None, pos, flag, cigar, hit_count(record[at:])
 
 
+def _columns(file: str, names: tuple[str, ...], data: bytes, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """What ``_fields`` tells, of many records at once."""
+    raw, n = np.frombuffer(data, np.uint8), len(starts)
+    taken = lambda at, width: raw[at[:, None] + np.arange(width)]
+    fixed = taken(starts - 4, 36).reshape(-1).view(bgzf._FIXED)
+    ref, ops, bases = fixed["ref"].astype(np.int64), fixed["ops"].astype(np.int64), fixed["bases"].astype(np.int64)
+    at = starts + 32 + fixed["name"]
+    tags, ends = at + 4 * ops + (bases + 1) // 2 + bases, starts + sizes
+    if (ref >= len(names)).any() or (bases < 0).any() or (tags > ends).any():
+        raise ValueError(f"{file}: a record's fields don't fit it or the header")
+    packed = raw[bgzf.spread(4 * ops, at)].view("<u4")
+    steps = pa.StructArray.from_arrays([pa.array(list(_OPS)).take(pa.array(packed & 15)), pa.array((packed >> 4).astype(np.int32))], ["op", "len"])
+    cigar = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(ops)).astype(np.int32)), steps)
+    hits, known = np.zeros(n, np.int64), tags == ends
+    first = np.flatnonzero(ends - tags >= 4)  # mostly NH is the first tag
+    head = taken(tags[first], 3)
+    head = head[:, 0].astype(np.int64) << 16 | head[:, 1].astype(np.int64) << 8 | head[:, 2]
+    none = known.copy()
+    for kind, form in _FORMATS.items():
+        own = first[head == int.from_bytes(b"NH" + kind.encode(), "big")]
+        own = own[ends[own] - tags[own] >= 3 + _SIZES[kind]]
+        hits[own] = taken(tags[own] + 3, _SIZES[kind]).reshape(-1).view(np.dtype(form))
+        known[own] = True
+    for i in np.flatnonzero(~known):
+        found = hit_count(data[tags[i] : ends[i]])
+        hits[i], none[i] = found or 0, found is None
+    return pa.RecordBatch.from_arrays(
+        [pa.repeat(file, n), pa.array(places), pa.array([*names, None], pa.string()).take(pa.array(np.where(ref < 0, len(names), ref))), pa.array(fixed["pos"].copy()),
+         pa.array(fixed["flag"].astype(np.int32)), cigar, pa.array(hits, mask=none).cast(pa.int32())], schema=_SCHEMA)
+
+
 class BamSource(DataSource):
     """Options: path, split_bytes (SRC-10). Ranges of a file's bytes are partitions; read_idx is a record's virtual offset, which orders a file's rows and is the same for any split.
 
@@ -132,6 +164,27 @@ def read_bam(spark: SparkSession, path: str, split_bytes: int = 0) -> DataFrame:
     return spark.read.format("bam").options(path=path, split_bytes=split_bytes or SPLIT_BYTES).load()
 
 
+def _records(batch: pa.RecordBatch, numbers: dict[str, int]) -> bytes:
+    """The rows of ``write_bam`` as BAM records."""
+    if any(batch.column(c).null_count for c in ("name", "pos", "flag")):
+        raise ValueError("a record needs name, pos and flag")
+    whole = lambda c: c.to_numpy(zero_copy_only=False).astype(np.int64)
+    names = batch.column("name").cast(pa.binary())
+    refs = batch.column("ref").dictionary_encode()
+    own = np.array([*[numbers.get(r, -1) for r in refs.dictionary.to_pylist()], -1], np.int64)
+    cigars, hits = batch.column("cigar"), batch.column("nh")
+    steps = cigars.flatten()  # a missing list has none
+    ops = pc.index_in(steps.field("op"), pa.array(list(_OPS)))
+    if steps.null_count or ops.null_count or steps.field("len").null_count:
+        raise ValueError(f"a cigar's operations are one of {_OPS} with a length")
+    lengths = whole(steps.field("len"))
+    if len(lengths) and not (0 <= lengths.min() and lengths.max() < 1 << 28):
+        raise ValueError("a cigar's lengths are from 0 to 2**28 - 1")
+    return bgzf.bam_records(
+        np.frombuffer(b"".join(names.to_pylist()), np.uint8), whole(pc.binary_length(names)), own[whole(refs.indices.fill_null(len(own) - 1))], whole(batch.column("pos")), whole(batch.column("flag")),
+        lengths << 4 | whole(ops), whole(pc.list_value_length(cigars).fill_null(0)), whole(hits.fill_null(0)), hits.is_valid().to_numpy(zero_copy_only=False))
+
+
 def write_bam(records: DataFrame, folder: str, references: list[tuple[str, int]], payload: int = bgzf.PAYLOAD) -> None:
     """Records (sample, name, ref, pos, flag, cigar as in ``read_bam``, nh) as files ``<sample>.<partition>.bam``, one for each sample of a partition.
 
@@ -143,17 +196,18 @@ def write_bam(records: DataFrame, folder: str, references: list[tuple[str, int]]
     def write(batches):
         part, open_files = TaskContext.get().partitionId(), {}
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["sample"] not in open_files:
-                    fs, where = fastq.filesystem(f"{folder}/{row['sample']}.{part:05d}.bam")
+            samples = batch.column(0).dictionary_encode()
+            codes = samples.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            for code in dict.fromkeys(codes.tolist()):
+                sample = samples.dictionary[code].as_py() if code >= 0 else None
+                if sample not in open_files:
+                    fs, where = fastq.filesystem(f"{folder}/{sample}.{part:05d}.bam")
                     fs.create_dir(os.path.dirname(where), recursive=True)
                     temporary = f"{where}.{uuid.uuid4().hex}.tmp"
-                    open_files[row["sample"]] = (fs, where, temporary, fs.open_output_stream(temporary, compression=None), bgzf.Writer(payload=payload))
-                    open_files[row["sample"]][3].write(open_files[row["sample"]][4].write(bgzf.bam_header(references)))
-                _, _, _, out, packer = open_files[row["sample"]]
-                tags = b"" if row["nh"] is None else b"NHi" + struct.pack("<i", row["nh"])
-                cigar = [(_OPS.index(x["op"]), x["len"]) for x in row["cigar"] or []]
-                out.write(packer.write(bgzf.bam_record(row["name"], numbers.get(row["ref"], -1), row["pos"], row["flag"], cigar, tags)))
+                    open_files[sample] = (fs, where, temporary, fs.open_output_stream(temporary, compression=None), bgzf.Writer(payload=payload))
+                    open_files[sample][3].write(open_files[sample][4].write(bgzf.bam_header(references)))
+                _, _, _, out, packer = open_files[sample]
+                out.write(packer.write(_records(batch.take(pa.array(np.flatnonzero(codes == code))), numbers)))
         for fs, where, temporary, out, packer in open_files.values():
             out.write(packer.close())
             out.close()

@@ -8,11 +8,14 @@ beyond the range's end for the rest of the last one.
 
 from __future__ import annotations
 
+import bisect
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+
 #: How a block starts, the empty block that ends a file, and what a block holds at most.
 MAGIC = b"\x1f\x8b\x08\x04"
 END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
@@ -21,6 +24,8 @@ MOST = 1 << 16
 PAYLOAD = 0xFF00
 #: Compressed bytes that are read at a time, and records or blocks in a row that must look right where a range starts.
 CHUNK, CHAIN = 1 << 20, 8
+#: Bytes of data whose records are taken at once.
+STRETCH = 4 << 20
 
 
 def block_size(head: bytes) -> int | None:
@@ -205,8 +210,8 @@ def first_record(window: Window, block: int, high: int, header: Header) -> tuple
     return None
 
 
-def records(file, header: Header, low: int, high: int) -> Iterator[tuple[int, bytes]]:
-    """(virtual offset, record without its length) of the records whose block starts at ``low`` or later and below ``high``."""
+def stretches(file, header: Header, low: int, high: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """Records whose block starts at ``low`` or later and below ``high``, many at a time: data, where in it each record starts (after its length), their lengths and their virtual offsets."""
     window = Window(file)
     block, inner = header.first >> 16, header.first & 0xFFFF
     if block >= high:
@@ -217,16 +222,51 @@ def records(file, header: Header, low: int, high: int) -> Iterator[tuple[int, by
         if found is None:
             return
         block, inner = found
-    data = Data(window, block)
-    if not data.has(inner):
-        return
-    data.at = inner
-    while data.has(1):
-        block, inner = data.place()
-        if block >= high:
+    rows, ended = blocks(window, block), False
+    data, at, edges, origins = bytearray(), inner, [], []  # edges: where blocks begin in the data, origins: where in the file
+    size_at = struct.Struct("<i").unpack_from
+    while not ended:
+        want = len(data) + STRETCH
+        while len(data) < want:
+            got = next(rows, None)
+            if got is None:
+                ended = True
+                break
+            if got[1]:
+                edges.append(len(data))
+                origins.append(got[0])
+                data += got[1]
+            if got[0] >= high:
+                break
+        beyond = bisect.bisect_left(origins, high)
+        stop = edges[beyond] if beyond < len(edges) else len(data)
+        begins, sizes, whole = [], [], len(data)
+        while at < stop and at + 4 <= whole:
+            (size,) = size_at(data, at)
+            if size < 32:
+                raise ValueError(f"no record at {at} of the data from block {origins[0]} on")
+            if at + 4 + size > whole:
+                break
+            begins.append(at + 4)
+            sizes.append(size)
+            at += 4 + size
+        if begins:
+            starts, marks = np.array(begins, np.int64), np.array(edges, np.int64)
+            own = np.searchsorted(marks, starts - 4, "right") - 1
+            yield bytes(data), starts, np.array(sizes, np.int64), np.array(origins, np.int64)[own] << 16 | (starts - 4 - marks[own])
+        if at >= stop and beyond < len(edges):
             return
-        size = struct.unpack("<i", data.take(4))[0]
-        yield block << 16 | inner, data.take(size)
+        passed = bisect.bisect_right(edges, at) - 1  # blocks before the one of the present place
+        if passed >= 0:
+            cut = edges[passed]
+            del data[:cut]
+            edges, origins, at = [e - cut for e in edges[passed:]], origins[passed:], at - cut
+    if at < len(data):
+        raise ValueError("the file ends within a record")
+
+
+#: A record's fixed fields, its length first.
+_FIXED = np.dtype([("size", "<i4"), ("ref", "<i4"), ("pos", "<i4"), ("name", "u1"), ("quality", "u1"), ("bin", "<u2"), ("ops", "<u2"), ("flag", "<u2"), ("bases", "<i4"), ("next_ref", "<i4"), ("next_pos", "<i4"), ("length", "<i4")])
 
 
 class Writer:
@@ -264,3 +304,30 @@ def bam_record(name: str, ref: int, pos: int, flag: int, cigar: list[tuple[int,
     body = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, 255, 4680, len(cigar), flag, 0, -1, -1, 0)
     body += name.encode() + b"\0" + struct.pack(f"<{len(cigar)}I", *[n << 4 | op for op, n in cigar]) + tags
     return struct.pack("<i", len(body)) + body
+
+
+def spread(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The places of runs that follow one another: ``starts[0]``, ``starts[0] + 1``, and so on for each run's count."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def bam_records(names: np.ndarray, name_sizes: np.ndarray, refs: np.ndarray, positions: np.ndarray, flags: np.ndarray, cigar: np.ndarray, n_ops: np.ndarray, hits: np.ndarray, has_hits: np.ndarray) -> bytes:
+    """The bytes that ``bam_record`` gives for each of many records, one after the other. names: all names' bytes; cigar: all operations as BAM packs them; hits: NH where ``has_hits``."""
+    for what, values, least, most in (("name length", name_sizes, 0, 254), ("operations", n_ops, 0, 0xFFFF), ("flag", flags, 0, 0xFFFF)):
+        if len(values) and not (least <= values.min() and values.max() <= most):
+            raise ValueError(f"a record's {what} is beyond {least} to {most}")
+    sizes = 36 + name_sizes + 1 + 4 * n_ops + 7 * has_hits
+    at = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.uint8)
+    fixed = np.zeros(len(sizes), _FIXED)
+    for field, value in {"size": sizes - 4, "ref": refs, "pos": positions, "name": name_sizes + 1, "quality": 255, "bin": 4680, "ops": n_ops, "flag": flags, "next_ref": -1, "next_pos": -1}.items():
+        fixed[field] = value
+    out[at[:, None] + np.arange(36)] = fixed.view(np.uint8).reshape(-1, 36)
+    out[spread(name_sizes, at + 36)] = names
+    out[spread(4 * n_ops, at + 37 + name_sizes)] = cigar.astype("<u4").view(np.uint8)
+    tags = np.zeros((int(has_hits.sum()), 7), np.uint8)
+    tags[:, :3] = np.frombuffer(b"NHi", np.uint8)
+    tags[:, 3:] = hits[has_hits].astype("<i4").view(np.uint8).reshape(-1, 4)
+    out[(at + sizes - 7)[has_hits][:, None] + np.arange(7)] = tags
+    return out.tobytes()

@@ -4,6 +4,7 @@ import os
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,49 @@ def test_cached_samples_are_not_read_again(spark, tmp_path, monkeypatch):
     read.clear()
     other = genecounts.CountCache(spark, str(tmp_path / "cache"), "annotation 1", genecounts.CountSettings(duplicates=True))
     assert other.counts(str(tmp_path / "bam"), _exons(spark)).agg(F.sum("duplicates")).first()[0] == 0 and sorted(read) == ["one", "two"]
+
+
+def test_records_of_many_shapes_are_read_and_written_in_columns():
+    numbers = {name: i for i, (name, _) in enumerate(REFERENCES)}
+    rows = [*made(500), ("s", "é", "elsewhere", 3, 65535, [("M", (1 << 28) - 1)], -5)]
+    steps = lambda cigar: [{"op": op, "len": n} for op, n in cigar]
+    types = [("sample", pa.string()), ("name", pa.string()), ("ref", pa.string()), ("pos", pa.int32()), ("flag", pa.int32()), ("cigar", pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())]))), ("nh", pa.int32())]
+    batch = pa.RecordBatch.from_pylist([dict(zip([t[0] for t in types], (*r[:5], steps(r[5]) or None, r[6]))) for r in rows], schema=pa.schema(types))
+    got, at = alignments._records(batch.slice(1), numbers), 0
+    for _, name, ref, pos, flag, cigar, nh in rows[1:]:
+        tags = b"" if nh is None else b"NHi" + struct.pack("<i", nh)
+        want = bgzf.bam_record(name.encode().decode("latin-1"), numbers.get(ref, -1), pos, flag, [("MIDNSHP=X".index(op), n) for op, n in cigar], tags) if name.isascii() else None
+        size = 4 + struct.unpack_from("<i", got, at)[0]
+        assert want is None or got[at : at + size] == want
+        at += size
+    assert at == len(got)
+    for column, value in (("flag", 1 << 16), ("name", "n" * 255), ("cigar", [{"op": "Q", "len": 1}]), ("pos", None)):
+        wrong = batch.slice(0, 1).to_pylist()[0] | {column: value}
+        with pytest.raises(ValueError):
+            alignments._records(pa.RecordBatch.from_pylist([wrong], schema=batch.schema), numbers)
+
+
+def test_tags_in_any_order(spark, tmp_path):
+    tags = [b"", b"NHC\x05", b"NHi" + struct.pack("<i", 9), b"XSA+NHc\x03", b"XZZabc\0NHS\x01\x01", b"XBBi" + struct.pack("<Iii", 2, 1, 2) + b"NHI" + struct.pack("<I", 77), b"XQ?ab", b"NHZab\0", b"NHs\xff\xff"]
+    writer = bgzf.Writer(payload=300)
+    data = bgzf.bam_header(REFERENCES) + b"".join(bgzf.bam_record(f"q{i}", i % 3 - 1, i, 0, [(0, 5), (3, 7)][: i % 3], t) for i, t in enumerate(tags * 20))
+    (tmp_path / "t.bam").write_bytes(writer.write(data) + writer.close())
+    for split in (0, 100):
+        got = alignments.read_bam(spark, str(tmp_path), split).orderBy("read_idx").collect()
+        assert [r.nh for r in got] == [None, 5, 9, 3, 257, 77, None, None, -1] * 20
+        assert [(r.ref, r.pos, len(r.cigar)) for r in got] == [([None, "chr1", "chr2"][i % 3], i, i % 3) for i in range(180)]
+
+
+def test_outlines_that_travel_and_joined_blocks_give_the_same_rows(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    rows = [("s", rng.choice(["chr1", "chr2", None]), rng.randrange(2000), rng.choice([0, 0, 1024]), [(rng.choice("MNDM"), rng.randint(0, 60)) for _ in range(rng.randint(0, 6))], rng.choice([None, 1, 2])) for _ in range(2000)]
+    _bam(spark, tmp_path, rows)
+    exons = spark.createDataFrame([(rng.choice(["chr1", "chr3"]), s, s + rng.randint(-1, 80), "+", f"g{rng.randrange(40)}", None, None) for s in (rng.randrange(2000) for _ in range(60))] + [("chr1", 1, 9, "+", None, None, None)], EXONS)
+    bam = alignments.read_bam(spark, str(tmp_path))
+    joined = sorted(map(repr, genecounts.read_outcomes(bam, exons, genecounts.CountSettings(bin_size=64, outline_rows=0)).collect()))
+    assert len(joined) == 2000 and len({r.split("status=")[1].split(",")[0] for r in joined}) == 5
+    monkeypatch.setattr(genecounts, "overlaps", None)  # nothing is joined
+    for size in (64, 16384):
+        assert sorted(map(repr, genecounts.read_outcomes(bam, exons, genecounts.CountSettings(bin_size=size)).collect())) == joined
+    none = genecounts.read_outcomes(bam, exons.limit(0)).groupBy("status").count().collect()
+    assert {r.status for r in none} == {"skipped_flag_or_unmapped", "skipped_multimapper", "no_feature"}
