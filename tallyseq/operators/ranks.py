@@ -10,15 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import settle
+from .lineage import dealt, settle
+from .match import small
 
 #: Distinct values that one task orders.
 RANK_ROWS = 500_000
 
 
 def met(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Join on keys that may be NULL; b's are dropped."""
-    b = b.withColumnsRenamed({k: f"{k}_" for k in keys})
+    """Join on keys that may be NULL; b's are dropped. A small b travels to a, so that no group is brought together."""
+    b = small(b.withColumnsRenamed({k: f"{k}_" for k in keys}))
     same = F.lit(True)
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"{k}_"))
@@ -26,7 +27,8 @@ def met(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str, **sums: Column) -> DataFrame:
-    """A settled row for each key and value: n, and the given aggregates."""
+    """A settled row for each key and value: n, and the given aggregates. Rows are counted first and dealt, so that no task's map grows with the input."""
+    df = dealt(df, df.count(), *keys, value)
     return settle(df.groupBy(*keys, value).agg(F.count("*").alias("n"), *[c.alias(name) for name, c in sums.items()]))
 
 
@@ -38,11 +40,11 @@ def running_counts(values: DataFrame, keys: list[str], value: str, count: str =
         before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         return values.withColumn(out, F.coalesce(F.sum(count).over(before), F.lit(0)))
     # settled, as the ranges' borders are drawn from a sample and must be the same wherever the rows are used
-    dealt = settle(values.repartitionByRange(parts, *[F.col(k) for k in keys], F.col(value)).withColumn("_part", F.spark_partition_id()))
+    ranged = settle(values.repartitionByRange(parts, *[F.col(k) for k in keys], F.col(value)).withColumn("_part", F.spark_partition_id()))
     within = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    own = dealt.withColumn("_own", F.coalesce(F.sum(count).over(within), F.lit(0)))
+    own = ranged.withColumn("_own", F.coalesce(F.sum(count).over(within), F.lit(0)))
     across = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    bases = dealt.groupBy(*keys, "_part").agg(F.sum(count).alias("_s")).select(*keys, "_part", F.coalesce(F.sum("_s").over(across), F.lit(0)).alias("_base"))
+    bases = settle(ranged.groupBy(*keys, "_part").agg(F.sum(count).alias("_s")).select(*keys, "_part", F.coalesce(F.sum("_s").over(across), F.lit(0)).alias("_base")))
     return met(own, bases, [*keys, "_part"]).withColumn(out, F.col("_own") + F.col("_base")).drop("_own", "_base", "_part")
 
 
@@ -65,7 +67,7 @@ def quantiles_of_counts(counts: DataFrame, keys: list[str], value: str, points:
         return counts.where(F.col(count) > 0).groupBy(*keys).agg(*[F.expr(f"percentile(`{value}`, {p}D, `{count}`)").alias(name) for name, p in points.items()])
     counts = counts.where(F.col(count) > 0)
     placed = running_counts(counts, keys, value, count, "_below", most)
-    whole = counts.groupBy(*keys).agg(F.sum(count).alias("_n"))
+    whole = settle(counts.groupBy(*keys).agg(F.sum(count).alias("_n")))
     rows = met(placed, whole, keys)
     found = []
     for name, p in points.items():
@@ -73,7 +75,7 @@ def quantiles_of_counts(counts: DataFrame, keys: list[str], value: str, points:
         nth = lambda k: F.max(F.when((F.col("_below") <= k) & (k < F.col("_below") + F.col(count)), F.col(value)))
         low, high, share = nth(F.floor(at)), nth(F.ceil(at)), F.max(at - F.floor(at))
         found.append((low + F.when(share > 0, share * (high - low)).otherwise(0.0)).alias(name))
-    return rows.groupBy(*keys).agg(*found)
+    return settle(rows.groupBy(*keys).agg(*found))  # a row a group, that whoever joins it counts
 
 
 def group_quantiles(df: DataFrame, value: str, keys: list[str], points: dict[str, float], most: int | None = None) -> DataFrame:
@@ -97,6 +99,7 @@ def mad_sigma(df: DataFrame, value: str, keys: list[str], most: int | None = Non
     """median and 1.4826 times the median absolute deviation of each group (AGG-19)."""
     counts = value_counts(df.where(F.col(value).isNotNull()), keys, value)
     mid = quantiles_of_counts(counts, keys, value, {"median": 0.5}, most=most)
-    off = settle(met(counts, mid, keys).groupBy(*keys, F.abs(F.col(value) - F.col("median")).alias("_off")).agg(F.sum("n").alias("n"), F.first("median").alias("_mid")))
-    sigma = quantiles_of_counts(off.drop("_mid"), keys, "_off", {"_mad": 0.5}, most=most)
+    off = met(counts, mid, keys).select(*keys, F.abs(F.col(value) - F.col("median")).alias("_off"), "n")
+    off = settle(dealt(off, counts.count(), *keys, "_off").groupBy(*keys, "_off").agg(F.sum("n").alias("n")))
+    sigma = quantiles_of_counts(off, keys, "_off", {"_mad": 0.5}, most=most)
     return met(mid, sigma, keys).select(*keys, "median", (1.4826 * F.col("_mad")).alias("sigma"))

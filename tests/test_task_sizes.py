@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyseq.operators import lineage, stats
+from tallyseq.operators import lineage, ranks, stats
 
 
 def test_dealt_rows_of_a_task(spark):
@@ -29,3 +29,16 @@ def test_quantiles_take_one_run_of_passes(spark, monkeypatch, n):
     monkeypatch.setattr(type(rows), "agg", lambda df, *c: asked.append(1) or real(df, *c))
     stats.quantile(rows, F.col("v"), 0.5, n, most=100)
     assert len(asked) == 2  # the ends, and both neighbours at once
+
+
+def test_values_of_a_group_are_dealt_and_groups_are_not_brought_together(spark, monkeypatch):
+    rows = spark.range(6000).select((F.col("id") % 2).alias("g"), ((F.col("id") * 7919 % 5003) / 8).alias("v"))
+    want = {g: (m, 1.4826 * s) for g, m, s in rows.groupBy("g").agg(F.median("v").alias("m")).join(rows, "g").groupBy("g", "m").agg(F.median(F.abs(F.col("v") - F.col("m")))).collect()}
+    counted = []
+    monkeypatch.setattr(ranks, "dealt", lambda df, n, *keys: counted.append((n, keys)) or lineage.dealt(df, n, *keys, most=100))
+    real, parts = ranks.settle, []
+    monkeypatch.setattr(ranks, "settle", lambda df: (parts.append(df.rdd.getNumPartitions()), real(df))[1])
+    found = ranks.mad_sigma(rows, "v", ["g"], most=300)
+    assert {r.g: (r.median, pytest.approx(r.sigma)) for r in found.collect()} == want
+    assert [n for n, _ in counted][0] == 6000 and len(counted) == 2 and parts[0] == 60
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
