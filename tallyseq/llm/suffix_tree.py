@@ -9,18 +9,19 @@ entry. In a kept context an entry has its discounted relative frequency, and wha
 symbols as the suffix has it. A text is scored by the longest kept suffix at each word.
 
 The tree never is in one place. Texts are cut into words once and written as blocks of numbered words to the shared
-folder. For each length of context a block asks for what it does not know: it sends its distinct contexts and (context,
-symbol) pairs, with its own counts of them, to the task that holds their part of the tree, sorted, packed and
-compressed; the task adds the counts of all blocks, settles its contexts and answers each block, which so gets the
-tree's answers to its own questions and nothing else. A pair is asked for only if its suffix was counted ``LEAST``
-times, which loses none. A context with more than a task's share of all tokens is dealt over parts by its symbols, and only
-the sums of such contexts, a few a part, meet on the driver. The first round does the same for single words, whose
-exact counts give the base score.
+folder. The first round counts words: each block sends its distinct words with its own counts to the tasks that hold their
+parts, and hears their numbers and sums, which give the base score. Then all lengths of context are settled in one exchange: a
+block sends each distinct run of a word and the words before it, with its own count, to the task that holds the last word of its
+context. There all longer contexts that end in this word meet, so the task counts and settles them from the shortest to the
+longest and answers each block with the log probability of its runs. A run travels once whatever is kept, so
+the exchange grows as the input does. A word with more than a task's share of all tokens is settled before that: its pairs are dealt over parts by
+their symbols, only the sums of such contexts, a few a part, meet on the driver, and runs after it go to the task of their last two words; a
+frequent context of several words is treated alike, in a round for each length that has any.
 
 Defined results: a null or empty text is the end alone; a null id counts as empty text in the fold; repeated rows
 count each time; without training texts the base is uniform over nothing (each token has probability 1) and so is
 the score; an empty table gives an empty result; extra columns are not read. A text stays whole in one block.
-Words are known by 64-bit hashes, contexts by hashes of their words' numbers of 20 bits more than the tokens' number has.
+Words are known by 64-bit hashes, longer contexts by hashes of their words' numbers of at least 20 bits more than the tokens' number has.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import gc
 import math
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import chain
 
 import numpy as np
@@ -50,6 +51,8 @@ BLOCK = 1_500_000
 BATCH = 4 << 20
 #: A context is dealt over parts if it occurs more often than this and than an even share of all tokens.
 SPLIT = 20_000
+#: Runs whose contexts a task settles at a time, unless one context has more.
+SLICE = 500_000
 #: Below so much of the suffix's probability outside the entries a context is not kept: what is left could not be spread.
 ROOM = 1e-6
 
@@ -66,6 +69,11 @@ def pack(*arrays: np.ndarray) -> bytes:
     return b"".join(out)
 
 
+def narrow(a: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in as few bytes each as they need."""
+    return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+
+
 def unpack(data: bytes) -> list[np.ndarray]:
     codec, out, at = pa.Codec("zstd"), [], 0
     while at < len(data):
@@ -101,12 +109,18 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+def changes(values: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it; the first does."""
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return new
+
+
 def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ascending distinct values, a place of each, which of them each value is); numpy's own way sorts stably, which takes several times as long."""
     order = np.argsort(values)
     ascending = values[order]
-    new = np.ones(len(values), bool)
-    np.not_equal(ascending[1:], ascending[:-1], out=new[1:])
+    new = changes(ascending)
     which = np.empty(len(values), np.int32)
     which[order] = np.cumsum(new, dtype=np.int32) - 1
     return ascending[new], order[new], which
@@ -138,12 +152,14 @@ def firsts(sizes: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Corpus:
-    """What every task knows: parts of the tree, tokens and distinct tokens of the training texts, and the split contexts' results by level."""
+    """What every task knows: parts of the tree, longest contexts, tokens and distinct tokens of the training texts, occurrences up to which a context stays in one part, and the results by level of those that don't."""
 
     folder: str
     labels: np.ndarray
+    depth: int = DEPTH
     tokens: int = 0
     kinds: int = 0
+    most: int = 0
     hot: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     @property
@@ -159,6 +175,10 @@ class Corpus:
         """Bits of a context's key: so many more than the corpus has tokens that one context in a million meets another's key."""
         return min(64, max(40, (self.tokens + 2).bit_length() + 20))
 
+    def logs(self, short: np.ndarray) -> np.ndarray:
+        """Log probabilities that were sent as they are, or as counts where they are the root's."""
+        return short.astype(float) if short.dtype.kind == "f" else np.log10(short + 1.0) - self.log_all
+
     def key(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         return mix(context, word) >> np.uint64(64 - self.bits)
 
@@ -166,13 +186,14 @@ class Corpus:
         """The part of each key of so many bits: an even share of their range, so that keys of a part lie close."""
         return ((keys >> np.uint64(bits - 32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int64)
 
-    @property
-    def most(self) -> int:
-        """Occurrences up to which a context stays in one part."""
-        return max(SPLIT, self.tokens // self.parts)
+
+def undealt(tokens: int, parts: int) -> int:
+    """Occurrences up to which a context stays in one part."""
+    return max(SPLIT, tokens // parts)
 
 
-def block_bytes(rows: pa.Table, trains: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> bytes:
+def block_bytes(rows: pa.Table, trains: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> tuple[bytes, bytes]:
+    """A block's texts, and its distinct words, which only the first round reads."""
     words, codes = np.unique(hashes, return_inverse=True)
     often = np.argsort(-np.bincount(codes), kind="stable")  # frequent words have small numbers, which pack better
     rank = np.empty(len(words), np.uint32)
@@ -180,8 +201,8 @@ def block_bytes(rows: pa.Table, trains: np.ndarray, sizes: np.ndarray, hashes: n
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows.schema) as out:
         out.write_table(rows)
-    packed = pack(sizes, trains.astype(np.uint8), steps(words), often.astype(np.uint32), rank[codes])
-    return struct.pack("<q", len(packed)) + packed + sink.getvalue().to_pybytes()
+    packed = pack(sizes, trains.astype(np.uint8), often.astype(np.uint32), rank[codes])
+    return struct.pack("<q", len(packed)) + packed + sink.getvalue().to_pybytes(), pack(steps(words))
 
 
 def write_blocks(docs: DataFrame, keep: list[str], trains: str, folder: str) -> DataFrame:
@@ -194,7 +215,9 @@ def write_blocks(docs: DataFrame, keep: list[str], trains: str, folder: str) ->
 
         def flush() -> pa.RecordBatch:
             rows = pa.Table.from_batches([h[0] for h in held])
-            write_file(f"{folder}/{number}.block", iter([block_bytes(rows, *[np.concatenate([h[i] for h in held]) for i in (1, 2, 3)])]))
+            block, words = block_bytes(rows, *[np.concatenate([h[i] for h in held]) for i in (1, 2, 3)])
+            write_file(f"{folder}/{number}.block", iter([block]))
+            write_file(f"{folder}/words/{number}", iter([words]))
             return pa.RecordBatch.from_pydict({"block": [number]})
 
         for batch in tidy(batches):
@@ -213,36 +236,56 @@ def write_blocks(docs: DataFrame, keep: list[str], trains: str, folder: str) ->
     return docs.select(*keep, trains, utf8(F.col("text")).alias(text)).mapInArrow(run, "block long")
 
 
+@dataclass
+class Runs:
+    """A block's distinct runs (context, symbol, the words before the context) whose context has ``level`` words: tokens that end one,
+    which run each ends, a token of each run, its words before, and for each context its key, its part and its runs, in order of part and key."""
+
+    level: int
+    tokens: np.ndarray
+    which: np.ndarray
+    at: np.ndarray
+    before: np.ndarray
+    keys: np.ndarray
+    parts: np.ndarray
+    order: np.ndarray
+    sizes: np.ndarray
+
+
 class Block:
     """A block's tokens, and what has been answered so far: for each token the log probability by the longest kept context."""
 
     def __init__(self, corpus: Corpus, number: int):
-        self.corpus = corpus
+        self.corpus, self.number = corpus, number
         data = read_file(f"{corpus.folder}/{number}.block")
         (size,) = struct.unpack_from("<q", data)
-        self.sizes, trains, words, often, ranks = unpack(data[8 : 8 + size])
-        self.codes = often[ranks]
+        self.sizes, trains, often, ranks = unpack(data[8 : 8 + size])
+        self.codes = often[ranks].astype(np.int32)
         self.rows = pa.ipc.open_stream(data[8 + size :]).read_all()
-        self.words = np.cumsum(words)
         self.train = np.repeat(trains.astype(bool), self.sizes)
         self.place = (np.arange(len(self.codes)) - np.repeat(firsts(self.sizes), self.sizes)).astype(np.int32)
-        self.codes = self.codes.astype(np.int32)
 
     def ask_words(self) -> Iterator[tuple[int, bytes]]:
         """(part, words and their training counts)."""
-        counts = np.bincount(self.codes[self.train], minlength=len(self.words))
-        for p, low, high in runs(self.corpus.part_of(self.words, 64)):
-            yield p, pack(steps(self.words[low:high]), counts[low:high])
+        words = np.cumsum(unpack(read_file(f"{self.corpus.folder}/words/{self.number}"))[0])
+        counts = np.bincount(self.codes[self.train], minlength=len(words))
+        for p, low, high in runs(self.corpus.part_of(words, 64)):
+            yield p, pack(steps(words[low:high]), counts[low:high])
 
     def hear_words(self, answers: list[bytes]) -> None:
         got = [unpack(a) for a in answers]
-        self.ids, self.counts = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+        ids, counts = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+        order = np.argsort(ids)  # from now on a word's code is its place among the block's numbers
+        code = np.empty(len(ids), np.int32)
+        code[order] = np.arange(len(ids), dtype=np.int32)
+        self.ids, self.counts, self.codes = ids[order], counts[order], code[self.codes]
         self.value = (np.log10(self.counts + 1.0) - self.corpus.log_all)[self.codes]
         first = firsts(self.sizes)
         self.known = np.add.reduceat((self.counts > 0)[self.codes], first, dtype=np.int64)
         self.base = np.add.reduceat(self.value, first)
+        self.told = (self.counts >= LEAST)[self.codes]
         # of the first length of context: the word before
-        self.level, self.suffix_count = 1, self.counts[self.codes]
+        self.level, self.suffix_count, self.frequent = 1, self.counts[self.codes], []
         self.context = self._after(self.codes, 1)
         self.keys, self.totals = self.ids, self.counts
         self._look()
@@ -255,95 +298,166 @@ class Block:
         return out
 
     def _look(self) -> None:
-        """Pairs of the current length, and what to ask for, in order of part and context."""
-        corpus = self.corpus
+        """Tokens after frequent contexts of the current length, and the pairs of both."""
         open_ = np.flatnonzero(self.context >= 0)
-        self.open = open_ = open_[self.totals[self.context[open_]] >= LEAST]
+        self.open = open_ = open_[self.totals[self.context[open_]] > self.corpus.most]
+        self.frequent.append(np.zeros(len(self.codes), bool))
+        self.frequent[-1][open_] = True
         pairs, at, self.pair = distinct(self.context[open_].astype(np.int64) << 32 | self.codes[open_])
         self.pair_context, self.pair_code = pairs >> 32, pairs & 0xFFFFFFFF
         self.there = open_[at]
-        listed = np.flatnonzero(self.suffix_count[self.there] >= LEAST)
-        context = self.pair_context[listed]
-        edge = np.ones(len(pairs), bool)
-        np.not_equal(self.pair_context[1:], self.pair_context[:-1], out=edge[1:])
-        known = self.pair_context[edge]  # distinct contexts
-        rank, part_of = np.zeros(len(self.totals), np.int64), np.zeros(len(self.totals), np.int64)
-        rank[known[np.argsort(self.keys[known])]] = np.arange(len(known))
-        part_of[known] = corpus.part_of(self.keys[known], corpus.bits) if self.level > 1 else (self.keys[known] % np.uint64(corpus.parts)).astype(np.int64)
-        # listed pairs stand by context; runs of them are sorted by place, which no two runs share, so the order is the same wherever it is made
-        part, frequent = part_of[context], self.totals[context] > corpus.most
-        split = np.flatnonzero(frequent)  # of frequent contexts the pairs are dealt over parts by their symbols
-        symbol = self.ids[self.pair_code[listed[split]]]
-        sub = mix(symbol, symbol) % (1 + self.totals[context[split]] // corpus.most).astype(np.uint64)
-        part[split] = (part[split] + (sub * np.uint64(7919) % np.uint64(corpus.parts)).astype(np.int64)) % corpus.parts
-        place = part << 32 | rank[context]
-        run = np.concatenate([np.flatnonzero(~frequent), split[np.argsort(place[split], kind="stable")]])
-        place = place[run]
-        edge = np.ones(len(place), bool)
-        np.not_equal(place[1:], place[:-1], out=edge[1:])
-        starts = np.flatnonzero(edge)
-        sizes = np.diff(np.append(starts, len(place)))
-        by_place = np.argsort(place[starts])
-        starts, sizes = starts[by_place], sizes[by_place]
-        order = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(place))
-        self.listed, place = listed[run[order]], place[order]
-        first = np.cumsum(sizes) - sizes
-        # contexts none of whose pairs are asked for still need what they leave to others
-        asked = np.zeros(len(self.totals), bool)
-        asked[context] = True
-        alone = known[~asked[known] & (self.totals[known] <= corpus.most)]
-        c = np.concatenate([self.pair_context[self.listed[first]], alone])
-        c_place = np.concatenate([place[first], part_of[alone] << 32 | rank[alone]])
-        c_size = np.concatenate([sizes, np.zeros(len(alone), np.int64)])
-        c_order = np.argsort(c_place)
-        self.listed_context, self.listed_part, self.listed_size = c[c_order], c_place[c_order] >> 32, c_size[c_order]
 
-    def ask(self) -> Iterator[tuple[int, bytes]]:
-        """(part, contexts and pairs with their training counts and the suffix's log probability) of the current length; the first length's suffix is the root, where the word's count says it."""
-        n = np.bincount(self.pair[self.train[self.open]], minlength=len(self.pair_code))[self.listed]
-        there = self.there[self.listed]
-        short = self.suffix_count[there] if self.level == 1 else self.value[there].astype(np.float32)
-        symbol = self.ids[self.pair_code[self.listed]]
-        ends = np.cumsum(self.listed_size)
-        keys, totals = self.keys[self.listed_context], self.totals[self.listed_context]
-        for p, low, high in runs(self.listed_part):
-            own = slice(ends[low] - self.listed_size[low], ends[high - 1])
-            yield p, pack(steps(keys[low:high]), totals[low:high], self.listed_size[low:high], symbol[own], n[own], short[own])
-
-    def hear(self, level: int, answers: list[bytes], last: bool = False) -> None:
+    def _listed(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs whose suffix was counted often enough, in order of part, and their parts: as many a context as it has shares."""
+        corpus = self.corpus
+        listed = np.flatnonzero(self.suffix_count[self.there] >= LEAST)
+        context, symbol = self.pair_context[listed], self.ids[self.pair_code[listed]]
+        shares = (1 + self.totals[context] // corpus.most).astype(np.uint64)
+        part = ((self.keys[context] % np.uint64(corpus.parts) + mix(symbol, symbol) % shares * np.uint64(7919)) % np.uint64(corpus.parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        return listed[order], part[order]
+
+    def ask_frequent(self) -> Iterator[tuple[int, bytes]]:
+        """(part, frequent contexts and pairs with their training counts and the suffix's log probability) of the current length."""
+        listed, part = self._listed()
+        n = np.bincount(self.pair[self.train[self.open]], minlength=len(self.pair_code))[listed]
+        context, symbol, there = self.pair_context[listed], self.ids[self.pair_code[listed]], self.there[listed]
+        short = narrow(self.suffix_count[there]) if self.level == 1 else self.value[there].astype(np.float32)
+        for p, low, high in runs(part):
+            first = np.flatnonzero(changes(context[low:high]))
+            c = context[low:high][first]
+            yield p, pack(*map(narrow, (self.keys[c], self.totals[c], np.diff(np.append(first, high - low)), symbol[low:high], n[low:high])), short[low:high])
+
+    def hear_frequent(self, answers: list[bytes]) -> None:
         """Take in the answers to what was asked last, and go on to contexts one word longer."""
-        got = [unpack(a) for a in answers]
-        left = np.full(len(self.totals), np.nan)
-        count = np.zeros(len(self.pair_context), np.int64)
-        if got:
-            left[self.listed_context] = np.concatenate([g[0] for g in got])
-            count[self.listed] = np.concatenate([g[1] for g in got])
+        level, count = self.level, np.zeros(len(self.pair_context), np.int64)
+        if answers:
+            count[self._listed()[0]] = np.concatenate([unpack(a)[0] for a in answers])
         keys, values = self.corpus.hot[level]
-        hot = np.flatnonzero(self.totals > self.corpus.most)
-        at = find(keys, self.keys[hot])
-        left[hot] = np.where(at >= 0, values[at] if len(values) else np.nan, np.nan)
-        # by pair, then to the tokens
-        spread, total = left[self.pair_context], self.totals[self.pair_context]
-        entry = count >= LEAST
-        own = np.log10(np.maximum(count, 1) - DISCOUNT) - np.log10(total)
-        kept, i = ~np.isnan(spread), self.open
-        value = self.value[i]
-        self.value[i] = np.where((kept & entry)[self.pair], own[self.pair], value + np.where(kept & ~entry, spread, 0.0)[self.pair])
-        if last:
+        at = find(keys, self.keys[self.pair_context])
+        spread = np.where(at >= 0, values[at] if len(values) else np.nan, np.nan)[self.pair]
+        n, i = count[self.pair], self.open
+        own = np.log10(np.maximum(n, 1) - DISCOUNT) - np.log10(self.totals[self.pair_context])[self.pair]
+        self.value[i] = np.where(np.isnan(spread), self.value[i], np.where(n >= LEAST, own, self.value[i] + spread))
+        if level == self.corpus.depth:
             return
         self.suffix_count = np.zeros(len(self.codes), np.int64)
-        self.suffix_count[i] = count[self.pair]
+        self.suffix_count[i] = n
         ended = np.full(len(self.codes), -1, np.int32)
         ended[i] = self.pair
         self.context = self._after(ended, level + 1)
         self.keys, self.totals, self.level = self.corpus.key(self.keys[self.pair_context], self.ids[self.pair_code]), count, level + 1
         self._look()
 
+    def _ending(self, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which sequence of up to so many words ends at each token, and for each the sequence before its last word plus 1 and that word); words counted less often than ``LEAST`` end what stands before, as no context holds them."""
+        if words not in self.sequences:
+            if words == 1:
+                found = self.codes, np.zeros(len(self.ids), np.int64), np.arange(len(self.ids))
+            else:
+                before = np.where(self.told, self._ending(words - 1)[0] + 1, 0)
+                keys, _, which = distinct((self._after(before, 1).clip(0)).astype(np.int64) << 32 | self.codes)
+                if words == 2:
+                    self.pairs = which
+                by_last = np.argsort((keys & 0xFFFFFFFF) << 32 | keys >> 32)  # so that runs whose contexts agree in more words stand together
+                rank = np.empty(len(keys), np.int32)
+                rank[by_last] = np.arange(len(keys), dtype=np.int32)
+                found = rank[which], (keys >> 32)[by_last], (keys & 0xFFFFFFFF)[by_last]
+            self.sequences[words] = found
+        return self.sequences[words]
+
+    def _runs(self) -> Iterator[Runs]:
+        """Runs by the length of the shortest context before a token that is not frequent."""
+        corpus, self.sequences = self.corpus, {}
+        open_ = np.ones(len(self.codes), bool)
+        for level in range(1, corpus.depth + 1):
+            frequent = self.frequent[level - 1] if level <= len(self.frequent) else np.zeros(len(open_), bool)
+            tokens = np.flatnonzero(open_ & ~frequent & (self.place >= level))
+            tokens = tokens[self.told[tokens - level]]
+            open_ = frequent
+            context = (self._ending(level)[0] if len(tokens) else self.codes)[tokens - 1]
+            if level == 1 and corpus.depth > 2:
+                self._ending(2)
+                pair = self.pairs[tokens]
+            else:
+                pair = distinct(context.astype(np.int64) << 32 | self.codes[tokens])[2]
+            before = np.zeros(len(tokens), np.int64)
+            if level < corpus.depth:
+                more = np.flatnonzero(self.place[tokens] > level)
+                end = tokens[more] - level - 1
+                before[more] = np.where(self.told[end], self._ending(corpus.depth - level)[0][end] + 1, 0)
+            found, at, which = distinct(pair.astype(np.int64) << 32 | before)
+            first = np.flatnonzero(changes(context[at]))
+            sizes, there = np.diff(np.append(first, len(at))), tokens[at[first]]
+            keys = self.ids[self.codes[there - level]]
+            for back in range(level - 1, 0, -1):
+                keys = corpus.key(keys, self.ids[self.codes[there - back]])
+            parts = corpus.part_of(keys, corpus.bits) if level > 1 else (keys % np.uint64(corpus.parts)).astype(np.int64)
+            by = np.lexsort((keys, parts))
+            sizes, first = sizes[by], first[by]
+            order = np.repeat(first - firsts(sizes), sizes) + np.arange(len(at))
+            yield Runs(level, tokens, which, tokens[at[order]], (found & 0xFFFFFFFF)[order], keys[by], parts[by], order, sizes)
+
+    def ask(self) -> Iterator[tuple[int, bytes]]:
+        """(part, for each length of context the contexts, their symbols with the suffix's log probability or, where the root is the suffix, the symbol's count, the words before and training counts)."""
+        out: dict[int, list[bytes]] = {}
+        for r in self._runs():
+            n = np.bincount(r.which[self.train[r.tokens]], minlength=len(r.at))[r.order]
+            code, starts = self.codes[r.at], np.zeros(len(r.at), bool)
+            starts[firsts(r.sizes)] = True
+            pair = np.flatnonzero(changes(code) | starts)
+            starts = starts[pair]
+            several = np.diff(np.append(pair, len(code)))  # runs a pair
+            pairs = np.diff(np.append(np.flatnonzero(starts), len(pair)))  # pairs a context
+            symbol = self.ids[code[pair]]
+            ahead = np.where(starts, symbol, symbol - np.append(symbol[:1], symbol[:-1]))  # a context's symbols ascend
+            short = narrow(self.counts[code[pair]]) if r.level == 1 else self.value[r.at[pair]].astype(np.float32)
+            words, rest = [], r.before
+            for length in range(self.corpus.depth - r.level, 0, -1):
+                _, earlier, last = self._ending(length)
+                i = np.maximum(rest - 1, 0)
+                words.append(np.where(rest > 0, self.ids[last[i]] + np.uint64(1), np.uint64(0)))
+                rest = np.where(rest > 0, earlier[i], 0)
+            pair_ends, ends = np.cumsum(pairs), np.cumsum(r.sizes)
+            for p, low, high in runs(r.parts):
+                x, own = slice(pair_ends[low] - pairs[low], pair_ends[high - 1]), slice(ends[low] - r.sizes[low], ends[high - 1])
+                ints = [steps(r.keys[low:high]), pairs[low:high], ahead[x], several[x], n[own], *[w[own] for w in words]]
+                own_short = short[x] if r.level > 1 else short[x][np.unique(symbol[x], return_index=True)[1]]  # a symbol's count once
+                out.setdefault(p, []).append(struct.pack("<q", r.level) + pack(own_short, *map(narrow, ints)))
+        for p in sorted(out):
+            yield p, joined(out[p])
+
+    def hear(self, answers: list[bytes]) -> None:
+        got = [parted(a) for a in answers]
+        heard: dict[int, list[np.ndarray]] = {}
+        for part in got:
+            for x in part:
+                new, values = unpack(x[8:])
+                heard.setdefault(struct.unpack_from("<q", x)[0], []).append(values[np.cumsum(new, dtype=np.int64) - 1])
+        for r in self._runs():
+            if r.level in heard:
+                values = np.empty(len(r.order))
+                values[r.order] = np.concatenate(heard[r.level])
+                self.value[r.tokens] = values[r.which]
+
     def scores(self) -> list[np.ndarray]:
         """(tokens, known tokens, base score, score) of each text."""
         return [self.sizes, self.known, self.base, np.add.reduceat(self.value, firsts(self.sizes))]
 
 
+def joined(parts: list[bytes]) -> bytes:
+    return b"".join(x for p in parts for x in (struct.pack("<q", len(p)), p))
+
+
+def parted(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        (size,) = struct.unpack_from("<q", data, at)
+        out.append(data[at + 8 : at + 8 + size])
+        at += 8 + size
+    return out
+
+
 def runs(ascending: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(value, start, end) of each run of equal values."""
     if len(ascending):
@@ -361,7 +475,7 @@ def settled(total: np.ndarray, own: np.ndarray, there: np.ndarray, gain: np.ndar
 
 
 def answer_words(corpus: Corpus, part: int, asked: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-    """(block, numbers and counts of its words), then (-1, distinct words and tokens of the part)."""
+    """(block, numbers and counts of its words), then (-1, distinct words and tokens of the part, and the most that a word occurs)."""
     got = [unpack(a) for _, a in asked]
     words, at = np.unique(np.concatenate([np.cumsum(g[0]) for g in got]), return_inverse=True)
     n = np.bincount(at, np.concatenate([g[1] for g in got]), len(words)).astype(np.int64)
@@ -371,13 +485,19 @@ def answer_words(corpus: Corpus, part: int, asked: list[tuple[int, bytes]]) -> I
     for (block, _), high, g in zip(asked, ends, got):
         own = at[high - len(g[0]) : high]
         yield block, pack(ids[own], n[own])
-    yield -1, pack(np.array([(n > 0).sum(), n.sum()]))
+    yield -1, pack(np.array([(n > 0).sum(), n.sum(), n.max()]))
 
 
-def answer(corpus: Corpus, part: int, asked: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-    """(block, what its contexts leave and its pairs' counts), then (-1, sums of the part's share of split contexts)."""
+def sums(where: np.ndarray, short: np.ndarray, n: np.ndarray, total: np.ndarray) -> list[np.ndarray]:
+    """For each context what ``settled`` wants of its entries: their shares, the suffix's shares, gains, occurrences and number."""
+    share = (n - DISCOUNT) / total[where]
+    return [np.bincount(where, w, len(total)) for w in (share, 10**short, n * (np.log10(share) - short), n, np.ones(len(n)))]
+
+
+def answer_frequent(corpus: Corpus, part: int, asked: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    """(block, its pairs' counts), then (-1, sums of the part's share of frequent contexts, and the most that a pair occurs)."""
     got = [unpack(a) for _, a in asked]
-    keys, at = np.unique(np.concatenate([np.cumsum(g[0]) for g in got]), return_inverse=True)
+    keys, at = np.unique(np.concatenate([g[0].astype(np.uint64) for g in got]), return_inverse=True)
     total = np.zeros(len(keys), np.int64)
     total[at] = np.concatenate([g[1] for g in got])
     context = np.repeat(at, np.concatenate([g[2] for g in got]))
@@ -385,29 +505,93 @@ def answer(corpus: Corpus, part: int, asked: list[tuple[int, bytes]]) -> Iterato
     pairs, first, pair = distinct(context << 32 | symbol)
     n = np.bincount(pair, np.concatenate([g[4] for g in got]), len(pairs)).astype(np.int64)
     n[n < LEAST] = 0
-    short = np.concatenate([g[5] for g in got])[first]
-    short = np.log10(short + 1.0) - corpus.log_all if short.dtype.kind == "i" else short.astype(float)
     entry = n > 0
-    where, short, m = (pairs >> 32)[entry], short[entry], n[entry]
-    share = (m - DISCOUNT) / total[where]
-    own, there, gain, seen, entries = (np.bincount(where, w, len(keys)) for w in (share, 10**short, m * (np.log10(share) - short), m, np.ones(len(m))))
-    hot = total > corpus.most
-    left = np.where(hot, np.nan, settled(total, own, there, gain, seen, entries, corpus.tokens)).astype(np.float32)
-    c = e = 0
+    of_entries = sums((pairs >> 32)[entry], corpus.logs(np.concatenate([g[5] for g in got])[first])[entry], n[entry], total)
+    e = 0
     for (block, _), g in zip(asked, got):
-        yield block, pack(left[at[c : c + len(g[0])]], n[pair[e : e + len(g[3])]])
-        c, e = c + len(g[0]), e + len(g[3])
-    if hot.any():
-        yield -1, pack(keys[hot], *[x[hot].astype(float) for x in (total, own, there, gain, seen, entries)])
+        yield block, pack(narrow(n[pair[e : e + len(g[3])]]))
+        e += len(g[3])
+    yield -1, pack(keys, *[x.astype(float) for x in (total, *of_entries)], n.max(keepdims=True))
+
+
+def symbols(pairs: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    """The symbols of contexts with so many pairs each, from how far each is ahead of the one before in its context."""
+    starts = firsts(pairs.astype(np.int64))
+    symbol = np.cumsum(ahead, dtype=np.uint64)
+    return symbol - np.repeat(symbol[starts] - ahead[starts], pairs)
+
+
+def values_of(corpus: Corpus, level: int, got: list[list[np.ndarray]]) -> np.ndarray:
+    """The log probability of each run that was sent, by the longest kept context; the contexts of ``level`` words are the shortest."""
+    short, pairs, ahead, several, n, *words = (np.concatenate([g[i] for g in got]) for i in (0, *range(2, len(got[0]))))
+    short = corpus.logs(short)
+    symbol = symbols(pairs, ahead)
+    context = np.repeat(np.concatenate([np.cumsum(g[1], dtype=np.uint64) for g in got]), pairs)
+    run_pair = np.repeat(np.arange(len(several)), several)
+    contexts, there, symbol = [context[run_pair]], [None], symbol[run_pair]
+    for w in words:
+        contexts.append(mix(contexts[-1], w.astype(np.uint64)))
+        there.append(w > 0)
+    # from the longest contexts to the shortest: distinct pairs, a run of each, and their counts
+    which, at, counts = [], [np.arange(len(symbol))], [n.astype(np.int64)]
+    for keys in reversed(contexts):
+        _, first, pair = distinct(mix(keys[at[0]], symbol[at[0]]))
+        counts.insert(0, np.bincount(pair, counts[0], len(first)).astype(np.int64))
+        at.insert(0, at[0][first])
+        which.insert(0, pair)
+    value = short[run_pair[at[0]]]
+    for keys, exists, own, m, pair in zip(contexts, there, at, counts, which):
+        names, _, where = distinct(keys[own])
+        total = np.bincount(where, m, len(names))
+        real = np.ones(len(own), bool) if exists is None else exists[own]
+        entry = (m >= LEAST) & real
+        left = settled(total, *sums(where[entry], value[entry], m[entry], total), corpus.tokens)[where]
+        share = np.log10(np.maximum(m, 1) - DISCOUNT) - np.log10(np.maximum(total, 1))[where]
+        value = np.where(np.isnan(left) | ~real, value, np.where(entry, share, value + left))[pair]
+    return value.astype(np.float32)
 
 
-def combined(shares: list[bytes], tokens: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, what they leave) of the split contexts, from their parts' sums: at most a few a part, as each holds a part's share of all tokens."""
+def answer(corpus: Corpus, part: int, asked: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    """(block, the log probabilities of its runs, of which equal neighbours are said once)."""
+    by_level: dict[int, list[tuple[int, list[np.ndarray]]]] = {}
+    for i, (_, data) in enumerate(asked):
+        for x in parted(data):
+            (level,), g = struct.unpack_from("<q", x), unpack(x[8:])
+            if level == 1:
+                g[0] = g[0][np.unique(symbols(g[2], g[3]), return_inverse=True)[1]]
+            by_level.setdefault(level, []).append((i, g))
+    out: list[list[bytes]] = [[] for _ in asked]
+    for level in sorted(by_level):
+        found = by_level.pop(level)
+        made = [np.empty(len(g[5]), np.float32) for _, g in found]
+        keys = [np.cumsum(g[1], dtype=np.uint64) for _, g in found]
+        slices = -(-sum(map(len, made)) // SLICE)
+        for k in range(slices):
+            taken = []
+            for (_, g), own in zip(found, keys):
+                context = mix(own, own) >> np.uint64(32) & np.uint64(0xFFFF)
+                context = context % np.uint64(slices) == k
+                pair = np.repeat(context, g[2])
+                taken.append((context, pair, np.repeat(pair, g[4])))
+            chosen = [[g[0][pair], steps(own[context]), g[2][context], g[3][pair], g[4][pair], *[x[run] for x in g[5:]]] for (_, g), own, (context, pair, run) in zip(found, keys, taken)]
+            values, low = values_of(corpus, level, chosen), 0
+            for own, (_, _, run) in zip(made, taken):
+                high = low + int(run.sum())
+                own[run] = values[low:high]
+                low = high
+        for (i, _), own in zip(found, made):
+            new = changes(own)
+            out[i].append(struct.pack("<q", level) + pack(new, own[new]))
+    for (block, _), parts in zip(asked, out):
+        yield block, joined(parts)
+
+
+def combined(shares: list[list[np.ndarray]], tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, what they leave) of the frequent contexts, from their parts' sums: at most a few a part, as each holds a part's share of all tokens."""
     if not shares:
         return np.zeros(0, np.uint64), np.zeros(0)
-    got = [unpack(s) for s in shares]
-    keys, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-    columns = [np.concatenate([g[i] for g in got]) for i in range(1, 7)]
+    keys, at = np.unique(np.concatenate([g[0] for g in shares]), return_inverse=True)
+    columns = [np.concatenate([g[i] for g in shares]) for i in range(1, 7)]
     total = np.zeros(len(keys))
     total[at] = columns[0]
     return keys, settled(total, *[np.bincount(at, c, len(keys)) for c in columns[1:]], tokens)
@@ -426,7 +610,7 @@ def grouped(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[int,
         yield held[0][key], held
 
 
-def replayed(corpus: Corpus, number: int, rows: list[tuple], levels: int, last: bool = False) -> Block:
+def replayed(corpus: Corpus, number: int, levels: int, rows: list[tuple] | None = None) -> Block:
     """A block that has heard the answers of the first ``levels`` rounds. rows: level, part, block, payload of the last of them, in order.
 
     Answers travel once: those of earlier rounds are in files beside the block, and the last ones are put there.
@@ -434,17 +618,12 @@ def replayed(corpus: Corpus, number: int, rows: list[tuple], levels: int, last:
     block = Block(corpus, number)
     for level in range(levels):
         name = f"{corpus.folder}/{number}.heard-{level}"
-        if level == levels - 1:
+        if rows is not None and level == levels - 1:
             answers = [r[3] for r in rows if r[0] == level]
-            if not last:
-                write_file(name, iter([struct.pack("<q", len(a)) + a for a in answers]))
+            write_file(name, iter([joined(answers)]))
         else:
-            answers, data, at = [], read_file(name), 0
-            while at < len(data):
-                (size,) = struct.unpack_from("<q", data, at)
-                answers.append(data[at + 8 : at + 8 + size])
-                at += 8 + size
-        block.hear_words(answers) if level == 0 else block.hear(level, answers, last and level == levels - 1)
+            answers = parted(read_file(name))
+        block.hear_words(answers) if level == 0 else block.hear_frequent(answers)
     return block
 
 
@@ -466,52 +645,63 @@ def scores(docs: DataFrame, keep: list[str], trains: str, depth: int = DEPTH) ->
     spark = docs.sparkSession
     folder = shared_folder(spark, "suffix-tree")
     blocks = cut(write_blocks(docs, keep, trains, folder))
-    corpus = Corpus(folder, part_labels(spark, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    parts, answers = corpus.parts, None
+    corpus = Corpus(folder, part_labels(spark, int(spark.conf.get("spark.sql.shuffle.partitions"))), depth)
+    parts = corpus.parts
     # a block that asked nothing has no answer but goes on
     every = blocks.select(F.lit(-1).alias("level"), F.lit(-1).alias("part"), "block", F.lit(None).cast("binary").alias("payload"))
 
-    def by_block() -> DataFrame:
+    def by_block(answers: DataFrame) -> DataFrame:
         return answers.where("block >= 0").unionByName(every).repartition(parts, "block").sortWithinPartitions("block", "part")
 
-    def round_(level: int, corpus: Corpus) -> DataFrame:
+    def round_(level: int, corpus: Corpus, answers: DataFrame | None, last: bool = False) -> DataFrame:
+        """What the blocks hear when they have asked with the answers of the round before."""
+
         def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = ((b, []) for batch in tidy(batches) for b in batch.column(0).to_pylist()) if level == 0 else grouped(tidy(batches), 2)
+            found = ((b, None) for batch in tidy(batches) for b in batch.column(0).to_pylist()) if level == 0 else grouped(tidy(batches), 2)
             for number, rows in found:
-                block = replayed(corpus, number, rows, level)
-                asked = list(block.ask_words() if level == 0 else block.ask())
+                block = replayed(corpus, number, level, rows)
+                asked = list(block.ask_words() if level == 0 else block.ask() if last else block.ask_frequent())
                 if asked:
                     yield pa.RecordBatch.from_arrays([pa.array([int(corpus.labels[p]) for p, _ in asked], pa.int32()), pa.array([number] * len(asked)), pa.array([x for _, x in asked], pa.binary())], ["part", "block", "payload"])
 
         def answering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for label, rows in grouped(tidy(batches), 0):
                 part = int(find(corpus.labels, np.array([label]))[0])
-                for block, payload in (answer_words if level == 0 else answer)(corpus, part, [r[1:] for r in rows]):
+                for block, payload in (answer_words if level == 0 else answer if last else answer_frequent)(corpus, part, [r[1:] for r in rows]):
                     yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([label], pa.int32()), pa.array([block]), pa.array([payload], pa.binary())], ["level", "part", "block", "payload"])
 
-        source = blocks if level == 0 else by_block()
+        source = blocks if level == 0 else by_block(answers)
         asked = source.mapInArrow(asking, "part int, block long, payload binary").repartition(parts, "part").sortWithinPartitions("part", "block")
+        answered = asked.mapInArrow(answering, ANSWER)
+        if last:
+            return answered
         # written, not checkpointed: a checkpoint's frame holds on to the exchange it came from, and so to its files
-        asked.mapInArrow(answering, ANSWER).write.parquet(f"{folder}/answers-{level}")
+        answered.write.parquet(f"{folder}/answers-{level}")
+        free(spark)
         return spark.read.schema(ANSWER).parquet(f"{folder}/answers-{level}")
 
-    def sums(answered: DataFrame) -> list[bytes]:
-        return [bytes(r.payload) for r in answered.where("block < 0").select("payload").collect()]
-
-    answers = round_(0, corpus)
-    kinds, tokens = np.sum([unpack(s)[0] for s in sums(answers)] or [[0, 0]], axis=0).tolist()
-    corpus = Corpus(folder, corpus.labels, int(tokens), int(kinds))
-    free(spark)
-    for level in range(1, depth + 1):
-        answered = round_(level, corpus)
-        corpus = Corpus(folder, corpus.labels, corpus.tokens, corpus.kinds, corpus.hot | {level: combined(sums(answered), corpus.tokens)})
-        answers = answered
+    def told(answered: DataFrame) -> list[list[np.ndarray]]:
+        return [unpack(bytes(r.payload)) for r in answered.where("block < 0").select("payload").collect()]
+
+    answers = round_(0, corpus, None)
+    remove_folder(f"{folder}/words")
+    words = np.array([t[0] for t in told(answers)] or [[0, 0, 0]])
+    (kinds, tokens, _), largest = words.sum(axis=0).tolist(), int(words[:, 2].max())
+    corpus = Corpus(folder, corpus.labels, depth, tokens, kinds, undealt(tokens, parts))
+    level = 1
+    while level <= depth and largest > corpus.most:
+        answers = round_(level, corpus, answers)
+        shares = told(answers)
+        largest = max((int(s[-1][0]) for s in shares), default=0)
+        corpus = replace(corpus, hot=corpus.hot | {level: combined(shares, tokens)})
         remove_folder(f"{folder}/answers-{level - 1}")  # heard by the blocks
-        free(spark)
+        level += 1
+    answers = round_(level, corpus, answers, last=True)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in grouped(tidy(batches), 2):
-            block = replayed(corpus, number, rows, depth + 1, last=True)
+            block = replayed(corpus, number, level)
+            block.hear([r[3] for r in rows if r[0] == level])
             table = block.rows.combine_chunks()
             size, known, base, score = block.scores()
             made = [pa.array(x) for x in (size, known, np.full(len(size), corpus.tokens), base, score)]
@@ -520,7 +710,7 @@ def scores(docs: DataFrame, keep: list[str], trains: str, depth: int = DEPTH) ->
 
     names = [*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    out = cut(by_block().mapInArrow(finish, f"{kept}, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    out = cut(by_block(answers).mapInArrow(finish, f"{kept}, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
     remove_folder(folder)
     return out
 
