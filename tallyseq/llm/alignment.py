@@ -1,12 +1,13 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers cover the same bytes of a text.
 
 One Arrow step tokenises. Texts are cut at spaces, where no token of either vocabulary can reach across (the vocabularies are looked
-at for it), and a batch of texts becomes one row: the batch's distinct pieces, each with its token ids and the byte offsets at
-which the tokens end, by both tokenizers, and each text as the indices of its pieces. All that follows is Spark's higher-order
-functions on these arrays. ``array_intersect`` of a piece's end arrays is where both end a token, and so where groups end. Between two
-neighbouring ends of either tokenizer lies exactly one pair of tokens that overlap, a link. How many of a tokenizer's ends lie
-below an offset says which token covers it; these ranks are read off a sort of both sorted arrays together, so the work on a piece is
-linear in its tokens (its sort merges two runs) even where a whole text is one piece. A text's groups and links are those of its pieces in order.
+at for it), and a batch of texts becomes one row: the batch's distinct pieces, each with its token ids by both tokenizers and the index
+of its shape; the distinct shapes, which are the byte offsets at which the tokens end and which token covers each byte; and each text as the
+indices of its pieces. All that follows is Spark's higher-order functions on these arrays. ``array_intersect`` of a shape's end arrays is where
+both end a token, and so where groups end. Between two neighbouring ends of either tokenizer lies exactly one pair of tokens that overlap, a link.
+How many of a tokenizer's ends lie below a group's end is read off a sort of both sorted arrays together, so the work on a shape is
+linear in its bytes (its sort merges two runs) even where a whole text is one piece. Many words share a shape, which says at which places of a
+piece's ids its groups and links find theirs; a piece only fetches them. A text's groups and links are those of its pieces in order.
 
 How many texts hold an id pair linked is counted over all texts, and each text's links look their pairs' counts up: in a broadcast
 table while the distinct pairs, counted first, are few enough, else by a shuffled join of each text's pairs. Both give the same rows.
@@ -32,7 +33,7 @@ from .bpe import byte_characters
 from .runtime import cut, documents, fresh, small_batches, tidy
 
 #: Bytes of texts that become one row.
-BATCH = 3 << 20
+BATCH = 6 << 20
 #: Pieces a worker keeps in each of two generations.
 PIECES = 250_000
 #: Pieces that are tokenised in one call.
@@ -121,12 +122,11 @@ class Pieces(chunks.PieceCache):
         a, b = (side.ids_of(pieces) for side in self.sides)
         return [(len(x) // 4).to_bytes(4, "little") + x + y if x is not None and y is not None else b"\xff\xff\xff\xff" for x, y in zip(a, b)]
 
-    def row(self, column: pa.Array) -> tuple[list[pa.Array], np.ndarray, np.ndarray]:
-        """(the distinct pieces' a_ids, a_ends, b_ids, b_ends; the pieces of all texts, as indices; how many each text has)."""
+    def row(self, column: pa.Array) -> tuple[list[pa.Array], list[pa.Array]]:
+        """(the distinct pieces' ids and shapes, the distinct shapes' ends and covers of either side; each text's pieces, as indices, n_a and n_b)."""
         data, offsets = chunks.column_bytes(column)
         first = chunks.bounds(data, offsets)
-        ends = pa.py_buffer(np.append(first, len(data)).astype(np.int32))
-        pieces = pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        pieces = _runs(np.ascontiguousarray(data), np.append(first, len(data))).dictionary_encode()
         codes = pieces.indices.to_numpy()
         found = self._found(pieces.dictionary.to_pylist())
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
@@ -144,13 +144,30 @@ class Pieces(chunks.PieceCache):
         is_a = place <= np.repeat(n_a, sizes)
         is_a[at] = False
         is_b = place > np.repeat(n_a, sizes)
-        lists = []
-        for side, own, n in zip(self.sides, (is_a, is_b), (n_a, sizes - 1 - n_a)):
-            ids = flat[own]
-            spent = np.concatenate([[0], np.cumsum(side.lengths[ids])])
-            begins = np.cumsum(n) - n
-            lists += [_lists(ids, n), _lists(spent[1:] - np.repeat(spent[begins], n), n)]
-        return lists, codes, counts
+        lengths = flat.copy()  # each token's length where its id is; n_a tells the sides apart
+        for side, own in zip(self.sides, (is_a, is_b)):
+            lengths[own] = side.lengths[flat[own]]
+        shape = _runs(lengths, 4 * np.append(at, len(flat))).dictionary_encode().indices
+        one = np.unique(shape.to_numpy(), return_index=True)[1]
+        n_b = sizes - 1 - n_a
+        a, b = _shapes(lengths[is_a], n_a, one, np.zeros(len(one), np.int64)), _shapes(lengths[is_b], n_b, one, n_a[one])
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        totals = [pa.array(np.diff(np.concatenate([[0], np.cumsum(n[codes], dtype=np.int64)])[upto])) for n in (n_a, n_b)]
+        return [_lists(flat[is_a | is_b], sizes - 1), shape, *a, *b], [_lists(codes, counts), *totals]
+
+
+def _shapes(lengths: np.ndarray, counts: np.ndarray, one: np.ndarray, base: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Of the pieces ``one``: where their tokens end, and which token, from ``base`` on, covers each byte."""
+    sizes, lengths = counts[one], _lists(lengths, counts).take(pa.array(one)).flatten().to_numpy()
+    spent = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    begins = np.cumsum(sizes) - sizes
+    ends = spent[1:] - np.repeat(spent[begins], sizes)
+    index = np.arange(len(lengths)) - np.repeat(begins - base, sizes)
+    return _lists(ends, sizes), _lists(np.repeat(index, lengths), spent[begins + sizes] - spent[begins])
+
+
+def _runs(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
 
 
 def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.ListArray:
@@ -168,24 +185,24 @@ def pieces_of(vocabulary: str, model: str) -> Pieces:
 
 
 def tokenise(docs: DataFrame, keep: list[str], vocabulary: str, model: str, text: str = "text") -> DataFrame:
-    """Rows of texts (``keep``, and their pieces as indices) and of distinct pieces with a_ids, a_ends, b_ids and b_ends; each text with a space before it."""
+    """Rows of texts (``keep``, their pieces as indices, n_a and n_b; a space stands before each), of distinct pieces (ids of both sides, shape) and of shapes (ends and cover of either side)."""
     small_batches(docs.sparkSession, size=BATCH)
     (whole,) = fresh(keep, "whole_text")
     chosen = docs.select(*keep, F.when(F.length(text) > 0, F.concat(F.lit(" "), F.col(text))).otherwise("").alias(whole))
     kept = "".join(f"`{f.name}`: {f.dataType.simpleString()}, " for f in chosen.schema[:-1])
     (own,) = fresh(keep, "pieces")
-    lists = ["a_ids", "a_ends", "b_ids", "b_ends"]
+    lists = {"ids": "array<array<int>>", "shape": "array<int>"} | dict.fromkeys(["a_ends", "a_cover", "b_ends", "b_cover"], "array<array<int>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         cutter = pieces_of(vocabulary, model)
         for batch in tidy(batches):
-            found, codes, counts = cutter.row(batch.column(batch.num_columns - 1))
-            texts = pa.StructArray.from_arrays([*batch.columns[:-1], _lists(codes, counts)], [*keep, own])
+            found, made = cutter.row(batch.column(batch.num_columns - 1))
+            texts = pa.StructArray.from_arrays([*batch.columns[:-1], *made], [*keep, own, "n_a", "n_b"])
             rows = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (texts, *found)]
             yield pa.RecordBatch.from_arrays(rows, ["texts", *lists])
 
-    return chosen.mapInArrow(run, f"texts array<struct<{kept}`{own}`: array<int>>>, " + ", ".join(f"{n} array<array<int>>" for n in lists))
+    return chosen.mapInArrow(run, f"texts array<struct<{kept}`{own}`: array<int>, n_a: bigint, n_b: bigint>>, " + ", ".join(f"{n} {kind}" for n, kind in lists.items()))
 
 
 def _places(of: Column, within: Column) -> Column:
@@ -200,29 +217,22 @@ def _places(of: Column, within: Column) -> Column:
     return F.when(F.size(within) <= SHORT, F.transform(of, lambda x: F.array_position(within, x))).otherwise(merged)
 
 
-def _parts(ids: Column, last: Column) -> Column:
-    """A side's ids by group as text, by commas; ``last`` is the place of each group's last token."""
-    names = ids.cast("array<string>")
-    before = lambda k: F.when(k > 0, F.get(last, k - 1)).otherwise(0)
-    several = F.transform(last, lambda at, k: F.array_join(F.slice(names, before(k) + 1, at - before(k)), ","))
-    return F.when(F.size(ids) == F.size(last), names).otherwise(several)  # as many groups as tokens: one each
+def _before(k: Column, last: Column) -> Column:
+    return F.when(k > 0, F.get(last, k - 1)).otherwise(0)
 
 
-def _spread(ids: Column, places: Column) -> Column:
-    """Each id as often as ends lie in its token, which are as many as its place in all ends is beyond the one before."""
-    times = F.transform(places, lambda p, k: p - F.when(k > 0, F.get(places, k - 1)).otherwise(0))
-    spread = F.flatten(F.zip_with(ids, times, lambda x, n: F.array_repeat(x, n.cast("int"))))
-    return F.when(F.size(ids) == F.get(places, F.size(places) - 1), ids).otherwise(spread)  # as many ends as tokens: one each
+def _sides(last_a: Column, last_b: Column, n_a: Column) -> Column:
+    """Each group's places in a piece's ids, of one side and the other; ``last``: how many of a side's tokens there are up to each group's end."""
 
+    def group(x: Column, k: Column) -> Column:
+        return F.array(F.sequence(_before(k, last_a), x - 1), F.sequence(n_a + _before(k, last_b), n_a + F.get(last_b, k) - 1))
 
-def _shared(a: Column, b: Column) -> Column:
-    """Where both end a token; if either has one token, that is its end."""
-    return F.when(F.size(a) == 1, a).when(F.size(b) == 1, b).otherwise(F.array_intersect(a, b))
+    return F.flatten(F.transform(last_a, group)).cast("array<array<int>>")
 
 
-def _all(a: Column, b: Column) -> Column:
-    """Where either ends a token, in order."""
-    return F.when(F.size(a) == 1, b).when(F.size(b) == 1, a).otherwise(F.sort_array(F.array_union(a, b)))
+def _order(sides: Column, n: Column) -> Column:
+    """Places in the order of the groups' text, with ``n`` for a bar and n + 1 for a semicolon."""
+    return F.flatten(F.flatten(F.transform(sides, lambda side, k: F.when(k == 0, F.array(side)).otherwise(F.array(F.array(n + (k + 1) % 2), side)))))
 
 
 def align(docs: DataFrame, keep: list[str], vocabulary: str, model: str, text: str = "text", id_width: int | None = None) -> DataFrame:
@@ -233,25 +243,36 @@ def align(docs: DataFrame, keep: list[str], vocabulary: str, model: str, text: s
         raise ValueError(f"columns that the alignment makes: {sorted(clash)}")
     tokens = tokenise(docs, keep, vocabulary, model, text)
     (own,) = fresh(keep, "pieces")
-    lists = ["a_ids", "a_ends", "b_ids", "b_ends"]
-    ends = tokens.select("texts", *lists, F.zip_with("a_ends", "b_ends", _shared).alias("shared"), F.zip_with("a_ends", "b_ends", _all).alias("ends"))
-    parts = [F.zip_with(f"{side}_ids", F.zip_with("shared", f"{side}_ends", _places), _parts) for side in "ab"]
-    groups = F.zip_with(*parts, lambda a, b: F.array_join(F.zip_with(a, b, lambda x, y: F.concat(x, F.lit("|"), y)), ";"))
-    spread = [F.zip_with(f"{side}_ids", F.zip_with(f"{side}_ends", "ends", _places), _spread) for side in "ab"]
-    links = F.zip_with(*spread, lambda a, b: F.zip_with(a, b, lambda x, y: x.cast("long") * width + y))
-    aligned = ends.select("texts", groups.alias("groups"), links.alias("links"), F.transform("a_ids", F.size).alias("n_a"), F.transform("b_ids", F.size).alias("n_b"))
-
-    def total(codes: Column, of: str) -> Column:
-        return F.aggregate(codes, F.lit(0), lambda sum_, c: sum_ + F.get(of, c))
+    piece = ["texts", "ids", "shape", "a_cover", "b_cover"]
+    last = [F.zip_with(F.zip_with("a_ends", "b_ends", F.array_intersect), f"{side}_ends", _places) for side in "ab"]
+    sides = F.transform(F.arrays_zip(last[0].alias("a"), last[1].alias("b"), F.transform("a_ends", F.size).alias("n")), lambda s: _sides(s.a, s.b, s.n))
+    ends = F.zip_with("a_ends", "b_ends", lambda a, b: F.sort_array(F.array_union(a, b)))
+    n = F.zip_with("a_ends", "b_ends", lambda a, b: F.size(a) + F.size(b))
+    found = tokens.select(F.inline(F.array(F.struct(*piece, sides.alias("sides"), ends.alias("ends"), n.alias("n")))))
+    links = [F.zip_with("ends", f"{side}_cover", lambda x, cover: F.transform(x, lambda end: F.get(cover, end - 1))).alias(f"links_{side}") for side in "ab"]
+    made = F.struct(*piece[:-2], F.zip_with("sides", "n", _order).alias("order"), *links)
+    shapes = found.select(F.inline(F.array(made)))  # in rows of its own what a shape gives is made once, and not again for each piece
+
+    def said(names: Column, s: Column) -> Column:
+        joined = F.array_join(F.transform(F.get("order", s), lambda at: F.get(names, at)), ",")
+        return F.replace(F.replace(joined, F.lit(",|,"), F.lit("|")), F.lit(",;,"), F.lit(";"))
+
+    def linked(ids: Column, s: Column) -> Column:
+        return F.zip_with(F.get("links_a", s), F.get("links_b", s), lambda i, j: F.get(ids, i).cast("long") * width + F.get(ids, j))
+
+    names = F.transform(F.col("ids").cast("array<array<string>>"), lambda x: F.concat(x, F.array(F.lit("|"), F.lit(";"))))
+    groups = F.zip_with(names, "shape", said)
+    aligned = shapes.select("texts", groups.alias("groups"), F.zip_with("ids", "shape", linked).alias("links"))
 
     def whole(t: Column) -> Column:
         codes = t[own]
-        return F.struct(*[t[c].alias(c) for c in keep], total(codes, "n_a").cast("long").alias("n_a"), total(codes, "n_b").cast("long").alias("n_b"),
+        return F.struct(*[t[c].alias(c) for c in keep], t["n_a"].alias("n_a"), t["n_b"].alias("n_b"),
                         F.array_join(F.transform(codes, lambda c: F.get("groups", c)), ";").alias("groups"), F.flatten(F.transform(codes, lambda c: F.get("links", c))).alias("links"))
 
     rows = aligned.select(F.inline(F.transform("texts", whole)))
+    n_a, n_b = F.col("n_a"), F.col("n_b")
     n_links = F.size("links").cast("long")  # all ends; those of both sides count once
-    return rows.select(*keep, "n_a", "n_b", (F.col("n_a") + F.col("n_b") - n_links).alias("n_groups"), n_links.alias("n_links"), "groups", "links")
+    return rows.select(*keep, "n_a", "n_b", (n_a + n_b - n_links).alias("n_groups"), n_links.alias("n_links"), "groups", "links")
 
 
 def pair_counts(aligned: DataFrame, width: int) -> DataFrame:

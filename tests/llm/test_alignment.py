@@ -87,3 +87,23 @@ def test_columns_are_kept_but_not_those_that_are_made(spark):
     assert got.columns == [*keep, *alignment.MADE] and got.count() == docs.count()
     with pytest.raises(ValueError):
         alignment.align(docs.withColumn("links", docs.doc_id), ["links"], p.path("byte_bpe_50k.json"), p.path("piece_bpe_32k.model"))
+
+
+def test_words_of_one_shape_are_aligned_once(spark):
+    words = [a + b + c for a in ("ka", "lo", "mi") for b in ("ren", "tus", "vol") for c in ("da", "qui", "xe")]
+    docs = spark.createDataFrame([(0, " ".join(words)), (1, "漢字仮名 " + " ".join(words)), (2, "▁ a"), (3, None)], "doc_id long, text string").coalesce(1)
+    vocabulary, model = p.path("byte_bpe_50k.json"), p.path("piece_bpe_32k.model")
+    (row,) = alignment.tokenise(docs, ["doc_id"], vocabulary, model).collect()
+    a, b = alignment.first_side(vocabulary), alignment.second_side(model)
+    shapes = list(zip(row.a_ends, row.b_ends))
+    assert len(set(map(repr, shapes))) == len(shapes) < len(row.ids)
+    spelt = set()
+    for ids, s in zip(row.ids, row.shape):
+        n = len(row.a_ends[s])
+        for side, base, own, ends, cover in ((a, 0, ids[:n], row.a_ends[s], row.a_cover[s]), (b, n, ids[n:], row.b_ends[s], row.b_cover[s])):
+            lengths = [int(side.lengths[i]) for i in own]
+            assert ends == [sum(lengths[: k + 1]) for k in range(len(own))]
+            assert cover == [base + k for k, size in enumerate(lengths) for _ in range(size)]
+        spelt.add(b"".join(a.spelt[i] for i in ids[:n]).decode())
+    assert {" " + w for w in words} <= spelt
+    assert [t.n_a for t in row.texts] == [sum(len(row.a_ends[row.shape[c]]) for c in t.pieces) for t in row.texts]
