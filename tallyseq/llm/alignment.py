@@ -33,7 +33,7 @@ from .bpe import byte_characters
 from .runtime import cut, documents, fresh, small_batches, tidy
 
 #: Bytes of texts that become one row.
-BATCH = 6 << 20
+BATCH = 3 << 20
 #: Pieces a worker keeps in each of two generations.
 PIECES = 250_000
 #: Pieces that are tokenised in one call.
