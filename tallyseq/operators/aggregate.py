@@ -59,10 +59,10 @@ def grid(df: DataFrame, dims: dict[str, list], zeros: list[str]) -> DataFrame:
 
 
 def merged_intervals(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Islands of overlapping or touching intervals (WIN-07)."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
+    """Islands of overlapping or touching intervals (WIN-07). Those without ends come last and join the island before them, or are alone without one."""
+    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("_new", F.coalesce((F.col(start) > before).cast("int"), F.lit(1)))
+    marked = df.withColumn("_new", F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0))
     island = marked.withColumn("_i", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return island.groupBy(*keys, "_i").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_i")
 
